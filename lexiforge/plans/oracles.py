@@ -68,3 +68,142 @@ SELECT item_id, length(text)::INTEGER AS n_chars, octet_length(encode(text))::IN
        md5(text) AS text_md5
 FROM benchmark
 """
+
+
+# --- generation ----------------------------------------------------------------------------
+
+from lexiforge.functions.hashing import tree_hash_sql  # noqa: E402
+
+
+def u_sql(*keys: str) -> str:
+    """Keyed uniform draw, same definition as lexiforge.functions.draws.uniform."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _grammar_ctes() -> str:
+    from lexiforge.plans.queries import TEMPLATES
+
+    rows = ", ".join(f"({i}, {_q(t)}, {w}::DOUBLE)" for i, t, w in TEMPLATES)
+    return f"""
+tpl(template_index, template, weight) AS (VALUES {rows}),
+tcum AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY template_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS lo
+         FROM tpl WHERE weight > 0),
+tc AS (SELECT *, lo + weight AS hi, sum(weight) OVER () AS total FROM tcum),
+ent AS (SELECT DISTINCT 'person' AS entity, c_name AS value FROM customer
+        UNION SELECT DISTINCT 'item', p_name FROM part
+        UNION SELECT DISTINCT 'location', n_name FROM nation),
+pool AS (SELECT entity, value, (row_number() OVER (PARTITION BY entity ORDER BY value) - 1)::BIGINT AS pos,
+                count(*) OVER (PARTITION BY entity) AS n FROM ent)"""
+
+
+def _generate_sql(task: str) -> str:
+    from lexiforge.plans.queries import GEN_NOISE, GEN_SEED
+
+    seed = str(GEN_SEED)
+    k = [seed, "split", "sample_index"]
+    ents = ("person", "item", "location")
+    ent_cols, ent_joins = [], []
+    for e in ents:
+        pos = (f"CASE WHEN contains(template, '{{{e}}}') THEN floor({u_sql(*k, _q('entity'), _q(e))} * "
+               f"(SELECT max(n) FROM pool WHERE entity = '{e}'))::BIGINT END")
+        ent_cols.append(f"{pos} AS p_{e}")
+        ent_joins.append(f"LEFT JOIN pool pe_{e} ON pe_{e}.entity = '{e}' AND pe_{e}.pos = st.p_{e}")
+    fill = "template"
+    for e in ents:
+        fill = f"CASE WHEN contains(template, '{{{e}}}') THEN replace({fill}, '{{{e}}}', v_{e}) ELSE {fill} END"
+    drop_p, typo_p = GEN_NOISE.drop_prob, GEN_NOISE.typo_prob
+    label = ("CASE WHEN contains(template, 'found') THEN 'found' WHEN contains(template, 'lost') THEN 'lost' "
+             "WHEN contains(template, 'traded') THEN 'traded' ELSE 'unknown' END")
+    sel = {
+        "lm": "text",
+        "seq2seq": "text AS src, coalesce(v_item || ' -> ' || v_location, clean) AS tgt",
+        "cls": f"text, {label} AS label",
+    }[task]
+    return f"""
+WITH {_grammar_ctes()},
+cnt AS (SELECT count(*) AS n FROM part),
+splits AS (SELECT 'train' AS split, n * 8 // 10 AS c FROM cnt
+           UNION ALL SELECT 'valid', n // 10 FROM cnt
+           UNION ALL SELECT 'test', n - n * 8 // 10 - n // 10 FROM cnt),
+s AS (SELECT split, unnest(range(c)) AS sample_index FROM splits),
+st AS (SELECT s.split, s.sample_index, tc.template_index, tc.template, {', '.join(ent_cols)}
+       FROM s JOIN tc ON tc.lo <= {u_sql(*k, _q('template'))} * tc.total
+                     AND {u_sql(*k, _q('template'))} * tc.total < tc.hi),
+sv AS (SELECT st.*, {', '.join(f'pe_{e}.value AS v_{e}' for e in ents)} FROM st {' '.join(ent_joins)}),
+f AS (SELECT *, {fill} AS clean FROM sv),
+d AS (SELECT *, CASE WHEN {u_sql(*k, _q('drop'))} < {drop_p} AND length(clean) >= 2 THEN
+            substring(clean, 1, floor({u_sql(*k, _q('drop_at'))} * length(clean))::BIGINT)
+            || substring(clean, floor({u_sql(*k, _q('drop_at'))} * length(clean))::BIGINT + 2)
+          ELSE clean END AS t1 FROM f),
+y AS (SELECT *, floor({u_sql(*k, _q('typo_at'))} * (length(t1) - 1))::BIGINT AS ti FROM d),
+n AS (SELECT *, CASE WHEN {u_sql(*k, _q('typo'))} < {typo_p} AND length(t1) >= 2 THEN
+            substring(t1, 1, ti) || substring(t1, ti + 2, 1) || substring(t1, ti + 1, 1) || substring(t1, ti + 3)
+          ELSE t1 END AS text FROM y)
+SELECT format('{{}}-{{}}-{{:06d}}', split, '{task}', sample_index) AS id, split, sample_index::BIGINT AS sample_index,
+       {sel}, template_index::INTEGER AS template_index
+FROM n
+"""
+
+
+for _t in ("lm", "seq2seq", "cls"):
+    ORACLES[f"generate_{_t}"] = _generate_sql(_t)
+
+
+def _template_mix_sql() -> str:
+    from lexiforge.plans.queries import GEN_SEED
+
+    k = [str(GEN_SEED), "split", "sample_index"]
+    return f"""
+WITH {_grammar_ctes()},
+cnt AS (SELECT count(*) AS n FROM part),
+splits AS (SELECT 'train' AS split, n * 8 // 10 AS c FROM cnt
+           UNION ALL SELECT 'valid', n // 10 FROM cnt
+           UNION ALL SELECT 'test', n - n * 8 // 10 - n // 10 FROM cnt),
+s AS (SELECT split, unnest(range(c)) AS sample_index FROM splits)
+SELECT split, tc.template_index::INTEGER AS template_index, count(*)::BIGINT AS n
+FROM s JOIN tc ON tc.lo <= {u_sql(*k, _q('template'))} * tc.total AND {u_sql(*k, _q('template'))} * tc.total < tc.hi
+GROUP BY 1, 2
+"""
+
+
+ORACLES["template_mix"] = _template_mix_sql()
+
+
+def _grammar_hash_sql() -> str:
+    ents = ("person", "item", "location")
+    order = " ".join(f"WHEN '{e}' THEN {i}" for i, e in enumerate(ents))
+    return f"""
+WITH {_grammar_ctes()},
+el AS (SELECT entity, pos, to_json({{'entity': entity, 'value': value}})::VARCHAR AS line FROM pool),
+eh AS {tree_hash_sql('el', ['entity'], 'pos', 'line', 'h')},
+th AS (SELECT -1 AS k, sha256(string_agg(to_json({{'template': template, 'template_index': template_index, 'weight': weight}})::VARCHAR,
+                                          chr(10) ORDER BY template_index)) AS h FROM tpl),
+allh AS (SELECT k, h FROM th UNION ALL SELECT CASE entity {order} END AS k, h FROM eh)
+SELECT sha256(string_agg(h, chr(10) ORDER BY k)) AS grammar_rev FROM allh
+"""
+
+
+ORACLES["grammar_hash"] = _grammar_hash_sql()
+
+
+def _grammar_violations_sql() -> str:
+    return f"""
+WITH {_grammar_ctes()},
+decl(entity) AS (VALUES ('person'), ('item'), ('location')),
+ph AS (SELECT DISTINCT template_index, unnest(regexp_extract_all(template, '\\{{([^{{}}]+)\\}}', 1)) AS entity FROM tpl),
+w AS (SELECT count(*) AS n, count(weight) AS n_w, sum(CASE WHEN weight < 0 THEN 1 ELSE 0 END) AS n_neg,
+             sum(weight) AS total FROM tpl)
+SELECT 'no_templates' AS rule, (CASE WHEN n = 0 THEN 1 ELSE 0 END)::BIGINT AS violations FROM w
+UNION ALL SELECT 'weights_count', (CASE WHEN n_w > 0 AND n_w <> n THEN 1 ELSE 0 END)::BIGINT FROM w
+UNION ALL SELECT 'negative_weight', n_neg::BIGINT FROM w
+UNION ALL SELECT 'weights_total', (CASE WHEN n_w > 0 AND NOT coalesce(total, 0) > 0 THEN 1 ELSE 0 END)::BIGINT FROM w
+UNION ALL SELECT 'empty_entity', count(*)::BIGINT FROM decl WHERE entity NOT IN (SELECT entity FROM ent)
+UNION ALL SELECT 'unknown_placeholder', count(*)::BIGINT FROM ph WHERE entity NOT IN (SELECT entity FROM decl)
+"""
+
+
+ORACLES["grammar_violations"] = _grammar_violations_sql()

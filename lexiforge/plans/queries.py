@@ -82,3 +82,77 @@ def byte_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("detokenize_roundtrip")
 def detokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.roundtrip_audit(table(spark, sf_dir, "benchmark"), "text", ["item_id"])
+
+
+# --- generation ----------------------------------------------------------------------------
+
+from lexiforge.operators import generate as gen  # noqa: E402
+from lexiforge.operators.noise import NoiseConfig  # noqa: E402
+
+# The example grammar's templates and relative weights, and its entity order.
+TEMPLATES = [
+    (0, "{person} found a {item} at the {location}.", 0.5),
+    (1, "{person} lost a {item} in the {location}.", 0.3),
+    (2, "{person} traded a {item} near the {location}.", 0.2),
+]
+ENTITY_ORDER = ("person", "item", "location")
+# Seed and noise probabilities of the example dataset configuration.
+GEN_SEED = 13
+GEN_NOISE = NoiseConfig(drop_prob=0.02, typo_prob=0.01)
+
+
+def table_grammar(spark: SparkSession, sf_dir: str) -> gen.Grammar:
+    """Template grammar whose entity pools are columns of the warehouse tables:
+    person <- customer names, item <- part names, location <- nation names."""
+    templates = spark.createDataFrame(TEMPLATES, "template_index int, template string, weight double")
+    ents = (table(spark, sf_dir, "customer").select(F.lit("person").alias("entity"), F.col("c_name").alias("value"))
+            .unionByName(table(spark, sf_dir, "part").select(F.lit("item").alias("entity"), F.col("p_name").alias("value")))
+            .unionByName(table(spark, sf_dir, "nation").select(F.lit("location").alias("entity"), F.col("n_name").alias("value"))))
+    return gen.Grammar(templates, ents, ENTITY_ORDER)
+
+
+def table_splits(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    """80/10/10 split of one sample per part row (the sample count grows with the tables)."""
+    n = table(spark, sf_dir, "part").count()
+    train, valid = n * 8 // 10, n // 10
+    return [("train", train), ("valid", valid), ("test", n - train - valid)]
+
+
+def generated(spark: SparkSession, sf_dir: str, tasks=gen.TASKS) -> DataFrame:
+    return gen.generate(spark, table_grammar(spark, sf_dir), table_splits(spark, sf_dir), GEN_SEED,
+                        tasks, GEN_NOISE)
+
+
+@register("generate_lm")
+def generate_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, sf_dir, ("lm",)).select(
+        "id", "split", "sample_index", "text", F.col("meta.template_index").alias("template_index"))
+
+
+@register("generate_seq2seq")
+def generate_seq2seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, sf_dir, ("seq2seq",)).select(
+        "id", "split", "sample_index", "src", "tgt", F.col("meta.template_index").alias("template_index"))
+
+
+@register("generate_cls")
+def generate_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, sf_dir, ("cls",)).select(
+        "id", "split", "sample_index", "text", "label", F.col("meta.template_index").alias("template_index"))
+
+
+@register("template_mix")
+def template_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table_grammar(spark, sf_dir)
+    s = gen.choose_templates(gen.sample_space(spark, table_splits(spark, sf_dir)), g, GEN_SEED)
+    return s.groupBy("split", "template_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("grammar_hash")
+def grammar_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gen.grammar_hash(table_grammar(spark, sf_dir))
+
+
+@register("grammar_violations")
+def grammar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gen.grammar_violations(table_grammar(spark, sf_dir))
