@@ -48,15 +48,24 @@ def typo(text, u_pos: Column) -> Column:
     return F.when(n < 2, t).otherwise(swapped)
 
 
-def swap_words(text, u_pos: Column) -> Column:
-    """Swap words i and i+1; the result is the words joined by single spaces."""
-    t = col_(text)
-    ws = words(t)
-    n = F.size(ws)
-    i = F.floor(u_pos * (n - 1)).cast("int")
-    swapped = F.transform(ws, lambda w, j: F.when(j == i, F.get(ws, i + 1))
-                          .when(j == i + 1, F.get(ws, i)).otherwise(w))
-    return F.when(n < 2, t).otherwise(F.array_join(swapped, " "))
+def swap_words(df: DataFrame, text_col: str, u_pos: Column, out_col: str, gate: Column | None = None) -> DataFrame:
+    """Swap words i and i+1, i = floor(u * (words - 1)); the result is the words joined by
+    single spaces; unchanged when there are fewer than 2 words.
+
+    The word array and the two swapped words are staged as columns first: a lambda
+    must not re-evaluate the split for every element.
+    """
+    staged = (df.withColumn("_sw_ws", words(F.col(text_col)))
+              .withColumn("_sw_i", F.floor(u_pos * (F.size("_sw_ws") - 1)).cast("int"))
+              .withColumn("_sw_a", F.get(F.col("_sw_ws"), F.col("_sw_i")))
+              .withColumn("_sw_b", F.get(F.col("_sw_ws"), F.col("_sw_i") + 1)))
+    swapped = F.array_join(F.transform(F.col("_sw_ws"), lambda w, j: F.when(j == F.col("_sw_i"), F.col("_sw_b"))
+                                       .when(j == F.col("_sw_i") + 1, F.col("_sw_a")).otherwise(w)), " ")
+    ok = F.size("_sw_ws") >= 2
+    if gate is not None:
+        ok = gate & ok
+    return (staged.withColumn(out_col, F.when(ok, swapped).otherwise(F.col(text_col)))
+            .drop("_sw_ws", "_sw_i", "_sw_a", "_sw_b"))
 
 
 def synonym_frame(synonyms: DataFrame) -> DataFrame:
@@ -79,9 +88,9 @@ def add_noise(df: DataFrame, text_col: str, key: list, config: NoiseConfig, out_
         t = F.when(u("drop") < config.drop_prob, drop_char(t, u("drop_at"))).otherwise(t)
     if config.typo_prob > 0:
         t = F.when(u("typo") < config.typo_prob, typo(t, u("typo_at"))).otherwise(t)
-    if config.swap_prob > 0:
-        t = F.when(u("swap") < config.swap_prob, swap_words(t, u("swap_at"))).otherwise(t)
     df = df.withColumn(out_col, t)
+    if config.swap_prob > 0:
+        df = swap_words(df, out_col, u("swap_at"), out_col, gate=u("swap") < config.swap_prob)
     if config.synonym_prob > 0 and synonyms is not None:
         df = apply_synonyms(df, out_col, key, config.synonym_prob, synonyms, broadcast_limit)
     return df
@@ -106,7 +115,9 @@ def apply_synonyms(df: DataFrame, text_col: str, key: list, prob: float, synonym
               .withColumn("_at", pos)
               .withColumn("_w", F.get(F.col("_ws"), F.col("_at"))))
     joined = staged.join(table, staged["_w"] == table["word"], "left").drop("word")
-    pick = F.get(F.col("_syns"), F.floor(uniform(*key, "synonym_pick") * F.size("_syns")).cast("int"))
-    replaced = F.array_join(F.transform(F.col("_ws"), lambda w, j: F.when(j == F.col("_at"), pick).otherwise(w)), " ")
+    joined = joined.withColumn(
+        "_pick", F.get(F.col("_syns"), F.floor(uniform(*key, "synonym_pick") * F.size("_syns")).cast("int")))
+    replaced = F.array_join(F.transform(F.col("_ws"), lambda w, j: F.when(j == F.col("_at"), F.col("_pick"))
+                                        .otherwise(w)), " ")
     return (joined.withColumn(text_col, F.when(F.col("_syns").isNotNull(), replaced).otherwise(F.col(text_col)))
-            .drop("_ws", "_at", "_w", "_syns"))
+            .drop("_ws", "_at", "_w", "_syns", "_pick"))

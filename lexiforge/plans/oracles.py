@@ -207,3 +207,69 @@ UNION ALL SELECT 'unknown_placeholder', count(*)::BIGINT FROM ph WHERE entity NO
 
 
 ORACLES["grammar_violations"] = _grammar_violations_sql()
+
+
+# --- noise ---------------------------------------------------------------------------------
+
+def _noise_sql(drop: float, typo: float, swap: float) -> str:
+    from lexiforge.plans.queries import NOISE_SEED
+
+    k = [str(NOISE_SEED), "doc_id"]
+    steps = ["t0 AS (SELECT doc_id, text AS t FROM documents)"]
+    cur = "t0"
+    i = 0
+    if drop > 0:
+        i += 1
+        at = f"floor({u_sql(*k, _q('drop_at'))} * length(t))::BIGINT"
+        steps.append(f"""t{i} AS (SELECT doc_id, CASE WHEN {u_sql(*k, _q('drop'))} < {drop} AND length(t) >= 2
+            THEN substring(t, 1, {at}) || substring(t, {at} + 2) ELSE t END AS t FROM {cur})""")
+        cur = f"t{i}"
+    if typo > 0:
+        i += 1
+        at = f"floor({u_sql(*k, _q('typo_at'))} * (length(t) - 1))::BIGINT"
+        steps.append(f"""t{i} AS (SELECT doc_id, CASE WHEN {u_sql(*k, _q('typo'))} < {typo} AND length(t) >= 2
+            THEN substring(t, 1, {at}) || substring(t, {at} + 2, 1) || substring(t, {at} + 1, 1) || substring(t, {at} + 3)
+            ELSE t END AS t FROM {cur})""")
+        cur = f"t{i}"
+    if swap > 0:
+        i += 1
+        at = f"floor({u_sql(*k, _q('swap_at'))} * (len({words_sql('t')}) - 1))::BIGINT"
+        steps.append(f"""w{i} AS (SELECT doc_id, t, {words_sql('t')} AS ws, {at} AS wpos FROM {cur})""")
+        steps.append(f"""v{i} AS (SELECT *, ws[wpos + 1] AS wa, ws[wpos + 2] AS wb FROM w{i})""")
+        steps.append(f"""t{i} AS (SELECT doc_id, CASE WHEN {u_sql(*k, _q('swap'))} < {swap} AND len(ws) >= 2
+            THEN array_to_string(list_transform(ws, lambda w, j: CASE WHEN j - 1 = wpos THEN wb
+                                                                   WHEN j - 1 = wpos + 1 THEN wa ELSE w END), ' ')
+            ELSE t END AS t FROM v{i})""")
+        cur = f"t{i}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM {cur}"
+
+
+ORACLES["noise_drop"] = _noise_sql(1.0, 0, 0)
+ORACLES["noise_typo"] = _noise_sql(0, 1.0, 0)
+ORACLES["noise_swap"] = _noise_sql(0, 0, 1.0)
+ORACLES["noise_pipeline"] = _noise_sql(0.5, 0.5, 0.5)
+
+
+def _synonym_sql() -> str:
+    from lexiforge.plans.queries import NOISE_SEED, SYNONYMS
+
+    k = [str(NOISE_SEED), "conv_id", "turn"]
+    rows = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in SYNONYMS)
+    return f"""
+WITH syn(word, synonym) AS (VALUES {rows}),
+sl AS (SELECT word, list_sort(list(DISTINCT synonym)) AS syns FROM syn GROUP BY word),
+c AS (SELECT conv_id, turn, text, {words_sql('text')} AS ws FROM conversations),
+g AS (SELECT *, ({u_sql(*k, _q('synonym'))} < 0.5 AND len(ws) > 0) AS gate,
+             floor({u_sql(*k, _q('synonym_at'))} * len(ws))::BIGINT AS wpos FROM c),
+j0 AS (SELECT g.*, sl.syns FROM g LEFT JOIN sl ON g.gate AND sl.word = g.ws[g.wpos + 1]),
+j AS (SELECT *, syns[floor({u_sql(*k, _q('synonym_pick'))} * len(syns))::BIGINT + 1] AS pick FROM j0)
+SELECT conv_id, turn,
+       md5(CASE WHEN syns IS NOT NULL THEN
+             array_to_string(list_transform(ws, lambda w, i: CASE WHEN i - 1 = wpos
+                 THEN pick ELSE w END), ' ')
+           ELSE text END) AS text_md5
+FROM j
+"""
+
+
+ORACLES["noise_synonym"] = _synonym_sql()

@@ -156,3 +156,48 @@ def grammar_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("grammar_violations")
 def grammar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gen.grammar_violations(table_grammar(spark, sf_dir))
+
+
+# --- noise ---------------------------------------------------------------------------------
+
+from lexiforge.operators import noise as nz  # noqa: E402
+
+NOISE_SEED = 7
+# The synonym parameter table for the synonym noise query (word, synonym).
+SYNONYMS = [("des", "les"), ("le", "la"), ("la", "le"), ("et", "ou"), ("une", "un"), ("un", "une"),
+            ("the", "a"), ("and", "or"), ("der", "die"), ("el", "la")]
+
+
+def _noised(spark: SparkSession, sf_dir: str, cfg: NoiseConfig) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = nz.add_noise(docs, "text", [NOISE_SEED, F.col("doc_id")], cfg, out_col="noisy")
+    return out.select("doc_id", F.length("noisy").alias("n_chars"), F.md5("noisy").alias("text_md5"))
+
+
+@register("noise_drop")
+def noise_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noised(spark, sf_dir, NoiseConfig(drop_prob=1.0))
+
+
+@register("noise_typo")
+def noise_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noised(spark, sf_dir, NoiseConfig(typo_prob=1.0))
+
+
+@register("noise_swap")
+def noise_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noised(spark, sf_dir, NoiseConfig(swap_prob=1.0))
+
+
+@register("noise_pipeline")
+def noise_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noised(spark, sf_dir, NoiseConfig(drop_prob=0.5, typo_prob=0.5, swap_prob=0.5))
+
+
+@register("noise_synonym")
+def noise_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    syn = spark.createDataFrame(SYNONYMS, "word string, synonym string")
+    out = nz.add_noise(conv, "text", [NOISE_SEED, F.col("conv_id"), F.col("turn")],
+                       NoiseConfig(synonym_prob=0.5), out_col="noisy", synonyms=syn)
+    return out.select("conv_id", "turn", F.md5("noisy").alias("text_md5"))
