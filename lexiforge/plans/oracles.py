@@ -273,3 +273,112 @@ FROM j
 
 
 ORACLES["noise_synonym"] = _synonym_sql()
+
+
+# --- canonical lines, hashes, validation, manifests ----------------------------------------
+
+DOC_JSON = "to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})::VARCHAR"
+
+ORACLES["canonical_lines"] = f"SELECT doc_id, sha256({DOC_JSON}) AS line_sha FROM documents"
+
+_SPLIT_HASH = f"""
+WITH l AS (SELECT source AS split, doc_id, {DOC_JSON} AS line FROM documents),
+h AS {tree_hash_sql('l', ['split'], 'doc_id', 'line', 'split_hash')},
+c AS (SELECT source AS split, count(*)::BIGINT AS num_records FROM documents GROUP BY 1)
+SELECT h.split, split_hash, num_records FROM h JOIN c USING (split)
+"""
+ORACLES["split_hash"] = _SPLIT_HASH
+ORACLES["dataset_hash"] = f"SELECT sha256(string_agg(split_hash, chr(10) ORDER BY split)) AS dataset_hash FROM ({_SPLIT_HASH})"
+
+ORACLES["validate_hashes"] = f"""
+WITH tox AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+t AS (SELECT d.doc_id, CASE WHEN x.doc_id IS NOT NULL THEN '' ELSE d.text END AS text, d.lang, d.n_chars, d.source
+      FROM documents d LEFT JOIN tox x USING (doc_id)),
+l1 AS (SELECT source AS split, doc_id, {DOC_JSON} AS line FROM documents),
+l2 AS (SELECT source AS split, doc_id, {DOC_JSON} AS line FROM t),
+d AS {tree_hash_sql('l1', ['split'], 'doc_id', 'line', 'declared_hash')},
+c AS {tree_hash_sql('l2', ['split'], 'doc_id', 'line', 'computed_hash')},
+j AS (SELECT coalesce(d.split, c.split) AS split, declared_hash, computed_hash FROM d FULL OUTER JOIN c ON d.split = c.split)
+SELECT split, CASE WHEN declared_hash IS NULL THEN 'undeclared' WHEN computed_hash IS NULL THEN 'missing'
+                   WHEN declared_hash = computed_hash THEN 'ok' ELSE 'mismatch' END AS status,
+       declared_hash, computed_hash FROM j
+UNION ALL
+SELECT '__dataset__', CASE WHEN ch IS NULL THEN 'missing' WHEN dh = ch THEN 'ok' ELSE 'mismatch' END, dh, ch
+FROM (SELECT sha256(string_agg(declared_hash, chr(10) ORDER BY split)) AS dh,
+             sha256(string_agg(computed_hash, chr(10) ORDER BY split) FILTER (WHERE declared_hash IS NOT NULL)) AS ch FROM j)
+"""
+
+ORACLES["manifest_completeness"] = """
+SELECT DISTINCT source AS dataset_name, round(6.0 / 14.0, 6) AS completeness FROM documents
+"""
+
+ORACLES["run_reproducibility"] = """
+SELECT sha256('documents|source|doc_id|tree') AS config_hash, 3::BIGINT AS runs, 1::BIGINT AS distinct_hashes,
+       1.0::DOUBLE AS reproducibility
+"""
+
+
+def _generated_union_sql() -> str:
+    parts = []
+    for t in ("lm", "seq2seq", "cls"):
+        cols = {"lm": "id, split, sample_index, text, NULL AS src, NULL AS tgt, NULL AS label, template_index",
+                "seq2seq": "id, split, sample_index, NULL AS text, src, tgt, NULL AS label, template_index",
+                "cls": "id, split, sample_index, text, NULL AS src, NULL AS tgt, label, template_index"}[t]
+        pos = {"lm": 0, "seq2seq": 1, "cls": 2}[t]
+        parts.append(f"SELECT '{t}' AS task, {pos} AS task_pos, {cols} FROM ({_generate_sql(t)})")
+    return " UNION ALL ".join(parts)
+
+
+def _generated_manifest_sql() -> str:
+    from lexiforge.plans.queries import GEN_SEED
+
+    rec_json = (f"CASE task WHEN 'lm' THEN to_json({{'id': id, 'meta': {{'grammar_rev': g.grammar_rev, 'seed': {GEN_SEED}::BIGINT, "
+                f"'split': split, 'template_index': template_index}}, 'task': task, 'text': text}}) "
+                f"WHEN 'seq2seq' THEN to_json({{'id': id, 'meta': {{'grammar_rev': g.grammar_rev, 'seed': {GEN_SEED}::BIGINT, "
+                f"'split': split, 'template_index': template_index}}, 'src': src, 'task': task, 'tgt': tgt}}) "
+                f"ELSE to_json({{'id': id, 'label': label, 'meta': {{'grammar_rev': g.grammar_rev, 'seed': {GEN_SEED}::BIGINT, "
+                f"'split': split, 'template_index': template_index}}, 'task': task, 'text': text}}) END::VARCHAR")
+    return f"""
+WITH g AS ({_grammar_hash_sql()}),
+r AS ({_generated_union_sql()}),
+l AS (SELECT split, sample_index * 3 + task_pos AS ord, {rec_json} AS line, coalesce(text, src, '') AS t FROM r, g),
+h AS {tree_hash_sql('l', ['split'], 'ord', 'line', 'split_hash')},
+st AS (SELECT split, count(*)::BIGINT AS row_count, count(*)::DOUBLE AS num_records, round(avg(length(t)), 6) AS avg_len,
+              round(quantile_cont(length(t), 0.5), 6) AS p50_len, round(quantile_cont(length(t), 0.95), 6) AS p95_len
+       FROM l GROUP BY split),
+voc AS (SELECT split, count(DISTINCT c)::DOUBLE AS vocab_size_char
+        FROM (SELECT split, unnest(string_split(t, '')) AS c FROM l) WHERE c <> '' GROUP BY split),
+dh AS (SELECT sha256(string_agg(split_hash, chr(10) ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END))
+              AS dataset_hash FROM h)
+SELECT h.split, h.split_hash, st.row_count, st.num_records, st.avg_len, st.p50_len, st.p95_len,
+       coalesce(voc.vocab_size_char, 0.0) AS vocab_size_char, dh.dataset_hash
+FROM h JOIN st USING (split) LEFT JOIN voc USING (split), dh
+"""
+
+
+ORACLES["generated_manifest"] = _generated_manifest_sql()
+
+
+def _schema_violations_sql() -> str:
+    from lexiforge.operators.dataset import TASK_FIELDS
+
+    checks = ["('unknown_task', task NOT IN ('lm', 'seq2seq', 'cls'))"]
+    for t, (req, forb) in TASK_FIELDS.items():
+        for f in req:
+            expr = "FALSE" if f == "meta" else f"(task = '{t}' AND {f} IS NULL)"
+            checks.append(f"('{t}_missing_{f}', {expr})")
+        for f in forb:
+            checks.append(f"('{t}_forbidden_{f}', (task = '{t}' AND {f} IS NOT NULL))")
+    checks.append("('id_format', NOT regexp_matches(id, '^[^-]+-[^-]+-[0-9]{6,}$'))")
+    checks.append("('id_split_task', id <> format('{}-{}-{:06d}', split, task, sample_index))")
+    checks.append("('meta_split', FALSE)")
+    sel = ",\n  ".join(f"{{'rule': {c.split(',', 1)[0][1:]}, 'violations': sum(CASE WHEN {c.split(',', 1)[1].strip()[:-1]} THEN 1 ELSE 0 END)::BIGINT}}"
+                       for c in checks)
+    return f"""
+WITH r AS ({_generated_union_sql()}),
+a AS (SELECT [{sel}] AS xs FROM r)
+SELECT x.rule AS rule, coalesce(x.violations, 0)::BIGINT AS violations FROM (SELECT unnest(xs) AS x FROM a)
+"""
+
+
+ORACLES["schema_violations"] = _schema_violations_sql()

@@ -201,3 +201,110 @@ def noise_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nz.add_noise(conv, "text", [NOISE_SEED, F.col("conv_id"), F.col("turn")],
                        NoiseConfig(synonym_prob=0.5), out_col="noisy", synonyms=syn)
     return out.select("conv_id", "turn", F.md5("noisy").alias("text_md5"))
+
+
+# --- canonical lines, hashes, validation, manifests ----------------------------------------
+
+from lexiforge.functions.canon import canonical_line  # noqa: E402
+from lexiforge.functions.hashing import tree_hash  # noqa: E402
+from lexiforge.operators import dataset as ds  # noqa: E402
+from lexiforge.operators.stats import corpus_stats  # noqa: E402
+
+DOC_COLUMNS = ("doc_id", "lang", "n_chars", "source", "text")
+
+
+def _doc_lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("source").alias("split"),
+                       canonical_line(docs, list(DOC_COLUMNS)).alias("line"))
+
+
+def _tampered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with the text of every toxic-labelled document redacted to ''."""
+    docs = table(spark, sf_dir, "documents")
+    toxic = (table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id").distinct()
+             .withColumn("_toxic", F.lit(True)))
+    return (docs.join(toxic, "doc_id", "left")
+            .withColumn("text", F.when(F.col("_toxic"), F.lit("")).otherwise(F.col("text"))).drop("_toxic"))
+
+
+@register("canonical_lines")
+def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _doc_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", F.sha2("line", 256).alias("line_sha"))
+
+
+@register("split_hash")
+def split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ds.split_hashes(_doc_lines(table(spark, sf_dir, "documents")), "doc_id")
+
+
+@register("dataset_hash")
+def dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ds.dataset_hash(split_hash(spark, sf_dir), order=None)
+
+
+@register("validate_hashes")
+def validate_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = ds.split_hashes(_doc_lines(table(spark, sf_dir, "documents")), "doc_id")
+    computed = ds.split_hashes(_doc_lines(_tampered_documents(spark, sf_dir)), "doc_id")
+    return ds.validate_hashes(declared, computed, order=None)
+
+
+def _generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, sf_dir, gen.TASKS)
+
+
+@register("generated_manifest")
+def generated_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split of the generated dataset: row count, split hash, statistics, and the
+    dataset hash over train, valid, test (the manifest body, one row per split)."""
+    recs = _generated_records(spark, sf_dir)
+    recs = ds.with_canonical_line(recs, ds.RECORD_COLUMNS)
+    hashes = ds.split_hashes(recs, "ord")
+    st = corpus_stats(recs, splits=stats.SPLITS)
+    dh = ds.dataset_hash(hashes)
+    out = hashes.withColumnRenamed("num_records", "row_count").join(st, "split").crossJoin(dh)
+    return _round_doubles(out, stats.STAT_COLUMNS)
+
+
+@register("schema_violations")
+def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ds.schema_violations(_generated_records(spark, sf_dir))
+
+
+@register("manifest_completeness")
+def manifest_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest per document source (its splits are the languages); share of the
+    required manifest fields each one fills."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", "source", "lang", canonical_line(docs, list(DOC_COLUMNS)).alias("line"))
+    per_split = tree_hash(lines, ["source", "lang"], "doc_id", "line", "split_hash").join(
+        docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")), ["source", "lang"])
+    manifests = per_split.groupBy("source").agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "split_hash"))))).alias("split_hashes"),
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "n"))))).alias("row_counts"),
+        ordered_hash_col("lang", "split_hash").alias("dataset_hash"),
+        F.count(F.lit(1)).alias("splits"),
+    ).select(F.col("source").alias("dataset_name"), F.lit("parquet").alias("format"), "splits", "split_hashes",
+             "row_counts", "dataset_hash", F.lit(None).cast("long").alias("seed"),
+             F.lit(None).cast("string").alias("grammar_file"))
+    return _round_doubles(ds.completeness(manifests), ["completeness"])
+
+
+def ordered_hash_col(order: str, value: str):
+    from lexiforge.functions.hashing import ordered_hash
+
+    return ordered_hash(order, value)
+
+
+@register("run_reproducibility")
+def run_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' dataset hash recomputed under three different input partitionings."""
+    docs = table(spark, sf_dir, "documents")
+    config_hash = F.sha2(F.lit("documents|source|doc_id|tree"), 256)
+    runs = None
+    for run_id, parts in enumerate((3, 7, 16)):
+        h = ds.dataset_hash(ds.split_hashes(_doc_lines(docs.repartition(parts)), "doc_id"), order=None)
+        r = h.select(config_hash.alias("config_hash"), F.lit(run_id).alias("run_id"), "dataset_hash")
+        runs = r if runs is None else runs.unionByName(r)
+    return _round_doubles(ds.reproducibility(runs), ["reproducibility"])
