@@ -70,15 +70,23 @@ def symbols(seq) -> Column:
 
 
 def adjacent_pairs(syms) -> Column:
-    """Overlapping adjacent pairs ``struct(l, r)`` of a symbol array (empty if size < 2)."""
-    s = col_(syms)
-    return F.when(
-        F.size(s) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(s) - 1),
-            lambda i: F.struct(F.get(s, i - 1).alias("l"), F.get(s, i).alias("r")),
-        ),
-    ).otherwise(F.array().cast("array<struct<l:string,r:string>>"))
+    """Overlapping adjacent pairs ``struct(l, r)`` of a symbol array (empty if size < 2).
+
+    Built with ``zip_with`` over two slices, so the symbol array is evaluated once per
+    row (a lambda that indexed into the array expression would re-evaluate it per element).
+    """
+    def pairs(s):
+        n = F.size(s)
+        return F.when(n > 1, F.zip_with(F.slice(s, 1, n - 1), F.slice(s, 2, n - 1),
+                                       lambda x, y: F.struct(x.alias("l"), y.alias("r")))
+                      ).otherwise(F.array().cast("array<struct<l:string,r:string>>"))
+
+    return let(col_(syms), pairs)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it for ``body`` (a one-element ``transform``)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def sym(s: str) -> str:

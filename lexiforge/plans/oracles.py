@@ -382,3 +382,114 @@ SELECT x.rule AS rule, coalesce(x.violations, 0)::BIGINT AS violations FROM (SEL
 
 
 ORACLES["schema_violations"] = _schema_violations_sql()
+
+
+# --- learned tokenizer (BPE) ---------------------------------------------------------------
+
+O, C = "", ""
+
+
+def _syms_sql(expr: str) -> str:
+    return f"regexp_extract_all({expr}, '{O}([^{C}]*){C}', 1)"
+
+
+def _pairs_sql(expr: str) -> str:
+    s = _syms_sql(expr)
+    return f"list_transform(range(1, len({s})), lambda i: {{'l': {s}[i], 'r': {s}[i + 1]}})"
+
+
+def _bracket_sql(expr: str) -> str:
+    return f"(regexp_replace({expr}, '(.)', '{O}\\1{C}', 'gs') || '{O}</w>{C}')"
+
+
+_UNITS = f"""units AS (SELECT w AS unit, count(*)::BIGINT AS freq
+           FROM (SELECT unnest({words_sql('lower(text)')}) AS w FROM documents) GROUP BY w)"""
+
+
+def _bpe_train_ctes(k: int, min_freq: int) -> str:
+    ctes = [_UNITS, "s0 AS (SELECT " + _bracket_sql("unit") + " AS seq, freq FROM units)"]
+    for i in range(1, k + 1):
+        ctes.append(f"""p{i-1} AS (SELECT x.l AS l, x.r AS r, sum(freq)::BIGINT AS freq
+                    FROM (SELECT unnest({_pairs_sql('seq')}) AS x, freq FROM s{i-1}) GROUP BY 1, 2)""")
+        ctes.append(f"""m{i} AS (SELECT {i - 1} AS rank, l, r FROM p{i-1} WHERE freq >= {min_freq}
+                    ORDER BY freq DESC, l, r LIMIT 1)""")
+        ctes.append(f"""s{i} AS (SELECT replace(seq, '{O}' || m.l || '{C}{O}' || m.r || '{C}', '{O}' || m.l || m.r || '{C}')
+                    AS seq, freq FROM s{i-1}, m{i} m)""")
+    ctes.append("merges AS (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(1, k + 1)) + ")")
+    return ",\n".join(ctes)
+
+
+def _bpe_sqls():
+    from lexiforge.plans.queries import BPE_MERGES, BPE_MIN_FREQ
+
+    k, mf = BPE_MERGES, BPE_MIN_FREQ
+    train = _bpe_train_ctes(k, mf)
+    ORACLES["bpe_word_counts"] = f"WITH {_UNITS} SELECT unit AS word, freq FROM units"
+    alpha = f"""alpha AS (SELECT DISTINCT c AS symbol FROM (SELECT unnest(string_split(unit, '')) AS c FROM units)
+                WHERE c <> '' UNION SELECT '</w>')"""
+    ORACLES["bpe_alphabet"] = f"""WITH {_UNITS}, {alpha}
+        SELECT '<unk>' AS symbol, 0 AS id
+        UNION ALL SELECT symbol, (row_number() OVER (ORDER BY symbol))::INTEGER AS id FROM alpha"""
+    ORACLES["bpe_pair_stats"] = f"""WITH {_UNITS}, s0 AS (SELECT {_bracket_sql('unit')} AS seq, freq FROM units)
+        SELECT x.l AS l, x.r AS r, sum(freq)::BIGINT AS freq FROM (SELECT unnest({_pairs_sql('seq')}) AS x, freq FROM s0)
+        GROUP BY 1, 2"""
+    ORACLES["bpe_best_pair"] = ORACLES["bpe_pair_stats"].replace("GROUP BY 1, 2", "") + "" if False else f"""
+        SELECT * FROM ({ORACLES['bpe_pair_stats']}) WHERE freq >= {mf} ORDER BY freq DESC, l, r LIMIT 1"""
+    ORACLES["bpe_train"] = f"""WITH {train}
+        SELECT rank::INTEGER AS rank, l AS "left", r AS "right", l || r AS merged FROM merges"""
+    vocab = f"""{alpha},
+        base AS (SELECT symbol AS token, (row_number() OVER (ORDER BY symbol))::INTEGER AS id FROM alpha),
+        nb AS (SELECT count(*) AS n FROM base),
+        mt AS (SELECT l || r AS token, min(rank) AS rank FROM merges GROUP BY 1),
+        newt AS (SELECT token, (nb.n + row_number() OVER (ORDER BY rank))::INTEGER AS id FROM mt, nb
+                 WHERE token NOT IN (SELECT token FROM base) AND token <> '<unk>'),
+        vocab AS (SELECT '<unk>' AS token, 0 AS id UNION ALL SELECT * FROM base UNION ALL SELECT * FROM newt)"""
+    ORACLES["bpe_vocab"] = f"WITH {train}, {vocab} SELECT token, id FROM vocab WHERE id < {10_000}"
+    ORACLES["bpe_table_check"] = f"""WITH {train},
+        m AS (SELECT rank, l, r, l || r AS merged FROM merges),
+        prod AS (SELECT merged, count(*) AS n, min(rank) AS first_rank FROM m GROUP BY 1),
+        ops AS (SELECT rank, unnest([l, r]) AS operand FROM m),
+        late AS (SELECT count(*) AS c FROM ops LEFT JOIN prod ON prod.merged = ops.operand
+                 WHERE length(operand) > 1 AND operand <> '</w>' AND (first_rank IS NULL OR first_rank >= ops.rank))
+        SELECT (SELECT count(*) FROM m)::BIGINT AS n_merges,
+               (SELECT count(*) FROM prod WHERE n > 1)::BIGINT AS multi_producer,
+               (SELECT c FROM late)::BIGINT AS unordered_operand,
+               (SELECT count(*) FROM m WHERE merged IN ('</w>', '<unk>'))::BIGINT AS marker_clash,
+               ((SELECT count(*) FROM prod WHERE n > 1) + (SELECT c FROM late)
+                 + (SELECT count(*) FROM m WHERE merged IN ('</w>', '<unk>')) = 0)::INTEGER AS ok"""
+    # encode: one replace per merge in rank order (the model passes the check above)
+    cols = ", ".join(f"'{O}' || m{i}.l || '{C}{O}' || m{i}.r || '{C}' AS pat{i}, '{O}' || m{i}.l || m{i}.r || '{C}' AS rep{i}"
+                     for i in range(1, k + 1))
+    froms = ", ".join(f"m{i}" for i in range(1, k + 1))
+    chain = _bracket_sql("w")
+    for i in range(1, k + 1):
+        chain = f"replace({chain}, pat{i}, rep{i})"
+    strip = "CASE WHEN sy[-1] = '</w>' THEN sy[1:len(sy) - 1] ELSE sy END"
+    enc = f"""{train},
+        mm AS (SELECT {cols} FROM {froms}),
+        enc AS (SELECT conv_id, turn, role, text,
+                       flatten(list_transform({words_sql('lower(text)')},
+                           lambda w: list_transform([{_syms_sql(chain)}], lambda sy: {strip})[1])) AS toks
+                FROM conversations, mm)"""
+    ORACLES["bpe_encode"] = f"""WITH {enc}
+        SELECT conv_id, turn, len(toks)::INTEGER AS n_tokens, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM enc"""
+    ids = f"""{enc}, {vocab},
+        ex AS (SELECT conv_id, turn, role, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM enc),
+        ej AS (SELECT ex.*, coalesce(vocab.id, 0) AS id FROM ex LEFT JOIN vocab USING (token)),
+        per AS (SELECT e.conv_id, e.turn, e.role, list(ej.id ORDER BY ej.pos) FILTER (WHERE ej.id IS NOT NULL) AS ids
+                FROM enc e LEFT JOIN ej ON e.conv_id = ej.conv_id AND e.turn = ej.turn
+                GROUP BY e.conv_id, e.turn, e.role)"""
+    ORACLES["bpe_ids"] = f"""WITH {ids}
+        SELECT conv_id, turn, coalesce(list_sum(ids), 0)::BIGINT AS ids_sum,
+               md5(coalesce(array_to_string(ids, ' '), '')) AS ids_md5 FROM per"""
+    ORACLES["oov_rate"] = f"""WITH {ids}
+        SELECT role, sum(coalesce(len(ids), 0))::BIGINT AS n_tokens,
+               sum(coalesce(len(list_filter(ids, lambda x: x = 0)), 0))::BIGINT AS n_unk,
+               round(CASE WHEN sum(coalesce(len(ids), 0)) > 0
+                     THEN sum(coalesce(len(list_filter(ids, lambda x: x = 0)), 0)) / sum(coalesce(len(ids), 0))
+                     ELSE 0.0 END, 6) AS oov_rate
+        FROM per GROUP BY role"""
+    ORACLES["bpe_apply_counts"] = """SELECT role, count(text)::BIGINT AS tokenized_records FROM conversations GROUP BY role"""
+
+
+_bpe_sqls()

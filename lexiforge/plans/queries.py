@@ -308,3 +308,108 @@ def run_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = h.select(config_hash.alias("config_hash"), F.lit(run_id).alias("run_id"), "dataset_hash")
         runs = r if runs is None else runs.unionByName(r)
     return _round_doubles(ds.reproducibility(runs), ["reproducibility"])
+
+
+# --- learned tokenizer (BPE) ---------------------------------------------------------------
+
+from lexiforge.functions.text import END_OF_WORD, UNK  # noqa: E402
+from lexiforge.operators import bpe  # noqa: E402
+
+BPE_MERGES = 12
+BPE_MIN_FREQ = 2
+BPE_VOCAB_SIZE = 10_000
+_MODELS: dict = {}
+
+
+def bpe_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.training_units(table(spark, sf_dir, "documents"), "text", lowercase=True)
+
+
+def bpe_model(spark: SparkSession, sf_dir: str) -> bpe.BpeModel:
+    """BPE model trained on the lowercased words of ``documents`` (memoised per session;
+    training is deterministic, so the memo never changes a result)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = bpe.train(bpe_units(spark, sf_dir), BPE_VOCAB_SIZE, BPE_MIN_FREQ, max_merges=BPE_MERGES)
+    return _MODELS[key]
+
+
+@register("bpe_word_counts")
+def bpe_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_units(spark, sf_dir).select(F.col("unit").alias("word"), "freq")
+
+
+@register("bpe_alphabet")
+def bpe_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    a = bpe.alphabet(bpe_units(spark, sf_dir))
+    ids = a.withColumn("id", F.row_number().over(Window.orderBy("symbol")).cast("int"))
+    unk = spark.createDataFrame([(UNK, 0)], "symbol string, id int")
+    return unk.unionByName(ids)
+
+
+@register("bpe_pair_stats")
+def bpe_pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.pair_stats(bpe.sequences(bpe_units(spark, sf_dir)))
+
+
+@register("bpe_best_pair")
+def bpe_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.best_pair(bpe.pair_stats(bpe.sequences(bpe_units(spark, sf_dir))), BPE_MIN_FREQ)
+
+
+@register("bpe_train")
+def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_model(spark, sf_dir).merges_frame(spark)
+
+
+@register("bpe_vocab")
+def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_model(spark, sf_dir).vocab_frame(spark)
+
+
+@register("bpe_table_check")
+def bpe_table_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.table_check(bpe_model(spark, sf_dir).merges_frame(spark))
+
+
+def _encoded_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = bpe_model(spark, sf_dir)
+    safe = bpe.table_check(model.merges_frame(spark)).first()["ok"] == 1
+    conv = table(spark, sf_dir, "conversations")
+    return bpe.apply_tokenizer(conv, ["text"], model, add_ids=True, safe=safe)
+
+
+@register("bpe_encode")
+def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = _encoded_conversations(spark, sf_dir)
+    return enc.select("conv_id", "turn", F.size("text_tokens").alias("n_tokens"),
+                      F.md5(F.array_join("text_tokens", " ")).alias("tokens_md5"))
+
+
+@register("bpe_ids")
+def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = _encoded_conversations(spark, sf_dir)
+    ids = F.col("text_ids")
+    return enc.select("conv_id", "turn",
+                      F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"),
+                      F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")).alias("ids_md5"))
+
+
+@register("oov_rate")
+def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of tokens mapped to <unk>, per conversation role."""
+    unk = bpe_model(spark, sf_dir).unk_id
+    enc = _encoded_conversations(spark, sf_dir)
+    per = enc.select("role", F.size("text_ids").alias("n"),
+                     F.size(F.filter("text_ids", lambda x: x == F.lit(unk))).alias("u"))
+    out = per.groupBy("role").agg(F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unk"))
+    return out.withColumn("oov_rate", F.round(F.when(F.col("n_tokens") > 0, F.col("n_unk") / F.col("n_tokens"))
+                                              .otherwise(F.lit(0.0)), 6))
+
+
+@register("bpe_apply_counts")
+def bpe_apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = _encoded_conversations(spark, sf_dir)
+    return enc.groupBy("role").agg(F.sum(F.col("text_tokens").isNotNull().cast("long")).alias("tokenized_records"))
