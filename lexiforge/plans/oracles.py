@@ -493,3 +493,81 @@ def _bpe_sqls():
 
 
 _bpe_sqls()
+
+
+# --- lexicons, embeddings, registry --------------------------------------------------------
+
+def _lexicon_ctes() -> str:
+    from lexiforge.plans.queries import LEXICON_SEED, LEXICON_TOP_N
+
+    return f"""
+c AS (SELECT source, w AS word, count(*)::BIGINT AS n
+      FROM (SELECT source, unnest({words_sql('lower(text)')}) AS w FROM documents) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS rank FROM c),
+top AS (SELECT * FROM r WHERE rank <= {LEXICON_TOP_N}),
+sh AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', '{LEXICON_SEED}', source, rank)), rank) - 1)::BIGINT
+              AS pos FROM top)"""
+
+
+ORACLES["domain_lexicon"] = f"WITH {_lexicon_ctes()} SELECT source, rank::BIGINT AS rank, word, n FROM top"
+ORACLES["lexicon_shuffle"] = f"WITH {_lexicon_ctes()} SELECT source, pos, word AS token FROM sh"
+ORACLES["lexicon_summary"] = f"""WITH {_lexicon_ctes()}
+SELECT source, count(*)::BIGINT AS entries,
+       sha256('[' || string_agg(to_json({{'count': n, 'token': word, 'value': word}})::VARCHAR, ',' ORDER BY pos) || ']')
+         AS lexicon_hash
+FROM sh GROUP BY source"""
+
+
+def _emb_ctes() -> str:
+    from lexiforge.plans.queries import EMB_DIM, EMB_SEED
+
+    return f"""
+toks AS (SELECT DISTINCT c AS token FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM benchmark) WHERE c <> ''),
+vals AS (SELECT token, d, ((2.0 * {u_sql(str(EMB_SEED), 'token', 'd')}) - 1.0)::FLOAT AS v
+         FROM toks, range({EMB_DIM}) t(d)),
+emb AS (SELECT token, list(v ORDER BY d) AS vs,
+               string_agg(floor(v::DOUBLE * 1e9)::BIGINT::VARCHAR, ',' ORDER BY d) AS vline FROM vals GROUP BY token)"""
+
+
+ORACLES["fixed_embeddings"] = f"""WITH {_emb_ctes()}
+SELECT token, len(vs)::INTEGER AS dim, round(vs[1]::DOUBLE, 6) AS v0, md5(vline) AS values_md5 FROM emb"""
+ORACLES["embedding_summary"] = f"""WITH {_emb_ctes()}
+SELECT count(*)::BIGINT AS tokens, min(len(vs))::INTEGER AS min_dim, max(len(vs))::INTEGER AS max_dim,
+       sha256(string_agg(token || chr(9) || vline, chr(10) ORDER BY token)) AS embeddings_hash FROM emb"""
+ORACLES["mean_embeddings"] = f"""WITH {_emb_ctes()},
+ex AS (SELECT item_id, unnest(list_filter(string_split(lower(text), ''), lambda c: c <> '')) AS token FROM benchmark),
+j AS (SELECT ex.item_id, vals.d, vals.v FROM ex JOIN vals USING (token)),
+per AS (SELECT item_id, d, avg(v::DOUBLE) AS m, count(*) AS n FROM j GROUP BY 1, 2)
+SELECT item_id, max(n)::BIGINT AS n_tokens, round(max(CASE WHEN d = 0 THEN m END), 6) AS mean0,
+       round(sum(m), 6) AS mean_sum FROM per GROUP BY item_id"""
+
+
+def _registry_sql() -> str:
+    from lexiforge.plans.queries import REG_CREATED_NEW, REG_CREATED_OLD
+
+    return f"""
+WITH tox AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+t AS (SELECT d.doc_id, CASE WHEN x.doc_id IS NOT NULL THEN '' ELSE d.text END AS text, d.lang, d.n_chars, d.source
+      FROM documents d LEFT JOIN tox x USING (doc_id)),
+l1 AS (SELECT source AS split, doc_id, {DOC_JSON} AS line FROM documents),
+l2 AS (SELECT source AS split, doc_id, {DOC_JSON} AS line FROM t),
+l3 AS (SELECT lang AS split, doc_id, {DOC_JSON} AS line FROM documents),
+h1 AS {tree_hash_sql('l1', ['split'], 'doc_id', 'line', 'h')},
+h2 AS {tree_hash_sql('l2', ['split'], 'doc_id', 'line', 'h')},
+h3 AS {tree_hash_sql('l3', ['split'], 'doc_id', 'line', 'h')},
+existing AS (SELECT (row_number() OVER (ORDER BY split) - 1)::BIGINT AS pos, 'datasets/' || split AS path,
+                    split AS name, h AS manifest_hash, '{REG_CREATED_OLD}' AS created_utc FROM h1),
+inc0 AS (SELECT 'datasets/' || split AS path, split AS name, h, 0 AS grp FROM h2
+         UNION ALL SELECT 'datasets/lang=' || split, 'lang=' || split, h, 1 FROM h3),
+inc AS (SELECT row_number() OVER (ORDER BY grp, path) AS seq, * FROM inc0),
+kept AS (SELECT e.pos, e.path, coalesce(i.name, e.name) AS name, coalesce(i.h, e.manifest_hash) AS manifest_hash,
+                CASE WHEN i.h IS NOT NULL THEN '{REG_CREATED_NEW}' ELSE e.created_utc END AS created_utc
+         FROM existing e LEFT JOIN inc i USING (path)),
+new AS (SELECT (SELECT coalesce(max(pos), -1) FROM existing) + row_number() OVER (ORDER BY seq) AS pos,
+               path, name, h AS manifest_hash, '{REG_CREATED_NEW}' AS created_utc
+        FROM inc WHERE path NOT IN (SELECT path FROM existing))
+SELECT * FROM kept UNION ALL SELECT pos::BIGINT, path, name, manifest_hash, created_utc FROM new
+"""
+
+
+ORACLES["registry_upsert"] = _registry_sql()

@@ -413,3 +413,106 @@ def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = _encoded_conversations(spark, sf_dir)
     return enc.groupBy("role").agg(F.sum(F.col("text_tokens").isNotNull().cast("long")).alias("tokenized_records"))
+
+
+# --- lexicons ------------------------------------------------------------------------------
+
+from lexiforge.operators import lexicon as lex  # noqa: E402
+
+LEXICON_TOP_N = 25
+LEXICON_SEED = 11
+
+
+@register("domain_lexicon")
+def domain_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = lex.domain_vocabulary(table(spark, sf_dir, "documents"), "source", "text", LEXICON_TOP_N)
+    return v.select(F.col("domain").alias("source"), F.col("rank").cast("long").alias("rank"), "word", "n")
+
+
+def _lexicon_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = lex.domain_vocabulary(table(spark, sf_dir, "documents"), "source", "text", LEXICON_TOP_N)
+    entries = lex.normalise_entries(v.select("domain", F.col("word").alias("value"), F.col("n").alias("count"), "rank"))
+    return lex.shuffle_positions(entries, "domain", "rank", LEXICON_SEED)
+
+
+@register("lexicon_shuffle")
+def lexicon_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _lexicon_entries(spark, sf_dir)
+    return e.select(F.col("domain").alias("source"), "pos", "token")
+
+
+@register("lexicon_summary")
+def lexicon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _lexicon_entries(spark, sf_dir)
+    return lex.lexicon_summary(e, "domain", ["count", "token", "value"]).withColumnRenamed("domain", "source")
+
+
+# --- embeddings ----------------------------------------------------------------------------
+
+from lexiforge.operators import embed  # noqa: E402
+from lexiforge.functions.text import chars as _chars  # noqa: E402
+
+EMB_DIM = 16
+EMB_SEED = 5
+
+
+def _char_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = tokenize.vocab(table(spark, sf_dir, "benchmark"), "text", "char", lowercase=True).select("token")
+    return embed.fixed_embeddings(toks, EMB_DIM, EMB_SEED)
+
+
+@register("fixed_embeddings")
+def fixed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _char_embeddings(spark, sf_dir)
+    return e.select("token", F.size("values").alias("dim"),
+                    F.round(F.element_at("values", 1).cast("double"), 6).alias("v0"),
+                    F.md5(embed.value_line(F.col("values"))).alias("values_md5"))
+
+
+@register("embedding_summary")
+def embedding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.embedding_summary(_char_embeddings(spark, sf_dir))
+
+
+@register("mean_embeddings")
+def mean_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = table(spark, sf_dir, "benchmark").select("item_id", _chars(F.col("text"), lowercase=True).alias("toks"))
+    m = embed.mean_embeddings(bench, ["item_id"], "toks", _char_embeddings(spark, sf_dir), EMB_DIM)
+    return m.select("item_id", "n_tokens", F.round(F.element_at("mean", 1), 6).alias("mean0"),
+                    F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"))
+
+
+# --- registry ------------------------------------------------------------------------------
+
+from lexiforge.operators import registry as reg  # noqa: E402
+
+# Creation stamps of the registry example (existing rows, incoming batch).
+REG_CREATED_OLD = "2026-01-01T00:00:00+00:00"
+REG_CREATED_NEW = "2026-12-01T00:00:00+00:00"
+
+
+@register("registry_upsert")
+def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry of per-source datasets, upserted with the redacted copy's hashes and with
+    new per-language datasets (their names derived from the path)."""
+    from pyspark.sql import Window
+
+    old = ds.split_hashes(_doc_lines(table(spark, sf_dir, "documents")), "doc_id")
+    existing = old.select(
+        (F.row_number().over(Window.orderBy("split")) - 1).cast("long").alias("pos"),
+        F.concat(F.lit("datasets/"), "split").alias("path"), F.col("split").alias("name"),
+        F.col("split_hash").alias("manifest_hash"), F.lit(REG_CREATED_OLD).alias("created_utc"))
+    red = ds.split_hashes(_doc_lines(_tampered_documents(spark, sf_dir)), "doc_id")
+    by_lang = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("split"),
+                                                       canonical_line(table(spark, sf_dir, "documents"),
+                                                                      list(DOC_COLUMNS)).alias("line"))
+    langs = ds.split_hashes(by_lang, "doc_id")
+    incoming = (red.select(F.concat(F.lit("datasets/"), "split").alias("path"), F.col("split").alias("mname"),
+                           "split_hash", F.lit(0).alias("grp"))
+                .unionByName(langs.select(F.concat(F.lit("datasets/lang="), "split").alias("path"),
+                                          F.lit(None).cast("string").alias("mname"), "split_hash", F.lit(1).alias("grp"))))
+    incoming = incoming.select(
+        F.row_number().over(Window.orderBy("grp", "path")).alias("seq"), "path",
+        reg.entry_name(F.col("mname"), F.col("path")).alias("name"),
+        F.col("split_hash").alias("manifest_hash"), F.lit(REG_CREATED_NEW).alias("created_utc"))
+    return reg.upsert(existing, incoming)
