@@ -571,3 +571,6 @@ SELECT * FROM kept UNION ALL SELECT pos::BIGINT, path, name, manifest_hash, crea
 
 
 ORACLES["registry_upsert"] = _registry_sql()
+
+ORACLES["stream_stats"] = ORACLES["length_stats_by_lang"]
+ORACLES["stream_tokenize"] = ORACLES["char_tokenize"]

@@ -516,3 +516,19 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         reg.entry_name(F.col("mname"), F.col("path")).alias("name"),
         F.col("split_hash").alias("manifest_hash"), F.lit(REG_CREATED_NEW).alias("created_utc"))
     return reg.upsert(existing, incoming)
+
+
+# --- streaming -----------------------------------------------------------------------------
+
+from lexiforge.streaming import stream  # noqa: E402
+
+
+@register("stream_stats")
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stream.stream_stats(spark, f"{sf_dir.rstrip('/')}/documents.parquet", "lang", "text")
+    return _round_doubles(out, stats.STAT_COLUMNS)
+
+
+@register("stream_tokenize")
+def stream_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.stream_char_tokens(spark, f"{sf_dir.rstrip('/')}/conversations.parquet", ["conv_id", "turn"], "text")
