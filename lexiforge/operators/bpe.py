@@ -183,16 +183,20 @@ def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, max_merges:
     """
     if vocab_size <= 0 or min_frequency <= 0:
         raise ValueError("vocab_size and min_frequency must be positive")
-    check_units(units)
     spark = units.sparkSession
-    base = sorted(r["symbol"] for r in alphabet(units).collect())
+    seqs = sequences(units).persist(StorageLevel.MEMORY_AND_DISK)
+    # one pass materialises the unit table and yields the alphabet (distinct symbols)
+    base = sorted(r["s"] for r in seqs.select(F.explode(F.array_distinct(symbols(F.col("seq")))).alias("s"))
+                  .distinct().collect())
+    if any(SYM_OPEN in b or SYM_CLOSE in b for b in base):
+        seqs.unpersist()
+        raise ValueError("training text contains the private-use symbol delimiters U+E000/U+E001")
     tokens = [UNK]
     seen = {UNK}
     for s in base:
         if s not in seen:
             tokens.append(s)
             seen.add(s)
-    seqs = sequences(units).persist(StorageLevel.MEMORY_AND_DISK)
     counts = {(r["l"], r["r"]): r["freq"] for r in pair_stats(seqs).collect()}
     merges: list[tuple[str, str]] = []
     rounds = 0

@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions.draws import uniform
@@ -40,9 +40,10 @@ class Grammar:
     entity_order: Sequence[str]
     label_rules: Sequence[tuple[str, str]] = field(default=LABEL_RULES)
 
-    @property
-    def weighted_templates(self) -> bool:
-        return self.templates.where(F.col("weight").isNotNull()).limit(1).count() > 0
+    def template_counts(self) -> tuple[int, int]:
+        """(templates, weighted templates) in one small job."""
+        r = self.templates.agg(F.count(F.lit(1)).alias("n"), F.count("weight").alias("w")).first()
+        return r["n"], r["w"]
 
 
 def entity_pools(grammar: Grammar) -> DataFrame:
@@ -72,17 +73,25 @@ def sample_space(spark: SparkSession, splits: Sequence[tuple[str, int]], rows_pe
 
 
 def weighted_choice(samples: DataFrame, u_col: str, choices: DataFrame, order_col: str, weight_col: str,
-                    group_cols: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+                    group_cols: Sequence[str] = (), buckets: int | None = None,
+                    bounded: bool = False) -> DataFrame:
     """Join each sample to the choice k whose cumulative-weight interval [lo, hi) holds
     u * total (the bisect rule of ``random.choices``), within its group.
 
     A range join expressed as an equi-join on a bucket of [0, 1): each choice is
     replicated over the buckets its interval touches, each sample falls in one bucket.
     The bucketed choice table is broadcast only when its row count is within
-    BROADCAST_ROWS; otherwise it is a shuffle join on (group, bucket).
+    BROADCAST_ROWS; otherwise it is a shuffle join on (group, bucket).  ``bounded`` says
+    the choice table is known to be small (checked by the caller), so the cumulative
+    weights come from one plain window instead of the distributed prefix sum.
     """
     g = list(group_cols)
-    cum = prefix_sum(choices.where(F.col(weight_col) > 0), [order_col], g, weight_col, "_lo")
+    positive = choices.where(F.col(weight_col) > 0)
+    if bounded:
+        w = Window.partitionBy(*g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+        cum = positive.withColumn("_lo", F.coalesce(F.sum(weight_col).over(w), F.lit(0.0)))
+    else:
+        cum = prefix_sum(positive, [order_col], g, weight_col, "_lo")
     cum = cum.withColumn("_hi", F.col("_lo") + F.col(weight_col))
     totals = cum.groupBy(*g).agg(F.sum(weight_col).alias("_total"), F.count(F.lit(1)).alias("_k"))
     n_choices = totals.agg(F.max("_k")).first()[0] or 0
@@ -109,18 +118,19 @@ def weighted_choice(samples: DataFrame, u_col: str, choices: DataFrame, order_co
 
 
 def choose_templates(samples: DataFrame, grammar: Grammar, seed: int) -> DataFrame:
-    n_templates = grammar.templates.count()
+    n_templates, n_weighted = grammar.template_counts()
     if n_templates == 0:
         raise ValueError("grammar has no templates")
     if n_templates > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     s = samples.withColumn("_u_t", uniform(seed, F.col("split"), F.col("sample_index"), "template"))
     t = grammar.templates.select("template_index", "template", "weight")
-    if grammar.weighted_templates:
+    if n_weighted:
         out = weighted_choice(s, "_u_t", t.select("template_index", "template", F.col("weight").cast("double")),
-                              "template_index", "weight")
+                              "template_index", "weight", bounded=True)
         return out.drop("_u_t", "weight")
-    idx = dense_index(t.select("template_index", "template"), ["template_index"], [], "_tpos")
+    idx = t.select("template_index", "template",
+                   (F.row_number().over(Window.orderBy("template_index")) - 1).cast("long").alias("_tpos"))
     s = s.withColumn("_tpos", F.floor(F.col("_u_t") * F.lit(n_templates)).cast("long"))
     return s.join(F.broadcast(idx), "_tpos").drop("_tpos", "_u_t")
 

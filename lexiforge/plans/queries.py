@@ -258,8 +258,11 @@ def _generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split of the generated dataset: row count, split hash, statistics, and the
     dataset hash over train, valid, test (the manifest body, one row per split)."""
+    from pyspark import StorageLevel
+
     recs = _generated_records(spark, sf_dir)
-    recs = ds.with_canonical_line(recs, ds.RECORD_COLUMNS)
+    # records feed three aggregations (hashes, statistics, counts): generate them once
+    recs = ds.with_canonical_line(recs, ds.RECORD_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
     hashes = ds.split_hashes(recs, "ord")
     st = corpus_stats(recs, splits=stats.SPLITS)
     dh = ds.dataset_hash(hashes)
