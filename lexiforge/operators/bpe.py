@@ -18,6 +18,7 @@ import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,6 @@ def preprocess(text, lowercase: bool = True, normalize: str | None = None) -> Co
 def normalize_udf(form: str):
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"unknown normalisation {form}")
-    import pandas as pd
 
     @F.pandas_udf(T.StringType())
     def _norm(s: pd.Series) -> pd.Series:
@@ -277,8 +277,6 @@ def _encode_inline(text: Column, model: BpeModel) -> Column:
 def _encode_loop_udf(model: BpeModel):
     """General encoder: repeatedly merge the lowest-rank pair present (Arrow batches,
     per-batch word memo).  Used when the merge table fails ``table_check`` or is long."""
-    import pandas as pd
-
     ranks = {p: i for i, p in enumerate(model.merges)}
 
     def encode_word(word: str) -> list[str]:
