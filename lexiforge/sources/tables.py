@@ -6,9 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+# Tables whose rows carry long text and drive per-row CPU work (splitting, tokenizing).
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
+def spread_thin(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer scan partitions than the cluster has cores.
+
+    A large input already arrives in many splits and is returned untouched; only a thin
+    input (e.g. one Parquet row group) is redistributed, so the per-row text work is not
+    serialised into one task.  Projections and filters are still pushed below it.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_thin(df) if name in TEXT_TABLES else df
