@@ -195,15 +195,18 @@ def grammar_hash(grammar: Grammar, pools: DataFrame | None = None) -> DataFrame:
 
 def generate(spark: SparkSession, grammar: Grammar, splits: Sequence[tuple[str, int]], seed: int,
              tasks: Sequence[str] = TASKS, noise: NoiseConfig = NoiseConfig(),
-             synonyms: DataFrame | None = None) -> DataFrame:
+             synonyms: DataFrame | None = None, pools: DataFrame | None = None,
+             rev: str | None = None) -> DataFrame:
     """Records with the union schema: id, task, split, sample_index, ord, text, src, tgt,
     label, meta{grammar_rev, seed, split, template_index}.  ``ord`` orders records within a
-    split (index-major, then task list order) and drives the split hash."""
+    split (index-major, then task list order) and drives the split hash.  ``pools`` and
+    ``rev`` may be passed in when already computed for this grammar (see entity_pools,
+    grammar_hash)."""
     for t in tasks:
         if t not in TASKS:
             raise ValueError(f"Unsupported task '{t}'")
-    pools = entity_pools(grammar)
-    rev = grammar_hash(grammar, pools).first()["grammar_rev"]
+    pools = pools if pools is not None else entity_pools(grammar)
+    rev = rev if rev is not None else grammar_hash(grammar, pools).first()["grammar_rev"]
     samples = sample_space(spark, splits)
     chosen = choose_entities(choose_templates(samples, grammar, seed), grammar, pools, seed)
     filled = fill_templates(chosen, grammar)
