@@ -90,6 +90,21 @@ def adjacent_pairs(syms) -> Column:
     return let(col_(syms), pairs)
 
 
+_PAIR_RE = SYM_OPEN + "([^" + SYM_CLOSE + "]*)" + SYM_CLOSE + "(?=" + SYM_OPEN + "([^" + SYM_CLOSE + "]*)" + SYM_CLOSE + ")"
+
+
+def seq_pairs(seq) -> Column:
+    """Overlapping adjacent symbol pairs ``struct(l, r)`` of a bracketed string.
+
+    A regex whose right symbol sits in a lookahead yields every left symbol and its right
+    neighbour in one pass; the two arrays are zipped.  No lambda is involved, so the
+    expression stays in generated code.
+    """
+    s = col_(seq)
+    return F.arrays_zip(F.regexp_extract_all(s, F.lit(_PAIR_RE), 1).alias("l"),
+                        F.regexp_extract_all(s, F.lit(_PAIR_RE), 2).alias("r"))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and bind it for ``body`` (a one-element ``transform``)."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -9,7 +9,9 @@ the executors; the driver keeps only control state bounded by the vocabulary: th
 merges and the pair-count map.  Each round speculates the K most frequent pairs, one
 narrow pass over the units containing any of them applies the K merges in order and
 emits pair-count deltas tagged by step, and the driver commits the longest prefix whose
-every step is what a sequential trainer would choose (step 1 always is).
+every step is what a sequential trainer would choose (step 1 always is).  Committed
+merges are applied lazily as a ``replace`` chain over the cached table and folded into a
+new cached table every few merges (reliably checkpointed every few foldings).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.functions.text import END_OF_WORD, SYM_CLOSE, SYM_OPEN, UNK, adjacent_pairs, bracket, chars, col_, \
-    let, sym, symbols, words
+    let, seq_pairs, sym, symbols, words
 from lexiforge.session import cut_lineage
 
 MAX_INLINE_MERGES = 64
@@ -87,7 +89,7 @@ def alphabet(units: DataFrame) -> DataFrame:
 
 def pair_stats(seqs: DataFrame) -> DataFrame:
     """(l, r, freq): overlapping adjacent pairs weighted by unit frequency."""
-    p = seqs.select(F.explode(adjacent_pairs(symbols(F.col("seq")))).alias("p"), "freq")
+    p = seqs.select(F.explode(seq_pairs(F.col("seq"))).alias("p"), "freq")
     return p.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("freq"))
 
 
@@ -171,8 +173,8 @@ def _round_deltas(seqs: DataFrame, cands: list[tuple[str, str]]) -> dict[int, di
 
 
 def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, max_merges: int | None = None,
-          speculate: int = 8, checkpoint_every: int = 8, lowercase: bool = True, normalize: str | None = None,
-          name: str = "bpe", unit: str = "word") -> BpeModel:
+          speculate: int = 2, materialize_every: int = 8, checkpoint_every: int = 4, lowercase: bool = True,
+          normalize: str | None = None, name: str = "bpe", unit: str = "word") -> BpeModel:
     """Exact BPE training over a (unit, freq) table.
 
     Same result as the sequential trainer: at every step the most frequent pair (ties:
@@ -200,6 +202,13 @@ def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, max_merges:
     counts = {(r["l"], r["r"]): r["freq"] for r in pair_stats(seqs).collect()}
     merges: list[tuple[str, str]] = []
     rounds = 0
+    # committed merges not yet folded into the cached unit table are applied on the fly
+    pending: list[tuple[str, str]] = []
+    materialized = 0
+
+    def current() -> DataFrame:
+        return seqs.select(merge_expr(F.col("seq"), pending).alias("seq"), "freq") if pending else seqs
+
     limit = max_merges if max_merges is not None else float("inf")
     while len(tokens) < vocab_size and len(merges) < limit:
         room = speculate if max_merges is None else max(1, min(speculate, max_merges - len(merges)))
@@ -207,7 +216,7 @@ def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, max_merges:
         if not cands:
             break
         cands = [p for _, p in cands]
-        deltas = _round_deltas(seqs, cands)
+        deltas = _round_deltas(current(), cands)
         committed: list[tuple[str, str]] = []
         for k, pair in enumerate(cands, start=1):
             if len(tokens) >= vocab_size or len(merges) >= limit:
@@ -227,14 +236,17 @@ def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, max_merges:
                 tokens.append(merged)
                 seen.add(merged)
         rounds += 1
-        new = seqs.select(merge_expr(F.col("seq"), committed).alias("seq"), "freq")
-        if rounds % checkpoint_every == 0:
-            new = cut_lineage(new)
-        else:
-            new = new.persist(StorageLevel.MEMORY_AND_DISK)
-            new.count()  # materialise before the previous state is released
-        seqs.unpersist()
-        seqs = new
+        pending.extend(committed)
+        if len(pending) >= materialize_every:
+            materialized += 1
+            new = current()
+            if materialized % checkpoint_every == 0:
+                new = cut_lineage(new)
+            else:
+                new = new.persist(StorageLevel.MEMORY_AND_DISK)
+                new.count()  # materialise before the previous state is released
+            seqs.unpersist()
+            seqs, pending = new, []
     seqs.unpersist()
     if len(tokens) > vocab_size:
         tokens = tokens[:vocab_size]
