@@ -389,3 +389,24 @@ def tokenized_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     for p in present[1:]:
         total = total + p
     return df.agg(F.sum(total).alias("tokenized_records"))
+
+
+def tokenizer_hash(model: BpeModel, spark: SparkSession) -> DataFrame:
+    """One row ``tokenizer_hash``: SHA-256 over the canonical merge lines (by rank) followed
+    by the canonical vocabulary lines (by token).  The model is vocabulary-sized, so each
+    part is one bounded group."""
+    from lexiforge.functions.hashing import ordered_join
+
+    m = model.merges_frame(spark).select("rank", F.to_json(F.struct("left", "rank", "right")).alias("line"))
+    v = model.vocab_frame(spark).select("token", F.to_json(F.struct("id", "token")).alias("line"))
+    mj = m.agg(ordered_join("rank", "line").alias("m"))
+    vj = v.agg(ordered_join("token", "line").alias("v"))
+    return mj.crossJoin(vj).select(F.sha2(F.concat_ws("\n", "m", "v"), 256).alias("tokenizer_hash"))
+
+
+def training_corpus(df: DataFrame, text_col: str, order_col: str, limit: int | None = None) -> DataFrame:
+    """Training texts: rows whose text field is a non-null string, and with ``limit`` only
+    the first ``limit`` accepted rows in ``order_col`` order (rows without text do not count
+    against the limit).  The limit is a top-k over an explicit key, so it is deterministic."""
+    rows = df.where(F.col(text_col).isNotNull()).select(order_col, text_col)
+    return rows.orderBy(order_col).limit(limit) if limit is not None else rows

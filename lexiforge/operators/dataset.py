@@ -126,3 +126,25 @@ def reproducibility(runs: DataFrame) -> DataFrame:
     return per.groupBy("config_hash").agg(
         F.sum("_n").alias("runs"), F.count(F.lit(1)).alias("distinct_hashes"),
         (F.max("_n") / F.sum("_n")).alias("reproducibility"))
+
+
+def manifest_violations(manifests: DataFrame) -> DataFrame:
+    """Structure rules over a table of manifests, one row per rule with its count:
+    split_hashes missing or not a JSON object, no splits declared, dataset hash missing,
+    tokenizer_hash present but empty."""
+    parsed = F.from_json(F.col("split_hashes"), "map<string,string>")
+    checks = [
+        ("split_hashes_missing", F.col("split_hashes").isNull()),
+        ("split_hashes_not_mapping", F.col("split_hashes").isNotNull() & parsed.isNull()),
+        ("no_splits_declared", parsed.isNotNull() & (F.size(parsed) == 0)),
+        ("dataset_hash_missing", F.col("dataset_hash").isNull()),
+    ]
+    if "tokenizer_hash" in manifests.columns:
+        checks.append(("tokenizer_hash_empty", F.col("tokenizer_hash") == ""))
+    else:
+        checks.append(("tokenizer_hash_empty", F.lit(False)))
+    sums = manifests.agg(*[F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(f"r{i}")
+                           for i, (_, c) in enumerate(checks)])
+    pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(F.col(f"r{i}"), F.lit(0)).alias("violations"))
+                      for i, (n, _) in enumerate(checks)])
+    return sums.select(F.explode(pairs).alias("r")).select("r.rule", "r.violations")

@@ -196,12 +196,13 @@ def grammar_hash(grammar: Grammar, pools: DataFrame | None = None) -> DataFrame:
 def generate(spark: SparkSession, grammar: Grammar, splits: Sequence[tuple[str, int]], seed: int,
              tasks: Sequence[str] = TASKS, noise: NoiseConfig = NoiseConfig(),
              synonyms: DataFrame | None = None, pools: DataFrame | None = None,
-             rev: str | None = None) -> DataFrame:
+             rev: str | None = None, extra_meta: dict[str, str] | None = None) -> DataFrame:
     """Records with the union schema: id, task, split, sample_index, ord, text, src, tgt,
     label, meta{grammar_rev, seed, split, template_index}.  ``ord`` orders records within a
     split (index-major, then task list order) and drives the split hash.  ``pools`` and
     ``rev`` may be passed in when already computed for this grammar (see entity_pools,
-    grammar_hash)."""
+    grammar_hash).  ``extra_meta`` adds provenance fields to ``meta`` (e.g. the hashes of
+    the tokenizer, lexicon or embedding table used), so they enter every record's hash."""
     for t in tasks:
         if t not in TASKS:
             raise ValueError(f"Unsupported task '{t}'")
@@ -232,7 +233,8 @@ def generate(spark: SparkSession, grammar: Grammar, splits: Sequence[tuple[str,
         F.when(task == "seq2seq", target).alias("tgt"),
         F.when(task == "cls", label).alias("label"),
         F.struct(F.lit(rev).alias("grammar_rev"), F.lit(seed).cast("long").alias("seed"),
-                 F.col("split").alias("split"), F.col("template_index").cast("int").alias("template_index")
+                 F.col("split").alias("split"), F.col("template_index").cast("int").alias("template_index"),
+                 *[F.lit(v).cast("string").alias(k) for k, v in sorted((extra_meta or {}).items())]
                  ).alias("meta"),
     )
 

@@ -38,3 +38,26 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
            .withColumn("pos", F.col("_base") + F.row_number().over(Window.orderBy("_first_seq")))
            .select("pos", "path", "name", "manifest_hash", "created_utc"))
     return kept.unionByName(new)
+
+
+def load(spark: SparkSession, base: str) -> DataFrame:
+    """Latest version of a registry stored under ``base`` (versions are ``v=<n>``
+    partitions); a missing store is an empty registry."""
+    try:
+        stored = spark.read.parquet(base)
+    except Exception:  # noqa: BLE001 - absent path
+        return empty(spark)
+    latest = stored.agg(F.max("v").alias("v"))
+    return stored.join(F.broadcast(latest), "v").drop("v").select(*[c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+
+def save(df: DataFrame, base: str) -> int:
+    """Append ``df`` as a new version; readers of the previous version are unaffected."""
+    spark = df.sparkSession
+    try:
+        last = spark.read.parquet(base).agg(F.max("v")).first()[0]
+    except Exception:  # noqa: BLE001 - absent path
+        last = None
+    version = 0 if last is None else int(last) + 1
+    df.withColumn("v", F.lit(version)).write.mode("append").partitionBy("v").parquet(base)
+    return version

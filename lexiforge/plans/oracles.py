@@ -574,3 +574,43 @@ ORACLES["registry_upsert"] = _registry_sql()
 
 ORACLES["stream_stats"] = ORACLES["length_stats_by_lang"]
 ORACLES["stream_tokenize"] = ORACLES["char_tokenize"]
+
+
+def _more_bpe_sqls():
+    from lexiforge.plans.queries import BPE_MERGES, BPE_MIN_FREQ
+
+    train = _bpe_train_ctes(BPE_MERGES, BPE_MIN_FREQ)
+    alpha = f"""alpha AS (SELECT DISTINCT c AS symbol FROM (SELECT unnest(string_split(unit, '')) AS c FROM units)
+                WHERE c <> '' UNION SELECT '</w>')"""
+    vocab = f"""{alpha},
+        base AS (SELECT symbol AS token, (row_number() OVER (ORDER BY symbol))::INTEGER AS id FROM alpha),
+        nb AS (SELECT count(*) AS n FROM base),
+        mt AS (SELECT l || r AS token, min(rank) AS rank FROM merges GROUP BY 1),
+        newt AS (SELECT token, (nb.n + row_number() OVER (ORDER BY rank))::INTEGER AS id FROM mt, nb
+                 WHERE token NOT IN (SELECT token FROM base) AND token <> '<unk>'),
+        vocab AS (SELECT '<unk>' AS token, 0 AS id UNION ALL SELECT * FROM base UNION ALL SELECT * FROM newt)"""
+    tok = f"""th AS (SELECT sha256(
+            (SELECT string_agg(to_json({{'left': l, 'rank': rank::INTEGER, 'right': r}})::VARCHAR, chr(10) ORDER BY rank)
+             FROM merges) || chr(10) ||
+            (SELECT string_agg(to_json({{'id': id, 'token': token}})::VARCHAR, chr(10) ORDER BY token) FROM vocab))
+            AS tokenizer_hash)"""
+    ORACLES["bpe_tokenizer_hash"] = f"WITH {train}, {vocab}, {tok} SELECT tokenizer_hash FROM th"
+    ORACLES["manifest_violations"] = f"""WITH {train}, {vocab}, {tok},
+        l AS (SELECT source || chr(0) || lang AS g, source, lang, doc_id, {DOC_JSON} AS line FROM documents),
+        h AS {tree_hash_sql('l', ['g'], 'doc_id', 'line', 'split_hash')},
+        hs AS (SELECT split_part(g, chr(0), 1) AS source, split_part(g, chr(0), 2) AS lang, split_hash FROM h),
+        lab AS (SELECT DISTINCT doc_id FROM labels),
+        al AS (SELECT d.source, min(CASE WHEN lab.doc_id IS NULL THEN 0 ELSE 1 END) AS all_labelled
+               FROM documents d LEFT JOIN lab USING (doc_id) GROUP BY d.source),
+        m AS (SELECT hs.source, count(*) AS n_splits,
+                     CASE WHEN max(al.all_labelled) = 1 THEN (SELECT tokenizer_hash FROM th) ELSE '' END AS tokenizer_hash
+              FROM hs JOIN al USING (source) GROUP BY hs.source)
+        SELECT 'split_hashes_missing' AS rule, 0::BIGINT AS violations
+        UNION ALL SELECT 'split_hashes_not_mapping', 0::BIGINT
+        UNION ALL SELECT 'no_splits_declared', (SELECT count(*) FROM m WHERE n_splits = 0)::BIGINT
+        UNION ALL SELECT 'dataset_hash_missing', 0::BIGINT
+        UNION ALL SELECT 'tokenizer_hash_empty', (SELECT count(*) FROM m WHERE tokenizer_hash = '')::BIGINT"""
+    ORACLES["stream_bpe_encode"] = ORACLES["bpe_encode"]
+
+
+_more_bpe_sqls()

@@ -550,3 +550,40 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_tokenize")
 def stream_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.stream_char_tokens(spark, f"{sf_dir.rstrip('/')}/conversations.parquet", ["conv_id", "turn"], "text")
+
+
+@register("bpe_tokenizer_hash")
+def bpe_tokenizer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenizer_hash(bpe_model(spark, sf_dir), spark)
+
+
+@register("manifest_violations")
+def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure rules over one manifest per document source, whose tokenizer hash is the
+    trained tokenizer's for sources whose every document is labelled, else empty."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", "source", "lang", canonical_line(docs, list(DOC_COLUMNS)).alias("line"))
+    per_split = tree_hash(lines, ["source", "lang"], "doc_id", "line", "split_hash")
+    labelled = (docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_l", F.lit(1)),
+                          "doc_id", "left")
+                .groupBy("source").agg(F.min(F.coalesce("_l", F.lit(0))).alias("all_labelled")))
+    tok = bpe.tokenizer_hash(bpe_model(spark, sf_dir), spark)
+    manifests = (per_split.groupBy("source").agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "split_hash"))))).alias("split_hashes"),
+        ordered_hash_col("lang", "split_hash").alias("dataset_hash"))
+        .join(labelled, "source").crossJoin(tok)
+        .select("source", "split_hashes", "dataset_hash",
+                F.when(F.col("all_labelled") == 1, F.col("tokenizer_hash")).otherwise(F.lit("")).alias("tokenizer_hash")))
+    return ds.manifest_violations(manifests)
+
+
+@register("stream_bpe_encode")
+def stream_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trained tokenizer applied to ``conversations`` read as a stream."""
+    model = bpe_model(spark, sf_dir)
+    safe = bpe.table_check(model.merges_frame(spark)).first()["ok"] == 1
+    src = stream._source(spark, f"{sf_dir.rstrip('/')}/conversations.parquet")
+    enc = bpe.apply_tokenizer(src, ["text"], model, add_ids=False, safe=safe)
+    out = enc.select("conv_id", "turn", F.size("text_tokens").alias("n_tokens"),
+                     F.md5(F.array_join("text_tokens", " ")).alias("tokens_md5"))
+    return stream.run_append(out, "stream-bpe")

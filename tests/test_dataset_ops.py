@@ -130,3 +130,14 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_extra_meta_changes_hash(spark):
+    g = one_value_grammar(spark)
+    plain = gen.generate(spark, g, [("train", 3)], 1)
+    tagged = gen.generate(spark, g, [("train", 3)], 1, extra_meta={"tokenizer_hash": "abc"})
+    assert tagged.select("meta.tokenizer_hash").first()[0] == "abc"
+    h = [ds.split_hashes(ds.with_canonical_line(d, ds.RECORD_COLUMNS), "ord").first()["split_hash"] for d in (plain, tagged)]
+    assert h[0] != h[1]
+    line = ds.with_canonical_line(tagged, ds.RECORD_COLUMNS).first()["line"]
+    assert '"meta":{"grammar_rev":' in line and '"tokenizer_hash":"abc"}' in line
