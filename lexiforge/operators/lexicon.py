@@ -38,22 +38,42 @@ def entry_violations(entries: DataFrame) -> DataFrame:
     return entries.where(token.isNull()).withColumn("rule", F.lit("entry_without_token"))
 
 
-def shuffle_positions(entries: DataFrame, lexicon_col: str, order_col: str, seed: int, shuffle: bool = True) -> DataFrame:
+def shuffle_positions(entries: DataFrame, lexicon_col: str, order_col: str, seed: int, shuffle: bool = True,
+                      bounded: bool = False) -> DataFrame:
     """Dense 0-based ``pos`` per lexicon: by a keyed random key when shuffling (a pure
     function of seed, lexicon and original position), else by the original position.
-    Lexicons are bounded (top-n or curated lists), so one window per lexicon is safe."""
-    if shuffle:
-        key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(lexicon_col).cast("string"), F.col(order_col).cast("string")))
-        w = Window.partitionBy(lexicon_col).orderBy(key, F.col(order_col))
-    else:
-        w = Window.partitionBy(lexicon_col).orderBy(F.col(order_col))
-    return entries.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
-
-
-def lexicon_summary(entries: DataFrame, lexicon_col: str, entry_cols: list[str]) -> DataFrame:
-    """Per lexicon: entry count and the hash of the JSON list of its entries in ``pos``
-    order (entries are canonical objects with sorted keys)."""
+
+    ``bounded`` (top-n lexicons, curated lists of known size) numbers each lexicon with
+    one window; otherwise the distributed dense index is used, so a lexicon of any size
+    is numbered by many tasks.
+    """
+    key = (F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(lexicon_col).cast("string"), F.col(order_col).cast("string")))
+           if shuffle else F.lit(""))
+    keyed = entries.withColumn("_key", key)
+    if bounded:
+        w = Window.partitionBy(lexicon_col).orderBy("_key", F.col(order_col))
+        return keyed.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).drop("_key")
+    from lexiforge.operators.indexing import dense_index
+
+    return dense_index(keyed, ["_key", order_col], [lexicon_col], "pos").drop("_key")
+
+
+def lexicon_summary(entries: DataFrame, lexicon_col: str, entry_cols: list[str], mode: str = "exact") -> DataFrame:
+    """Per lexicon: entry count and a hash of its entries in ``pos`` order (entries are
+    canonical objects with sorted keys).
+
+    ``exact``: SHA-256 of the JSON list of entries, the single-pass definition (one
+    lexicon per task; for bounded lexicons).  ``tree``: the three-level tree hash over
+    the entry lines by position, for lexicons of any size.
+    """
     lines = entries.select(lexicon_col, "pos", canonical_line(entries, entry_cols).alias("line"))
+    counts = lines.groupBy(lexicon_col).agg(F.count(F.lit(1)).alias("entries"))
+    if mode == "tree":
+        from lexiforge.functions.hashing import tree_hash
+
+        return counts.join(tree_hash(lines, [lexicon_col], "pos", "line", "lexicon_hash"), lexicon_col)
+    if mode != "exact":
+        raise ValueError(f"unknown hash mode {mode}")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     payload = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["line"]), ","), F.lit("]"))
     return lines.groupBy(lexicon_col).agg(F.count(F.lit(1)).alias("entries"), F.sha2(payload, 256).alias("lexicon_hash"))

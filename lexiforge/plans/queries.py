@@ -450,7 +450,7 @@ def domain_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lexicon_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = lex.domain_vocabulary(table(spark, sf_dir, "documents"), "source", "text", LEXICON_TOP_N)
     entries = lex.normalise_entries(v.select("domain", F.col("word").alias("value"), F.col("n").alias("count"), "rank"))
-    return lex.shuffle_positions(entries, "domain", "rank", LEXICON_SEED)
+    return lex.shuffle_positions(entries, "domain", "rank", LEXICON_SEED, bounded=True)  # top-n: bounded
 
 
 @register("lexicon_shuffle")

@@ -43,3 +43,15 @@ def test_manifest_violations(spark):
     v = {r["rule"]: r["violations"] for r in ds.manifest_violations(m).collect()}
     assert v == {"split_hashes_missing": 1, "split_hashes_not_mapping": 1, "no_splits_declared": 1,
                  "dataset_hash_missing": 1, "tokenizer_hash_empty": 1}
+
+
+def test_lexicon_positions_distributed_equals_bounded(spark, small_sf):
+    from lexiforge.operators import lexicon as lex
+
+    v = lex.domain_vocabulary(spark.read.parquet(f"{small_sf}/documents.parquet"), "source", "text", 30)
+    e = lex.normalise_entries(v.select("domain", F.col("word").alias("value"), "rank"))
+    a = lex.shuffle_positions(e, "domain", "rank", 3, bounded=True).select("domain", "pos", "token")
+    b = lex.shuffle_positions(e, "domain", "rank", 3, bounded=False).select("domain", "pos", "token")
+    assert sorted(a.collect()) == sorted(b.collect())
+    t = lex.lexicon_summary(lex.shuffle_positions(e, "domain", "rank", 3), "domain", ["token"], mode="tree")
+    assert t.count() == e.select("domain").distinct().count()
