@@ -221,7 +221,7 @@ def noise_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- canonical lines, hashes, validation, manifests ----------------------------------------
 
 from lexiforge.functions.canon import canonical_line  # noqa: E402
-from lexiforge.functions.hashing import tree_hash  # noqa: E402
+from lexiforge.functions.hashing import ordered_hash, tree_hash  # noqa: E402
 from lexiforge.operators import dataset as ds  # noqa: E402
 from lexiforge.operators.stats import corpus_stats  # noqa: E402
 
@@ -301,7 +301,7 @@ def manifest_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifests = per_split.groupBy("source").agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "split_hash"))))).alias("split_hashes"),
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "n"))))).alias("row_counts"),
-        ordered_hash_col("lang", "split_hash").alias("dataset_hash"),
+        ordered_hash("lang", "split_hash").alias("dataset_hash"),
         F.count(F.lit(1)).alias("splits"),
     ).select(F.col("source").alias("dataset_name"), F.lit("parquet").alias("format"), "splits", "split_hashes",
              "row_counts", "dataset_hash", F.lit(None).cast("long").alias("seed"),
@@ -309,12 +309,6 @@ def manifest_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(ds.completeness(manifests), ["completeness"])
 
 
-def ordered_hash_col(order: str, value: str):
-    from lexiforge.functions.hashing import ordered_hash
-
-    return ordered_hash(order, value)
-
-
 @register("run_reproducibility")
 def run_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' dataset hash recomputed under three different input partitionings."""
@@ -570,7 +564,7 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = bpe.tokenizer_hash(bpe_model(spark, sf_dir), spark)
     manifests = (per_split.groupBy("source").agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "split_hash"))))).alias("split_hashes"),
-        ordered_hash_col("lang", "split_hash").alias("dataset_hash"))
+        ordered_hash("lang", "split_hash").alias("dataset_hash"))
         .join(labelled, "source").crossJoin(tok)
         .select("source", "split_hashes", "dataset_hash",
                 F.when(F.col("all_labelled") == 1, F.col("tokenizer_hash")).otherwise(F.lit("")).alias("tokenizer_hash")))
@@ -582,7 +576,7 @@ def stream_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trained tokenizer applied to ``conversations`` read as a stream."""
     model = bpe_model(spark, sf_dir)
     safe = bpe.table_check(model.merges_frame(spark)).first()["ok"] == 1
-    src = stream._source(spark, f"{sf_dir.rstrip('/')}/conversations.parquet")
+    src = stream.source(spark, f"{sf_dir.rstrip('/')}/conversations.parquet")
     enc = bpe.apply_tokenizer(src, ["text"], model, add_ids=False, safe=safe)
     out = enc.select("conv_id", "turn", F.size("text_tokens").alias("n_tokens"),
                      F.md5(F.array_join("text_tokens", " ")).alias("tokens_md5"))

@@ -14,7 +14,7 @@ from lexiforge.functions.text import chars
 from lexiforge.session import scratch_path
 
 
-def _source(spark: SparkSession, path: str) -> DataFrame:
+def source(spark: SparkSession, path: str) -> DataFrame:
     """Stream the Parquet files of ``path``: a directory, or one file given as a glob
     (the file source watches a directory or a glob pattern, not a single file)."""
     schema = spark.read.parquet(path).schema
@@ -64,12 +64,12 @@ def run_append(df: DataFrame, name: str) -> DataFrame:
 
 
 def stream_stats(spark: SparkSession, path: str, split_col: str, text_col: str) -> DataFrame:
-    return run_complete(streaming_stats(_source(spark, path), split_col, text_col), "stream-stats")
+    return run_complete(streaming_stats(source(spark, path), split_col, text_col), "stream-stats")
 
 
 def stream_char_tokens(spark: SparkSession, path: str, key_cols: list[str], text_col: str,
                        lowercase: bool = True) -> DataFrame:
-    s = _source(spark, path)
+    s = source(spark, path)
     toks = chars(F.col(text_col), lowercase)
     out = s.select(*key_cols, F.size(toks).alias("n_tokens"), F.md5(F.array_join(toks, " ")).alias("tokens_md5"))
     return run_append(out, "stream-tokens")

@@ -28,3 +28,15 @@ def test_schema_violations_detected(spark):
     assert v["cls_missing_label"] == 1
     assert v["id_format"] == 1 and v["meta_split"] == 1
     assert v["unknown_task"] == 0
+
+
+def test_queries_invariant_under_shuffle_partitions(spark, small_sf):
+    names = ["length_stats_by_lang", "split_hash", "domain_lexicon", "lexicon_summary", "bpe_pair_stats"]
+    before = {n: sorted(REGISTRY[n](spark, small_sf).collect()) for n in names}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        after = {n: sorted(REGISTRY[n](spark, small_sf).collect()) for n in names}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert before == after
