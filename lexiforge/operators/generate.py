@@ -96,12 +96,15 @@ def weighted_choice(samples: DataFrame, u_col: str, choices: DataFrame, order_co
     totals = cum.groupBy(*g).agg(F.sum(weight_col).alias("_total"), F.count(F.lit(1)).alias("_k"))
     n_choices = totals.agg(F.max("_k")).first()[0] or 0
     b = buckets or max(1024, 4 * int(n_choices))
-    tot = F.broadcast(totals.drop("_k"))  # one row per group
+    if g:
+        tot = F.broadcast(totals.drop("_k"))  # one row per group
+    else:
+        total = totals.first()["_total"]  # a single scalar: the total weight
 
     def bucket(v):
         return F.least(F.floor(v / F.col("_total") * b), F.lit(b - 1)).cast("long")
 
-    cum = cum.join(tot, g) if g else cum.crossJoin(tot)
+    cum = cum.join(tot, g) if g else cum.withColumn("_total", F.lit(total))
     table = cum.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))))
     table = table.drop("_total")
     payload = [c for c in choices.columns if c not in g]
@@ -109,7 +112,7 @@ def weighted_choice(samples: DataFrame, u_col: str, choices: DataFrame, order_co
                          *[F.col(c).alias("_c_" + c) for c in payload])
     if table.count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    s = samples.join(tot, g, "left") if g else samples.crossJoin(tot)
+    s = samples.join(tot, g, "left") if g else samples.withColumn("_total", F.lit(total))
     s = s.withColumn("_x", F.col(u_col) * F.col("_total")).withColumn("_sb", bucket(F.col("_x")))
     cond = ([F.col("_sb") == F.col("_bucket")] + [F.col(c) == F.col("_g_" + c) for c in g]
             + [F.col("_lo") <= F.col("_x"), F.col("_x") < F.col("_hi")])
