@@ -262,15 +262,18 @@ def table_check(merges: DataFrame) -> DataFrame:
     """
     m = merges.select("rank", "left", "right", F.concat("left", "right").alias("merged"))
     producers = m.groupBy("merged").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first_rank"))
-    multi = producers.where(F.col("n") > 1).agg(F.count(F.lit(1)).alias("multi_producer"))
+    multi = producers.where(F.col("n") > 1).agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit("multi_producer"))
     operands = m.select("rank", F.explode(F.array("left", "right")).alias("operand")).where(
         (F.length("operand") > 1) & (F.col("operand") != END_OF_WORD))
     late = (operands.join(producers.select(F.col("merged").alias("operand"), "first_rank"), "operand", "left")
             .where(F.col("first_rank").isNull() | (F.col("first_rank") >= F.col("rank")))
-            .agg(F.count(F.lit(1)).alias("unordered_operand")))
-    clash = m.where(F.col("merged").isin(END_OF_WORD, UNK)).agg(F.count(F.lit(1)).alias("marker_clash"))
-    n = m.agg(F.count(F.lit(1)).alias("n_merges"))
-    out = n.crossJoin(multi).crossJoin(late).crossJoin(clash)
+            .agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit("unordered_operand")))
+    clash = (m.where(F.col("merged").isin(END_OF_WORD, UNK)).agg(F.count(F.lit(1)).alias("v"))
+             .withColumn("k", F.lit("marker_clash")))
+    n = m.agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit("n_merges"))
+    metrics = n.unionByName(multi).unionByName(late).unionByName(clash)
+    out = metrics.agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k)
+                        for k in ("n_merges", "multi_producer", "unordered_operand", "marker_clash")])
     return out.withColumn("ok", ((F.col("multi_producer") + F.col("unordered_operand") + F.col("marker_clash")) == 0)
                           .cast("int"))
 
@@ -399,9 +402,10 @@ def tokenizer_hash(model: BpeModel, spark: SparkSession) -> DataFrame:
 
     m = model.merges_frame(spark).select("rank", F.to_json(F.struct("left", "rank", "right")).alias("line"))
     v = model.vocab_frame(spark).select("token", F.to_json(F.struct("id", "token")).alias("line"))
-    mj = m.agg(ordered_join("rank", "line").alias("m"))
-    vj = v.agg(ordered_join("token", "line").alias("v"))
-    return mj.crossJoin(vj).select(F.sha2(F.concat_ws("\n", "m", "v"), 256).alias("tokenizer_hash"))
+    parts = (m.select(F.lit(0).alias("part"), F.format_string("%012d", "rank").alias("o"), "line")
+             .unionByName(v.select(F.lit(1).alias("part"), F.col("token").alias("o"), "line")))
+    return parts.agg(ordered_join(F.struct("part", "o"), "line").alias("j")).select(
+        F.sha2("j", 256).alias("tokenizer_hash"))
 
 
 def training_corpus(df: DataFrame, text_col: str, order_col: str, limit: int | None = None) -> DataFrame:

@@ -62,6 +62,20 @@ def dataset_hash(hashes: DataFrame, order: Sequence[str] | None = SPLITS) -> Dat
             .agg(ordered_hash("_o", "split_hash").alias("dataset_hash")))
 
 
+def _filtered_hash(order: Column, value: Column, keep: Column) -> Column:
+    """Aggregate: SHA-256 of the newline-joined values of the rows where ``keep`` holds,
+    in ``order`` (null structs are skipped by ``collect_list``)."""
+    pairs = F.array_sort(F.collect_list(F.when(keep, F.struct(order.alias("o"), value.alias("v")))))
+    return F.sha2(F.array_join(F.transform(pairs, lambda x: x["v"]), "\n"), 256)
+
+
+def with_dataset_hash(hashes: DataFrame, order: Sequence[str] | None = SPLITS) -> DataFrame:
+    """Attach the dataset hash to every split row (a window over the handful of split rows)."""
+    o = split_order(F.col("split"), order)
+    pairs = F.array_sort(F.collect_list(F.struct(o.alias("o"), F.col("split_hash").alias("v"))).over(Window.partitionBy()))
+    return hashes.withColumn("dataset_hash", F.sha2(F.array_join(F.transform(pairs, lambda x: x["v"]), "\n"), 256))
+
+
 def validate_hashes(declared: DataFrame, computed: DataFrame, order: Sequence[str] | None = SPLITS) -> DataFrame:
     """Compare declared (split, split_hash) with recomputed ones.
 
@@ -76,10 +90,12 @@ def validate_hashes(declared: DataFrame, computed: DataFrame, order: Sequence[st
               .when(F.col("computed_hash").isNull(), "missing")
               .when(F.col("declared_hash") == F.col("computed_hash"), "ok").otherwise("mismatch"))
     per_split = j.select("split", status.alias("status"), "declared_hash", "computed_hash")
-    dd = dataset_hash(declared, order).select(F.col("dataset_hash").alias("declared_hash"))
-    cd = dataset_hash(c.join(d.select("split"), "split", "left_semi").withColumnRenamed("computed_hash", "split_hash"),
-                      order).select(F.col("dataset_hash").alias("computed_hash"))
-    ds = dd.crossJoin(cd).select(
+    o = split_order(F.col("split"), order)
+    declared_present = F.col("declared_hash").isNotNull()
+    both = declared_present & F.col("computed_hash").isNotNull()
+    sums = j.agg(_filtered_hash(o, F.col("declared_hash"), declared_present).alias("declared_hash"),
+                 _filtered_hash(o, F.col("computed_hash"), both).alias("computed_hash"))
+    ds = sums.select(
         F.lit("__dataset__").alias("split"),
         F.when(F.col("computed_hash").isNull(), "missing")
          .when(F.col("declared_hash") == F.col("computed_hash"), "ok").otherwise("mismatch").alias("status"),

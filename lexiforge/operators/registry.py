@@ -33,9 +33,9 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
             .select("pos", "path", F.coalesce("_n", "name").alias("name"),
                     F.coalesce("_h", "manifest_hash").alias("manifest_hash"),
                     F.when(F.col("_h").isNotNull(), F.col("_c")).otherwise(F.col("created_utc")).alias("created_utc")))
-    base = existing.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("_base"))
-    new = (inc.join(existing.select("path").distinct(), "path", "left_anti").crossJoin(base)
-           .withColumn("pos", F.col("_base") + F.row_number().over(Window.orderBy("_first_seq")))
+    base = existing.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0]  # one scalar
+    new = (inc.join(existing.select("path").distinct(), "path", "left_anti")
+           .withColumn("pos", F.lit(base) + F.row_number().over(Window.orderBy("_first_seq")))
            .select("pos", "path", "name", "manifest_hash", "created_utc"))
     return kept.unionByName(new)
 

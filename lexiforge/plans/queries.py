@@ -280,8 +280,7 @@ def generated_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = ds.with_canonical_line(recs, ds.RECORD_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
     hashes = ds.split_hashes(recs, "ord")
     st = corpus_stats(recs, splits=stats.SPLITS)
-    dh = ds.dataset_hash(hashes)
-    out = hashes.withColumnRenamed("num_records", "row_count").join(st, "split").crossJoin(dh)
+    out = ds.with_dataset_hash(hashes.withColumnRenamed("num_records", "row_count").join(st, "split"))
     return _round_doubles(out, stats.STAT_COLUMNS)
 
 
@@ -561,13 +560,13 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = (docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_l", F.lit(1)),
                           "doc_id", "left")
                 .groupBy("source").agg(F.min(F.coalesce("_l", F.lit(0))).alias("all_labelled")))
-    tok = bpe.tokenizer_hash(bpe_model(spark, sf_dir), spark)
+    tok = bpe.tokenizer_hash(bpe_model(spark, sf_dir), spark).first()["tokenizer_hash"]  # one scalar
     manifests = (per_split.groupBy("source").agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "split_hash"))))).alias("split_hashes"),
         ordered_hash("lang", "split_hash").alias("dataset_hash"))
-        .join(labelled, "source").crossJoin(tok)
+        .join(labelled, "source")
         .select("source", "split_hashes", "dataset_hash",
-                F.when(F.col("all_labelled") == 1, F.col("tokenizer_hash")).otherwise(F.lit("")).alias("tokenizer_hash")))
+                F.when(F.col("all_labelled") == 1, F.lit(tok)).otherwise(F.lit("")).alias("tokenizer_hash")))
     return ds.manifest_violations(manifests)
 
 
