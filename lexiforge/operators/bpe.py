@@ -186,7 +186,10 @@ def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, max_merges:
     if vocab_size <= 0 or min_frequency <= 0:
         raise ValueError("vocab_size and min_frequency must be positive")
     spark = units.sparkSession
-    seqs = sequences(units).persist(StorageLevel.MEMORY_AND_DISK)
+    # Spread the unit table over the cluster so that every round runs in parallel (AQE
+    # may coalesce a small aggregate into a few partitions).
+    n_parts = max(spark.sparkContext.defaultParallelism * 2, 1)
+    seqs = sequences(units).repartition(n_parts, "seq").persist(StorageLevel.MEMORY_AND_DISK)
     # one pass materialises the unit table and yields the alphabet (distinct symbols)
     base = sorted(r["s"] for r in seqs.select(F.explode(F.array_distinct(symbols(F.col("seq")))).alias("s"))
                   .distinct().collect())
