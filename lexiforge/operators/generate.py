@@ -47,11 +47,20 @@ class Grammar:
 
 
 def entity_pools(grammar: Grammar) -> DataFrame:
-    """Distinct values per entity with a dense 0-based ``pos`` (value order) and pool size ``n``."""
+    """Distinct values per entity with a dense 0-based ``pos`` (value order) and pool size ``n``.
+
+    Pools within BROADCAST_ROWS values are numbered by one window per entity; larger pools
+    by the distributed dense index (range slices plus offsets)."""
     cols = ["entity", "value"] + (["weight"] if "weight" in grammar.entities.columns else [])
     vals = grammar.entities.select(*cols).dropDuplicates(["entity", "value"])
-    pooled = dense_index(vals, ["value"], ["entity"], "pos")
-    sizes = pooled.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    sizes = vals.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= BROADCAST_ROWS:
+        # every pool is within the checked bound: one window per entity numbers it
+        w = Window.partitionBy("entity").orderBy("value")
+        pooled = vals.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    else:
+        pooled = dense_index(vals, ["value"], ["entity"], "pos")
     return pooled.join(F.broadcast(sizes), "entity")
 
 
