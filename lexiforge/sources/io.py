@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMATS = ("jsonl", "parquet")
@@ -90,3 +91,52 @@ def load_tokenizer(spark: SparkSession, path: str):
     vocab = [r["token"] for r in spark.read.parquet(f"{path}/vocab").orderBy("id").collect()]
     meta = spark.read.parquet(f"{path}/meta").first()
     return BpeModel(merges, vocab, meta["lowercase"], meta["normalize"], meta["name"], meta["unit"])
+
+
+def write_dataset(records: DataFrame, out: str, fmt: str = "jsonl", dataset_name: str = "dataset",
+                  extra: dict[str, str] | None = None) -> DataFrame:
+    """Write records (partitioned by split) and the manifest table, and return the manifest.
+
+    The manifest has one row per split -- row count, split hash (tree mode), the five
+    statistics -- and, on every row, the dataset hash over train, valid, test and the
+    dataset-level fields (name, format, hash mode, caller-supplied extras such as a
+    tokenizer hash or config hash).  The timestamp is recorded but never hashed.
+    """
+    from pyspark import StorageLevel
+
+    from lexiforge.operators import dataset as ds
+    from lexiforge.operators.stats import SPLITS, corpus_stats
+
+    recs = ds.with_canonical_line(records, ds.RECORD_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        write_records(recs.drop("line"), out, fmt)
+        hashes = ds.split_hashes(recs, "ord").withColumnRenamed("num_records", "row_count")
+        manifest = ds.with_dataset_hash(hashes.join(corpus_stats(recs, splits=SPLITS), "split"))
+        fields = {"dataset_name": dataset_name, "format": fmt, "hash_mode": "tree", **(extra or {})}
+        for k, v in sorted(fields.items()):
+            manifest = manifest.withColumn(k, F.lit(v).cast("string"))
+        manifest = manifest.withColumn("timestamp_utc", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest")
+    finally:
+        recs.unpersist()
+    return spark_read_manifest(records.sparkSession, out)
+
+
+def spark_read_manifest(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/manifest")
+
+
+def validate_dataset(spark: SparkSession, out: str) -> DataFrame:
+    """Recompute the split hashes of a written dataset from its files and compare them
+    with the manifest: one row per split and a ``__dataset__`` row (statuses ok, mismatch,
+    missing, undeclared); a missing manifest is reported as one ``manifest`` row."""
+    from lexiforge.operators import dataset as ds
+
+    try:
+        manifest = spark_read_manifest(spark, out)
+    except Exception:  # noqa: BLE001 - absent manifest
+        return spark.createDataFrame([("manifest", "missing", None, None)],
+                                     "split string, status string, declared_hash string, computed_hash string")
+    fmt = manifest.select("format").first()["format"]
+    recs = ds.with_canonical_line(read_records(spark, out, fmt), ds.RECORD_COLUMNS)
+    return ds.validate_hashes(manifest.select("split", "split_hash"), ds.split_hashes(recs, "ord"))

@@ -141,3 +141,32 @@ def test_extra_meta_changes_hash(spark):
     assert h[0] != h[1]
     line = ds.with_canonical_line(tagged, ds.RECORD_COLUMNS).first()["line"]
     assert '"meta":{"grammar_rev":' in line and '"tokenizer_hash":"abc"}' in line
+
+
+def test_write_validate_and_tamper(spark, tmp_path):
+    from lexiforge.sources import io
+
+    recs = gen.generate(spark, one_value_grammar(spark), [("train", 6), ("valid", 2), ("test", 2)], 3,
+                        noise=NoiseConfig(0.5, 0.5, 0.5))
+    out = str(tmp_path / "ds")
+    man = io.write_dataset(recs, out, "jsonl", "toy", {"tokenizer_hash": "t"})
+    assert {r["split"]: r["row_count"] for r in man.collect()} == {"train": 18, "valid": 6, "test": 6}
+    assert {r["status"] for r in io.validate_dataset(spark, out).collect()} == {"ok"}
+    # rewrite the valid split with one record changed
+    back = io.read_records(spark, out, "jsonl")
+    changed = back.withColumn("text", F.when(F.col("id") == "valid-lm-000000", F.lit("x")).otherwise(F.col("text")))
+    io.write_records(changed.cache(), str(tmp_path / "ds2"), "jsonl")
+    man.write.mode("overwrite").parquet(str(tmp_path / "ds2" / "manifest"))
+    res = {r["split"]: r["status"] for r in io.validate_dataset(spark, str(tmp_path / "ds2")).collect()}
+    assert res == {"train": "ok", "valid": "mismatch", "test": "ok", "__dataset__": "mismatch"}
+    assert io.validate_dataset(spark, str(tmp_path / "nothing")).first()["status"] == "missing"
+
+
+def test_weighted_entity_values(spark):
+    t = spark.createDataFrame([(0, "{x}", None)], "template_index int, template string, weight double")
+    e = spark.createDataFrame([("x", "a", 1.0), ("x", "b", 3.0), ("x", "c", 0.0)],
+                              "entity string, value string, weight double")
+    recs = gen.generate(spark, gen.Grammar(t, e, ("x",)), [("train", 8000)], 5, tasks=("lm",))
+    counts = {r["text"]: r["count"] for r in recs.groupBy("text").count().collect()}
+    assert "c" not in counts
+    assert abs(counts["b"] / 8000 - 0.75) < 0.03
