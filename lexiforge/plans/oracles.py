@@ -614,3 +614,11 @@ def _more_bpe_sqls():
 
 
 _more_bpe_sqls()
+
+
+ORACLES["dataset_write_validate"] = f"""
+WITH m AS ({_generated_manifest_sql()})
+SELECT split, 'ok' AS status, split_hash AS declared_hash, split_hash AS computed_hash FROM m
+UNION ALL
+SELECT '__dataset__', 'ok', max(dataset_hash), max(dataset_hash) FROM m
+"""

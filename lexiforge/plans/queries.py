@@ -580,3 +580,15 @@ def stream_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = enc.select("conv_id", "turn", F.size("text_tokens").alias("n_tokens"),
                      F.md5(F.array_join("text_tokens", " ")).alias("tokens_md5"))
     return stream.run_append(out, "stream-bpe")
+
+
+@register("dataset_write_validate")
+def dataset_write_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated dataset written as JSON Lines with its manifest under the shared
+    checkpoint folder, read back from the files and validated against the manifest."""
+    from lexiforge.session import scratch_path
+    from lexiforge.sources import io
+
+    out = scratch_path(spark, "generated-dataset")
+    io.write_dataset(_generated_records(spark, sf_dir), out, "jsonl", "table_grammar")
+    return io.validate_dataset(spark, out)
