@@ -296,29 +296,24 @@ def _encode_loop_udf(model: BpeModel):
     """General encoder: repeatedly merge the lowest-rank pair present (Arrow batches,
     per-batch word memo).  Used when the merge table fails ``table_check`` or is long."""
     ranks = {p: i for i, p in enumerate(model.merges)}
+    never = len(ranks)
+    boundary = SYM_CLOSE + SYM_OPEN
 
     def encode_word(word: str) -> list[str]:
-        symbols_ = list(word) + [END_OF_WORD]
-        while len(symbols_) > 1:
-            best, best_rank = None, None
-            for i in range(len(symbols_) - 1):
-                r = ranks.get((symbols_[i], symbols_[i + 1]))
-                if r is not None and (best_rank is None or r < best_rank):
-                    best, best_rank = (symbols_[i], symbols_[i + 1]), r
-            if best is None:
+        # Same bracketed-string form as the Spark side: the lowest-ranked adjacent pair
+        # present is merged everywhere by one left-to-right replace, until none is ranked.
+        if SYM_OPEN in word or SYM_CLOSE in word:
+            raise ValueError("text contains the private-use symbol delimiters U+E000/U+E001")
+        seq = "".join(sym(c) for c in word) + sym(END_OF_WORD)
+        while True:
+            parts = seq[1:-1].split(boundary)
+            ranked = [(ranks.get(pr, never), pr) for pr in zip(parts, parts[1:])]
+            rank, pair = min(ranked, default=(never, None))
+            if rank == never:
                 break
-            out, i = [], 0
-            while i < len(symbols_):
-                if i < len(symbols_) - 1 and (symbols_[i], symbols_[i + 1]) == best:
-                    out.append(symbols_[i] + symbols_[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols_[i])
-                    i += 1
-            symbols_ = out
-        if symbols_ and symbols_[-1] == END_OF_WORD:
-            symbols_ = symbols_[:-1]
-        return symbols_
+            seq = seq.replace(sym(pair[0]) + sym(pair[1]), sym(pair[0] + pair[1]))
+        parts = seq[1:-1].split(boundary)
+        return parts[:-1] if parts[-1] == END_OF_WORD else parts
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def _enc(ws: pd.Series) -> pd.Series:

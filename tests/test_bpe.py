@@ -39,34 +39,40 @@ def test_foreign_table_uses_loop(spark):
     assert toks == ["abcd"]
 
 
+def _merge(seq: tuple, pair: tuple) -> tuple:
+    out, skip = [], False
+    for a, b in zip(seq, seq[1:] + (None,)):
+        if skip:
+            skip = False
+        elif (a, b) == pair:
+            out.append(a + b)
+            skip = True
+        else:
+            out.append(a)
+    return tuple(out)
+
+
 def _sequential(words_freq, vocab_size, min_freq):
-    """Reference-style sequential trainer over whitespace words (test oracle)."""
-    vocab = Counter({tuple(list(w) + ["</w>"]): f for w, f in words_freq.items()})
-    alphabet = sorted({s for k in vocab for s in k} | {"</w>"})
-    tokens = ["<unk>"] + alphabet
+    """Plain single-process trainer over symbol tuples (test oracle): recount every pair,
+    merge the most frequent (ties: smallest pair), repeat."""
+    table = Counter({tuple(w) + ("</w>",): f for w, f in words_freq.items()})
+    tokens = ["<unk>"] + sorted({s for k in table for s in k} | {"</w>"})
     merges = []
     while len(tokens) < vocab_size:
         stats = Counter()
-        for s, f in vocab.items():
-            for i in range(len(s) - 1):
-                stats[(s[i], s[i + 1])] += f
-        cands = [(p, f) for p, f in stats.items() if f >= min_freq]
-        if not cands:
+        for seq, f in table.items():
+            stats.update({p: 0 for p in zip(seq, seq[1:])})
+            for p in zip(seq, seq[1:]):
+                stats[p] += f
+        ok = sorted((-f, p) for p, f in stats.items() if f >= min_freq)
+        if not ok:
             break
-        best = min(cands, key=lambda x: (-x[1], x[0]))[0]
+        best = ok[0][1]
         merges.append(best)
-        new = Counter()
-        for s, f in vocab.items():
-            out, i = [], 0
-            while i < len(s):
-                if i < len(s) - 1 and (s[i], s[i + 1]) == best:
-                    out.append(s[i] + s[i + 1])
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
-            new[tuple(out)] += f
-        vocab = new
+        nxt = Counter()
+        for seq, f in table.items():
+            nxt[_merge(seq, best)] += f
+        table = nxt
         if "".join(best) not in tokens:
             tokens.append("".join(best))
     return merges, tokens[:vocab_size]
