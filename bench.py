@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "length_stats_by_lang", "char_vocab", "byte_tokenize", "noise_pipeline", "split_hash",
+    "length_stats_by_lang", "char_vocab", "byte_tokenize", "noise_all_steps", "split_hash",
     "generated_manifest", "generate_cls", "bpe_train", "bpe_encode", "domain_lexicon", "lexicon_summary",
     "mean_embeddings", "validate_hashes", "stream_stats",
 ]

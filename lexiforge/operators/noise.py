@@ -2,7 +2,7 @@
 
 Every step is a column expression gated by its own keyed draw, so the operators run on
 batch tables and streams alike and give the same output under any partitioning.
-Pipeline order is drop -> typo -> swap -> synonym; a probability of 0 removes the step.
+Step order is drop -> typo -> swap -> synonym; a probability of 0 removes the step.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def synonym_frame(synonyms: DataFrame) -> DataFrame:
 
 def add_noise(df: DataFrame, text_col: str, key: list, config: NoiseConfig, out_col: str | None = None,
               synonyms: DataFrame | None = None, broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Apply the noise pipeline to ``text_col``; ``key`` lists the columns/literals that make
+    """Apply the noise steps (drop, typo, swap, synonym) to ``text_col``; ``key`` lists the columns/literals that make
     each row's draws unique (e.g. seed, split, index)."""
     out_col = out_col or text_col
     t = F.col(text_col)

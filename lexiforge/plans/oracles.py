@@ -247,7 +247,7 @@ def _noise_sql(drop: float, typo: float, swap: float) -> str:
 ORACLES["noise_drop"] = _noise_sql(1.0, 0, 0)
 ORACLES["noise_typo"] = _noise_sql(0, 1.0, 0)
 ORACLES["noise_swap"] = _noise_sql(0, 0, 1.0)
-ORACLES["noise_pipeline"] = _noise_sql(0.5, 0.5, 0.5)
+ORACLES["noise_all_steps"] = _noise_sql(0.5, 0.5, 0.5)
 
 
 def _synonym_sql() -> str:

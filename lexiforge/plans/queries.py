@@ -204,8 +204,8 @@ def noise_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noised(spark, sf_dir, NoiseConfig(swap_prob=1.0))
 
 
-@register("noise_pipeline")
-def noise_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("noise_all_steps")
+def noise_all_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noised(spark, sf_dir, NoiseConfig(drop_prob=0.5, typo_prob=0.5, swap_prob=0.5))
 
 

@@ -84,7 +84,7 @@ def test_drop_any_index(spark):
     assert got == {"ab", "bc", "ac"}
 
 
-def test_noise_pipeline_deterministic_under_partitioning(spark, sf_dir):
+def test_noise_steps_deterministic_under_partitioning(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cfg = noise.NoiseConfig(drop_prob=0.5, typo_prob=0.5, swap_prob=0.5)
     a = noise.add_noise(docs, "text", [1, F.col("doc_id")], cfg, "n").select("doc_id", F.md5("n").alias("h"))
