@@ -104,3 +104,13 @@ def test_model_roundtrip(spark, tmp_path):
     io.save_tokenizer(spark, model, str(tmp_path / "tok"))
     back = io.load_tokenizer(spark, str(tmp_path / "tok"))
     assert back.merges == model.merges and back.tokens == model.tokens
+
+
+def test_inline_and_general_encoders_agree(spark, small_sf):
+    docs = spark.read.parquet(f"{small_sf}/documents.parquet")
+    model = bpe.train(bpe.training_units(docs, "text", lowercase=True), 10_000, 2, max_merges=20)
+    assert bpe.table_check(model.merges_frame(spark)).first()["ok"] == 1
+    conv = spark.read.parquet(f"{small_sf}/conversations.parquet").select("conv_id", "turn", "text")
+    a = conv.select("conv_id", "turn", bpe.encode(F.col("text"), model, safe=True).alias("t"))
+    b = conv.select("conv_id", "turn", bpe.encode(F.col("text"), model, safe=False).alias("t"))
+    assert sorted(a.collect()) == sorted(b.collect())
