@@ -21,6 +21,7 @@ def get_session(master: str | None = None, app: str = "lexiforge", shuffle_parti
         SparkSession.builder.appName(app)
         .master(master or os.environ.get("LEXIFORGE_MASTER", "local[*]"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
