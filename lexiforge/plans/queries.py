@@ -10,8 +10,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.operators import stats, tokenize
+from lexiforge.functions.canon import canonical_line
+from lexiforge.functions.hashing import ordered_hash, tree_hash
+from lexiforge.functions.text import UNK
+from lexiforge.functions.text import chars as _chars
+from lexiforge.operators import bpe, embed, stats, tokenize
+from lexiforge.operators import dataset as ds
+from lexiforge.operators import generate as gen
+from lexiforge.operators import lexicon as lex
+from lexiforge.operators import noise as nz
+from lexiforge.operators import registry as reg
+from lexiforge.operators.noise import NoiseConfig
+from lexiforge.operators.stats import corpus_stats
 from lexiforge.sources.tables import table
+from lexiforge.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -86,8 +98,6 @@ def detokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- generation ----------------------------------------------------------------------------
 
-from lexiforge.operators import generate as gen  # noqa: E402
-from lexiforge.operators.noise import NoiseConfig  # noqa: E402
 
 # The example grammar's templates and relative weights, and its entity order.
 TEMPLATES = [
@@ -175,7 +185,6 @@ def grammar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- noise ---------------------------------------------------------------------------------
 
-from lexiforge.operators import noise as nz  # noqa: E402
 
 NOISE_SEED = 7
 # The synonym parameter table for the synonym noise query (word, synonym).
@@ -220,10 +229,6 @@ def noise_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- canonical lines, hashes, validation, manifests ----------------------------------------
 
-from lexiforge.functions.canon import canonical_line  # noqa: E402
-from lexiforge.functions.hashing import ordered_hash, tree_hash  # noqa: E402
-from lexiforge.operators import dataset as ds  # noqa: E402
-from lexiforge.operators.stats import corpus_stats  # noqa: E402
 
 DOC_COLUMNS = ("doc_id", "lang", "n_chars", "source", "text")
 
@@ -323,8 +328,6 @@ def run_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- learned tokenizer (BPE) ---------------------------------------------------------------
 
-from lexiforge.functions.text import END_OF_WORD, UNK  # noqa: E402
-from lexiforge.operators import bpe  # noqa: E402
 
 BPE_MERGES = 12
 BPE_MIN_FREQ = 2
@@ -428,7 +431,6 @@ def bpe_apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- lexicons ------------------------------------------------------------------------------
 
-from lexiforge.operators import lexicon as lex  # noqa: E402
 
 LEXICON_TOP_N = 25
 LEXICON_SEED = 11
@@ -460,8 +462,6 @@ def lexicon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- embeddings ----------------------------------------------------------------------------
 
-from lexiforge.operators import embed  # noqa: E402
-from lexiforge.functions.text import chars as _chars  # noqa: E402
 
 EMB_DIM = 16
 EMB_SEED = 5
@@ -495,7 +495,6 @@ def mean_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- registry ------------------------------------------------------------------------------
 
-from lexiforge.operators import registry as reg  # noqa: E402
 
 # Creation stamps of the registry example (existing rows, incoming batch).
 REG_CREATED_OLD = "2026-01-01T00:00:00+00:00"
@@ -531,8 +530,6 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- streaming -----------------------------------------------------------------------------
 
-from lexiforge.streaming import stream  # noqa: E402
-
 
 @register("stream_stats")
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
