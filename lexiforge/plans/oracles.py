@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexiforge.functions.hashing import tree_hash_sql
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["length_stats_by_lang"] = """
@@ -72,7 +74,6 @@ FROM benchmark
 
 # --- generation ----------------------------------------------------------------------------
 
-from lexiforge.functions.hashing import tree_hash_sql  # noqa: E402
 
 
 def u_sql(*keys: str) -> str:
