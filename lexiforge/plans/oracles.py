@@ -394,9 +394,11 @@ def _syms_sql(expr: str) -> str:
     return f"regexp_extract_all({expr}, '{O}([^{C}]*){C}', 1)"
 
 
-def _pairs_sql(expr: str) -> str:
-    s = _syms_sql(expr)
-    return f"list_transform(range(1, len({s})), lambda i: {{'l': {s}[i], 'r': {s}[i + 1]}})"
+def _pair_rows_sql(table: str) -> str:
+    """(l, r, freq) rows of the overlapping adjacent pairs of ``table(seq, freq)``: the
+    symbol list is extracted once and its two shifted slices are unnested in parallel."""
+    return f"""(SELECT unnest(sy[1:len(sy) - 1]) AS l, unnest(sy[2:len(sy)]) AS r, freq
+              FROM (SELECT {_syms_sql('seq')} AS sy, freq FROM {table}))"""
 
 
 def _bracket_sql(expr: str) -> str:
@@ -407,14 +409,14 @@ _UNITS = f"""units AS (SELECT w AS unit, count(*)::BIGINT AS freq
            FROM (SELECT unnest({words_sql('lower(text)')}) AS w FROM documents) GROUP BY w)"""
 
 
-def _bpe_train_ctes(k: int, min_freq: int) -> str:
-    ctes = [_UNITS, "s0 AS (SELECT " + _bracket_sql("unit") + " AS seq, freq FROM units)"]
+def _bpe_train_ctes(k: int, min_freq: int, units: str = _UNITS) -> str:
+    ctes = [units, "s0 AS MATERIALIZED (SELECT " + _bracket_sql("unit") + " AS seq, freq FROM units)"]
     for i in range(1, k + 1):
-        ctes.append(f"""p{i-1} AS (SELECT x.l AS l, x.r AS r, sum(freq)::BIGINT AS freq
-                    FROM (SELECT unnest({_pairs_sql('seq')}) AS x, freq FROM s{i-1}) GROUP BY 1, 2)""")
+        ctes.append(f"""p{i-1} AS MATERIALIZED (SELECT l, r, sum(freq)::BIGINT AS freq
+                    FROM {_pair_rows_sql(f's{i-1}')} GROUP BY 1, 2)""")
         ctes.append(f"""m{i} AS (SELECT {i - 1} AS rank, l, r FROM p{i-1} WHERE freq >= {min_freq}
                     ORDER BY freq DESC, l, r LIMIT 1)""")
-        ctes.append(f"""s{i} AS (SELECT replace(seq, '{O}' || m.l || '{C}{O}' || m.r || '{C}', '{O}' || m.l || m.r || '{C}')
+        ctes.append(f"""s{i} AS MATERIALIZED (SELECT replace(seq, '{O}' || m.l || '{C}{O}' || m.r || '{C}', '{O}' || m.l || m.r || '{C}')
                     AS seq, freq FROM s{i-1}, m{i} m)""")
     ctes.append("merges AS (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(1, k + 1)) + ")")
     return ",\n".join(ctes)
@@ -432,8 +434,7 @@ def _bpe_sqls():
         SELECT '<unk>' AS symbol, 0 AS id
         UNION ALL SELECT symbol, (row_number() OVER (ORDER BY symbol))::INTEGER AS id FROM alpha"""
     ORACLES["bpe_pair_stats"] = f"""WITH {_UNITS}, s0 AS (SELECT {_bracket_sql('unit')} AS seq, freq FROM units)
-        SELECT x.l AS l, x.r AS r, sum(freq)::BIGINT AS freq FROM (SELECT unnest({_pairs_sql('seq')}) AS x, freq FROM s0)
-        GROUP BY 1, 2"""
+        SELECT l, r, sum(freq)::BIGINT AS freq FROM {_pair_rows_sql('s0')} GROUP BY 1, 2"""
     ORACLES["bpe_best_pair"] = ORACLES["bpe_pair_stats"].replace("GROUP BY 1, 2", "") + "" if False else f"""
         SELECT * FROM ({ORACLES['bpe_pair_stats']}) WHERE freq >= {mf} ORDER BY freq DESC, l, r LIMIT 1"""
     ORACLES["bpe_train"] = f"""WITH {train}
@@ -623,3 +624,19 @@ SELECT split, 'ok' AS status, split_hash AS declared_hash, split_hash AS compute
 UNION ALL
 SELECT '__dataset__', 'ok', max(dataset_hash), max(dataset_hash) FROM m
 """
+
+
+def _line_units_sql() -> str:
+    return """units AS (SELECT lower(text) AS unit, count(*)::BIGINT AS freq FROM conversations
+             WHERE text IS NOT NULL AND lower(text) <> '' GROUP BY 1)"""
+
+
+def _bpe_lines_sql() -> str:
+    from lexiforge.plans.queries import BPE_MERGES, BPE_MIN_FREQ
+
+    train = _bpe_train_ctes(BPE_MERGES, BPE_MIN_FREQ, _line_units_sql())
+    return f"""WITH {train}
+        SELECT rank::INTEGER AS rank, l AS "left", r AS "right", l || r AS merged FROM merges"""
+
+
+ORACLES["bpe_train_lines"] = _bpe_lines_sql()

@@ -589,3 +589,12 @@ def dataset_write_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "generated-dataset")
     io.write_dataset(_generated_records(spark, sf_dir), out, "jsonl", "table_grammar")
     return io.validate_dataset(spark, out)
+
+
+@register("bpe_train_lines")
+def bpe_train_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges learned with whole lowercased texts as units (spaces and newlines are
+    symbols, merges may cross words), on ``conversations``."""
+    units = bpe.training_units(table(spark, sf_dir, "conversations"), "text", lowercase=True, unit="line")
+    model = bpe.train(units, BPE_VOCAB_SIZE, BPE_MIN_FREQ, max_merges=BPE_MERGES, unit="line")
+    return model.merges_frame(spark)
