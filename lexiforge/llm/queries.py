@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import langid
+from lexiforge.llm import fm_quality, langid, mixing, secret_scan, token_counts
 from lexiforge.llm.common import documents
 
 
@@ -12,6 +12,29 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents(spark, sf_dir))
 
 
-REGISTRY = {"op4_language_id": op4_language_id}
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secret_scan.report(docs, secret_scan.train(secret_scan.samples_of(docs)))
+
+
+REGISTRY = {
+    "op3_mix_sources": op3_mix_sources,
+    "op4_language_id": op4_language_id,
+    "op5_quality_fm": op5_quality_fm,
+    "op8_token_counts": op8_token_counts,
+    "op10_secret_scan": op10_secret_scan,
+}
 
 ORACLES: dict[str, str] = {}
