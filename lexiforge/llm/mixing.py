@@ -7,8 +7,8 @@ direction, until one of the two has zero or one copy.  The direction is drawn so
 expected copy count is kept, and the moved mass is in words, so the words of the source stay equal.
 Pairs are folded within blocks of about FANIN documents, the large ones first so that small ones
 settle the rest; the blocks' single residuals are folded again up a tree of the same fan-in, so no
-task ever holds more than a block.  One residual per source is left and goes to the nearer whole
-number: a source misses its target by half a document at most.
+task ever holds more than a block.  The one residual left per source goes to the nearer whole number,
+and one document of its block is flipped where that brings the source nearer to its target.
 
 Sources in code-point order (null last) weigh ``weights``, repeating, and share ``share`` times all
 words; a target stops at ``cap`` times its source's words, the excess is reshared by weight.
@@ -98,6 +98,21 @@ def _fold(items: DataFrame, seed: int, kind: str) -> DataFrame:
     return got.select("sk", "block", F.aggregate("x", none, lambda acc, x: _step(acc, x["item"], seed)).alias("a")).select("sk", "block", "a.*")
 
 
+def _settle(root: DataFrame) -> DataFrame:
+    """Round the last residual of a source and flip the one settled document of its block whose
+    size best makes up for the words that this adds or drops."""
+    off = F.when(F.col("has"), F.col("item.size") * (F.round("item.p") - F.col("item.p"))).otherwise(0.0)
+    rows = root.select("sk", "has", "item", "done", off.alias("off"))
+    miss = F.transform("done", lambda d, i: F.struct(
+        F.when((F.round(d["p"]) == 1.0) == (F.col("off") > 0), F.abs(d["size"] - F.abs("off"))).alias("left"), i.alias("at")))
+    best = F.array_min(F.filter(miss, lambda m: m["left"] < F.abs("off")))
+    rows = rows.withColumn("flip", F.coalesce(best["at"], F.lit(-1)))
+    settled = F.transform("done", lambda d, i: F.struct(
+        d["doc_id"], d["r"], d["size"], F.when(F.col("flip") == i, 1.0 - F.round(d["p"])).otherwise(F.round(d["p"])).alias("up")))
+    last = F.struct(F.col("item.doc_id"), F.col("item.r"), F.col("item.size"), F.round("item.p").alias("up"))
+    return rows.select("sk", F.explode(F.when(F.col("has"), F.concat(settled, F.array(last))).otherwise(settled)).alias("d")).select("sk", "d.*")
+
+
 def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
         cap: float = CAP, seed: int = 13) -> DataFrame:
     """``docs`` (doc_id, source, text) -> (doc_id, source, size, source_size, target, copies, taken)."""
@@ -119,12 +134,12 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     blocks = math.ceil(most / FANIN)
     while most:
         folded = written(_fold(level, seed, kind), "mix-level")
+        if blocks <= 1:
+            done = done.union(_settle(folded))
+            break
         got = folded.select("sk", F.explode("done").alias("d"))
         done = done.union(got.select("sk", "d.doc_id", "d.r", "d.size", F.round("d.p")))
         left = folded.where("has").select("sk", "block", "item")
-        if blocks <= 1:
-            done = done.union(left.select("sk", "item.doc_id", "item.r", "item.size", F.round("item.p")))
-            break
         level, blocks = left.select("sk", F.floor(F.col("block") / FANIN).alias("block"), "item"), math.ceil(blocks / FANIN)
     copies = (F.floor("x") + F.col("up")).cast("int")
     return (done.join(src, "sk").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
