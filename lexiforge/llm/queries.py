@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import fm_quality, langid, mixing, secret_scan, token_counts
+from lexiforge.llm import chain_dedup, decontaminate, fm_quality, jaccard_join, langid, mixing, secret_scan, token_counts
 from lexiforge.llm.common import documents
 
 
@@ -20,10 +20,22 @@ def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op9_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.repeats(documents(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secret_scan.report(docs, secret_scan.train(secret_scan.samples_of(docs)))
@@ -33,7 +45,10 @@ REGISTRY = {
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_quality_fm": op5_quality_fm,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
+    "op9_chain_dedup": op9_chain_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 

@@ -36,10 +36,14 @@ def _powers(n: int) -> np.ndarray:
     return _pows
 
 
-def word_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_APART = np.zeros(256, dtype=bool)  # every ASCII character but letters and digits
+_APART[:128] = [not chr(c).isalnum() for c in range(128)]
+
+
+def word_bounds(b: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end (exclusive) byte offsets of the words of ``b`` (uint8)."""
     inside = np.zeros(len(b) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[b]
+    inside[1:-1] = ~apart[b]
     step = np.diff(inside)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
@@ -76,6 +80,21 @@ def text_words(text: bytes | None) -> np.ndarray:
     return word_hashes(b, *word_bounds(b))
 
 
+def tokens(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends (bytes) of a text's words without case or ASCII punctuation."""
+    raw = text or b""
+    low = raw.decode("utf-8", "replace").lower().encode()
+    b = np.frombuffer(low if len(low) == len(raw) else raw.translate(LOWER), dtype=np.uint8)
+    starts, ends = word_bounds(b, _APART)
+    return word_hashes(b, starts, ends), starts, ends
+
+
+def code_points(text: bytes) -> np.ndarray:
+    """Number of code points before every byte offset, 0 to len(text)."""
+    b = np.frombuffer(text, dtype=np.uint8)
+    return np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes (no decoding)."""
     col = batch.column(batch.schema.get_field_index(name))
