@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import chain_dedup, decontaminate, fm_quality, jaccard_join, langid, mixing, secret_scan, token_counts
+from lexiforge.llm import chain_dedup, decontaminate, fm_quality, jaccard_join, langid, mixing, secret_scan, suffix_dedup, token_counts
 from lexiforge.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents(spark, sf_dir))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -42,6 +46,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_quality_fm": op5_quality_fm,
