@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import chain_dedup, decontaminate, fm_quality, jaccard_join, langid, mixing, secret_scan, suffix_dedup, token_counts
+from lexiforge.llm import chain_dedup, decontaminate, fm_quality, hash_forest, jaccard_join, langid, mixing, secret_scan, suffix_dedup, token_counts
 from lexiforge.llm.common import documents
 
 
@@ -16,6 +16,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
+def op2_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return hash_forest.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_hash_forest": op2_hash_forest,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_quality_fm": op5_quality_fm,
