@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from lexiforge.llm.words import binary_column, code_points, mix64, tokens
 
@@ -174,5 +173,5 @@ def clean(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) ->
             for batch in batches:
                 yield batch.filter(pa.array([not sent.value.passages(tokens(t)[0]) for t in binary_column(batch, "text")], pa.bool_()))
 
-        docs = docs.mapInArrow(task, StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
+        docs = docs.mapInArrow(task, docs.schema)
     return docs

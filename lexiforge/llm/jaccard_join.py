@@ -28,7 +28,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import components, written
@@ -252,3 +252,14 @@ def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("class")), "jaccard-classes")
     least = written(grouped.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "jaccard-least")
     return grouped.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each class of linked texts: the row of the least id.  Rows without words stay."""
+    key = F.xxhash64("doc_id", "text")
+    named = docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text")
+    kept = written(classes(named, k, num, den).where(F.col("doc_id.key") == F.col("component_id.key"))
+                   .select(F.col("doc_id.key").alias("_key")).distinct(), "jaccard-kept")
+    first = Window.partitionBy("_key").orderBy("_key")
+    return (docs.withColumn("_key", key).join(kept, "_key", "left_semi")
+            .withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns))

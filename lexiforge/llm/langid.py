@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lexiforge.llm.common import crc_of
 from lexiforge.llm.words import binary_column
@@ -112,43 +111,57 @@ def train(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
     return {k: np.array([g for _, g in sorted(v)], dtype=np.int64) for k, v in sorted(profiles.items())}
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (1 - distance / worst distance) appended; columns
-    of these names are replaced."""
-    langs = sorted(profiles)
-    flat = np.concatenate([profiles[k] for k in langs]) if langs else np.empty(0, dtype=np.int64)
-    owner = np.concatenate([np.full(len(profiles[k]), i) for i, k in enumerate(langs)]) if langs else flat
-    rank = np.concatenate([np.arange(len(profiles[k])) for k in langs]) if langs else flat
-    grams, inv = np.unique(flat, return_inverse=True)
-    table = np.full((len(grams) + 1, len(langs)), -1, dtype=np.int32)  # the last row: no such n-gram
-    table[inv, owner] = rank
-    model = docs.sparkSession.sparkContext.broadcast((langs, grams, table))
-
-    def score(text: bytes | None) -> tuple[str, float]:
-        names, known, ranks = model.value
-        mine = ranked(text, top)
-        if not len(mine) or not names:
+class _Scorer:
+    """All profiles in one table of ranks; shipped to the tasks as a broadcast."""
+
+    def __init__(self, profiles: dict[str, np.ndarray], top: int):
+        self.top, self.names = top, sorted(profiles)
+        flat = np.concatenate([np.empty(0, dtype=np.int64), *[profiles[k] for k in self.names]])
+        self.grams, inv = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(self.names)), [len(profiles[k]) for k in self.names])
+        rank = np.concatenate([np.empty(0, dtype=np.int64), *[np.arange(len(profiles[k])) for k in self.names]])
+        self.ranks = np.full((len(self.grams) + 1, len(self.names)), -1, dtype=np.int32)  # the last row: no such n-gram
+        self.ranks[inv, owner] = rank
+
+    def __call__(self, text: bytes | None) -> tuple[str, float]:
+        mine = ranked(text, self.top)
+        if not len(mine) or not self.names:
             return UND, 0.0
-        at = np.searchsorted(known, mine)
-        at[at == len(known)] = 0
-        at[known[at] != mine] = len(known)
-        r = ranks[at]
-        far = np.where(r < 0, top, np.abs(r - np.arange(len(mine))[:, None])).sum(axis=0)
+        at = np.searchsorted(self.grams, mine)
+        at[at == len(self.grams)] = 0
+        at[self.grams[at] != mine] = len(self.grams)
+        r = self.ranks[at]
+        far = np.where(r < 0, self.top, np.abs(r - np.arange(len(mine))[:, None])).sum(axis=0)
         best = int(np.argmin(far))
-        return names[best], float(1.0 - far[best] / (top * len(mine)))
+        return self.names[best], float(1.0 - far[best] / (self.top * len(mine)))
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    src = docs.select(*kept)
-    schema = StructType([*src.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row; score is 1 - distance / worst distance."""
+    scorer = docs.sparkSession.sparkContext.broadcast(_Scorer(profiles, top))
+    src = docs.select("doc_id", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [score(t) for t in binary_column(batch, "text")]
+            got = [scorer.value(t) for t in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"])
+                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+                names=["doc_id", "lang_pred", "score"])
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(task, f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.1, top: int = TOP) -> DataFrame:
+    """``docs`` without the rows of no language: ``und``, or a score below ``least``."""
+    scorer = docs.sparkSession.sparkContext.broadcast(_Scorer(profiles, top))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [scorer.value(t) for t in binary_column(batch, "text")]
+            yield batch.filter(pa.array([lang != UND and score >= least for lang, score in got], pa.bool_()))
 
-    return src.mapInArrow(task, schema)
+    return docs.mapInArrow(task, docs.schema)
 
 
 def held_out() -> Column:
@@ -158,5 +171,5 @@ def held_out() -> Column:
 def predict(docs: DataFrame) -> DataFrame:
     """Train on the rows that are not held out and predict every row: (doc_id, held_out, lang_pred, score)."""
     profiles = train(docs.where(~held_out()).select("text", "lang"))
-    return (identify(docs.select("doc_id", "text"), profiles)
+    return (identify(docs, profiles)
             .select("doc_id", held_out().alias("held_out"), "lang_pred", "score"))

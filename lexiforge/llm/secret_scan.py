@@ -183,3 +183,12 @@ def redact(text: Column, spans: Column) -> Column:
 
     done = F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(done)
+
+
+def redacted(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced; ``n_chars``, where there is one, follows the new text."""
+    out = scan(docs, model, threshold).withColumn("text", redact(F.col("text"), F.col("secret_spans")))
+    if "n_chars" in docs.columns:
+        fits = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, fits).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
