@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import components, written
+from lexiforge.llm.common import components, free_name, written
 from lexiforge.llm.words import binary_column, by_key, mix64, shingle_hashes, text_words
 
 SLOTS = 1 << 20
@@ -256,10 +256,11 @@ def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each class of linked texts: the row of the least id.  Rows without words stay."""
-    key = F.xxhash64("doc_id", "text")
-    named = docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text")
+    hashed = F.xxhash64("doc_id", "text")
+    key, row = free_name(docs, "key"), free_name(docs, "row")
+    named = docs.select(F.struct("doc_id", hashed.alias("key")).alias("doc_id"), "text")
     kept = written(classes(named, k, num, den).where(F.col("doc_id.key") == F.col("component_id.key"))
-                   .select(F.col("doc_id.key").alias("_key")).distinct(), "jaccard-kept")
-    first = Window.partitionBy("_key").orderBy("_key")
-    return (docs.withColumn("_key", key).join(kept, "_key", "left_semi")
-            .withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns))
+                   .select(F.col("doc_id.key").alias(key)).distinct(), "jaccard-kept")
+    first = Window.partitionBy(key).orderBy(key)  # rows that agree in id and text are copies, too
+    return (docs.withColumn(key, hashed).join(kept, key, "left_semi")
+            .withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).select(*docs.columns))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import unit
+from lexiforge.llm.common import free_name, unit
 
 # The base patterns of the contract.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -150,12 +150,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``secret_spans`` appended: array<struct<start, kind, end>> in order, kind an index of KINDS."""
+def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, name: str = "secret_spans") -> DataFrame:
+    """``docs`` with column ``name`` appended: array<struct<start, kind, end>> in order, kind an index of KINDS."""
     def per_text(text: Column) -> Column:
         return _let(base_spans(text), lambda base: _ordered(F.concat(base, markov_spans(text, base, model, threshold))))
 
-    return docs.withColumn("secret_spans", _let(F.coalesce(F.col("text"), F.lit("")), per_text))
+    return docs.withColumn(name, _let(F.coalesce(F.col("text"), F.lit("")), per_text))
 
 
 def report(docs: DataFrame, model: list[float]) -> DataFrame:
@@ -187,8 +187,9 @@ def redact(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span in ``text`` replaced; ``n_chars``, where there is one, follows the new text."""
-    out = scan(docs, model, threshold).withColumn("text", redact(F.col("text"), F.col("secret_spans")))
+    spans = free_name(docs, "secret_spans")
+    out = scan(docs, model, threshold, spans).withColumn("text", redact(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         fits = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, fits).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, fits).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
