@@ -1,37 +1,39 @@
 """Byte-pair-encoding tokenizer: training units, pair statistics, exact training, encode, ids.
 
-Symbols of a unit are kept as one bracketed string (``\\ue000a\\ue001\\ue000b\\ue001...``),
-so applying a merge is one ``replace`` of ``[l][r]`` by ``[lr]`` -- the same left-to-right,
-non-overlapping rule as merging a symbol list.
-
-Training is exact and distributed.  The unit table (distinct unit -> frequency) stays on
-the executors; the driver keeps only control state bounded by the vocabulary: the
-merges and the pair-count map.  Each round speculates the K most frequent pairs, one
-narrow pass over the units containing any of them applies the K merges in order and
-emits pair-count deltas tagged by step, and the driver commits the longest prefix whose
-every step is what a sequential trainer would choose (step 1 always is).  Committed
-merges are applied lazily as a ``replace`` chain over the cached table and folded into a
-new cached table every few merges (reliably checkpointed every few foldings).
+Training is exact and distributed.  The unit table (distinct unit -> frequency) is a written table of
+integer symbol sequences; symbol numbers are local to one training run, and one string has one number.
+A round is one job over it:
+
+* each task replays the merges that are not yet folded into the table and then the next ``speculate``
+  most promising ones, whole batches at a time in numpy;
+* what comes back are the pair-count changes of those steps, and of these only the pairs that can
+  matter: the ``track`` pairs last fetched with the greatest counts, and new pairs that reach the least of them;
+* the driver commits the longest run of steps at which a sequential trainer would choose the same
+  pair (the first always qualifies) and never holds more than the tracked pairs.
+
+When the tracked pairs no longer contain the best one for certain, they are fetched again with one
+distributed count and top-k.  The alphabet on the driver is bounded by the code points.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiforge.functions.text import END_OF_WORD, SYM_CLOSE, SYM_OPEN, UNK, adjacent_pairs, bracket, chars, col_, \
-    let, seq_pairs, sym, symbols, words
-from lexiforge.session import cut_lineage
+from lexiforge.functions.text import END_OF_WORD, UNK, chars, col_, words
+from lexiforge.session import scratch_path
 
-MAX_INLINE_MERGES = 64
-VOCAB_MAP_LIMIT = 4096
+FOLD_EVERY = 32  # committed merges between two writes of the unit table
+MEMO_WORDS = 500_000  # encoded words that a worker remembers
 
 
 def preprocess(text, lowercase: bool = True, normalize: str | None = None) -> Column:
@@ -70,14 +72,9 @@ def training_units(df: DataFrame, text_col: str, lowercase: bool = True, normali
     return u.groupBy("unit").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def check_units(units: DataFrame) -> None:
-    bad = units.where(F.col("unit").contains(SYM_OPEN) | F.col("unit").contains(SYM_CLOSE)).limit(1).count()
-    if bad:
-        raise ValueError("training text contains the private-use symbol delimiters U+E000/U+E001")
-
-
-def sequences(units: DataFrame) -> DataFrame:
-    return units.select(bracket(F.col("unit")).alias("seq"), "freq")
+def symbol_arrays(units: DataFrame) -> DataFrame:
+    """(symbols, freq): the characters of each unit and the end-of-word marker."""
+    return units.select(F.concat(chars(F.col("unit")), F.array(F.lit(END_OF_WORD))).alias("symbols"), "freq")
 
 
 def alphabet(units: DataFrame) -> DataFrame:
@@ -89,7 +86,9 @@ def alphabet(units: DataFrame) -> DataFrame:
 
 def pair_stats(seqs: DataFrame) -> DataFrame:
     """(l, r, freq): overlapping adjacent pairs weighted by unit frequency."""
-    p = seqs.select(F.explode(seq_pairs(F.col("seq"))).alias("p"), "freq")
+    s = F.col("symbols")
+    zipped = F.arrays_zip(F.slice(s, F.lit(1), F.size(s) - 1).alias("l"), F.slice(s, F.lit(2), F.size(s) - 1).alias("r"))
+    p = seqs.select(F.explode(zipped).alias("p"), "freq")
     return p.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("freq"))
 
 
@@ -98,12 +97,6 @@ def best_pair(stats: DataFrame, min_frequency: int = 1) -> DataFrame:
     return stats.where(F.col("freq") >= min_frequency).orderBy(F.desc("freq"), "l", "r").limit(1)
 
 
-def merge_expr(seq: Column, merges: Sequence[tuple[str, str]]) -> Column:
-    for left, right in merges:
-        seq = F.replace(seq, F.lit(sym(left) + sym(right)), F.lit(sym(left + right)))
-    return seq
-
-
 @dataclass
 class BpeModel:
     merges: list[tuple[str, str]]
@@ -130,129 +123,226 @@ class BpeModel:
         return spark.createDataFrame([(t, i) for i, t in enumerate(self.tokens)], "token string, id int")
 
 
-def _best(counts: dict, min_frequency: int):
-    best, best_f = None, 0
-    for pair, f in counts.items():
-        if f < min_frequency:
-            continue
-        if f > best_f or (f == best_f and pair < best):
-            best, best_f = pair, f
-    return best
-
-
-def _round_deltas(seqs: DataFrame, cands: list[tuple[str, str]]) -> dict[int, dict]:
-    """Apply the candidate merges in order to the units that contain any of them and
-    return, per step, the pair-count changes that step causes."""
-    pats = [sym(l) + sym(r) for l, r in cands]
-    cond = None
-    for p in pats:
-        c = F.col("seq").contains(p)
-        cond = c if cond is None else (cond | c)
-    touched = seqs.where(cond)
-    cur = touched.withColumn("_s0", F.col("seq"))
-    for k, (l, r) in enumerate(cands, start=1):
-        cur = cur.withColumn(f"_s{k}", F.replace(F.col(f"_s{k-1}"), F.lit(sym(l) + sym(r)), F.lit(sym(l + r))))
-    def tagged(k: int, sign: int):
-        def f(p):
-            return F.struct(F.lit(k).alias("k"), p["l"].alias("l"), p["r"].alias("r"),
-                            (F.col("freq") * sign).alias("d"))
-        return f
-
-    parts = []
-    for k in range(1, len(cands) + 1):
-        plus = F.transform(adjacent_pairs(symbols(F.col(f"_s{k}"))), tagged(k, 1))
-        minus = F.transform(adjacent_pairs(symbols(F.col(f"_s{k-1}"))), tagged(k, -1))
-        parts.append(F.when(F.col(f"_s{k}") != F.col(f"_s{k-1}"), F.concat(plus, minus))
-                     .otherwise(F.array().cast("array<struct<k:int,l:string,r:string,d:bigint>>")))
-    ex = cur.select(F.explode(F.concat(*parts)).alias("x"))
-    agg = ex.groupBy("x.k", "x.l", "x.r").agg(F.sum("x.d").alias("d")).where(F.col("d") != 0)
-    out: dict[int, dict] = {k: {} for k in range(1, len(cands) + 1)}
-    for row in agg.collect():
-        out[row["k"]][(row["l"], row["r"])] = row["d"]
-    return out
-
-
-def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, max_merges: int | None = None,
-          speculate: int = 2, materialize_every: int = 8, checkpoint_every: int = 4, lowercase: bool = True,
-          normalize: str | None = None, name: str = "bpe", unit: str = "word") -> BpeModel:
+# --- training ------------------------------------------------------------------------------
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All sequences of a batch in one array, each followed by -1, and the frequency at every place."""
+    seq = batch.column(0)
+    sizes = np.diff(seq.offsets.to_numpy()) + 1
+    flat = np.full(int(sizes.sum()), -1, dtype=np.int64)
+    inside = np.ones(len(flat), dtype=bool)
+    inside[np.cumsum(sizes) - 1] = False
+    flat[inside] = seq.flatten().to_numpy()
+    return flat, np.repeat(batch.column(1).to_numpy(), sizes)
+
+
+def _hits(flat: np.ndarray, left: int, right: int) -> np.ndarray:
+    """Places of the non-overlapping occurrences of a pair, from the left."""
+    at = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right))
+    if left != right or len(at) < 2:
+        return at
+    new_run = np.concatenate([[True], np.diff(at) != 1])
+    return at[(at - at[new_run][np.cumsum(new_run) - 1]) % 2 == 0]
+
+
+def _merged(flat: np.ndarray, freq: np.ndarray, at: np.ndarray, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+    if not len(at):
+        return flat, freq
+    keep = np.ones(len(flat), dtype=bool)
+    keep[at + 1] = False
+    flat = flat.copy()
+    flat[at] = symbol
+    return flat[keep], freq[keep]
+
+
+def _pairs_at(flat: np.ndarray, freq: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    places = np.unique(places[(places >= 0) & (places < len(flat) - 1)])
+    left, right = flat[places], flat[places + 1]
+    ok = (left >= 0) & (right >= 0)
+    return left[ok] << 32 | right[ok], freq[places[ok]]
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, inv = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(u), dtype=np.int64)
+    np.add.at(total, inv, values)
+    return u, total
+
+
+def _counts_task(steps: list[tuple[int, int, int]]):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, freq = _flat(batch)
+            for left, right, symbol in steps:
+                flat, freq = _merged(flat, freq, _hits(flat, left, right), symbol)
+            keys, n = _summed(*_pairs_at(flat, freq, np.arange(len(flat))))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
+
+    return task
+
+
+def _deltas_task(steps: list[tuple[int, int, int]], tries: list[tuple[int, int, int]], tracked: np.ndarray, fresh: int):
+    """Pair-count changes of each tried step, restricted to tracked pairs and to pairs of a symbol
+    numbered ``fresh`` or above."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, freq = _flat(batch)
+            for left, right, symbol in steps:
+                flat, freq = _merged(flat, freq, _hits(flat, left, right), symbol)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for k, (left, right, symbol) in enumerate(tries):
+                at = _hits(flat, left, right)
+                if not len(at):
+                    continue
+                old, old_n = _pairs_at(flat, freq, np.concatenate([at - 1, at, at + 1]))
+                flat, freq = _merged(flat, freq, at, symbol)
+                now = at - np.arange(len(at))
+                new, new_n = _pairs_at(flat, freq, np.concatenate([now - 1, now]))
+                keys, d = _summed(np.concatenate([old, new]), np.concatenate([-old_n, new_n]))
+                use = (d != 0) & (np.isin(keys, tracked) | (keys >> 32 >= fresh) | (keys & 0xFFFFFFFF >= fresh))
+                out.append((np.full(int(use.sum()), k, dtype=np.int32), keys[use], d[use]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["k", "pair", "d"])
+
+    return task
+
+
+def _fold_task(steps: list[tuple[int, int, int]]):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, freq = _flat(batch)
+            for left, right, symbol in steps:
+                flat, freq = _merged(flat, freq, _hits(flat, left, right), symbol)
+            ends = np.flatnonzero(flat == -1)
+            sizes = np.diff(np.concatenate([[-1], ends])) - 1
+            seq = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat[flat >= 0], pa.int32()))
+            yield pa.RecordBatch.from_arrays([seq, batch.column(1)], names=["seq", "freq"])
+
+    return task
+
+
+def _numbered_task(points: np.ndarray, numbers: np.ndarray, end: int):
+    """Units as sequences of symbol numbers."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [np.append(numbers[np.searchsorted(points, np.frombuffer(u.encode("utf-32-le"), dtype=np.uint32))], end)
+                    for u in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.list_(pa.int32())), batch.column(1)], names=["seq", "freq"])
+
+    return task
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "bpe-units")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class _Tracked:
+    """The pairs that may be best, with their counts; ``floor`` is the key of the last one fetched."""
+
+    def __init__(self, rows: list, full: bool, names: list[str]):
+        self.names = names
+        self.counts = {r["pair"]: r["n"] for r in rows}
+        self.floor = self.key(rows[-1]["pair"]) if full else None
+        self.least = rows[-1]["n"] if full else 0
+
+    def key(self, pair: int, n: int | None = None) -> tuple:
+        return (-(self.counts[pair] if n is None else n), self.names[pair >> 32], self.names[pair & 0xFFFFFFFF])
+
+    def leaders(self, n: int, min_frequency: int) -> list[int]:
+        """The best pairs, as far as they are certain to be better than every pair not tracked."""
+        able = (p for p, c in self.counts.items() if c >= min_frequency)
+        return [p for p in heapq.nsmallest(n, able, key=self.key) if self.floor is None or self.key(p) <= self.floor]
+
+
+def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, speculate: int = 24, track: int = 2048,
+          lowercase: bool = True, normalize: str | None = None, name: str = "bpe", unit: str = "word") -> BpeModel:
     """Exact BPE training over a (unit, freq) table.
 
     Same result as the sequential trainer: at every step the most frequent pair (ties:
     smallest (left, right)) with frequency >= ``min_frequency`` is merged, until the
-    vocabulary holds ``vocab_size`` tokens, no pair qualifies, or ``max_merges`` merges
-    were made.  Ids: ``<unk>`` = 0, then the sorted alphabet, then merged tokens in
-    merge order, truncated to ``vocab_size``.
+    vocabulary holds ``vocab_size`` tokens or no pair qualifies.  Ids: ``<unk>`` = 0, then the
+    sorted alphabet, then merged tokens in merge order, truncated to ``vocab_size``.
     """
     if vocab_size <= 0 or min_frequency <= 0:
         raise ValueError("vocab_size and min_frequency must be positive")
-    spark = units.sparkSession
-    # Spread the unit table over the cluster so that every round runs in parallel (AQE
-    # may coalesce a small aggregate into a few partitions).
-    n_parts = max(spark.sparkContext.defaultParallelism * 2, 1)
-    seqs = sequences(units).repartition(n_parts, "seq").persist(StorageLevel.MEMORY_AND_DISK)
-    # one pass materialises the unit table and yields the alphabet (distinct symbols)
-    base = sorted(r["s"] for r in seqs.select(F.explode(F.array_distinct(symbols(F.col("seq")))).alias("s"))
-                  .distinct().collect())
-    if any(SYM_OPEN in b or SYM_CLOSE in b for b in base):
-        seqs.unpersist()
-        raise ValueError("training text contains the private-use symbol delimiters U+E000/U+E001")
-    tokens = [UNK]
-    seen = {UNK}
-    for s in base:
-        if s not in seen:
-            tokens.append(s)
-            seen.add(s)
-    counts = {(r["l"], r["r"]): r["freq"] for r in pair_stats(seqs).collect()}
+    base = sorted({END_OF_WORD, *(r[0] for r in alphabet(units).collect())})
+    names = list(base)
+    number = {s: i for i, s in enumerate(names)}
+    letters = sorted((ord(s), i) for s, i in number.items() if len(s) == 1)
+    points, numbers = (np.array([x[j] for x in letters], dtype=np.int64) for j in (0, 1))
+    schema = "seq array<int>, freq bigint"
+    # spread: a small aggregate arrives in few partitions, and every round reads it again
+    spread = units.select("unit", F.col("freq").cast("bigint").alias("freq")).repartition(2 * units.sparkSession.sparkContext.defaultParallelism)
+    table = _stored(spread.mapInArrow(_numbered_task(points, numbers, number[END_OF_WORD]), schema))
+
+    def fetch(steps: list) -> _Tracked:
+        counted = (table.mapInArrow(_counts_task(steps), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+                   .where(F.col("n") >= min_frequency))
+        named = (counted.withColumn("l", F.shiftright("pair", 32).cast("int")).withColumn("r", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))
+        strings = counted.sparkSession.createDataFrame(list(enumerate(names)), "i int, s string")
+        named = (named.join(strings.select(F.col("i").alias("l"), F.col("s").alias("ls")), "l")
+                 .join(strings.select(F.col("i").alias("r"), F.col("s").alias("rs")), "r"))
+        rows = named.orderBy(F.desc("n"), "ls", "rs").limit(track).select("pair", "n").collect()
+        return _Tracked(rows, len(rows) == track, names)
+
+    def changes(steps: list, tries: list, tracked: _Tracked, fresh: int) -> list[dict[int, int]]:
+        task = _deltas_task(steps, tries, np.array(sorted(tracked.counts), dtype=np.int64), fresh)
+        rows = (table.mapInArrow(task, "k int, pair bigint, d bigint")
+                .groupBy("pair", "k").agg(F.sum("d").alias("d")).groupBy("pair")
+                .agg(F.collect_list(F.struct("k", "d")).alias("steps"), F.sum(F.greatest("d", F.lit(0))).alias("gain")))
+        old = (F.shiftright("pair", 32) < fresh) & (F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)) < fresh)
+        out: list[dict[int, int]] = [{} for _ in tries]
+        for row in rows.where(old | (F.col("gain") >= tracked.least)).collect():
+            for s in row["steps"]:
+                out[s["k"]][row["pair"]] = s["d"]
+        return out
+
     merges: list[tuple[str, str]] = []
-    rounds = 0
-    # committed merges not yet folded into the cached unit table are applied on the fly
-    pending: list[tuple[str, str]] = []
-    materialized = 0
-
-    def current() -> DataFrame:
-        return seqs.select(merge_expr(F.col("seq"), pending).alias("seq"), "freq") if pending else seqs
-
-    limit = max_merges if max_merges is not None else float("inf")
-    while len(tokens) < vocab_size and len(merges) < limit:
-        room = speculate if max_merges is None else max(1, min(speculate, max_merges - len(merges)))
-        cands = heapq.nsmallest(room, ((-f, p) for p, f in counts.items() if f >= min_frequency))
-        if not cands:
-            break
-        cands = [p for _, p in cands]
-        deltas = _round_deltas(current(), cands)
-        committed: list[tuple[str, str]] = []
-        for k, pair in enumerate(cands, start=1):
-            if len(tokens) >= vocab_size or len(merges) >= limit:
+    known = {UNK, *base}
+    steps: list[tuple[int, int, int]] = []  # committed, not yet folded into the table
+    rounds, tracked = 0, None
+    while len(known) < vocab_size:
+        if tracked is None:
+            tracked = fetch(steps)
+        fresh, tries = len(names), []
+        for pair in tracked.leaders(min(speculate, vocab_size - len(known)), min_frequency):
+            left, right = pair >> 32, pair & 0xFFFFFFFF
+            merged = names[left] + names[right]
+            if merged not in number:
+                number[merged] = len(names)
+                names.append(merged)
+            tries.append((left, right, number[merged]))
+        if not tries:
+            if tracked.floor is None:
+                break  # every pair that qualifies was tracked
+            tracked = None
+            continue
+        rounds += 1
+        by_step = changes(steps, tries, tracked, fresh)
+        done = 0
+        for left, right, symbol in tries:
+            pair = left << 32 | right
+            if tracked.leaders(1, min_frequency) != [pair]:
                 break
-            if _best(counts, min_frequency) != pair:
+            steps.append((left, right, symbol))
+            merges.append((names[left], names[right]))
+            known.add(names[symbol])
+            for p, d in by_step[done].items():
+                tracked.counts[p] = tracked.counts.get(p, 0) + d
+            done += 1
+            if symbol < fresh:  # a string made in a second way: pairs that are not tracked may have risen
+                tracked = None
                 break
-            committed.append(pair)
-            merges.append(pair)
-            for p, d in deltas[k].items():
-                v = counts.get(p, 0) + d
-                if v:
-                    counts[p] = v
-                else:
-                    counts.pop(p, None)
-            merged = pair[0] + pair[1]
-            if merged not in seen:
-                tokens.append(merged)
-                seen.add(merged)
-        rounds += 1
-        pending.extend(committed)
-        if len(pending) >= materialize_every:
-            materialized += 1
-            new = current()
-            if materialized % checkpoint_every == 0:
-                new = cut_lineage(new)
-            else:
-                new = new.persist(StorageLevel.MEMORY_AND_DISK)
-                new.count()  # materialise before the previous state is released
-            seqs.unpersist()
-            seqs, pending = new, []
-    seqs.unpersist()
-    if len(tokens) > vocab_size:
-        tokens = tokens[:vocab_size]
+        keep = max([fresh, *(symbol + 1 for _, _, symbol in tries[:done])])
+        for merged in names[keep:]:
+            del number[merged]
+        del names[keep:]
+        if len(steps) >= FOLD_EVERY:
+            table, steps = _stored(table.mapInArrow(_fold_task(steps), schema)), []
+    tokens = list(dict.fromkeys([UNK, *base, *(l + r for l, r in merges)]))[:vocab_size]
     return BpeModel(merges, tokens, lowercase, normalize, name, unit, {"rounds": rounds})
 
 
@@ -281,105 +371,86 @@ def table_check(merges: DataFrame) -> DataFrame:
                           .cast("int"))
 
 
-def _strip_end(syms: Column) -> Column:
-    """Drop a trailing bare end-of-word marker (the array is bound once)."""
-    return let(syms, lambda s: F.when(F.element_at(s, -1) == F.lit(END_OF_WORD), F.slice(s, 1, F.size(s) - 1))
-               .otherwise(s))
-
-
-def _encode_inline(text: Column, model: BpeModel) -> Column:
-    ws = words(preprocess(text, model.lowercase, model.normalize))
-    return F.flatten(F.transform(ws, lambda w: _strip_end(symbols(merge_expr(bracket(w), model.merges)))))
-
-
-def _encode_loop_udf(model: BpeModel):
-    """General encoder: repeatedly merge the lowest-rank pair present (Arrow batches,
-    per-batch word memo).  Used when the merge table fails ``table_check`` or is long."""
-    ranks = {p: i for i, p in enumerate(model.merges)}
-    never = len(ranks)
-    boundary = SYM_CLOSE + SYM_OPEN
-
-    def encode_word(word: str) -> list[str]:
-        # Same bracketed-string form as the Spark side: the lowest-ranked adjacent pair
-        # present is merged everywhere by one left-to-right replace, until none is ranked.
-        if SYM_OPEN in word or SYM_CLOSE in word:
-            raise ValueError("text contains the private-use symbol delimiters U+E000/U+E001")
-        seq = "".join(sym(c) for c in word) + sym(END_OF_WORD)
-        while True:
-            parts = seq[1:-1].split(boundary)
-            ranked = [(ranks.get(pr, never), pr) for pr in zip(parts, parts[1:])]
-            rank, pair = min(ranked, default=(never, None))
-            if rank == never:
-                break
-            seq = seq.replace(sym(pair[0]) + sym(pair[1]), sym(pair[0] + pair[1]))
-        parts = seq[1:-1].split(boundary)
-        return parts[:-1] if parts[-1] == END_OF_WORD else parts
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _enc(ws: pd.Series) -> pd.Series:
-        memo: dict[str, list[str]] = {}
-
-        def one(words_):
-            if words_ is None:
-                return None
-            toks: list[str] = []
-            for w in words_:
-                if w not in memo:
-                    memo[w] = encode_word(w)
-                toks.extend(memo[w])
-            return toks
-
-        return ws.map(one)
-
-    return _enc
-
-
-def encode(text, model: BpeModel, safe: bool | None = None) -> Column:
-    """BPE tokens of a text column (null in, null out).  ``safe`` says whether the merge
-    table passed ``table_check``; the rank-order ``replace`` chain is used only then and
-    when the table is short enough to inline, else the general loop."""
-    t = col_(text)
-    if safe and len(model.merges) <= MAX_INLINE_MERGES:
-        toks = _encode_inline(t, model)
-    else:
-        toks = _encode_loop_udf(model)(words(preprocess(t, model.lowercase, model.normalize)))
-    return F.when(t.isNotNull(), toks)
-
-
-def token_ids(toks, model: BpeModel) -> Column:
-    """Ids of tokens; unknown tokens get the id of ``<unk>``."""
-    vocab = model.vocab
-    if len(vocab) > VOCAB_MAP_LIMIT:
-        raise ValueError("vocabulary too large for an inline map; use ids_by_join")
-    m = F.create_map(*[x for t, i in vocab.items() for x in (F.lit(t), F.lit(i))])
-    unk = model.unk_id
-    return F.transform(col_(toks), lambda t: F.coalesce(F.try_element_at(m, t), F.lit(unk)))
-
-
-def ids_by_join(df: DataFrame, key_cols: Sequence[str], tokens_col: str, vocab: DataFrame, unk_id: int,
-                out_col: str = "ids", broadcast_limit: int = 2_000_000) -> DataFrame:
-    """Ids for a vocabulary of any size: explode with positions, join (broadcast only
-    within ``broadcast_limit`` rows), regroup per row in position order."""
-    ex = df.select(*key_cols, F.posexplode(tokens_col).alias("_pos", "token"))
-    v = F.broadcast(vocab) if vocab.count() <= broadcast_limit else vocab
-    j = ex.join(v, "token", "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
-    regrouped = j.groupBy(*key_cols).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "id"))), lambda x: x["id"]).alias(out_col))
-    return df.join(regrouped, list(key_cols), "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
-
-
-def apply_tokenizer(df: DataFrame, fields: Sequence[str], model: BpeModel, add_ids: bool = True,
-                    safe: bool | None = None) -> DataFrame:
+# --- encoding ------------------------------------------------------------------------------
+
+
+class _Encoder:
+    """Merge table, ids and a memo of encoded words; broadcast, so every worker holds one."""
+
+    def __init__(self, model: BpeModel):
+        self.ranks = {p: i for i, p in reversed(list(enumerate(model.merges)))}
+        self.ids, self.unk = model.vocab, model.unk_id
+        self.memo: dict[str, tuple[list[str], list[int]]] = {}
+
+    def word(self, word: str) -> list[str]:
+        """Merge the lowest-ranked adjacent pair everywhere, from the left, until none is ranked: a
+        heap of ranked places over a doubly linked list of symbols."""
+        syms: list[str | None] = [*word, END_OF_WORD]
+        n = len(syms)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(self.ranks[p], i) for i, p in enumerate(itertools.pairwise(syms)) if p in self.ranks]
+        heapq.heapify(heap)
+        while heap:
+            rank, changed = heap[0][0], []
+            while heap and heap[0][0] == rank:
+                i = heapq.heappop(heap)[1]
+                j = after[i]
+                if syms[i] is None or j >= n or self.ranks.get((syms[i], syms[j])) != rank:
+                    continue
+                syms[i], syms[j] = syms[i] + syms[j], None
+                after[i] = after[j]
+                if after[i] < n:
+                    before[after[i]] = i
+                changed.append(i)
+            for i in changed:
+                if syms[i] is None:
+                    continue
+                for a in {before[i], i}:
+                    if a >= 0 and after[a] < n and (syms[a], syms[after[a]]) in self.ranks:
+                        heapq.heappush(heap, (self.ranks[syms[a], syms[after[a]]], a))
+        out = [s for s in syms if s is not None]
+        return out[:-1] if out[-1] == END_OF_WORD else out
+
+    def text(self, text: str | None) -> tuple[list[str], list[int]] | None:
+        if text is None:
+            return None
+        toks: list[str] = []
+        ids: list[int] = []
+        for w in text.split():
+            got = self.memo.get(w)
+            if got is None:
+                t = self.word(w)
+                if len(self.memo) >= MEMO_WORDS:
+                    self.memo.clear()
+                got = self.memo[w] = (t, [self.ids.get(x, self.unk) for x in t])
+            toks += got[0]
+            ids += got[1]
+        return toks, ids
+
+
+def encoded(text, model: BpeModel) -> Column:
+    """struct<tokens, ids> of a text column: null in, null out; unknown tokens get the id of ``<unk>``.
+    Text, merge table and vocabulary may hold any characters and have any size."""
+    sent = SparkSession.getActiveSession().sparkContext.broadcast(_Encoder(model))
+
+    @F.pandas_udf("tokens array<string>, ids array<int>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        got = [sent.value.text(x) for x in s]
+        return pd.DataFrame({"tokens": [g and g[0] for g in got], "ids": [g and g[1] for g in got]})
+
+    return run(preprocess(col_(text), model.lowercase, model.normalize))
+
+
+def apply_tokenizer(df: DataFrame, fields: Sequence[str], model: BpeModel, add_ids: bool = True) -> DataFrame:
     """Add ``{field}_tokens`` (and ``{field}_ids``) for each text field; other columns pass
     through, null fields stay null.  Stateless, so it runs on streams unchanged."""
     for f in fields:
         if f not in df.columns:
             continue
-        df = df.withColumn(f"{f}_tokens", encode(F.col(f), model, safe))
+        df = df.withColumn("_enc", encoded(F.col(f), model)).withColumn(f"{f}_tokens", F.col("_enc.tokens"))
         if add_ids:
-            df = df.withColumn(f"{f}_ids", F.when(F.col(f"{f}_tokens").isNotNull(),
-                                                   token_ids(F.col(f"{f}_tokens"), model)))
+            df = df.withColumn(f"{f}_ids", F.col("_enc.ids"))
+        df = df.drop("_enc")
     return df
 
 

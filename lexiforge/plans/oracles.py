@@ -409,45 +409,57 @@ _UNITS = f"""units AS (SELECT w AS unit, count(*)::BIGINT AS freq
            FROM (SELECT unnest({words_sql('lower(text)')}) AS w FROM documents) GROUP BY w)"""
 
 
-def _bpe_train_ctes(k: int, min_freq: int, units: str = _UNITS) -> str:
-    ctes = [units, "s0 AS MATERIALIZED (SELECT " + _bracket_sql("unit") + " AS seq, freq FROM units)"]
-    for i in range(1, k + 1):
-        ctes.append(f"""p{i-1} AS MATERIALIZED (SELECT l, r, sum(freq)::BIGINT AS freq
-                    FROM {_pair_rows_sql(f's{i-1}')} GROUP BY 1, 2)""")
-        ctes.append(f"""m{i} AS (SELECT {i - 1} AS rank, l, r FROM p{i-1} WHERE freq >= {min_freq}
-                    ORDER BY freq DESC, l, r LIMIT 1)""")
-        ctes.append(f"""s{i} AS MATERIALIZED (SELECT replace(seq, '{O}' || m.l || '{C}{O}' || m.r || '{C}', '{O}' || m.l || m.r || '{C}')
-                    AS seq, freq FROM s{i-1}, m{i} m)""")
-    ctes.append("merges AS (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(1, k + 1)) + ")")
-    return ",\n".join(ctes)
+def _alphabet_sql() -> str:
+    return """alpha AS (SELECT DISTINCT c AS symbol FROM (SELECT unnest(string_split(unit, '')) AS c FROM units)
+                WHERE c <> '' UNION SELECT '</w>')"""
+
+
+def _bpe_train_ctes(vocab_size: int, min_freq: int, units: str = _UNITS) -> str:
+    """CTEs (for WITH RECURSIVE) up to ``merges`` (rank, l, r): one recursion step counts all pairs and
+    merges the best, until the vocabulary is full or no pair qualifies.  Assumes that no two merges
+    make the same string, which ``bpe_table_check`` shows."""
+    pair = f"'{O}' || b.l || '{C}{O}' || b.r || '{C}'"
+    return f"""{units}, {_alphabet_sql()},
+        trained AS (
+            SELECT 0 AS step, {_bracket_sql('unit')} AS seq, freq, NULL::VARCHAR AS l, NULL::VARCHAR AS r, a.n AS n
+            FROM units, (SELECT count(*) + 1 AS n FROM alpha) a
+            UNION ALL
+            SELECT t.step + 1, replace(t.seq, {pair}, '{O}' || b.l || b.r || '{C}'), t.freq, b.l, b.r, t.n + 1
+            FROM trained t, (SELECT l, r FROM {_pair_rows_sql('trained')} GROUP BY 1, 2 HAVING sum(freq) >= {min_freq}
+                             ORDER BY sum(freq) DESC, l, r LIMIT 1) b
+            WHERE t.n < {vocab_size}),
+        merges AS MATERIALIZED (SELECT DISTINCT step - 1 AS rank, l, r FROM trained WHERE step > 0)"""
+
+
+def _vocab_ctes(vocab_size: int) -> str:
+    return f"""base AS (SELECT symbol AS token, (row_number() OVER (ORDER BY symbol))::INTEGER AS id FROM alpha),
+        nb AS (SELECT count(*) AS n FROM base),
+        mt AS (SELECT l || r AS token, min(rank) AS rank FROM merges GROUP BY 1),
+        newt AS (SELECT token, (nb.n + row_number() OVER (ORDER BY rank))::INTEGER AS id FROM mt, nb
+                 WHERE token NOT IN (SELECT token FROM base) AND token <> '<unk>'),
+        vocab AS (SELECT * FROM (SELECT '<unk>' AS token, 0 AS id UNION ALL SELECT * FROM base UNION ALL SELECT * FROM newt)
+                  WHERE id < {vocab_size})"""
 
 
 def _bpe_sqls():
-    from lexiforge.plans.queries import BPE_MERGES, BPE_MIN_FREQ
+    from lexiforge.plans.queries import BPE_MIN_FREQ, BPE_SMALL_VOCAB_SIZE, BPE_VOCAB_SIZE
 
-    k, mf = BPE_MERGES, BPE_MIN_FREQ
-    train = _bpe_train_ctes(k, mf)
+    train, vocab = _bpe_train_ctes(BPE_VOCAB_SIZE, BPE_MIN_FREQ), _vocab_ctes(BPE_VOCAB_SIZE)
     ORACLES["bpe_word_counts"] = f"WITH {_UNITS} SELECT unit AS word, freq FROM units"
-    alpha = f"""alpha AS (SELECT DISTINCT c AS symbol FROM (SELECT unnest(string_split(unit, '')) AS c FROM units)
-                WHERE c <> '' UNION SELECT '</w>')"""
-    ORACLES["bpe_alphabet"] = f"""WITH {_UNITS}, {alpha}
+    ORACLES["bpe_nfc_word_counts"] = ORACLES["bpe_word_counts"].replace("lower(text)", "lower(nfc_normalize(text))")
+    ORACLES["bpe_alphabet"] = f"""WITH {_UNITS}, {_alphabet_sql()}
         SELECT '<unk>' AS symbol, 0 AS id
         UNION ALL SELECT symbol, (row_number() OVER (ORDER BY symbol))::INTEGER AS id FROM alpha"""
     ORACLES["bpe_pair_stats"] = f"""WITH {_UNITS}, s0 AS (SELECT {_bracket_sql('unit')} AS seq, freq FROM units)
         SELECT l, r, sum(freq)::BIGINT AS freq FROM {_pair_rows_sql('s0')} GROUP BY 1, 2"""
-    ORACLES["bpe_best_pair"] = ORACLES["bpe_pair_stats"].replace("GROUP BY 1, 2", "") + "" if False else f"""
-        SELECT * FROM ({ORACLES['bpe_pair_stats']}) WHERE freq >= {mf} ORDER BY freq DESC, l, r LIMIT 1"""
-    ORACLES["bpe_train"] = f"""WITH {train}
+    ORACLES["bpe_best_pair"] = f"""
+        SELECT * FROM ({ORACLES['bpe_pair_stats']}) WHERE freq >= {BPE_MIN_FREQ} ORDER BY freq DESC, l, r LIMIT 1"""
+    ORACLES["bpe_train"] = f"""WITH RECURSIVE {train}
         SELECT rank::INTEGER AS rank, l AS "left", r AS "right", l || r AS merged FROM merges"""
-    vocab = f"""{alpha},
-        base AS (SELECT symbol AS token, (row_number() OVER (ORDER BY symbol))::INTEGER AS id FROM alpha),
-        nb AS (SELECT count(*) AS n FROM base),
-        mt AS (SELECT l || r AS token, min(rank) AS rank FROM merges GROUP BY 1),
-        newt AS (SELECT token, (nb.n + row_number() OVER (ORDER BY rank))::INTEGER AS id FROM mt, nb
-                 WHERE token NOT IN (SELECT token FROM base) AND token <> '<unk>'),
-        vocab AS (SELECT '<unk>' AS token, 0 AS id UNION ALL SELECT * FROM base UNION ALL SELECT * FROM newt)"""
-    ORACLES["bpe_vocab"] = f"WITH {train}, {vocab} SELECT token, id FROM vocab WHERE id < {10_000}"
-    ORACLES["bpe_table_check"] = f"""WITH {train},
+    ORACLES["bpe_vocab"] = f"WITH RECURSIVE {train}, {vocab} SELECT token, id FROM vocab"
+    ORACLES["bpe_vocab_small"] = f"""WITH RECURSIVE {_bpe_train_ctes(BPE_SMALL_VOCAB_SIZE, BPE_MIN_FREQ)},
+        {_vocab_ctes(BPE_SMALL_VOCAB_SIZE)} SELECT token, id FROM vocab"""
+    ORACLES["bpe_table_check"] = f"""WITH RECURSIVE {train},
         m AS (SELECT rank, l, r, l || r AS merged FROM merges),
         prod AS (SELECT merged, count(*) AS n, min(rank) AS first_rank FROM m GROUP BY 1),
         ops AS (SELECT rank, unnest([l, r]) AS operand FROM m),
@@ -459,21 +471,22 @@ def _bpe_sqls():
                (SELECT count(*) FROM m WHERE merged IN ('</w>', '<unk>'))::BIGINT AS marker_clash,
                ((SELECT count(*) FROM prod WHERE n > 1) + (SELECT c FROM late)
                  + (SELECT count(*) FROM m WHERE merged IN ('</w>', '<unk>')) = 0)::INTEGER AS ok"""
-    # encode: one replace per merge in rank order (the model passes the check above)
-    cols = ", ".join(f"'{O}' || m{i}.l || '{C}{O}' || m{i}.r || '{C}' AS pat{i}, '{O}' || m{i}.l || m{i}.r || '{C}' AS rep{i}"
-                     for i in range(1, k + 1))
-    froms = ", ".join(f"m{i}" for i in range(1, k + 1))
-    chain = _bracket_sql("w")
-    for i in range(1, k + 1):
-        chain = f"replace({chain}, pat{i}, rep{i})"
+    # encode: one replace per merge in rank order over the distinct words (the model passes the check above)
+    step = (f"replace(a, '{O}' || split_part(m, chr(1), 1) || '{C}{O}' || split_part(m, chr(1), 2) || '{C}', "
+            f"'{O}' || split_part(m, chr(1), 1) || split_part(m, chr(1), 2) || '{C}')")
     strip = "CASE WHEN sy[-1] = '</w>' THEN sy[1:len(sy) - 1] ELSE sy END"
     enc = f"""{train},
-        mm AS (SELECT {cols} FROM {froms}),
-        enc AS (SELECT conv_id, turn, role, text,
-                       flatten(list_transform({words_sql('lower(text)')},
-                           lambda w: list_transform([{_syms_sql(chain)}], lambda sy: {strip})[1])) AS toks
-                FROM conversations, mm)"""
-    ORACLES["bpe_encode"] = f"""WITH {enc}
+        chain AS (SELECT list(l || chr(1) || r ORDER BY rank) AS ms FROM merges),
+        occ AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS at
+                FROM (SELECT conv_id, turn, {words_sql('lower(text)')} AS ws FROM conversations)),
+        types AS (SELECT w, {strip} AS toks FROM (
+            SELECT w, {_syms_sql(f"list_reduce(ms, lambda a, m: {step}, {_bracket_sql('w')})")} AS sy
+            FROM (SELECT DISTINCT w FROM occ), chain)),
+        got AS (SELECT conv_id, turn, flatten(list(toks ORDER BY at)) AS toks FROM occ JOIN types USING (w) GROUP BY 1, 2),
+        enc AS (SELECT c.conv_id, c.turn, c.role, c.text,
+                       CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(got.toks, []) END AS toks
+                FROM conversations c LEFT JOIN got ON c.conv_id = got.conv_id AND c.turn = got.turn)"""
+    ORACLES["bpe_encode"] = f"""WITH RECURSIVE {enc}
         SELECT conv_id, turn, len(toks)::INTEGER AS n_tokens, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM enc"""
     ids = f"""{enc}, {vocab},
         ex AS (SELECT conv_id, turn, role, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM enc),
@@ -481,10 +494,10 @@ def _bpe_sqls():
         per AS (SELECT e.conv_id, e.turn, e.role, list(ej.id ORDER BY ej.pos) FILTER (WHERE ej.id IS NOT NULL) AS ids
                 FROM enc e LEFT JOIN ej ON e.conv_id = ej.conv_id AND e.turn = ej.turn
                 GROUP BY e.conv_id, e.turn, e.role)"""
-    ORACLES["bpe_ids"] = f"""WITH {ids}
+    ORACLES["bpe_ids"] = f"""WITH RECURSIVE {ids}
         SELECT conv_id, turn, coalesce(list_sum(ids), 0)::BIGINT AS ids_sum,
                md5(coalesce(array_to_string(ids, ' '), '')) AS ids_md5 FROM per"""
-    ORACLES["oov_rate"] = f"""WITH {ids}
+    ORACLES["oov_rate"] = f"""WITH RECURSIVE {ids}
         SELECT role, sum(coalesce(len(ids), 0))::BIGINT AS n_tokens,
                sum(coalesce(len(list_filter(ids, lambda x: x = 0)), 0))::BIGINT AS n_unk,
                round(CASE WHEN sum(coalesce(len(ids), 0)) > 0
@@ -579,25 +592,16 @@ ORACLES["stream_tokenize"] = ORACLES["char_tokenize"]
 
 
 def _more_bpe_sqls():
-    from lexiforge.plans.queries import BPE_MERGES, BPE_MIN_FREQ
+    from lexiforge.plans.queries import BPE_MIN_FREQ, BPE_VOCAB_SIZE
 
-    train = _bpe_train_ctes(BPE_MERGES, BPE_MIN_FREQ)
-    alpha = f"""alpha AS (SELECT DISTINCT c AS symbol FROM (SELECT unnest(string_split(unit, '')) AS c FROM units)
-                WHERE c <> '' UNION SELECT '</w>')"""
-    vocab = f"""{alpha},
-        base AS (SELECT symbol AS token, (row_number() OVER (ORDER BY symbol))::INTEGER AS id FROM alpha),
-        nb AS (SELECT count(*) AS n FROM base),
-        mt AS (SELECT l || r AS token, min(rank) AS rank FROM merges GROUP BY 1),
-        newt AS (SELECT token, (nb.n + row_number() OVER (ORDER BY rank))::INTEGER AS id FROM mt, nb
-                 WHERE token NOT IN (SELECT token FROM base) AND token <> '<unk>'),
-        vocab AS (SELECT '<unk>' AS token, 0 AS id UNION ALL SELECT * FROM base UNION ALL SELECT * FROM newt)"""
+    train, vocab = _bpe_train_ctes(BPE_VOCAB_SIZE, BPE_MIN_FREQ), _vocab_ctes(BPE_VOCAB_SIZE)
     tok = f"""th AS (SELECT sha256(
             (SELECT string_agg(to_json({{'left': l, 'rank': rank::INTEGER, 'right': r}})::VARCHAR, chr(10) ORDER BY rank)
              FROM merges) || chr(10) ||
             (SELECT string_agg(to_json({{'id': id, 'token': token}})::VARCHAR, chr(10) ORDER BY token) FROM vocab))
             AS tokenizer_hash)"""
-    ORACLES["bpe_tokenizer_hash"] = f"WITH {train}, {vocab}, {tok} SELECT tokenizer_hash FROM th"
-    ORACLES["manifest_violations"] = f"""WITH {train}, {vocab}, {tok},
+    ORACLES["bpe_tokenizer_hash"] = f"WITH RECURSIVE {train}, {vocab}, {tok} SELECT tokenizer_hash FROM th"
+    ORACLES["manifest_violations"] = f"""WITH RECURSIVE {train}, {vocab}, {tok},
         l AS (SELECT source || chr(0) || lang AS g, source, lang, doc_id, {DOC_JSON} AS line FROM documents),
         h AS {tree_hash_sql('l', ['g'], 'doc_id', 'line', 'split_hash')},
         hs AS (SELECT split_part(g, chr(0), 1) AS source, split_part(g, chr(0), 2) AS lang, split_hash FROM h),
@@ -632,10 +636,10 @@ def _line_units_sql() -> str:
 
 
 def _bpe_lines_sql() -> str:
-    from lexiforge.plans.queries import BPE_MERGES, BPE_MIN_FREQ
+    from lexiforge.plans.queries import BPE_MIN_FREQ, BPE_VOCAB_SIZE
 
-    train = _bpe_train_ctes(BPE_MERGES, BPE_MIN_FREQ, _line_units_sql())
-    return f"""WITH {train}
+    train = _bpe_train_ctes(BPE_VOCAB_SIZE, BPE_MIN_FREQ, _line_units_sql())
+    return f"""WITH RECURSIVE {train}
         SELECT rank::INTEGER AS rank, l AS "left", r AS "right", l || r AS merged FROM merges"""
 
 

@@ -329,23 +329,18 @@ def run_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- learned tokenizer (BPE) ---------------------------------------------------------------
 
 
-BPE_MERGES = 12
 BPE_MIN_FREQ = 2
-BPE_VOCAB_SIZE = 10_000
-_MODELS: dict = {}
+BPE_VOCAB_SIZE = 160  # above the alphabet of the texts: training ends when the vocabulary is full
+BPE_SMALL_VOCAB_SIZE = 40  # below it: the vocabulary is cut within the alphabet
 
 
 def bpe_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.training_units(table(spark, sf_dir, "documents"), "text", lowercase=True)
 
 
-def bpe_model(spark: SparkSession, sf_dir: str) -> bpe.BpeModel:
-    """BPE model trained on the lowercased words of ``documents`` (memoised per session;
-    training is deterministic, so the memo never changes a result)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = bpe.train(bpe_units(spark, sf_dir), BPE_VOCAB_SIZE, BPE_MIN_FREQ, max_merges=BPE_MERGES)
-    return _MODELS[key]
+def bpe_model(spark: SparkSession, sf_dir: str, vocab_size: int = BPE_VOCAB_SIZE) -> bpe.BpeModel:
+    """BPE model trained to ``vocab_size`` on the lowercased words of ``documents``."""
+    return bpe.train(bpe_units(spark, sf_dir), vocab_size, BPE_MIN_FREQ)
 
 
 @register("bpe_word_counts")
@@ -353,6 +348,13 @@ def bpe_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_units(spark, sf_dir).select(F.col("unit").alias("word"), "freq")
 
 
+@register("bpe_nfc_word_counts")
+def bpe_nfc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training units of NFC-normalised text."""
+    units = bpe.training_units(table(spark, sf_dir, "documents"), "text", lowercase=True, normalize="NFC")
+    return units.select(F.col("unit").alias("word"), "freq")
+
+
 @register("bpe_alphabet")
 def bpe_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -365,12 +367,12 @@ def bpe_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("bpe_pair_stats")
 def bpe_pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.pair_stats(bpe.sequences(bpe_units(spark, sf_dir)))
+    return bpe.pair_stats(bpe.symbol_arrays(bpe_units(spark, sf_dir)))
 
 
 @register("bpe_best_pair")
 def bpe_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.best_pair(bpe.pair_stats(bpe.sequences(bpe_units(spark, sf_dir))), BPE_MIN_FREQ)
+    return bpe.best_pair(bpe.pair_stats(bpe.symbol_arrays(bpe_units(spark, sf_dir))), BPE_MIN_FREQ)
 
 
 @register("bpe_train")
@@ -383,16 +385,18 @@ def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_model(spark, sf_dir).vocab_frame(spark)
 
 
+@register("bpe_vocab_small")
+def bpe_vocab_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_model(spark, sf_dir, BPE_SMALL_VOCAB_SIZE).vocab_frame(spark)
+
+
 @register("bpe_table_check")
 def bpe_table_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.table_check(bpe_model(spark, sf_dir).merges_frame(spark))
 
 
 def _encoded_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = bpe_model(spark, sf_dir)
-    safe = bpe.table_check(model.merges_frame(spark)).first()["ok"] == 1
-    conv = table(spark, sf_dir, "conversations")
-    return bpe.apply_tokenizer(conv, ["text"], model, add_ids=True, safe=safe)
+    return bpe.apply_tokenizer(table(spark, sf_dir, "conversations"), ["text"], bpe_model(spark, sf_dir))
 
 
 @register("bpe_encode")
@@ -414,10 +418,10 @@ def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("oov_rate")
 def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of tokens mapped to <unk>, per conversation role."""
-    unk = bpe_model(spark, sf_dir).unk_id
-    enc = _encoded_conversations(spark, sf_dir)
+    model = bpe_model(spark, sf_dir)
+    enc = bpe.apply_tokenizer(table(spark, sf_dir, "conversations"), ["text"], model)
     per = enc.select("role", F.size("text_ids").alias("n"),
-                     F.size(F.filter("text_ids", lambda x: x == F.lit(unk))).alias("u"))
+                     F.size(F.filter("text_ids", lambda x: x == F.lit(model.unk_id))).alias("u"))
     out = per.groupBy("role").agg(F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unk"))
     return out.withColumn("oov_rate", F.round(F.when(F.col("n_tokens") > 0, F.col("n_unk") / F.col("n_tokens"))
                                               .otherwise(F.lit(0.0)), 6))
@@ -571,9 +575,8 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trained tokenizer applied to ``conversations`` read as a stream."""
     model = bpe_model(spark, sf_dir)
-    safe = bpe.table_check(model.merges_frame(spark)).first()["ok"] == 1
     src = stream.source(spark, f"{sf_dir.rstrip('/')}/conversations.parquet")
-    enc = bpe.apply_tokenizer(src, ["text"], model, add_ids=False, safe=safe)
+    enc = bpe.apply_tokenizer(src, ["text"], model, add_ids=False)
     out = enc.select("conv_id", "turn", F.size("text_tokens").alias("n_tokens"),
                      F.md5(F.array_join("text_tokens", " ")).alias("tokens_md5"))
     return stream.run_append(out, "stream-bpe")
@@ -596,5 +599,4 @@ def bpe_train_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges learned with whole lowercased texts as units (spaces and newlines are
     symbols, merges may cross words), on ``conversations``."""
     units = bpe.training_units(table(spark, sf_dir, "conversations"), "text", lowercase=True, unit="line")
-    model = bpe.train(units, BPE_VOCAB_SIZE, BPE_MIN_FREQ, max_merges=BPE_MERGES, unit="line")
-    return model.merges_frame(spark)
+    return bpe.train(units, BPE_VOCAB_SIZE, BPE_MIN_FREQ, unit="line").merges_frame(spark)

@@ -21,21 +21,19 @@ def test_train_golden(spark):
 def test_encode_golden(spark):
     model = bpe.train(units_of(spark, ["aab", "aab", "ab"]), vocab_size=8, min_frequency=1)
     df = spark.createDataFrame([("aab ab b c",), ("",), (None,)], "text string")
-    for safe in (True, False):
-        out = bpe.apply_tokenizer(df, ["text"], model, add_ids=True, safe=safe).collect()
-        by = {r["text"]: r for r in out}
-        assert by["aab ab b c"]["text_tokens"] == ["aab</w>", "ab</w>", "b", "c"]
-        assert by["aab ab b c"]["text_ids"] == [6, 5, 3, 0]
-        assert by[""]["text_tokens"] == []
-        assert by[None]["text_tokens"] is None
+    by = {r["text"]: r for r in bpe.apply_tokenizer(df, ["text"], model).collect()}
+    assert by["aab ab b c"]["text_tokens"] == ["aab</w>", "ab</w>", "b", "c"]
+    assert by["aab ab b c"]["text_ids"] == [6, 5, 3, 0]
+    assert by[""]["text_tokens"] == []
+    assert by[None]["text_tokens"] is None and by[None]["text_ids"] is None
 
 
-def test_foreign_table_uses_loop(spark):
+def test_foreign_table(spark):
     model = bpe.BpeModel(merges=[("abc", "d"), ("a", "b"), ("ab", "c")], tokens=["<unk>"])
     check = bpe.table_check(model.merges_frame(spark)).first()
     assert check["ok"] == 0
     df = spark.createDataFrame([("abcd",)], "text string")
-    toks = df.select(bpe.encode(F.col("text"), model, safe=False).alias("t")).first()["t"]
+    toks = df.select(bpe.encoded(F.col("text"), model)["tokens"].alias("t")).first()["t"]
     assert toks == ["abcd"]
 
 
@@ -84,7 +82,7 @@ def test_speculative_training_equals_sequential(spark, small_sf):
     wf = {r["unit"]: r["freq"] for r in units.collect()}
     n_alpha = len({c for w in wf for c in w}) + 2
     merges, tokens = _sequential(wf, n_alpha + 30, 2)
-    model = bpe.train(units, n_alpha + 30, 2, speculate=6, checkpoint_every=2)
+    model = bpe.train(units, n_alpha + 30, 2, speculate=6, track=40)
     assert model.merges == merges
     assert model.tokens == tokens
 
@@ -92,8 +90,8 @@ def test_speculative_training_equals_sequential(spark, small_sf):
 def test_training_deterministic(spark, small_sf):
     docs = spark.read.parquet(f"{small_sf}/documents.parquet")
     units = bpe.training_units(docs, "text", lowercase=True)
-    a = bpe.train(units, 10_000, 2, max_merges=10)
-    b = bpe.train(bpe.training_units(docs.repartition(5), "text", lowercase=True), 10_000, 2, max_merges=10)
+    a = bpe.train(units, 90, 2)
+    b = bpe.train(bpe.training_units(docs.repartition(5), "text", lowercase=True), 90, 2)
     assert a.merges == b.merges and a.tokens == b.tokens
 
 
@@ -106,11 +104,55 @@ def test_model_roundtrip(spark, tmp_path):
     assert back.merges == model.merges and back.tokens == model.tokens
 
 
-def test_inline_and_general_encoders_agree(spark, small_sf):
-    docs = spark.read.parquet(f"{small_sf}/documents.parquet")
-    model = bpe.train(bpe.training_units(docs, "text", lowercase=True), 10_000, 2, max_merges=20)
-    assert bpe.table_check(model.merges_frame(spark)).first()["ok"] == 1
-    conv = spark.read.parquet(f"{small_sf}/conversations.parquet").select("conv_id", "turn", "text")
-    a = conv.select("conv_id", "turn", bpe.encode(F.col("text"), model, safe=True).alias("t"))
-    b = conv.select("conv_id", "turn", bpe.encode(F.col("text"), model, safe=False).alias("t"))
-    assert sorted(a.collect()) == sorted(b.collect())
+def _encode_plain(word, merges):
+    ranks = {}
+    for i, p in enumerate(merges):
+        ranks.setdefault(p, i)
+    seq = tuple(word) + ("</w>",)
+    while True:
+        ranked = [(ranks[p], p) for p in zip(seq, seq[1:]) if p in ranks]
+        if not ranked:
+            return list(seq[:-1] if seq[-1] == "</w>" else seq)
+        seq = _merge(seq, min(ranked)[1])
+
+
+def test_any_text_trains_and_encodes(spark):
+    """Private-use characters, spelled-out markers, repeats and overlapping pairs are ordinary text."""
+    texts = ["a\ue000b\ue001c a\ue000b", "</w> x</w>y aaaa aaaaa", "<unk> abab ababab \ue001\ue001\ue001", "😀😀 é̂é̂ aaaa"]
+    units = units_of(spark, texts)
+    wf = {r["unit"]: r["freq"] for r in units.collect()}
+    merges, tokens = _sequential(wf, 60, 1)
+    model = bpe.train(units, 60, 1, speculate=5, track=7)
+    assert model.merges == merges and model.tokens == tokens
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in bpe.apply_tokenizer(df, ["text"], model).collect():
+        want = [t for w in r["text"].lower().split() for t in _encode_plain(w, merges)]
+        assert r["text_tokens"] == want
+        assert r["text_ids"] == [model.vocab.get(t, 0) for t in want]
+    stats = {(r["l"], r["r"]): r["freq"] for r in bpe.pair_stats(bpe.symbol_arrays(units_of(spark, ["ab\ue001c"]))).collect()}
+    assert stats == {("a", "b"): 1, ("b", "\ue001"): 1, ("\ue001", "c"): 1, ("c", "</w>"): 1}
+
+
+def test_strings_made_in_two_ways(spark):
+    """ab+c and a+bc make one symbol; counts of its pairs stay exact."""
+    wf = {"abc": 9, "ab": 8, "bcd": 12, "abcd": 5, "xabc": 4, "xbc": 7, "abcx": 6}
+    units = spark.createDataFrame(list(wf.items()), "unit string, freq bigint")
+    merges, tokens = _sequential(wf, 40, 1)
+    model = bpe.train(units, 40, 1, speculate=4, track=5)
+    assert model.merges == merges and model.tokens == tokens
+
+
+def test_ids_beyond_4096_tokens(spark):
+    tokens = ["<unk>", "</w>"] + [chr(0x4E00 + i) for i in range(5000)]
+    model = bpe.BpeModel(merges=[], tokens=tokens, lowercase=False)
+    df = spark.createDataFrame([(chr(0x4E00 + 4900) + chr(0x4E00) + "z",)], "text string")
+    assert bpe.apply_tokenizer(df, ["text"], model).first()["text_ids"] == [4902, 2, 0]
+
+
+def test_foreign_merge_order(spark):
+    """A new pair of a lower rank waits until the pair in hand is merged everywhere."""
+    merges = [("ab", "a"), ("a", "b"), ("b", "ab"), ("ab", "ab")]
+    model = bpe.BpeModel(merges=merges, tokens=["<unk>"])
+    df = spark.createDataFrame([("ababab",), ("babab",), ("aabab",)], "text string")
+    for r in df.select("text", bpe.encoded(F.col("text"), model)["tokens"].alias("t")).collect():
+        assert r["t"] == _encode_plain(r["text"], merges)
