@@ -477,12 +477,12 @@ def _bpe_sqls():
     strip = "CASE WHEN sy[-1] = '</w>' THEN sy[1:len(sy) - 1] ELSE sy END"
     enc = f"""{train},
         chain AS (SELECT list(l || chr(1) || r ORDER BY rank) AS ms FROM merges),
-        occ AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS at
+        occ AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS nth
                 FROM (SELECT conv_id, turn, {words_sql('lower(text)')} AS ws FROM conversations)),
         types AS (SELECT w, {strip} AS toks FROM (
             SELECT w, {_syms_sql(f"list_reduce(ms, lambda a, m: {step}, {_bracket_sql('w')})")} AS sy
             FROM (SELECT DISTINCT w FROM occ), chain)),
-        got AS (SELECT conv_id, turn, flatten(list(toks ORDER BY at)) AS toks FROM occ JOIN types USING (w) GROUP BY 1, 2),
+        got AS (SELECT conv_id, turn, flatten(list(toks ORDER BY nth)) AS toks FROM occ JOIN types USING (w) GROUP BY 1, 2),
         enc AS (SELECT c.conv_id, c.turn, c.role, c.text,
                        CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(got.toks, []) END AS toks
                 FROM conversations c LEFT JOIN got ON c.conv_id = got.conv_id AND c.turn = got.turn)"""
