@@ -55,6 +55,28 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def bands(num: int, den: int) -> np.ndarray:
+    """Starts of the size bands: linked sets lie in one band or in two neighbouring ones."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(starts[-1] * den // num + 1)
+    return np.array(starts)
+
+
+def candidate_keys(s: np.ndarray, freq: np.ndarray, num: int, den: int, starts: np.ndarray) -> np.ndarray:
+    """Prefix shingles under order 1 by size band, as hashes.
+
+    In its own band a set shows the prefix against any partner; in the next one, where it is the
+    smaller partner, the shorter prefix that an overlap of 2 num / (num + den) of itself leaves.
+    """
+    n = len(s)
+    own, lower = prefix_size(n, num, den), n - -(-2 * num * n // (num + den)) + 1
+    first = _rarest(s, freq, own)
+    band = int(np.searchsorted(starts, n, side="right"))
+    salt = mix64(np.arange(band, band + 2, dtype=np.uint64))
+    return np.concatenate([mix64(first ^ salt[0]), mix64(first[:lower] ^ salt[1])])
+
+
 def frequency_table(docs: DataFrame, k: int) -> np.ndarray:
     """Hashed counters of the documents that hold each shingle; SLOTS numbers whatever the corpus."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +179,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[Da
     src = docs.select("doc_id", F.xxhash64("doc_id").alias("at"), "text")
     freq = spark.sparkContext.broadcast(frequency_table(src, k))
     kind = src.schema["doc_id"].dataType.simpleString()
+    starts = bands(num, den)
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +199,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[Da
             for text in binary_column(batch, "text"):
                 s = shingle_set(text, k)
                 if len(s):
-                    first = _rarest(s, freq.value, prefix_size(len(s), num, den))
+                    first = candidate_keys(s, freq.value, num, den, starts)
                     shingle.append(first.astype(np.int64))
                     node.append(np.full(len(first), fingerprint(s)[0], dtype=np.int64))
                     held += len(first)
