@@ -2,7 +2,7 @@
 
 A draw is a pure function of its key (seed, split, index, slot, ...), so a row's
 random choices never depend on partitioning, task retries or execution order.
-The value is the first 32 bits of ``md5('k1|k2|...')`` scaled into [0, 1).
+The value is the first 52 bits of ``md5('k1|k2|...')`` scaled into [0, 1).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SCALE = 4294967296.0  # 2**32
+_SCALE = float(2**52)
 
 
 def _as_col(k) -> Column:
@@ -23,7 +23,7 @@ def draw_key(*keys) -> Column:
 
 def uniform(*keys) -> Column:
     """Uniform double in [0, 1) keyed by ``keys`` (columns or literals)."""
-    h = F.substring(F.md5(draw_key(*keys)), 1, 8)
+    h = F.substring(F.md5(draw_key(*keys)), 1, 13)
     return F.conv(h, 16, 10).cast("bigint") / F.lit(_SCALE)
 
 

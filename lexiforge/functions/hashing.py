@@ -35,9 +35,9 @@ def tree_hash(df: DataFrame, group_cols: list[str], ordinal_col: str, line_col:
               name: str = "hash", fanout: int = FANOUT) -> DataFrame:
     """Three-level hash; ``ordinal_col`` is a non-negative integer that orders the rows."""
     leaves = df.select(*group_cols, F.col(ordinal_col).alias("_o"), F.sha2(F.col(line_col), 256).alias("_h"))
-    l1 = (leaves.withColumn("_b1", F.floor(F.col("_o") / fanout))
+    l1 = (leaves.withColumn("_b1", F.expr(f"_o div {fanout}"))
           .groupBy(*group_cols, "_b1").agg(ordered_hash("_o", "_h").alias("_h")))
-    l2 = (l1.withColumn("_b2", F.floor(F.col("_b1") / fanout))
+    l2 = (l1.withColumn("_b2", F.expr(f"_b1 div {fanout}"))
           .groupBy(*group_cols, "_b2").agg(ordered_hash("_b1", "_h").alias("_h")))
     return l2.groupBy(*group_cols).agg(ordered_hash("_b2", "_h").alias(name))
 

@@ -11,7 +11,6 @@ from lexiforge.functions.hashing import ordered_hash
 # Default token lists (41 characters, or 10 words).
 DEFAULT_CHAR_TOKENS = list("abcdefghijklmnopqrstuvwxyz0123456789 .,!?")
 DEFAULT_WORD_TOKENS = ["the", "a", "an", "to", "and", "of", "in", "is", "you", "it"]
-BROADCAST_ROWS = 2_000_000
 
 
 def fixed_embeddings(tokens: DataFrame, dim: int, seed: int, token_col: str = "token") -> DataFrame:
@@ -41,12 +40,13 @@ def embedding_summary(emb: DataFrame) -> DataFrame:
 def mean_embeddings(df: DataFrame, key_cols: list[str], tokens_col: str, emb: DataFrame, dim: int) -> DataFrame:
     """Average embedding of each row's tokens (tokens without a vector are skipped).
 
-    Tokens are exploded and joined to the table (broadcast only within BROADCAST_ROWS),
-    then averaged per row with one aggregate per dimension (partial aggregation, no
-    per-row array collection)."""
-    ex = df.select(*key_cols, F.explode(tokens_col).alias("token"))
-    e = F.broadcast(emb) if emb.count() <= BROADCAST_ROWS else emb
-    j = ex.join(e, "token")
-    aggs = [F.avg(F.element_at("values", d + 1).cast("double")).alias(f"_m{d}") for d in range(dim)]
-    out = j.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_tokens"), *aggs)
-    return out.select(*key_cols, "n_tokens", F.array(*[F.col(f"_m{d}") for d in range(dim)]).alias("mean"))
+    Tokens are counted per key before the join, so a vector is fetched once per distinct token
+    of a row; one weighted aggregate per dimension follows.  Every key of ``df`` stays: without a
+    known token ``n_tokens`` is 0 and ``mean`` null."""
+    counted = (df.select(*key_cols, F.explode_outer(tokens_col).alias("token"))
+               .groupBy(*key_cols, "token").agg(F.count(F.lit(1)).alias("_n")))
+    j = counted.join(emb, "token", "left").withColumn("_n", F.when(F.col("values").isNotNull(), F.col("_n")).otherwise(0))
+    aggs = [F.sum(F.element_at("values", d + 1).cast("double") * F.col("_n")).alias(f"_s{d}") for d in range(dim)]
+    out = j.groupBy(*key_cols).agg(F.sum("_n").alias("n_tokens"), *aggs)
+    mean = F.array(*[F.col(f"_s{d}") / F.col("n_tokens") for d in range(dim)])
+    return out.select(*key_cols, "n_tokens", F.when(F.col("n_tokens") > 0, mean).alias("mean"))

@@ -27,7 +27,6 @@ DEFAULT_LABEL = "unknown"
 # The entities whose values form the sequence-to-sequence target "item -> location".
 TARGET_ENTITIES = ("item", "location")
 BROADCAST_ROWS = 1_000_000
-MAX_TEMPLATES = 100_000
 
 
 @dataclass
@@ -133,8 +132,6 @@ def choose_templates(samples: DataFrame, grammar: Grammar, seed: int) -> DataFra
     n_templates, n_weighted = grammar.template_counts()
     if n_templates == 0:
         raise ValueError("grammar has no templates")
-    if n_templates > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     s = samples.withColumn("_u_t", uniform(seed, F.col("split"), F.col("sample_index"), "template"))
     t = grammar.templates.select("template_index", "template", "weight")
     if n_weighted:

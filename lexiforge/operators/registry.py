@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ def load(spark: SparkSession, base: str) -> DataFrame:
     partitions); a missing store is an empty registry."""
     try:
         stored = spark.read.parquet(base)
-    except Exception:  # noqa: BLE001 - absent path
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty(spark)
     latest = stored.agg(F.max("v").alias("v"))
     return stored.join(F.broadcast(latest), "v").drop("v").select(*[c.split(" ")[0] for c in SCHEMA.split(", ")])
@@ -56,7 +59,9 @@ def save(df: DataFrame, base: str) -> int:
     spark = df.sparkSession
     try:
         last = spark.read.parquet(base).agg(F.max("v")).first()[0]
-    except Exception:  # noqa: BLE001 - absent path
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         last = None
     version = 0 if last is None else int(last) + 1
     df.withColumn("v", F.lit(version)).write.mode("append").partitionBy("v").parquet(base)

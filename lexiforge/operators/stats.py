@@ -23,25 +23,24 @@ def corpus_stats(df: DataFrame, split_col: str = "split", text: Column | None =
                  splits: Sequence[str] | None = None) -> DataFrame:
     """One row per split with the five statistics as doubles.
 
-    One scan and one aggregation: each row is expanded into its *distinct* characters
-    (a few dozen per document whatever its length), the first expanded row carries the
-    row's length.  Percentiles are exact (``percentile`` keeps a value -> count map, so
-    its buffer is bounded by the number of distinct lengths, not rows) and partial
-    aggregation runs before the shuffle, so a split holding most rows is still
-    reduced map-side.  With ``splits`` every listed split gets a row, zeros when empty.
+    Two plain hash aggregations, each reduced map-side: rows per (split, length), from
+    which mean and exact percentiles follow with the row counts as frequencies, and the
+    distinct (split, character) pairs.  With ``splits`` every listed split gets a row,
+    zeros when empty.
     """
     t = text if text is not None else record_text(df)
-    rows = df.select(F.col(split_col).alias("split"), F.length(t).alias("_len"),
-                     F.array_distinct(chars(t)).alias("_cs"))
-    ex = rows.select("split", "_len", F.posexplode_outer("_cs").alias("_p", "_c"))
-    length = F.when(F.coalesce(F.col("_p"), F.lit(0)) == 0, F.col("_len"))
-    out = ex.groupBy("split").agg(
-        F.count(length).cast("double").alias("num_records"),
-        F.avg(length).alias("avg_len"),
-        F.percentile(length, F.lit(0.5)).alias("p50_len"),
-        F.percentile(length, F.lit(0.95)).alias("p95_len"),
-        F.count_distinct("_c").cast("double").alias("vocab_size_char"),
+    lengths = df.groupBy(F.col(split_col).alias("split"), F.length(t).alias("_len")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = F.when(F.col("_len").isNotNull(), F.col("_n")).otherwise(0)
+    by_length = lengths.groupBy("split").agg(
+        F.sum(counted).cast("double").alias("num_records"),
+        (F.sum(F.col("_len") * F.col("_n")) / F.sum(counted)).alias("avg_len"),
+        F.percentile("_len", F.lit(0.5), F.col("_n")).alias("p50_len"),
+        F.percentile("_len", F.lit(0.95), F.col("_n")).alias("p95_len"),
     )
+    letters = (df.select(F.col(split_col).alias("split"), F.explode(F.array_distinct(chars(t))).alias("_c")).distinct()
+               .groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("vocab_size_char")))
+    same = by_length["split"].eqNullSafe(letters["split"])
+    out = (by_length.join(letters, same, "left").select(by_length["split"], *STAT_COLUMNS[:4], F.coalesce("vocab_size_char", F.lit(0.0)).alias("vocab_size_char")))
     if splits is not None:
         wanted = df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(splits)], "split string, _ord int")
         out = (F.broadcast(wanted).join(out, "split", "left")

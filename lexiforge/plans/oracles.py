@@ -78,7 +78,7 @@ FROM benchmark
 
 def u_sql(*keys: str) -> str:
     """Keyed uniform draw, same definition as lexiforge.functions.draws.uniform."""
-    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 13))::BIGINT / 4503599627370496.0)"
 
 
 def _q(s: str) -> str:

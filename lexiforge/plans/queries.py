@@ -128,19 +128,11 @@ def table_splits(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
     return [("train", train), ("valid", valid), ("test", n - train - valid)]
 
 
-_GRAMMARS: dict = {}
-
-
 def grammar_state(spark: SparkSession, sf_dir: str):
-    """Grammar, its checkpointed entity pools and its hash, memoised per session and input
-    (all three are deterministic functions of the tables)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _GRAMMARS:
-        g = table_grammar(spark, sf_dir)
-        pools = gen.entity_pools(g)
-        rev = gen.grammar_hash(g, pools).first()["grammar_rev"]
-        _GRAMMARS[key] = (g, pools, rev)
-    return _GRAMMARS[key]
+    """Grammar, its checkpointed entity pools and its hash."""
+    g = table_grammar(spark, sf_dir)
+    pools = gen.entity_pools(g)
+    return g, pools, gen.grammar_hash(g, pools).first()["grammar_rev"]
 
 
 def generated(spark: SparkSession, sf_dir: str, tasks=gen.TASKS) -> DataFrame:

@@ -39,8 +39,8 @@ def get_session(master: str | None = None, app: str = "lexiforge", shuffle_parti
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
-    It is read from the session.  Only when nothing is configured (a local run or a
-    test) is a private scratch folder created and registered.
+    It is read from the session.  Only when nothing is configured on a local master is a
+    private scratch folder created and registered; a cluster must name a shared folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="lexiforge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -3,8 +3,8 @@
 Layout of a written dataset directory ``out``:
   out/records/split=<name>/part-*.{json,parquet}   records, range-sorted by (split, ord)
   out/manifest/                                    one row per split + the dataset hash
-JSON Lines files hold canonical lines, so the split hash recomputed from either format
-is the same (format-independent hash).
+JSON Lines rows hold the record's fields and its ordinal; hashes are taken over canonical lines
+that are made from the fields, so they are the same for either format.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,7 +111,7 @@ def write_dataset(records: DataFrame, out: str, fmt: str = "jsonl", dataset_name
     try:
         write_records(recs.drop("line"), out, fmt)
         hashes = ds.split_hashes(recs, "ord").withColumnRenamed("num_records", "row_count")
-        manifest = ds.with_dataset_hash(hashes.join(corpus_stats(recs, splits=SPLITS), "split"))
+        manifest = ds.with_dataset_hash(hashes.join(corpus_stats(recs, splits=_all_splits(recs, SPLITS)), "split", "full"))
         fields = {"dataset_name": dataset_name, "format": fmt, "hash_mode": "tree", **(extra or {})}
         for k, v in sorted(fields.items()):
             manifest = manifest.withColumn(k, F.lit(v).cast("string"))
@@ -122,6 +122,12 @@ def write_dataset(records: DataFrame, out: str, fmt: str = "jsonl", dataset_name
     return spark_read_manifest(records.sparkSession, out)
 
 
+def _all_splits(records: DataFrame, declared: Sequence[str]) -> list[str]:
+    """The declared splits and any other that the records hold (split names are few)."""
+    found = [r["split"] for r in records.select("split").distinct().orderBy("split").collect()]
+    return [*declared, *(s for s in found if s not in declared)]
+
+
 def spark_read_manifest(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/manifest")
 
@@ -134,7 +140,9 @@ def validate_dataset(spark: SparkSession, out: str) -> DataFrame:
 
     try:
         manifest = spark_read_manifest(spark, out)
-    except Exception:  # noqa: BLE001 - absent manifest
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([("manifest", "missing", None, None)],
                                      "split string, status string, declared_hash string, computed_hash string")
     fmt = manifest.select("format").first()["format"]

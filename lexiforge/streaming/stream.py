@@ -14,12 +14,15 @@ from lexiforge.functions.text import chars
 from lexiforge.session import scratch_path
 
 
-def source(spark: SparkSession, path: str) -> DataFrame:
+def source(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Stream the Parquet files of ``path``: a directory, or one file given as a glob
     (the file source watches a directory or a glob pattern, not a single file)."""
     schema = spark.read.parquet(path).schema
     glob = path if path.endswith("/") or "*" in path or "[" in path else path[:-1] + "[" + path[-1] + "]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(glob)
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(glob)
 
 
 def streaming_stats(stream: DataFrame, split_col: str, text_col: str) -> DataFrame:
