@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect garbage: the shuffle files of DataFrames that nothing refers to any more go
+    only then, and a driver that mostly waits for tasks seldom does so by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -1,27 +1,35 @@
 """N-gram Jaccard join by multiple-global-order prefix filtering (op7).
 
 A document is the set of its distinct ``k``-word shingles.  Two sets link when
-``den * |A and B| >= num * |A or B|``.  Under any total order of the shingles, linked sets share one
-of the first ``n - ceil(num * n / den) + 1`` shingles of each (n: the set's size).
-
-* Order 1 is by ascending corpus frequency, ties by hash.  The frequencies are counted over all
-  documents in a fixed table of ``SLOTS`` hashed counters, so the order is the same for everyone
-  and its size does not grow with the corpus.  Prefix shingles are the only rows that are shuffled:
-  a shingle whose least and greatest set fingerprints differ ties its sets into one candidate
-  group.  Copies have one fingerprint and meet in the map-side aggregation.
-* Orders 2 and 3 are by two other hashes: within a candidate group a pair is verified
-  only if it also shares a prefix shingle under each of them.
+``den * |A and B| >= num * |A or B|``, which bounds the shingles in which they differ.
+
+* Part orders: hashing deals the shingles into one part more than that bound; the i-th order
+  puts the shingles of part i first.  As each differing shingle spoils one part, linked sets have
+  the same head, the whole part, under at least one of these orders.  Heads are the only rows that are
+  shuffled: a head whose least and greatest set fingerprints differ ties its sets into one
+  candidate group.  Copies have one fingerprint and meet in the map-side aggregation.  The bound follows
+  the set's size, so heads are made by size band; linked sets lie in one band or in neighbours.
+* Rare-first order and two hash orders: linked sets share one of the first
+  ``n - ceil(num * n / den) + 1`` shingles under any order.  Groups of more than LARGE sets, as short texts with
+  one common line form, are split by it: with shingles ranked by their exact frequency in the
+  group, only sets that share a prefix shingle stay together.  Within a group a pair must share one under
+  all three orders before it is verified.
 * Verification counts shared shingles of two blocks of a group at a time as a product of their
   incidence matrices, shingle range by shingle range.  A group of any size is cut into blocks
-  of at most BLOCK sets and WEIGHT shingles; a block pair returns a spanning forest of its links, never
+  of about BLOCK sets and WEIGHT shingles; a block pair returns a spanning forest of its links, never
   its pairs.  All pairs of a group are held against each other; none is sampled or capped.
 
+Empty parts and those of fewer than LEAST shingles make no head: they would tie strangers.  That all
+parts on which a linked pair agrees are of this kind has a probability of about MISS over the hash;
+few or small parts are dealt several times over to keep it there.
+
 Defined results: null or wordless texts have the empty set and link with nothing; a text with fewer
 than ``k`` words is one shingle; copies always link; ids may repeat (each row is a document).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -31,13 +39,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import components, free_name, written
+from lexiforge.llm.common import components, free_name, release, written
 from lexiforge.llm.words import binary_column, by_key, mix64, shingle_hashes, text_words
 
-SLOTS = 1 << 20
 BLOCK = 1024
 WEIGHT = 1 << 20
-_PART = 1 << 14  # counters per row on their way to the driver
+LEAST = 3
+MISS = 1e-9
+LARGE = 128
 _SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
@@ -63,57 +72,48 @@ def bands(num: int, den: int) -> np.ndarray:
     return np.array(starts)
 
 
-def candidate_keys(s: np.ndarray, freq: np.ndarray, num: int, den: int, starts: np.ndarray) -> np.ndarray:
-    """Prefix shingles under order 1 by size band, as hashes.
+def deals(parts: int, size: float, least: int) -> int:
+    """How often to deal so that a linked pair agrees on a part of ``least`` shingles but for MISS.
 
-    In its own band a set shows the prefix against any partner; in the next one, where it is the
-    smaller partner, the shorter prefix that an overlap of 2 num / (num + den) of itself leaves.
+    As many differing shingles as there are parts less one spoil 63 percent of the parts on average; 30
+    percent are taken to be left, each with a Poisson number of shingles around 0.9 ``size``.
     """
-    n = len(s)
-    own, lower = prefix_size(n, num, den), n - -(-2 * num * n // (num + den)) + 1
-    first = _rarest(s, freq, own)
-    band = int(np.searchsorted(starts, n, side="right"))
-    salt = mix64(np.arange(band, band + 2, dtype=np.uint64))
-    return np.concatenate([mix64(first ^ salt[0]), mix64(first[:lower] ^ salt[1])])
-
-
-def frequency_table(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashed counters of the documents that hold each shingle; SLOTS numbers whatever the corpus."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SLOTS, dtype=np.uint32)
-        for batch in batches:
-            for text in binary_column(batch, "text"):
-                np.add.at(table, _slot(shingle_set(text, k)), 1)
-        parts = [table[i:i + _PART].tobytes() for i in range(0, SLOTS, _PART)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, ["part"]):
-            total = sum(np.frombuffer(c, dtype=np.uint32).astype(np.int64) for c in t.column("counts").to_pylist())
-            yield pa.RecordBatch.from_arrays([t.column("part").combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
-
-    rows = (docs.select("text").mapInArrow(count, "part int, counts binary")
-            .repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, counts binary").collect())
-    out = np.zeros(SLOTS, dtype=np.int64)
-    for r in rows:
-        out[r["part"] * _PART:(r["part"] + 1) * _PART] = np.frombuffer(r["counts"], dtype=np.int64)
+    mean = 0.9 * size
+    short = sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(least))
+    return 1 if parts == 1 else math.ceil(math.log(MISS) / (max(1.0, 0.3 * parts) * math.log(min(max(short, 1e-6), 0.95))))
+
+
+def heads(s: np.ndarray, num: int, den: int, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the heads of a set under all part orders, for pairs whose smaller set is in its size
+    band or in the band below."""
+    band = int(np.searchsorted(starts, len(s), side="right")) - 1
+    out = []
+    for b in (band, band - 1):
+        if b < 0:
+            continue
+        parts = (int(starts[b + 1]) - 1) * (den - num) // num + 1
+        least = max(1, min(LEAST, int(starts[b]) // parts))
+        for salt in mix64(np.arange(1, deals(parts, int(starts[b]) / parts, least) + 1, dtype=np.uint64) + np.uint64(b << 20)):
+            h = mix64(s ^ salt)
+            part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            part, first, size = np.unique(part[order], return_index=True, return_counts=True)
+            head = mix64(np.add.reduceat(mix64(h[order]), first) + mix64(part + salt))
+            out.append(head[size >= least])
+    return np.concatenate(out)
+
+
+def _prefixes(sets: list[np.ndarray], freq: tuple[np.ndarray, np.ndarray], num: int, den: int) -> list[list[np.ndarray]]:
+    """The prefix of every set under each of the three orders; ``freq``: (shingles, their counts)."""
+    known, counts = freq
+    out = []
+    for s in sets:
+        n = prefix_size(len(s), num, den)
+        rare = np.argsort(counts[np.searchsorted(known, s)], kind="stable")  # a set is sorted: ties go by hash
+        out.append([s[rare[:n]], *[s[np.argsort(mix64(s ^ seed))[:n]] for seed in _SEEDS]])
     return out
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (mix64(shingles) >> np.uint64(44)).astype(np.int64)
-
-
-def _rarest(s: np.ndarray, freq: np.ndarray, n: int) -> np.ndarray:
-    return s[np.argsort(freq[_slot(s)], kind="stable")[:n]]  # a set is sorted: ties go by hash
-
-
-def _prefixes(s: np.ndarray, freq: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """The prefix of a set under each of the three orders."""
-    n = prefix_size(len(s), num, den)
-    return [_rarest(s, freq, n), *[s[np.argsort(mix64(s ^ seed))[:n]] for seed in _SEEDS]]
-
-
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Numbers of common elements of every set of ``a`` and every set of ``b``."""
     out = np.zeros((len(a), len(b)), dtype=np.float32)
@@ -152,9 +152,10 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
             yield x, y
 
 
-def linked(a: list[np.ndarray], b: list[np.ndarray], freq: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked sets: filtered by the prefixes under all orders, then verified."""
-    pa_, pb = [_prefixes(s, freq, num, den) for s in a], [_prefixes(s, freq, num, den) for s in b]
+    freq = np.unique(np.concatenate([*a, *b]), return_counts=True)  # rare first among the sets at hand
+    pa_, pb = _prefixes(a, freq, num, den), _prefixes(b, freq, num, den)
     keep = np.ones((len(a), len(b)), dtype=bool)
     for order in range(3):
         keep &= _shared([p[order] for p in pa_], [p[order] for p in pb]) > 0
@@ -168,6 +169,36 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], freq: np.ndarray, num: int,
     return ia[x], ib[y]
 
 
+def _split(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(hi, grp): large candidate groups split by prefixes under the rare-first order of each group."""
+    starts = bands(num, den)
+
+    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingle_set(z.decompress(p), k) for p in part.column(2).to_pylist()]
+                band = [int(np.searchsorted(starts, len(s), side="right")) for s in sets]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(band, pa.int32()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))],
+                                                 names=["grp", "hi", "band", "shingles"])
+
+    rows = written(texts.select("grp", "hi", "packed").mapInArrow(shingles_of, "grp long, hi long, band int, shingles array<long>")
+                   .select("grp", "hi", "band", F.explode("shingles").alias("shingle")), "jaccard-large")
+    often = written(rows.groupBy("grp", "shingle").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-often")
+    order = F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle")
+    ranked = rows.join(often, ["grp", "shingle"], "left").groupBy("grp", "hi", "band").agg(F.array_sort(F.collect_list(order)).alias("s"))
+    n = F.size("s")
+    own, lower = n - F.ceil(num * n / den).cast("int") + 1, n - F.ceil(2 * num * n / (num + den)).cast("int") + 1
+    prefix = F.concat(F.transform(F.slice("s", F.lit(1), own), lambda x: F.struct(F.col("band"), x["n"].alias("n"), x["shingle"].alias("shingle"))),
+                      F.transform(F.slice("s", F.lit(1), lower), lambda x: F.struct((F.col("band") + 1).alias("band"), x["n"].alias("n"), x["shingle"].alias("shingle"))))
+    keys = ["grp", "band", "shingle"]
+    shown = written(ranked.select("grp", "hi", F.explode(prefix).alias("x")).where("x.n > 1").select("grp", "hi", "x.band", "x.shingle"), "jaccard-prefixes")
+    tied = shown.groupBy(*keys).agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least <> most").drop("most")
+    ties = (shown.join(written(tied, "jaccard-tied"), keys).where("hi <> least").select(F.col("hi").alias("a"), F.col("least").alias("b")).distinct())
+    return written(components(ties).select(F.col("node").alias("hi"), F.col("root").alias("grp")), "jaccard-split")
+
+
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Links of ``docs`` (doc_id, text).
 
@@ -175,51 +206,39 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[Da
     for the empty set), one per input row, and links (a, b) between fingerprints "hi:lo" that
     connect exactly the sets that are connected by links.
     """
-    spark = docs.sparkSession
     src = docs.select("doc_id", F.xxhash64("doc_id").alias("at"), "text")
-    freq = spark.sparkContext.broadcast(frequency_table(src, k))
     kind = src.schema["doc_id"].dataType.simpleString()
     starts = bands(num, den)
 
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, hi, lo = [], [], []
-            for text in binary_column(batch, "text"):
-                s = shingle_set(text, k)
-                h = fingerprint(s) if len(s) else (None, None)
-                n.append(len(s))
-                hi.append(h[0])
-                lo.append(h[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())],
-                                             names=["doc_id", "at", "n_shingles", "hi", "lo"])
-
-    def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingle, node, held = [], [], 0
-            for text in binary_column(batch, "text"):
-                s = shingle_set(text, k)
-                if len(s):
-                    first = candidate_keys(s, freq.value, num, den, starts)
-                    shingle.append(first.astype(np.int64))
-                    node.append(np.full(len(first), fingerprint(s)[0], dtype=np.int64))
-                    held += len(first)
-                if held > 100_000:
-                    yield _two(shingle, node)
-                    shingle, node, held = [], [], 0
-            if shingle:
-                yield _two(shingle, node)
-
-    rows = written(src.mapInArrow(fingerprints, f"doc_id {kind}, at long, n_shingles long, hi long, lo long"), "jaccard-rows")
-    prefixes = src.mapInArrow(prefix_rows, "shingle long, node long")
-    tied = (prefixes.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most"))
-    tied = written(tied.drop("most"), "jaccard-tied")  # joins of written tables shuffle both sides, so a hot key can be split
-    ties = (prefixes.join(tied, "shingle").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                n, hi, lo, keys = [], [], [], []
+                for text in binary_column(part, "text"):
+                    s = shingle_set(text, k)
+                    h = fingerprint(s) if len(s) else (None, None)
+                    n.append(len(s))
+                    hi.append(h[0])
+                    lo.append(h[1])
+                    keys.append(heads(s, num, den, starts).astype(np.int64) if len(s) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "at", "n_shingles", "hi", "lo", "heads"])
+
+    profiles = written(src.mapInArrow(profile, f"doc_id {kind}, at long, n_shingles long, hi long, lo long, heads array<long>"), "jaccard-profiles")
+    rows = profiles.drop("heads")
+    shown = profiles.where("hi is not null").select(F.explode("heads").alias("head"), F.col("hi").alias("node"))
+    tied = written(shown.groupBy("head").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+                   .where("least <> most").drop("most"), "jaccard-tied")  # written: both sides of the join are shuffled, so a hot key can be split
+    release(docs.sparkSession)
+    ties = written(shown.join(tied, "head").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "jaccard-ties")
+    release(docs.sparkSession)
     groups = components(ties).select(F.col("node").alias("hi"), F.col("root").alias("grp"))
     sets = rows.where("hi is not null").groupBy("hi", "lo").agg(F.max("n_shingles").alias("n"), F.min("at").alias("at")).join(groups, "hi")
     sets = written(sets, "jaccard-sets")
-    sizes = written(sets.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("w")), "jaccard-sizes")
-    cut = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / WEIGHT)).cast("int")
-    members = written(sets.join(sizes, "grp").select("hi", "lo", "at", "grp", cut.alias("blocks")), "jaccard-groups")
+    sizes = written(sets.groupBy("grp").agg(F.count("*").alias("m")), "jaccard-sizes")
+    members = written(sets.join(sizes, "grp").where("m > 1").select("hi", "lo", "at", "n", "grp", (F.col("m") > LARGE).alias("large")), "jaccard-groups")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -235,7 +254,15 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[Da
                                              names=["at", "hi", "lo", "packed"])
 
     # one row per set: the text of its least hashed id (a row repeated under one id is harmless)
-    texts = src.mapInArrow(packed, "at long, hi long, lo long, packed binary").join(members, ["at", "hi", "lo"])
+    texts = written(src.mapInArrow(packed, "at long, hi long, lo long, packed binary").join(members, ["at", "hi", "lo"]).drop("at"), "jaccard-texts")
+    release(docs.sparkSession)
+    if not members.where("large").isEmpty():
+        split = _split(texts.where("large"), k, num, den)
+        texts = texts.where("not large").select("hi", "lo", "n", "grp", "packed").union(
+            texts.where("large").drop("grp").join(split, "hi").select("hi", "lo", "n", "grp", "packed"))
+    weights = texts.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / WEIGHT)).cast("int").alias("blocks")
+    texts = texts.join(written(weights.select("grp", blocks), "jaccard-blocks"), "grp")
     mine = F.pmod(F.xxhash64("hi", "lo"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = (texts.withColumn("mine", mine).withColumn("other", other)
@@ -252,7 +279,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[Da
             left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
             if not len(left) or not len(right):
                 continue
-            i, j = linked([sets[p] for p in left], [sets[p] for p in right], freq.value, num, den)
+            i, j = linked([sets[p] for p in left], [sets[p] for p in right], num, den)
             i, j = left[i], right[j]
             real = i != j
             got = list(_forest(i[real], j[real], len(ids)))
@@ -262,10 +289,6 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[Da
     return rows, links
 
 
-def _two(shingle: list[np.ndarray], node: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle)), pa.array(np.concatenate(node))], names=["shingle", "node"])
-
-
 def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): the least id that links reach, the row's own included."""
     rows, links = join(docs, k, num, den)

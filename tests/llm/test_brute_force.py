@@ -152,15 +152,18 @@ def test_decontamination_tolerates_substitutions(spark):
     assert 1 in got and 2 not in got and got[1]["n_words"] >= 45 and got[1]["n_equal"] >= 40
 
 
-@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100), (2, 60, 100)])
-def test_jaccard(spark, small_sf, texts, k, num, den):
+@pytest.mark.parametrize("k,num,den,large", [(3, 90, 100, 128), (5, 80, 100, 1), (2, 60, 100, 2)])
+def test_jaccard(spark, small_sf, texts, monkeypatch, k, num, den, large):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(documents(spark, small_sf), k, num, den).collect()}
     assert got == brute.classes(texts, k, num, den)
 
 
-def test_jaccard_family(spark, monkeypatch):
+@pytest.mark.parametrize("large", [1, 1000])
+def test_jaccard_family(spark, monkeypatch, large):
     """A family of near copies that are cut into several blocks."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
     r = random.Random(9)
     base = [f"w{r.randrange(10**6)}" for _ in range(150)]
     rows = {i: " ".join(f"x{r.randrange(10**6)}" if r.random() < 0.012 * (i % 4) else w for w in base) for i in range(120)}
