@@ -9,6 +9,13 @@ from lexiforge.functions.canon import canonical_line
 from lexiforge.functions.text import words
 
 
+def domain_counts(df: DataFrame, domain_col: str, text_col: str, lowercase: bool = True) -> DataFrame:
+    """(domain, word, n): all words of each domain, counted map-side first."""
+    t = F.lower(F.col(text_col)) if lowercase else F.col(text_col)
+    return (df.select(F.col(domain_col).alias("domain"), F.explode(words(t)).alias("word"))
+            .groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")))
+
+
 def domain_vocabulary(df: DataFrame, domain_col: str, text_col: str, top_n: int, lowercase: bool = True) -> DataFrame:
     """Top-``top_n`` words per domain by frequency (ties: word order) with their 1-based rank.
 
@@ -17,9 +24,7 @@ def domain_vocabulary(df: DataFrame, domain_col: str, text_col: str, top_n: int,
     top rows of each task before the per-domain shuffle (window group limit), so a hot
     domain sends at most top_n rows per task to its final sort.
     """
-    t = F.lower(F.col(text_col)) if lowercase else F.col(text_col)
-    counts = (df.select(F.col(domain_col).alias("domain"), F.explode(words(t)).alias("word"))
-              .groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")))
+    counts = domain_counts(df, domain_col, text_col, lowercase)
     w = Window.partitionBy("domain").orderBy(F.desc("n"), "word")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
 

@@ -520,17 +520,16 @@ c AS (SELECT source, w AS word, count(*)::BIGINT AS n
       FROM (SELECT source, unnest({words_sql('lower(text)')}) AS w FROM documents) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS rank FROM c),
 top AS (SELECT * FROM r WHERE rank <= {LEXICON_TOP_N}),
-sh AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', '{LEXICON_SEED}', source, rank)), rank) - 1)::BIGINT
-              AS pos FROM top)"""
+sh AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', '{LEXICON_SEED}', source, word)), word) - 1)::BIGINT
+              AS pos FROM c),
+ln AS (SELECT source, pos, to_json({{'count': n, 'token': word, 'value': word}})::VARCHAR AS line FROM sh)"""
 
 
 ORACLES["domain_lexicon"] = f"WITH {_lexicon_ctes()} SELECT source, rank::BIGINT AS rank, word, n FROM top"
 ORACLES["lexicon_shuffle"] = f"WITH {_lexicon_ctes()} SELECT source, pos, word AS token FROM sh"
-ORACLES["lexicon_summary"] = f"""WITH {_lexicon_ctes()}
-SELECT source, count(*)::BIGINT AS entries,
-       sha256('[' || string_agg(to_json({{'count': n, 'token': word, 'value': word}})::VARCHAR, ',' ORDER BY pos) || ']')
-         AS lexicon_hash
-FROM sh GROUP BY source"""
+ORACLES["lexicon_summary"] = f"""WITH {_lexicon_ctes()},
+h AS {tree_hash_sql('ln', ['source'], 'pos', 'line', 'lexicon_hash')}
+SELECT source, entries, lexicon_hash FROM h JOIN (SELECT source, count(*)::BIGINT AS entries FROM c GROUP BY 1) USING (source)"""
 
 
 def _emb_ctes() -> str:

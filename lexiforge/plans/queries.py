@@ -439,9 +439,10 @@ def domain_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexicon_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = lex.domain_vocabulary(table(spark, sf_dir, "documents"), "source", "text", LEXICON_TOP_N)
-    entries = lex.normalise_entries(v.select("domain", F.col("word").alias("value"), F.col("n").alias("count"), "rank"))
-    return lex.shuffle_positions(entries, "domain", "rank", LEXICON_SEED, bounded=True)  # top-n: bounded
+    """All words of each source, numbered by the distributed dense index."""
+    v = lex.domain_counts(table(spark, sf_dir, "documents"), "source", "text")
+    entries = lex.normalise_entries(v.select("domain", F.col("word").alias("value"), F.col("n").alias("count")))
+    return lex.shuffle_positions(entries, "domain", "token", LEXICON_SEED)
 
 
 @register("lexicon_shuffle")
@@ -453,7 +454,7 @@ def lexicon_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lexicon_summary")
 def lexicon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _lexicon_entries(spark, sf_dir)
-    return lex.lexicon_summary(e, "domain", ["count", "token", "value"]).withColumnRenamed("domain", "source")
+    return lex.lexicon_summary(e, "domain", ["count", "token", "value"], mode="tree").withColumnRenamed("domain", "source")
 
 
 # --- embeddings ----------------------------------------------------------------------------
