@@ -4,6 +4,9 @@
    SEED + WINDOW - 1 equal words in a row share one.
 2. Every seed that occurs more than once is joined to its least occurrence (text key, position): a
    repeated passage costs one row per occurrence and seed, never a pair of all occurrences.
+   Where a seed is frequent, its least occurrence may share nothing else.  So the runs of up to RUN
+   repeated seeds that begin at every repeated seed are sorted, and neighbours in that order are
+   linked too: one of them shares the longest run that any other occurrence shares.
 3. The matches of two texts are chained: a chain ascends in both, scores SEED per match less GAP_COST
    per skipped word in either text, and is found exactly with a Fenwick tree of prefix maxima.  Chains
    are cut at gaps of more than MAX_GAP words.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from lexiforge.llm.words import binary_column, by_key, code_points, shingle_hash
 
 SEED = 6
 WINDOW = 16
+RUN = 16  # seeds of a run; longer ones count as equal when so many are
 GAP_COST = 0.1
 MAX_GAP = 30
 MIN_WORDS = 40
@@ -145,6 +150,73 @@ def align(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], k: int = SEE
     return x[0] - left, x[-1] + k + right, y[0] - left, y[-1] + k + right, miss + m0 + m1
 
 
+def _link(p: tuple, q: tuple) -> tuple | None:
+    """(at, other, pos, other_pos, gaps, other_gaps) of two neighbouring runs that share two seeds or more."""
+    n = next((i for i in range(0, min(len(p[0]), len(q[0])), 4) if p[0][i:i + 4] != q[0][i:i + 4]), min(len(p[0]), len(q[0]))) // 4
+    if n < 2:
+        return None
+    a, b = (p, q) if p[1:3] > q[1:3] else (q, p)
+    return a[1], b[1], a[2], b[2], a[3][:n - 1], b[3][:n - 1]
+
+
+def neighbours(repeated: DataFrame) -> DataFrame:
+    """Links (at, other, pos, other_pos, gaps, other_gaps) of each run of repeated seeds (at, pos, seed, n)
+    to its neighbours in the order of runs; gaps are the words from each shared seed to the next."""
+    spark = repeated.sparkSession
+
+    def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, ["at"]):
+            pos, where = np.unique(t.column("pos").to_numpy(), return_index=True)  # equal rows are one text
+            seed = t.column("seed").to_numpy()[where].astype(">i8").view(np.uint8).reshape(-1, 8)[:, :4].tobytes()
+            often = np.concatenate([[0], np.cumsum(t.column("n").to_numpy()[where] > 2)])
+            gap = np.diff(pos)
+            steps = np.minimum(gap, 255).astype(np.uint8).tobytes()
+            breaks = np.concatenate([np.flatnonzero(gap > WINDOW), [len(pos) - 1]])
+            stop = np.minimum(breaks[np.searchsorted(breaks, np.arange(len(pos)))] + 1, np.arange(len(pos)) + RUN)
+            # the pairs of seeds that occur twice only are matches already
+            keep = np.flatnonzero((stop - np.arange(len(pos)) > 1) & (often[stop] > often[np.arange(len(pos))]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([seed[4 * i:4 * stop[i]] for i in keep], pa.binary()), pa.array(np.full(len(keep), t.column("at")[0].as_py(), dtype=np.int64)),
+                 pa.array(pos[keep], pa.int32()), pa.array([steps[i:stop[i] - 1] for i in keep], pa.binary())], names=["run", "at", "pos", "gaps"])
+
+    runs = written(repeated.select("at", "pos", "seed", "n").repartition("at").sortWithinPartitions("at", "pos")
+                   .mapInArrow(run_rows, "run binary, at long, pos int, gaps binary"), "chain-runs")
+
+    def link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within a slice; its first and last run come as rows with ``edge``, to be linked across slices."""
+        last = None
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            if not rows:
+                continue
+            found = [x for p, q in zip([last, *rows[:-1]] if last else rows[:-1], rows if last else rows[1:], strict=True) if (x := _link(p, q))]
+            found = [(*x, None) for x in found] + ([] if last else [_edge(rows[0])])
+            yield _links(found)
+            last = rows[-1]
+        if last:
+            yield _links([_edge(last)])
+
+    linked = written(runs.repartitionByRange("run", "at", "pos").sortWithinPartitions("run", "at", "pos")
+                     .mapInArrow(link_rows, f"{_LINK}, edge binary"), "chain-neighbours")
+    ends = [(bytes(r["edge"]), r["at"], r["pos"], bytes(r["gaps"])) for r in linked.where("edge is not null").collect()]  # two a slice
+    ends.sort()
+    across = [x for p, q in zip(ends[:-1], ends[1:], strict=True) if p != q and (x := _link(p, q))]
+    return linked.where("edge is null").drop("edge").union(spark.createDataFrame(across, _LINK))
+
+
+_LINK = "at long, other long, pos int, other_pos int, gaps binary, other_gaps binary"
+
+
+def _edge(run: tuple) -> tuple:
+    return run[1], None, run[2], None, run[3], None, run[0]
+
+
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                                      names=["at", "other", "pos", "other_pos", "gaps", "other_gaps", "edge"])
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """(doc_id, start, end, other_id, other_start, other_end, n_words, identity): passages of ``docs``
     (doc_id, text) that repeat, exactly or nearly, an earlier occurrence; offsets in code points."""
@@ -169,16 +241,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENT
 
     seeds = src.select("at", "text").mapInArrow(seed_rows, "at long, seed long, pos int")
     first = (seeds.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("at", "pos")).alias("o"))
-             .where("n > 1").select("seed", F.col("o.at").alias("other"), F.col("o.pos").alias("other_pos")))
-    matches = (seeds.join(written(first, "chain-seeds"), "seed").where("at <> other or pos <> other_pos")
-               .select("at", "other", "pos", "other_pos"))
+             .where("n > 1").select("seed", "n", F.col("o.at").alias("other"), F.col("o.pos").alias("other_pos")))
+    repeated = written(seeds.join(written(first, "chain-seeds"), "seed"), "chain-repeated")
+    matches = (repeated.where("at <> other or pos <> other_pos").select("at", "other", "pos", "other_pos")
+               .withColumns({"gaps": F.lit(b""), "other_gaps": F.lit(b"")}).union(neighbours(repeated)))
 
     def chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_key(batches, ["at", "other"]):
-            x, y = t.column("pos").to_pylist(), t.column("other_pos").to_pylist()
-            if t.column("at")[0] == t.column("other")[0]:
-                pairs = [(p, q) for p, q in set(zip(x, y, strict=True)) if p > q]
-                x, y = [p for p, _ in pairs], [q for _, q in pairs]
+            same = t.column("at")[0] == t.column("other")[0]
+            pairs = set()
+            for p, q, g, h in zip(*(t.column(c).to_pylist() for c in ("pos", "other_pos", "gaps", "other_gaps")), strict=True):
+                pairs.update((a, b) for a, b in zip(accumulate(g, initial=p), accumulate(h, initial=q), strict=True) if not same or a > b)
+            x, y = [p for p, _ in sorted(pairs)], [q for _, q in sorted(pairs)]
             found = chains(x, y)
             if found:
                 n = len(found)

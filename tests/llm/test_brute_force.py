@@ -250,6 +250,22 @@ def test_fuzzy_passages(spark):
         assert 70 <= g["n_words"] <= 82 and g["identity"] >= 0.9 and (g["identity"] < 1 or a == b)
 
 
+def test_passages_of_frequent_lines(spark):
+    """Two texts share an exact passage whose lines are each in 50 other texts: every such pair is found."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(7))
+    rows, pairs = [], []
+    for size, n in ((30, 2), (20, 3), (20, 5)):
+        for _ in range(8):
+            lines = [[word() for _ in range(size)] for _ in range(n)]
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [[word() for _ in range(20)] + sum(lines, []) + [word() for _ in range(20)] for _ in range(2)]
+            rows += [[word() for _ in range(10)] + line + [word() for _ in range(10)] for line in lines for _ in range(50)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {frozenset((g["doc_id"], g["other_id"])) for g in chain_dedup.repeats(docs).where("identity = 1 and n_words >= 60").collect()}
+    assert {frozenset(p) for p in pairs} <= got
+
+
 def test_secrets(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in documents(spark, sf_dir).collect()}
     for r in REGISTRY["op10_secret_scan"](spark, sf_dir).collect():
