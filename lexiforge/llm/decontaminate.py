@@ -11,8 +11,9 @@ holds, 60 bytes a word); a larger benchmark means more passes over the documents
 Documents are never shuffled.
 
 Words are compared without case and ASCII punctuation.  Items of fewer than MIN_ITEM words take no
-part; null texts hold no word; repeated items and rows are reported each; items shorter than a mask
-are sought as one unmasked seed.
+part; null texts hold no word; repeated items and rows are reported each.  Wherever the tolerated
+substitutions fall, one mask leaves them all out, so nothing within the rule is missed: MASKS do so in
+MIN_WORDS words, and shorter items have masks of their own length.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.words import binary_column, code_points, mix64, tokens
 
-MASKS = ("1101100111", "1110010111", "1011011011")
+MASKS = ("11101011", "101100111", "111111")  # one of them avoids any two of MIN_WORDS positions
 MIN_WORDS = 12
 IDENTITY = 0.8
 MIN_ITEM = 5
@@ -36,6 +38,14 @@ BLOCK_WORDS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks over a whole item of ``n`` words: it is cut into two blocks more than substitutions are
+    tolerated, and each mask leaves out as many blocks as there are substitutions."""
+    missing = n - math.ceil(IDENTITY * n)
+    blocks = [j * (missing + 2) // n for j in range(n)]
+    return ["".join("0" if b in out else "1" for b in blocks) for out in combinations(range(missing + 2), missing)]
+
+
 def seeds(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     """The hash under a mask at every position where it fits."""
     n = len(words) - len(mask) + 1
@@ -53,15 +63,14 @@ class Index:
 
     def __init__(self, items: list[np.ndarray], masks: tuple[str, ...] = MASKS):
         self.items = items
-        span = max(len(m) for m in masks)
-        short = sorted({len(w) for w in items if MIN_ITEM <= len(w) < span})
-        self.masks = [*masks, *("1" * n for n in short)]
+        short = sorted({len(w) for w in items if MIN_ITEM <= len(w) < MIN_WORDS})
+        self.masks = [*masks, *(m for n in short for m in short_masks(n))]
         h, item, pos = [], [], []
         for k, words in enumerate(items):
             if len(words) < MIN_ITEM:
                 continue
             for salt, mask in enumerate(self.masks):
-                if salt >= len(masks) and len(mask) != len(words):
+                if (len(mask) != len(words)) if salt >= len(masks) else (len(words) < MIN_WORDS):
                     continue
                 s = seeds(words, mask, salt)
                 h.append(s)

@@ -1,6 +1,8 @@
 """The registered queries against plain versions on whole small tables, and accuracy on held-out rows."""
 
 import hashlib
+import itertools
+import math
 import random
 
 import numpy as np
@@ -152,6 +154,31 @@ def test_decontamination_tolerates_substitutions(spark):
     assert 1 in got and 2 not in got and got[1]["n_words"] >= 45 and got[1]["n_equal"] >= 40
 
 
+def test_masks_avoid_every_placement():
+    """Every placement of the tolerated substitutions leaves a whole seed, in 12 words and in shorter items."""
+    for n in range(decontaminate.MIN_ITEM, decontaminate.MIN_WORDS + 1):
+        masks = decontaminate.MASKS if n == decontaminate.MIN_WORDS else decontaminate.short_masks(n)
+        placed = [{o + j for j, b in enumerate(m) if b == "1"} for m in masks for o in range(n - len(m) + 1)]
+        for out in itertools.combinations(range(n), n - math.ceil(decontaminate.IDENTITY * n)):
+            assert any(not p & set(out) for p in placed)
+
+
+def test_decontamination_finds_all_overlaps():
+    """Every fifth word replaced, random substitutions and short items, against the plain version."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**6)}"
+    found = 0
+    for trial in range(600):
+        item = [word() for _ in range(r.randint(5, 40))]
+        changed = [word() if (k % 5 == trial % 5 if trial % 2 else r.random() < 0.18) else w for k, w in enumerate(item)]
+        text = " ".join([word() for _ in range(9)] + changed + [word() for _ in range(9)])
+        index = decontaminate.Index([decontaminate.tokens(" ".join(item).encode())[0]])
+        want = brute.contaminated(text, [item])
+        assert bool(index.passages(decontaminate.tokens(text.encode())[0])) == want
+        found += want
+    assert 200 < found < 600
+
+
 @pytest.mark.parametrize("k,num,den,large", [(3, 90, 100, 128), (5, 80, 100, 1), (2, 60, 100, 2)])
 def test_jaccard(spark, small_sf, texts, monkeypatch, k, num, den, large):
     monkeypatch.setattr(jaccard_join, "LARGE", large)
