@@ -2,8 +2,9 @@
 
 Base spans come from three fixed patterns.  On top, every token of MIN_LENGTH or more characters
 that no base span touches is scored by two character Markov models, one of random strings and one
-of ordinary identifiers: the mean log-likelihood ratio of its character pairs decides.  Both models
-are counted from labelled samples and smoothed.
+of ordinary identifiers: the mean log-likelihood ratio of its character pairs decides, of the whole
+token or, at twice the threshold, of its best MIN_LENGTH characters, so a key in a path counts.  Both models are
+counted from labelled samples and smoothed.
 
 Positions are code points, end exclusive; each span is a whole match.  Defined results: null text
 counts as empty (no span); without samples both models are uniform and add nothing; repeated rows
@@ -96,7 +97,8 @@ def samples_of(docs: DataFrame, expected: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled samples (token, label) from about ``expected`` documents chosen by hash.
 
     Label 1: what the base patterns find, and the text's digest in four usual spellings.  Label 0:
-    the letter-only words of eight or more characters.
+    the text's tokens of the scanned class, of any length, outside the base patterns, and identifiers
+    spelled from its first words: constant, snake, kebab and camel case, path, numbers, rules.
     """
     rate = expected / max(docs.count(), 1)
     some = docs.where("text is not null").where(unit(F.col("text"), seed=5) < rate).select("text")
@@ -105,7 +107,15 @@ def samples_of(docs: DataFrame, expected: int = SAMPLE_DOCS) -> DataFrame:
                       F.translate(F.upper(F.base64(F.unhex(F.sha2(F.md5("text"), 512)))), "+/=", ""))
     found = F.transform(base_spans(F.col("text")), lambda s: F.when(
         s["kind"] == 0, F.regexp_extract(s["text"], ASSIGN, 2)).otherwise(s["text"]))
-    ordinary = F.regexp_extract_all("text", F.lit(r"[A-Za-z]{8,}"), F.lit(0))
+    rest = F.col("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        rest = F.regexp_replace(rest, F.lit(pattern), F.lit(" "))
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), F.lit(0)), 1, 16)
+    number = F.conv(F.substring(digest, 1, 15), 16, 10)
+    identifiers = F.array(F.upper(F.array_join(words, "_")), F.lower(F.array_join(words, "_")), F.lower(F.array_join(words, "-")),
+                          F.concat(F.lit("/"), F.array_join(words, "/"), F.lit("/")), F.concat(number, number),
+                          F.array_join(F.transform(words, F.initcap), ""), *[F.regexp_replace(number, r"(\d\d)", "$1" + c) for c in "-/_"], *[F.lit(c * MIN_LENGTH) for c in "/=_-+"])
+    ordinary = F.concat(F.regexp_extract_all(rest, F.lit(TOKEN.replace(str(MIN_LENGTH), "2")), F.lit(0)), identifiers)
     label = lambda arr, k: F.transform(arr, lambda t: F.struct(t.alias("token"), F.lit(k).alias("label")))
     return (some.select(F.explode(F.concat(label(F.concat(spelled, found), 1), label(ordinary, 0))).alias("x"))
             .select("x.token", "x.label"))
@@ -129,12 +139,19 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def markov_spans(text: Column, base: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
-    """Tokens that no base span touches and whose mean log-likelihood ratio reaches the threshold."""
+    """Tokens that no base span touches and whose log-likelihood ratio, as a mean of the whole or half
+    the mean of the best MIN_LENGTH characters, reaches the threshold."""
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
 
     def ratio(token: Column) -> Column:
-        total = F.aggregate(_pairs(token), F.lit(0.0), lambda s, i: s + F.get(table, i))
-        return total / (F.length(token) - 1)
+        def mean(ratios: Column) -> Column:
+            return F.aggregate(ratios, F.lit(0.0), lambda s, r: s + r) / F.size(ratios)
+
+        def best(ratios: Column) -> Column:
+            parts = F.transform(F.sequence(F.lit(1), F.size(ratios) - (MIN_LENGTH - 2)), lambda i: mean(F.slice(ratios, i, F.lit(MIN_LENGTH - 1))))
+            return F.greatest(mean(ratios), F.array_max(parts) / 2)  # the best of many parts: twice the threshold
+
+        return _let(F.transform(_pairs(token), lambda i: F.get(table, i)), best)
 
     tokens = match_spans(text, TOKEN, 3)
     return F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
