@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import free_name, unit
+from lexiforge.llm.common import free_name
 
 # The base patterns of the contract.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,7 +33,6 @@ SIZE = len(ALPHABET) + 1  # 0: any other character
 MIN_LENGTH = 20
 TOKEN = r"[A-Za-z0-9+/=_-]{%d,}" % MIN_LENGTH
 THRESHOLD = 0.25  # mean log-likelihood ratio per character pair, in nats
-SAMPLE_DOCS = 5000  # expected number of documents that labelled samples are drawn from
 REDACTED = "[SECRET]"
 _CHUNK = 256
 
@@ -93,15 +92,14 @@ def _pairs(token: Column) -> Column:
                        + _code(F.substr(token, i + 1, F.lit(1))))
 
 
-def samples_of(docs: DataFrame, expected: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled samples (token, label) from about ``expected`` documents chosen by hash.
+def samples_of(docs: DataFrame) -> DataFrame:
+    """Labelled samples (token, label) from all documents.
 
     Label 1: what the base patterns find, and the text's digest in four usual spellings.  Label 0:
     the text's tokens of the scanned class, of any length, outside the base patterns, and identifiers
     spelled from its first words: constant, snake, kebab and camel case, path, numbers, rules.
     """
-    rate = expected / max(docs.count(), 1)
-    some = docs.where("text is not null").where(unit(F.col("text"), seed=5) < rate).select("text")
+    some = docs.where("text is not null").select("text")
     digest = F.sha2(F.col("text"), 256)
     spelled = F.array(digest, F.base64(F.unhex(digest)), F.base64(F.unhex(F.concat(F.md5("text"), digest))),
                       F.translate(F.upper(F.base64(F.unhex(F.sha2(F.md5("text"), 512)))), "+/=", ""))
@@ -126,8 +124,9 @@ def train(samples: DataFrame) -> list[float]:
 
     ``samples``: (token, label).  The counts that come back number 2 * SIZE**2 at most.
     """
-    got = (samples.where("length(token) > 1").select("label", F.explode(_pairs(F.col("token"))).alias("pair"))
-           .groupBy("label", "pair").count().collect())
+    tokens = samples.where("length(token) > 1").groupBy("label", "token").agg(F.count("*").alias("n"))
+    got = (tokens.select("label", "n", F.explode(_pairs(F.col("token"))).alias("pair"))
+           .groupBy("label", "pair").agg(F.sum("n").alias("count")).collect())
     counts = {(r["label"], r["pair"]): r["count"] for r in got}
     table = []
     for first in range(SIZE):
