@@ -322,7 +322,7 @@ def run_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BPE_MIN_FREQ = 2
-BPE_VOCAB_SIZE = 160  # above the alphabet of the texts: training ends when the vocabulary is full
+BPE_VOCAB_SIZE = 10_000  # the declared vocabulary: training ends when it is full or no pair is left
 BPE_SMALL_VOCAB_SIZE = 40  # below it: the vocabulary is cut within the alphabet
 
 

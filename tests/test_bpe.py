@@ -1,10 +1,12 @@
 """BPE goldens (hand-worked in FIXTURES.md) and training invariants."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from lexiforge.operators import bpe
+from lexiforge.plans import queries
 
 
 def units_of(spark, texts):
@@ -156,3 +158,14 @@ def test_foreign_merge_order(spark):
     df = spark.createDataFrame([("ababab",), ("babab",), ("aabab",)], "text string")
     for r in df.select("text", bpe.encoded(F.col("text"), model)["tokens"].alias("t")).collect():
         assert r["t"] == _encode_plain(r["text"], merges)
+
+
+def test_registered_model_goes_to_the_declared_vocabulary(spark, tmp_path):
+    """The registered queries' model against a sequential trainer, on a table whose pairs run out below 10,000."""
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words * 2)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    merges, _ = _sequential({w: 2 * words.count(w) for w in words}, 10_000, 2)
+    assert len(merges) > 160
+    assert queries.bpe_model(spark, str(tmp_path)).merges == merges
