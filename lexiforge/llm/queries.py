@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import chain_dedup, decontaminate, fm_quality, hash_forest, jaccard_join, langid, mixing, secret_scan, suffix_dedup, token_counts
+from lexiforge.llm import chain_dedup, conversation_repair, decontaminate, fm_quality, hash_forest, jaccard_join, langid, mixing, secret_scan, suffix_dedup, token_counts
 from lexiforge.llm.common import documents
 
 
@@ -50,6 +50,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(docs, secret_scan.train(secret_scan.samples_of(docs)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return conversation_repair.report(conversation_repair.damaged(rows))
+
+
 REGISTRY = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_hash_forest": op2_hash_forest,
@@ -61,6 +66,7 @@ REGISTRY = {
     "op8_token_counts": op8_token_counts,
     "op9_chain_dedup": op9_chain_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES = {

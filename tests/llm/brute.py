@@ -1,8 +1,10 @@
 """Plain single-process versions of the operators, for small inputs."""
 
 import hashlib
+import itertools
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,3 +96,71 @@ def contaminated(text, items: list, need: int = 12, identity: float = 0.8, least
             if any(sum(same[q:q + n]) >= math.ceil(identity * n) for q in range(len(same) - n + 1)):
                 return True
     return False
+
+
+def repaired(rows: list) -> tuple:
+    """(cost, audit, repaired messages) of (role, text, fault) rows: every cheapest audit is spelled out."""
+    steps = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    name = {"u": "user", "a": "assistant"}
+
+    def put(to, state, cost, audits):
+        if state not in to or cost < to[state][0]:
+            to[state] = (cost, set(audits))
+        elif cost == to[state][0]:
+            to[state][1].update(audits)
+
+    def insertions(live):
+        for _ in range(4):
+            for state, (cost, audits) in list(live.items()):
+                for r in steps[state].values():
+                    if r in name:
+                        put(live, r, cost + 2, {(a + "I", (*out, (name[r], ""))) for a, out in audits})
+        return live
+
+    live = insertions({"": (0, {("", ())})})
+    for role, text, fault in rows:
+        to: dict = {}
+        extra = fault == "truncated"
+        for state, (cost, audits) in live.items():
+            put(to, state, cost + 3, {(a + "D", out) for a, out in audits})
+            if fault in ("blank", "duplicate"):
+                continue
+            for r in steps[state].values():
+                if role[:1] == r:
+                    put(to, r, cost + extra, {(a + "K", (*out, (role, text))) for a, out in audits})
+                if r in name:
+                    put(to, r, cost + 2 + extra, {(a + "R", (*out, (name[r], text))) for a, out in audits})
+        live = insertions(to)
+    cost = min(live[s][0] for s in ("", "a") if s in live)
+    audit, out = min(x for s in ("", "a") if s in live and live[s][0] == cost for x in live[s][1])
+    return cost, audit, out
+
+
+def conversation(rows: list) -> tuple:
+    """Report of damaged (turn, role, text) rows in order, without the conv_id."""
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    faults, seen = [], set()
+    for _, role, text in rows:
+        words = WORD.findall(text)
+        faults.append("blank" if not words else "duplicate" if (role, text) in seen else "truncated" if words[-1][-1] not in ".!?" else "")
+        seen.add((role, text))
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(rows))
+    cost, audit, out = repaired([(r, t, f) for (_, r, t), f in zip(rows, faults, strict=True)])
+    text = "\n".join(f"{r}:{t}" for r, t in out)
+    return (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit,
+            hashlib.sha256(text.encode()).hexdigest())
+
+
+def damaged(rows: list) -> dict:
+    """conv_id -> damaged (turn, role, text) rows in order, from (conv_id, turn, role, text)."""
+    out: dict = {}
+    for conv_id, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = zlib.crc32(f"{' ' if conv_id is None else conv_id}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        row = (turn, "user" if kind == 4 else role, text)
+        out.setdefault(conv_id, []).extend([] if kind == 0 else [row, row] if kind == 3 else [row])
+    for rows_ in out.values():
+        rows_.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    return out
