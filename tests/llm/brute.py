@@ -164,3 +164,38 @@ def damaged(rows: list) -> dict:
     for rows_ in out.values():
         rows_.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
     return out
+
+
+def spelling_words(rows: list, damage: int = 97) -> Counter:
+    """All (damaged) words of (doc_id, text) rows with their numbers."""
+    out: Counter = Counter()
+    for doc_id, text in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = w.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{w}".encode())
+            out[w[:h % len(w)] + w[h % len(w) + 1:] if h % damage == 0 else w] += 1
+    return out
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def variants(words: dict) -> dict:
+    """word -> (form, root, n, n_near, form_n), every two words held against each other."""
+    near = {w: [v for v in words if one_edit(w, v)] for w in words}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * n else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n, len(near[w]), form[w] and words[form[w]])
+    return out
