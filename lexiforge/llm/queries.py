@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import chain_dedup, conversation_repair, decontaminate, fm_quality, hash_forest, jaccard_join, langid, mixing, secret_scan, spelling_groups, suffix_dedup, token_counts
+from lexiforge.llm import chain_dedup, conversation_repair, decontaminate, fm_quality, hash_forest, jaccard_join, langid, mixing, pii, secret_scan, spelling_groups, suffix_dedup, token_counts
 from lexiforge.llm.common import documents
 
 
@@ -59,6 +59,11 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups.variants(documents(spark, sf_dir))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.report(docs, pii.train(docs))
+
+
 REGISTRY = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_hash_forest": op2_hash_forest,
@@ -72,6 +77,7 @@ REGISTRY = {
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_groups": op12_spelling_groups,
+    "op13_pii": op13_pii,
 }
 
 ORACLES = {

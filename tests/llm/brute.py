@@ -199,3 +199,18 @@ def variants(words: dict) -> dict:
             root = form[root]
         out[w] = (form[w], root, n, len(near[w]), form[w] and words[form[w]])
     return out
+
+
+def pii_spans(text: str) -> list:
+    """(start, kind, end) of the fixed personal-data patterns, written down as they are stated."""
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(d[::-1])) % 10 == 0
+
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m[0].split("."))) <= 255]
+    for kind, pattern, lo, hi in ((2, r"[0-9]([\x20-]?[0-9])+", 14, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 10, 15)):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if lo <= len(d) <= hi and (kind == 3 or luhn(d)):
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
