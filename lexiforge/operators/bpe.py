@@ -2,21 +2,32 @@
 
 Training is exact and distributed.  The unit table (distinct unit -> frequency) is a written table of
 integer symbol sequences; symbol numbers are local to one training run, and one string has one number.
-A round is one job over it:
-
-* each task replays the merges that are not yet folded into the table and then the next ``speculate``
-  most promising ones, whole batches at a time in numpy;
-* what comes back are the pair-count changes of those steps, and of these only the pairs that can
-  matter: the ``track`` pairs last fetched with the greatest counts, and new pairs that reach the least of them;
-* the driver commits the longest run of steps at which a sequential trainer would choose the same
-  pair (the first always qualifies) and never holds more than the tracked pairs.
-
-When the tracked pairs no longer contain the best one for certain, they are fetched again with one
-distributed count and top-k.  The alphabet on the driver is bounded by the code points.
+A round is one job over it: tasks apply a whole batch of merges at once, vectorised, and return the
+changed pair counts, summed before they reach the driver.
+
+The batch holds every merge that a sequential trainer is certain to make just so, though not yet in
+which order: the best pair, and every pair (c, d) that nothing can touch before its turn, because
+
+* it is more frequent than all pairs (x, c) and (d, y), so its occurrences stay as they are: whatever x and
+  y grow into, (xx, c) and (d, yy) are no more frequent than the pairs they began as;
+* the same holds for the sums over strings that begin (end) with one another, as one string can be
+  reached in several ways, and for all pairs that would spell c or d anew;
+* nothing else in the batch spells the same string, and if a known symbol does, no pair of that symbol is
+  or becomes as frequent as (c, d).
+
+Pairs of equal frequency are ordered by their strings, and that order is used where it is certain.  Which
+merge came when follows afterwards: `_Order` takes committed merges by frequency and strings, as the
+sequential trainer would, once their symbols exist, and no further than the best pair not yet merged.
+
+The driver holds the pairs with their counts, at most ``track`` of them before the rarest are dropped; the
+rest is then known only to be no more frequent than ``floor``, which the rules above allow for.  They
+are counted again when the best pair is no longer above it.  The alphabet is bounded by the code points.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import heapq
 import itertools
 from collections.abc import Iterator, Sequence
@@ -32,7 +43,12 @@ from pyspark.sql import types as T
 from lexiforge.functions.text import END_OF_WORD, UNK, chars, col_, words
 from lexiforge.session import scratch_path
 
-FOLD_EVERY = 32  # committed merges between two writes of the unit table
+FOLD_EVERY = 8  # rounds between two writes of the unit table
+TRACK = 1_000_000  # pairs that the driver holds
+UNITS_PER_TASK = 25_000
+FEW_TASKS = 16
+ASKED = 4096  # pairs whose neighbours a round may ask for
+PATIENCE = 5  # rounds before a pair that was uncertain is looked at again
 MEMO_WORDS = 500_000  # encoded words that a worker remembers
 
 
@@ -137,25 +153,40 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.repeat(batch.column(1).to_numpy(), sizes)
 
 
-def _hits(flat: np.ndarray, left: int, right: int) -> np.ndarray:
-    """Places of the non-overlapping occurrences of a pair, from the left."""
-    at = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right))
-    if left != right or len(at) < 2:
-        return at
-    new_run = np.concatenate([[True], np.diff(at) != 1])
-    return at[(at - at[new_run][np.cumsum(new_run) - 1]) % 2 == 0]
+def _places(flat: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the non-overlapping occurrences of the pairs ``keys`` (sorted), and which pair each is.
 
+    Only a symbol's pair with itself can overlap (`_Pairs.batch`); it is taken from the left.
+    """
+    pair = flat[:-1] << 32 | flat[1:]
+    pair[(flat[:-1] < 0) | (flat[1:] < 0)] = -1
+    which = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+    at = np.flatnonzero(keys[which] == pair)
+    if len(at) > 1:
+        new_run = np.concatenate([[True], np.diff(at) != 1])
+        at = at[(at - at[new_run][np.cumsum(new_run) - 1]) % 2 == 0]
+    return at, which[at]
 
-def _merged(flat: np.ndarray, freq: np.ndarray, at: np.ndarray, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _merged(flat: np.ndarray, freq: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(at):
         return flat, freq
     keep = np.ones(len(flat), dtype=bool)
     keep[at + 1] = False
     flat = flat.copy()
-    flat[at] = symbol
+    flat[at] = symbols
     return flat[keep], freq[keep]
 
 
+def _replayed(batch: pa.RecordBatch, steps: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's sequences after merges that are not yet folded into the table."""
+    flat, freq = _flat(batch)
+    for keys, symbols in steps:
+        at, which = _places(flat, keys)
+        flat, freq = _merged(flat, freq, at, symbols[which])
+    return flat, freq
+
+
 def _pairs_at(flat: np.ndarray, freq: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     places = np.unique(places[(places >= 0) & (places < len(flat) - 1)])
     left, right = flat[places], flat[places + 1]
@@ -170,50 +201,67 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return u, total
 
 
-def _counts_task(steps: list[tuple[int, int, int]]):
+def _touches(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    return np.isin(keys >> 32, symbols) | np.isin(keys & 0xFFFFFFFF, symbols)
+
+
+def _counts_task(steps: list[tuple[np.ndarray, np.ndarray]]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, freq = _flat(batch)
-            for left, right, symbol in steps:
-                flat, freq = _merged(flat, freq, _hits(flat, left, right), symbol)
+            flat, freq = _replayed(batch, steps)
             keys, n = _summed(*_pairs_at(flat, freq, np.arange(len(flat))))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
     return task
 
 
-def _deltas_task(steps: list[tuple[int, int, int]], tries: list[tuple[int, int, int]], tracked: np.ndarray, fresh: int):
-    """Pair-count changes of each tried step, restricted to tracked pairs and to pairs of a symbol
-    numbered ``fresh`` or above."""
+def _changes_task(steps: list, keys: np.ndarray, symbols: np.ndarray, fresh: int, again: np.ndarray, tracked: np.ndarray | None,
+                  asked: list[np.ndarray]):
+    """Pair-count changes by one batch; of the symbols ``again``, known before, all pairs with their
+    whole counts (kind 1).  ``tracked``: the only old pairs whose changes are asked for.  ``asked``: pairs
+    whose next (kind 2) or previous (kind 3) symbols are counted after the batch."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, freq = _flat(batch)
-            for left, right, symbol in steps:
-                flat, freq = _merged(flat, freq, _hits(flat, left, right), symbol)
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for k, (left, right, symbol) in enumerate(tries):
-                at = _hits(flat, left, right)
-                if not len(at):
-                    continue
-                old, old_n = _pairs_at(flat, freq, np.concatenate([at - 1, at, at + 1]))
-                flat, freq = _merged(flat, freq, at, symbol)
-                now = at - np.arange(len(at))
-                new, new_n = _pairs_at(flat, freq, np.concatenate([now - 1, now]))
-                keys, d = _summed(np.concatenate([old, new]), np.concatenate([-old_n, new_n]))
-                use = (d != 0) & (np.isin(keys, tracked) | (keys >> 32 >= fresh) | (keys & 0xFFFFFFFF >= fresh))
-                out.append((np.full(int(use.sum()), k, dtype=np.int32), keys[use], d[use]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["k", "pair", "d"])
+            flat, freq = _replayed(batch, steps)
+            at, which = _places(flat, keys)
+            old, old_n = _pairs_at(flat, freq, np.concatenate([at - 1, at, at + 1]))
+            flat, freq = _merged(flat, freq, at, symbols[which])
+            now = at - np.arange(len(at))
+            new, new_n = _pairs_at(flat, freq, np.concatenate([now - 1, now]))
+            pair, d = _summed(np.concatenate([old, new]), np.concatenate([-old_n, new_n]))
+            use = d != 0
+            if tracked is not None:
+                use &= (pair >> 32 >= fresh) | (pair & 0xFFFFFFFF >= fresh) | np.isin(pair, tracked)
+            if len(again):
+                use &= ~_touches(pair, again)
+            out = [(pair[use], d[use], np.zeros(int(use.sum()), dtype=np.int64))]
+            kinds = [0]
+            if len(again):
+                every, n = _summed(*_pairs_at(flat, freq, np.concatenate([(x := np.flatnonzero(np.isin(flat, again))) - 1, x])))
+                out.append((every, n, np.zeros(len(every), dtype=np.int64)))
+                kinds.append(1)
+            for kind, keys_, step in ((2, asked[0], 2), (3, asked[1], -1)):
+                if len(keys_):
+                    pair = flat[:-1] << 32 | flat[1:]
+                    at = np.flatnonzero(np.isin(pair, keys_) & (flat[:-1] >= 0) & (flat[1:] >= 0))
+                    at = at[at + step >= 0]  # what follows a unit's last symbol is its end mark
+                    beside = flat[at + step]
+                    at, beside = at[beside >= 0], beside[beside >= 0]
+                    u, inv = np.unique(np.stack([pair[at], beside]), axis=1, return_inverse=True)
+                    out.append((u[0], np.bincount(inv.ravel(), weights=freq[at], minlength=u.shape[1]).astype(np.int64), u[1]))
+                    kinds.append(kind)
+            pair, d, beside = (np.concatenate(c) for c in zip(*out, strict=True))
+            if len(pair):
+                kind = np.repeat(np.array(kinds, dtype=np.int32), [len(x[0]) for x in out])
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(d), pa.array(kind), pa.array(beside)], names=["pair", "d", "kind", "beside"])
 
     return task
 
 
-def _fold_task(steps: list[tuple[int, int, int]]):
+def _fold_task(steps: list[tuple[np.ndarray, np.ndarray]]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, freq = _flat(batch)
-            for left, right, symbol in steps:
-                flat, freq = _merged(flat, freq, _hits(flat, left, right), symbol)
+            flat, _ = _replayed(batch, steps)
             ends = np.flatnonzero(flat == -1)
             sizes = np.diff(np.concatenate([[-1], ends])) - 1
             seq = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat[flat >= 0], pa.int32()))
@@ -239,25 +287,330 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class _Tracked:
-    """The pairs that may be best, with their counts; ``floor`` is the key of the last one fetched."""
-
-    def __init__(self, rows: list, full: bool, names: list[str]):
-        self.names = names
-        self.counts = {r["pair"]: r["n"] for r in rows}
-        self.floor = self.key(rows[-1]["pair"]) if full else None
-        self.least = rows[-1]["n"] if full else 0
-
-    def key(self, pair: int, n: int | None = None) -> tuple:
-        return (-(self.counts[pair] if n is None else n), self.names[pair >> 32], self.names[pair & 0xFFFFFFFF])
-
-    def leaders(self, n: int, min_frequency: int) -> list[int]:
-        """The best pairs, as far as they are certain to be better than every pair not tracked."""
-        able = (p for p, c in self.counts.items() if c >= min_frequency)
-        return [p for p in heapq.nsmallest(n, able, key=self.key) if self.floor is None or self.key(p) <= self.floor]
+def _agree(x: str, rest: str, before: bool) -> bool:
+    """May what stands beside a symbol be a part of a string that spells ``rest`` there, or more?"""
+    return x.endswith(rest) or rest.endswith(x) if before else x.startswith(rest) or rest.startswith(x)
+
+
+class _Pairs:
+    """Counts of all pairs that are more frequent than ``floor``, and the choice of a round's batch."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, floor: int, names: list[str], number: dict[str, int]):
+        self.floor, self.names, self.number = floor, names, number
+        self.round, self.again = 0, {}  # pair -> the round in which it may be certain
+        self.asking: dict[tuple[int, bool], None] = {}
+        # (pair, before) -> strings before or after the pair, and how often.  The text around a pair never
+        # changes, so that these stay upper bounds until one of its symbols is spelled anew
+        self.beside: dict[tuple[int, bool], dict[str, int]] = {}
+        self.replace(keys, counts)
+
+    def replace(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], counts[order]
+        self.by_right = np.argsort(self.keys & 0xFFFFFFFF, kind="stable")
+        self.right = (self.keys & 0xFFFFFFFF)[self.by_right]
+
+    def asked(self) -> list[np.ndarray]:
+        """Pairs whose next and previous symbols would settle uncertain candidates."""
+        return [np.array([p for p, before in self.asking if before == b], dtype=np.int64) for b in (False, True)]
+
+    def update(self, pair: np.ndarray, d: np.ndarray, kind: np.ndarray, beside: np.ndarray, again: np.ndarray, track: int) -> None:
+        """Take in a round's changes."""
+        if len(again):
+            spelled = set(again.tolist())
+            self.beside = {k: v for k, v in self.beside.items() if k[0] >> 32 not in spelled and k[0] & 0xFFFFFFFF not in spelled}
+        for p, before in self.asking:
+            self.beside[p, before] = {}
+        for p, n, k, x in zip(pair[kind > 1].tolist(), d[kind > 1].tolist(), kind[kind > 1].tolist(), beside[kind > 1].tolist(), strict=True):
+            around = self.beside[p, k == 3]
+            around[self.names[x]] = around.get(self.names[x], 0) + n
+        self.asking = {}
+        whole, pair, d = kind[kind < 2] == 1, pair[kind < 2], d[kind < 2]
+        changed, by = _summed(pair[~whole], d[~whole])
+        every, total = _summed(pair[whole], d[whole])
+        keys, n = self.keys, self.n.copy()
+        if len(again):
+            keep = ~_touches(keys, again)
+            keys, n = keys[keep], n[keep]
+        at = np.minimum(np.searchsorted(keys, changed), max(0, len(keys) - 1))
+        known = keys[at] == changed if len(keys) else np.zeros(len(at), dtype=bool)
+        n[at[known]] += by[known]
+        keys = np.concatenate([keys, changed[~known], every])
+        n = np.concatenate([n, by[~known], total])
+        if (n > self.floor).sum() > track:
+            self.floor = int(np.partition(n, len(n) - track // 2)[len(n) - track // 2])
+        keep = n > self.floor
+        self.replace(keys[keep], n[keep])
+
+    def key(self, i: int) -> tuple:
+        return (-int(self.n[i]), self.names[self.keys[i] >> 32], self.names[self.keys[i] & 0xFFFFFFFF])
+
+    def best(self) -> int | None:
+        if not len(self.n):
+            return None
+        return min(np.flatnonzero(self.n == self.n.max()).tolist(), key=self.key)
+
+    def count(self, left: int, right: int) -> int:
+        pair = left << 32 | right
+        at = int(np.searchsorted(self.keys, pair))
+        return int(self.n[at]) if at < len(self.keys) and self.keys[at] == pair else 0
+
+    def _beside(self, symbol: int, before: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that come after (``before``: before) a symbol, and how often."""
+        if before:
+            part = self.by_right[slice(*np.searchsorted(self.right, [symbol, symbol + 1]))]
+            return self.keys[part] >> 32, self.n[part]
+        part = slice(*np.searchsorted(self.keys, [symbol << 32, (symbol + 1) << 32]))
+        return self.keys[part] & 0xFFFFFFFF, self.n[part]
+
+    def _onward(self, s: str, rest: str, before: bool) -> int:
+        """How frequent a merge of ``s`` with what stands beside it may become that goes on to spell ``rest``
+        (from its near end), a part of it, or more."""
+        got = self.seen.get((s, rest, before))
+        if got is not None:
+            return got
+        if before not in self.sorted:
+            spelled = [x[::-1] for x in self.names] if before else self.names
+            order = sorted(range(len(spelled)), key=spelled.__getitem__)
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            self.sorted[before] = ([spelled[i] for i in order], rank)
+        spelled, rank = self.sorted[before]
+        near = rest[::-1] if before else rest
+        lo, hi = bisect.bisect_left(spelled, near), bisect.bisect_left(spelled, near + "\U0010ffff")
+        symbol = self.number[s]
+        others, n = self._beside(symbol, before)
+        more = (rank[others] >= lo) & (rank[others] < hi)
+        around = dict(zip((spelled[r] for r in rank[others[more]].tolist()), n[more].tolist(), strict=True))
+        total = max((c + sum(around.get(x[:i], 0) for i in range(len(near), len(x))) for x, c in around.items()), default=0)
+        for i in range(1, len(rest)):
+            other = self.number.get(rest[-i:] if before else rest[:i])
+            if other is not None:
+                total += self.count(other, symbol) if before else self.count(symbol, other)
+        self.seen[s, rest, before] = total
+        return total
+
+    def _rivalled(self, symbol: int, before: bool, count: int, slack: int) -> bool:
+        """May a string beside the symbol, reached in several ways, be as frequent as ``count`` before its turn?
+
+        A shorter string reaches a longer one only by a merge that is as frequent itself.
+        """
+        if (symbol, before) not in self.chains:
+            others, n = self._beside(symbol, before)
+            if len(others) < 2 or int(n.sum()) + slack < count:
+                return bool(slack and len(n)) and int(n.max()) + slack >= count
+            around = {self.names[o]: c for o, c in zip(others.tolist(), n.tolist(), strict=True)}
+            chains = []
+            for s, c in around.items():
+                parts = [t for i in range(1, len(s)) if (t := s[i:] if before else s[:i]) in around]
+                if parts:
+                    chains.append((c + sum(around[t] for t in parts), s, parts))
+            self.chains[symbol, before] = (around, sorted(chains, reverse=True), max(around.values(), default=0))
+        around, chains, most = self.chains[symbol, before]
+        if slack and most + slack >= count:
+            return True
+        for total, s, parts in chains:
+            if total + slack < count:
+                return False
+            others, unsure = 0, []
+            for t in parts:
+                rest = s[:-len(t)] if before else s[len(t):]
+                if self._onward(t, rest, before) + slack >= count:
+                    pair = self.number[t] << 32 | symbol if before else symbol << 32 | self.number[t]
+                    known = self.beside.get((pair, before))
+                    others += around[t] if known is None else sum(k for x, k in known.items() if _agree(x, rest, before))
+                    unsure += [(pair, before)] if known is None else []
+            if (others or slack) and around[s] + others + slack >= count:
+                if len(self.asking) < ASKED:
+                    self.asking.update(dict.fromkeys(unsure))
+                return True
+        return False
+
+    def _spelled(self, s: str) -> int:
+        """How often the string might be spelled anew, at most: over its first pairs, what can go on to its end."""
+        @functools.cache
+        def way(a: int, b: int, c: int) -> int:
+            left, right = self.number.get(s[a:b]), self.number.get(s[b:c])
+            n = 0 if left is None or right is None else self.count(left, right)
+            return n if not n or c == len(s) else min(n, sum(way(b, c, d) for d in range(c + 1, len(s) + 1)))
+
+        return sum(way(0, b, c) for b in range(1, len(s)) for c in range(b + 1, len(s) + 1))
+
+    def batch(self, wanted: int, min_frequency: int, made: list[int]) -> list[int]:
+        """Indices of the best pair and of those that are certain, as far as they can be among the ``wanted``
+        next merges together with those ``made`` (their counts) whose turn has not come."""
+        top = self.best()
+        if top is None or self.n[top] < min_frequency:
+            return []
+        every = np.concatenate([self.n, np.array(made, dtype=np.int64)])
+        at = len(every) - min(wanted, len(every))
+        least = max(min_frequency, int(np.partition(every, at)[at]))
+        some = np.flatnonzero(self.n >= min(least, self.n[top]))
+        n, left, right = self.n[some], self.keys[some] >> 32, self.keys[some] & 0xFFFFFFFF
+        most_after, most_before = np.zeros(len(self.names), dtype=np.int64), np.zeros(len(self.names), dtype=np.int64)
+        np.maximum.at(most_after, left, n)
+        np.maximum.at(most_before, right, n)
+        used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+        order = np.argsort(np.argsort(np.array([self.names[u] for u in used], dtype=object)))[place]
+        lo, ro = order[:len(left)], order[len(left):]  # ranks of the strings
+        tied = n == most_before[right]
+        blocked = np.zeros(len(self.names), dtype=bool)  # a tied pair (x, c) comes first, or x may grow
+        blocked[right[tied & ((lo <= ro) | (most_before[left] >= n))]] = True
+        ok = ((n > most_after[right]) | ((n == most_after[right]) & (lo < ro))) & ((n > most_before[left]) | ((n == most_before[left]) & ~blocked[left]))
+        strings = {self.names[self.keys[top] >> 32] + self.names[self.keys[top] & 0xFFFFFFFF]}
+        out = [top]
+        self.round += 1
+        self.seen, self.chains, self.sorted = {}, {}, {}
+        slack = self.floor * (1 + max(len(self.names[u]) for u in used))  # of pairs that are not held: no more strings than letters
+        for i in some[ok][np.argsort(-n[ok], kind="stable")].tolist():
+            c, d, count = int(self.keys[i] >> 32), int(self.keys[i] & 0xFFFFFFFF), int(self.n[i])
+            s = self.names[c] + self.names[d]
+            if i == top or s in strings or self.round < self.again.get(int(self.keys[i]), 0):
+                continue
+            asking = len(self.asking)
+            if (any(self._spelled(self.names[x]) + slack >= count for x in (c, d)) or self._rivalled(d, False, count, slack)
+                    or self._rivalled(c, True, count, slack) or (s in self.number and self._crowded(c, d, self.number[s], count, slack))):
+                self.again[int(self.keys[i])] = self.round + (1 if len(self.asking) > asking else PATIENCE)
+                continue
+            strings.add(s)
+            out.append(i)
+        return out
 
+    def _crowded(self, c: int, d: int, symbol: int, count: int, slack: int) -> bool:
+        """Might a pair of a symbol that is known already become as frequent as the merge that spells it anew?"""
+        for before, end in ((False, d), (True, c)):
+            around: dict[str, int] = {}
+            for x in (symbol, end):
+                others, n = self._beside(x, before)
+                for o, k in zip(others.tolist(), n.tolist(), strict=True):
+                    around[self.names[o]] = around.get(self.names[o], 0) + k
+            for s, n in around.items():
+                if n + slack + sum(around.get(s[i:] if before else s[:i], 0) for i in range(1, len(s))) >= count:
+                    return True
+        return False
+
+
+class _Order:
+    """Committed merges in the order in which a sequential trainer makes them."""
+
+    def __init__(self):
+        self.ready: list[tuple] = []
+        self.waiting: dict[int, list[tuple]] = {}
+        self.maker: dict[int, int] = {}  # symbol -> the last committed merge that made it
+        self.taken: set[int] = set()
+        self.made = 0
+
+    def commit(self, key: tuple, left: int, right: int, symbol: int) -> None:
+        needs = {m for m in (self.maker.get(left), self.maker.get(right)) if m is not None and m not in self.taken}
+        self._hold((key, self.made, symbol, needs))
+        self.made += 1
+
+    def sealed(self, symbols: list[tuple[int, int]]) -> None:
+        """The round's merges (number, symbol) may be built upon from now on."""
+        self.maker.update({symbol: number for number, symbol in symbols})
+
+    def pending(self) -> list[int]:
+        """Counts of the merges whose turn has not come."""
+        return [-item[0][0] for items in (self.ready, *self.waiting.values()) for item in items]
+
+    def _hold(self, item: tuple) -> None:
+        key, number, symbol, needs = item
+        if needs:
+            self.waiting.setdefault(next(iter(needs)), []).append(item)
+        else:
+            heapq.heappush(self.ready, (key, number, symbol))
+
+    def take(self, best: tuple | None) -> Iterator[tuple[tuple, int]]:
+        """(key, symbol) of all merges that come before the best pair not yet merged."""
+        while self.ready and (best is None or self.ready[0][0] < best):
+            key, number, symbol = heapq.heappop(self.ready)
+            self.taken.add(number)
+            for k, n, s, needs in self.waiting.pop(number, []):
+                self._hold((k, n, s, needs - self.taken))
+            yield key, symbol
+
+
+class _UnitTable:
+    """The written unit table, the merges not yet folded into it, and the jobs over both."""
+
+    SCHEMA = "seq array<int>, freq bigint"
+
+    def __init__(self, units: DataFrame, points: np.ndarray, numbers: np.ndarray, end: int):
+        self.parts = parts = max(1, min(2 * units.sparkSession.sparkContext.defaultParallelism, -(-units.count() // UNITS_PER_TASK)))
+        self.table = _stored(units.repartition(parts).mapInArrow(_numbered_task(points, numbers, end), self.SCHEMA))
+        self.steps: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def counts(self, track: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``track`` most frequent pairs."""
+        counted = self.table.mapInArrow(_counts_task(self.steps), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        rows = counted.orderBy(F.desc("n")).limit(track).toArrow()
+        return rows.column("pair").to_numpy(), rows.column("n").to_numpy()
+
+    def apply(self, keys: np.ndarray, symbols: np.ndarray, fresh: int, again: np.ndarray, pairs: _Pairs) -> list[np.ndarray]:
+        """Make a batch of merges; returns the changes as pair, d, kind, beside (`_changes_task`)."""
+        task = _changes_task(self.steps, keys, symbols, fresh, again, pairs.keys if pairs.floor else None, pairs.asked())
+        rows = self.table.mapInArrow(task, "pair bigint, d bigint, kind int, beside bigint")
+        if self.parts > FEW_TASKS or pairs.floor:  # a few tasks' rows are as soon added up on the driver
+            rows = rows.groupBy("pair", "kind", "beside").agg(F.sum("d").alias("d")).select("pair", "d", "kind", "beside")
+        if pairs.floor:  # new pairs below it need not travel
+            old = (F.shiftright("pair", 32) < fresh) & (F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)) < fresh)
+            rows = rows.where((old & (F.col("kind") == 0)) | (F.col("kind") > 1) | (F.col("d") > pairs.floor))
+        rows = rows.toArrow()
+        self.steps.append((keys, symbols))
+        if len(self.steps) >= FOLD_EVERY:
+            self.table, self.steps = _stored(self.table.mapInArrow(_fold_task(self.steps), self.SCHEMA)), []
+        return [c.to_numpy() for c in rows.columns]
+
+
+def _learned(table: _UnitTable, base: list[str], vocab_size: int, min_frequency: int, track: int) -> tuple[list[tuple[str, str]], int]:
+    """All merges in order, and the number of rounds.  ``base``: the strings of the symbols 0, 1, ..."""
+    names = list(base)
+    number = {s: i for i, s in enumerate(names)}
+    known = {UNK, *base}
+    merges: list[tuple[str, str]] = []
 
-def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, speculate: int = 24, track: int = 2048,
+    def fetch() -> _Pairs:
+        keys, n = table.counts(track)
+        floor = int(n.min()) if len(n) >= track else 0  # pairs as frequent as the last one may be missing
+        return _Pairs(keys[n > floor], n[n > floor], floor, names, number)
+
+    pairs, order, rounds = fetch(), _Order(), 0
+    while True:
+        top = pairs.best()
+        if top is None and pairs.floor >= min_frequency:
+            pairs = fetch()
+            top = pairs.best()
+            if top is None:
+                raise ValueError(f"{track} pairs and more are equally frequent: raise track")
+        ended = top is None or pairs.n[top] < min_frequency
+        for key, symbol in order.take(None if ended else pairs.key(top)):
+            if len(known) >= vocab_size:
+                break
+            merges.append((key[1], key[2]))
+            known.add(names[symbol])
+        if ended or len(known) >= vocab_size:
+            return merges, rounds
+        rounds += 1
+        fresh, again, made, got = len(names), [], [], {}
+        for i in pairs.batch(vocab_size - len(known), min_frequency, order.pending()):
+            key, pair = pairs.key(i), int(pairs.keys[i])
+            s = key[1] + key[2]
+            if s in number:
+                again.append(number[s])
+            else:
+                number[s] = len(names)
+                names.append(s)
+            got[pair] = number[s]
+            made.append((order.made, number[s]))
+            order.commit(key, pair >> 32, pair & 0xFFFFFFFF, number[s])
+        order.sealed(made)
+        keys = np.array(sorted(got), dtype=np.int64)
+        symbols = np.array([got[int(k)] for k in keys], dtype=np.int64)
+        again = np.array(again, dtype=np.int64)
+        pairs.update(*table.apply(keys, symbols, fresh, again, pairs), again, track)
+
+
+def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, track: int = TRACK,
           lowercase: bool = True, normalize: str | None = None, name: str = "bpe", unit: str = "word") -> BpeModel:
     """Exact BPE training over a (unit, freq) table.
 
@@ -268,80 +621,13 @@ def train(units: DataFrame, vocab_size: int, min_frequency: int = 1, speculate:
     """
     if vocab_size <= 0 or min_frequency <= 0:
         raise ValueError("vocab_size and min_frequency must be positive")
+    units = _stored(units.select("unit", F.col("freq").cast("bigint").alias("freq")))
     base = sorted({END_OF_WORD, *(r[0] for r in alphabet(units).collect())})
-    names = list(base)
-    number = {s: i for i, s in enumerate(names)}
-    letters = sorted((ord(s), i) for s, i in number.items() if len(s) == 1)
-    points, numbers = (np.array([x[j] for x in letters], dtype=np.int64) for j in (0, 1))
-    schema = "seq array<int>, freq bigint"
-    # spread: a small aggregate arrives in few partitions, and every round reads it again
-    spread = units.select("unit", F.col("freq").cast("bigint").alias("freq")).repartition(2 * units.sparkSession.sparkContext.defaultParallelism)
-    table = _stored(spread.mapInArrow(_numbered_task(points, numbers, number[END_OF_WORD]), schema))
-
-    def fetch(steps: list) -> _Tracked:
-        counted = (table.mapInArrow(_counts_task(steps), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-                   .where(F.col("n") >= min_frequency))
-        named = (counted.withColumn("l", F.shiftright("pair", 32).cast("int")).withColumn("r", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))
-        strings = counted.sparkSession.createDataFrame(list(enumerate(names)), "i int, s string")
-        named = (named.join(strings.select(F.col("i").alias("l"), F.col("s").alias("ls")), "l")
-                 .join(strings.select(F.col("i").alias("r"), F.col("s").alias("rs")), "r"))
-        rows = named.orderBy(F.desc("n"), "ls", "rs").limit(track).select("pair", "n").collect()
-        return _Tracked(rows, len(rows) == track, names)
-
-    def changes(steps: list, tries: list, tracked: _Tracked, fresh: int) -> list[dict[int, int]]:
-        task = _deltas_task(steps, tries, np.array(sorted(tracked.counts), dtype=np.int64), fresh)
-        rows = (table.mapInArrow(task, "k int, pair bigint, d bigint")
-                .groupBy("pair", "k").agg(F.sum("d").alias("d")).groupBy("pair")
-                .agg(F.collect_list(F.struct("k", "d")).alias("steps"), F.sum(F.greatest("d", F.lit(0))).alias("gain")))
-        old = (F.shiftright("pair", 32) < fresh) & (F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)) < fresh)
-        out: list[dict[int, int]] = [{} for _ in tries]
-        for row in rows.where(old | (F.col("gain") >= tracked.least)).collect():
-            for s in row["steps"]:
-                out[s["k"]][row["pair"]] = s["d"]
-        return out
-
-    merges: list[tuple[str, str]] = []
-    known = {UNK, *base}
-    steps: list[tuple[int, int, int]] = []  # committed, not yet folded into the table
-    rounds, tracked = 0, None
-    while len(known) < vocab_size:
-        if tracked is None:
-            tracked = fetch(steps)
-        fresh, tries = len(names), []
-        for pair in tracked.leaders(min(speculate, vocab_size - len(known)), min_frequency):
-            left, right = pair >> 32, pair & 0xFFFFFFFF
-            merged = names[left] + names[right]
-            if merged not in number:
-                number[merged] = len(names)
-                names.append(merged)
-            tries.append((left, right, number[merged]))
-        if not tries:
-            if tracked.floor is None:
-                break  # every pair that qualifies was tracked
-            tracked = None
-            continue
-        rounds += 1
-        by_step = changes(steps, tries, tracked, fresh)
-        done = 0
-        for left, right, symbol in tries:
-            pair = left << 32 | right
-            if tracked.leaders(1, min_frequency) != [pair]:
-                break
-            steps.append((left, right, symbol))
-            merges.append((names[left], names[right]))
-            known.add(names[symbol])
-            for p, d in by_step[done].items():
-                tracked.counts[p] = tracked.counts.get(p, 0) + d
-            done += 1
-            if symbol < fresh:  # a string made in a second way: pairs that are not tracked may have risen
-                tracked = None
-                break
-        keep = max([fresh, *(symbol + 1 for _, _, symbol in tries[:done])])
-        for merged in names[keep:]:
-            del number[merged]
-        del names[keep:]
-        if len(steps) >= FOLD_EVERY:
-            table, steps = _stored(table.mapInArrow(_fold_task(steps), schema)), []
+    merges, rounds = [], 0
+    if len({UNK, *base}) < vocab_size:
+        letters = sorted((ord(s), i) for i, s in enumerate(base) if len(s) == 1)
+        points, numbers = (np.array([x[j] for x in letters], dtype=np.int64) for j in (0, 1))
+        merges, rounds = _learned(_UnitTable(units, points, numbers, base.index(END_OF_WORD)), base, vocab_size, min_frequency, track)
     tokens = list(dict.fromkeys([UNK, *base, *(l + r for l, r in merges)]))[:vocab_size]
     return BpeModel(merges, tokens, lowercase, normalize, name, unit, {"rounds": rounds})
 
@@ -454,13 +740,18 @@ def apply_tokenizer(df: DataFrame, fields: Sequence[str], model: BpeModel, add_i
     return df
 
 
-def tokenized_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Number of tokenized (row, field) pairs."""
+def tokenized_counts(df: DataFrame, fields: Sequence[str], by: str) -> DataFrame:
+    """(by, tokenized_records): the number of tokenized (row, field) pairs of every group."""
     present = [F.col(f"{f}_tokens").isNotNull().cast("long") for f in fields if f"{f}_tokens" in df.columns]
-    total = present[0]
-    for p in present[1:]:
-        total = total + p
-    return df.agg(F.sum(total).alias("tokenized_records"))
+    return df.groupBy(by).agg(F.sum(sum(present[1:], present[0]) if present else F.lit(0).cast("long")).alias("tokenized_records"))
+
+
+def oov_rates(df: DataFrame, by: str, field: str, model: BpeModel) -> DataFrame:
+    """(by, n_tokens, n_unk, oov_rate) of an encoded field: the share of tokens without an id of their own."""
+    ids = F.col(f"{field}_ids")
+    per = df.select(by, F.size(ids).alias("n"), F.size(F.filter(ids, lambda x: x == F.lit(model.unk_id))).alias("u"))
+    out = per.groupBy(by).agg(F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unk"))
+    return out.withColumn("oov_rate", F.round(F.when(F.col("n_tokens") > 0, F.col("n_unk") / F.col("n_tokens")).otherwise(F.lit(0.0)), 6))
 
 
 def tokenizer_hash(model: BpeModel, spark: SparkSession) -> DataFrame:

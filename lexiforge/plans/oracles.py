@@ -442,9 +442,10 @@ def _vocab_ctes(vocab_size: int) -> str:
 
 
 def _bpe_sqls():
-    from lexiforge.plans.queries import BPE_MIN_FREQ, BPE_SMALL_VOCAB_SIZE, BPE_VOCAB_SIZE
+    from lexiforge.plans.queries import BPE_CHECKED_VOCAB_SIZE as SIZE
+    from lexiforge.plans.queries import BPE_MIN_FREQ, BPE_SMALL_VOCAB_SIZE
 
-    train, vocab = _bpe_train_ctes(BPE_VOCAB_SIZE, BPE_MIN_FREQ), _vocab_ctes(BPE_VOCAB_SIZE)
+    train, vocab = _bpe_train_ctes(SIZE, BPE_MIN_FREQ), _vocab_ctes(SIZE)
     ORACLES["bpe_word_counts"] = f"WITH {_UNITS} SELECT unit AS word, freq FROM units"
     ORACLES["bpe_nfc_word_counts"] = ORACLES["bpe_word_counts"].replace("lower(text)", "lower(nfc_normalize(text))")
     ORACLES["bpe_alphabet"] = f"""WITH {_UNITS}, {_alphabet_sql()}
@@ -454,12 +455,12 @@ def _bpe_sqls():
         SELECT l, r, sum(freq)::BIGINT AS freq FROM {_pair_rows_sql('s0')} GROUP BY 1, 2"""
     ORACLES["bpe_best_pair"] = f"""
         SELECT * FROM ({ORACLES['bpe_pair_stats']}) WHERE freq >= {BPE_MIN_FREQ} ORDER BY freq DESC, l, r LIMIT 1"""
-    ORACLES["bpe_train"] = f"""WITH RECURSIVE {train}
+    ORACLES[f"bpe_train_{SIZE}"] = f"""WITH RECURSIVE {train}
         SELECT rank::INTEGER AS rank, l AS "left", r AS "right", l || r AS merged FROM merges"""
-    ORACLES["bpe_vocab"] = f"WITH RECURSIVE {train}, {vocab} SELECT token, id FROM vocab"
+    ORACLES[f"bpe_vocab_{SIZE}"] = f"WITH RECURSIVE {train}, {vocab} SELECT token, id FROM vocab"
     ORACLES["bpe_vocab_small"] = f"""WITH RECURSIVE {_bpe_train_ctes(BPE_SMALL_VOCAB_SIZE, BPE_MIN_FREQ)},
         {_vocab_ctes(BPE_SMALL_VOCAB_SIZE)} SELECT token, id FROM vocab"""
-    ORACLES["bpe_table_check"] = f"""WITH RECURSIVE {train},
+    ORACLES[f"bpe_table_check_{SIZE}"] = f"""WITH RECURSIVE {train},
         m AS (SELECT rank, l, r, l || r AS merged FROM merges),
         prod AS (SELECT merged, count(*) AS n, min(rank) AS first_rank FROM m GROUP BY 1),
         ops AS (SELECT rank, unnest([l, r]) AS operand FROM m),
@@ -486,7 +487,7 @@ def _bpe_sqls():
         enc AS (SELECT c.conv_id, c.turn, c.role, c.text,
                        CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(got.toks, []) END AS toks
                 FROM conversations c LEFT JOIN got ON c.conv_id = got.conv_id AND c.turn = got.turn)"""
-    ORACLES["bpe_encode"] = f"""WITH RECURSIVE {enc}
+    ORACLES[f"bpe_encode_{SIZE}"] = f"""WITH RECURSIVE {enc}
         SELECT conv_id, turn, len(toks)::INTEGER AS n_tokens, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM enc"""
     ids = f"""{enc}, {vocab},
         ex AS (SELECT conv_id, turn, role, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM enc),
@@ -494,10 +495,10 @@ def _bpe_sqls():
         per AS (SELECT e.conv_id, e.turn, e.role, list(ej.id ORDER BY ej.pos) FILTER (WHERE ej.id IS NOT NULL) AS ids
                 FROM enc e LEFT JOIN ej ON e.conv_id = ej.conv_id AND e.turn = ej.turn
                 GROUP BY e.conv_id, e.turn, e.role)"""
-    ORACLES["bpe_ids"] = f"""WITH RECURSIVE {ids}
+    ORACLES[f"bpe_ids_{SIZE}"] = f"""WITH RECURSIVE {ids}
         SELECT conv_id, turn, coalesce(list_sum(ids), 0)::BIGINT AS ids_sum,
                md5(coalesce(array_to_string(ids, ' '), '')) AS ids_md5 FROM per"""
-    ORACLES["oov_rate"] = f"""WITH RECURSIVE {ids}
+    ORACLES[f"oov_rate_{SIZE}"] = f"""WITH RECURSIVE {ids}
         SELECT role, sum(coalesce(len(ids), 0))::BIGINT AS n_tokens,
                sum(coalesce(len(list_filter(ids, lambda x: x = 0)), 0))::BIGINT AS n_unk,
                round(CASE WHEN sum(coalesce(len(ids), 0)) > 0
@@ -591,16 +592,18 @@ ORACLES["stream_tokenize"] = ORACLES["char_tokenize"]
 
 
 def _more_bpe_sqls():
-    from lexiforge.plans.queries import BPE_MIN_FREQ, BPE_VOCAB_SIZE
+    from lexiforge.plans.queries import BPE_CHECKED_VOCAB_SIZE as SIZE
+    from lexiforge.plans.queries import BPE_MIN_FREQ
 
-    train, vocab = _bpe_train_ctes(BPE_VOCAB_SIZE, BPE_MIN_FREQ), _vocab_ctes(BPE_VOCAB_SIZE)
+    train, vocab = _bpe_train_ctes(SIZE, BPE_MIN_FREQ), _vocab_ctes(SIZE)
     tok = f"""th AS (SELECT sha256(
             (SELECT string_agg(to_json({{'left': l, 'rank': rank::INTEGER, 'right': r}})::VARCHAR, chr(10) ORDER BY rank)
              FROM merges) || chr(10) ||
             (SELECT string_agg(to_json({{'id': id, 'token': token}})::VARCHAR, chr(10) ORDER BY token) FROM vocab))
             AS tokenizer_hash)"""
-    ORACLES["bpe_tokenizer_hash"] = f"WITH RECURSIVE {train}, {vocab}, {tok} SELECT tokenizer_hash FROM th"
-    ORACLES["manifest_violations"] = f"""WITH RECURSIVE {train}, {vocab}, {tok},
+    ORACLES[f"bpe_tokenizer_hash_{SIZE}"] = f"WITH RECURSIVE {train}, {vocab}, {tok} SELECT tokenizer_hash FROM th"
+    ORACLES["manifest_violations"] = f"""WITH {_UNITS}, {_alphabet_sql()},
+        th AS (SELECT sha256(string_agg(symbol, chr(10) ORDER BY symbol)) AS tokenizer_hash FROM alpha),
         l AS (SELECT source || chr(0) || lang AS g, source, lang, doc_id, {DOC_JSON} AS line FROM documents),
         h AS {tree_hash_sql('l', ['g'], 'doc_id', 'line', 'split_hash')},
         hs AS (SELECT split_part(g, chr(0), 1) AS source, split_part(g, chr(0), 2) AS lang, split_hash FROM h),
@@ -615,7 +618,7 @@ def _more_bpe_sqls():
         UNION ALL SELECT 'no_splits_declared', (SELECT count(*) FROM m WHERE n_splits = 0)::BIGINT
         UNION ALL SELECT 'dataset_hash_missing', 0::BIGINT
         UNION ALL SELECT 'tokenizer_hash_empty', (SELECT count(*) FROM m WHERE tokenizer_hash = '')::BIGINT"""
-    ORACLES["stream_bpe_encode"] = ORACLES["bpe_encode"]
+    ORACLES[f"stream_bpe_encode_{SIZE}"] = ORACLES[f"bpe_encode_{SIZE}"]
 
 
 _more_bpe_sqls()
@@ -635,11 +638,11 @@ def _line_units_sql() -> str:
 
 
 def _bpe_lines_sql() -> str:
-    from lexiforge.plans.queries import BPE_MIN_FREQ, BPE_VOCAB_SIZE
+    from lexiforge.plans.queries import BPE_CHECKED_VOCAB_SIZE, BPE_MIN_FREQ
 
-    train = _bpe_train_ctes(BPE_VOCAB_SIZE, BPE_MIN_FREQ, _line_units_sql())
+    train = _bpe_train_ctes(BPE_CHECKED_VOCAB_SIZE, BPE_MIN_FREQ, _line_units_sql())
     return f"""WITH RECURSIVE {train}
         SELECT rank::INTEGER AS rank, l AS "left", r AS "right", l || r AS merged FROM merges"""
 
 
-ORACLES["bpe_train_lines"] = _bpe_lines_sql()
+ORACLES["bpe_train_lines_160"] = _bpe_lines_sql()

@@ -323,6 +323,7 @@ def run_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BPE_MIN_FREQ = 2
 BPE_VOCAB_SIZE = 10_000  # the declared vocabulary: training ends when it is full or no pair is left
+BPE_CHECKED_VOCAB_SIZE = 160  # of the same queries once more, where recursive SQL can still follow every merge
 BPE_SMALL_VOCAB_SIZE = 40  # below it: the vocabulary is cut within the alphabet
 
 
@@ -367,14 +368,24 @@ def bpe_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.best_pair(bpe.pair_stats(bpe.symbol_arrays(bpe_units(spark, sf_dir))), BPE_MIN_FREQ)
 
 
-@register("bpe_train")
-def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_model(spark, sf_dir).merges_frame(spark)
+def register_sizes(name: str):
+    """Register a query (spark, sf_dir, vocabulary size) at the declared vocabulary, and at the checked one."""
+    def deco(fn):
+        REGISTRY[name] = lambda spark, sf_dir: fn(spark, sf_dir, BPE_VOCAB_SIZE)
+        REGISTRY[f"{name}_{BPE_CHECKED_VOCAB_SIZE}"] = lambda spark, sf_dir: fn(spark, sf_dir, BPE_CHECKED_VOCAB_SIZE)
+        return fn
+
+    return deco
+
+
+@register_sizes("bpe_train")
+def bpe_train(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    return bpe_model(spark, sf_dir, size).merges_frame(spark)
 
 
-@register("bpe_vocab")
-def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_model(spark, sf_dir).vocab_frame(spark)
+@register_sizes("bpe_vocab")
+def bpe_vocab(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    return bpe_model(spark, sf_dir, size).vocab_frame(spark)
 
 
 @register("bpe_vocab_small")
@@ -382,47 +393,43 @@ def bpe_vocab_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_model(spark, sf_dir, BPE_SMALL_VOCAB_SIZE).vocab_frame(spark)
 
 
-@register("bpe_table_check")
-def bpe_table_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.table_check(bpe_model(spark, sf_dir).merges_frame(spark))
+@register_sizes("bpe_table_check")
+def bpe_table_check(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    return bpe.table_check(bpe_model(spark, sf_dir, size).merges_frame(spark))
 
 
-def _encoded_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.apply_tokenizer(table(spark, sf_dir, "conversations"), ["text"], bpe_model(spark, sf_dir))
+def _encoded_conversations(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    return bpe.apply_tokenizer(table(spark, sf_dir, "conversations"), ["text"], bpe_model(spark, sf_dir, size))
 
 
-@register("bpe_encode")
-def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    enc = _encoded_conversations(spark, sf_dir)
+@register_sizes("bpe_encode")
+def bpe_encode(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    enc = _encoded_conversations(spark, sf_dir, size)
     return enc.select("conv_id", "turn", F.size("text_tokens").alias("n_tokens"),
                       F.md5(F.array_join("text_tokens", " ")).alias("tokens_md5"))
 
 
-@register("bpe_ids")
-def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    enc = _encoded_conversations(spark, sf_dir)
+@register_sizes("bpe_ids")
+def bpe_ids(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    enc = _encoded_conversations(spark, sf_dir, size)
     ids = F.col("text_ids")
     return enc.select("conv_id", "turn",
                       F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"),
                       F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")).alias("ids_md5"))
 
 
-@register("oov_rate")
-def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register_sizes("oov_rate")
+def oov_rate(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """Share of tokens mapped to <unk>, per conversation role."""
-    model = bpe_model(spark, sf_dir)
+    model = bpe_model(spark, sf_dir, size)
     enc = bpe.apply_tokenizer(table(spark, sf_dir, "conversations"), ["text"], model)
-    per = enc.select("role", F.size("text_ids").alias("n"),
-                     F.size(F.filter("text_ids", lambda x: x == F.lit(model.unk_id))).alias("u"))
-    out = per.groupBy("role").agg(F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unk"))
-    return out.withColumn("oov_rate", F.round(F.when(F.col("n_tokens") > 0, F.col("n_unk") / F.col("n_tokens"))
-                                              .otherwise(F.lit(0.0)), 6))
+    return bpe.oov_rates(enc, "role", "text", model)
 
 
 @register("bpe_apply_counts")
 def bpe_apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    enc = _encoded_conversations(spark, sf_dir)
-    return enc.groupBy("role").agg(F.sum(F.col("text_tokens").isNotNull().cast("long")).alias("tokenized_records"))
+    """Tokenized records per role; any model counts the same, so the smallest is taken."""
+    return bpe.tokenized_counts(_encoded_conversations(spark, sf_dir, BPE_SMALL_VOCAB_SIZE), ["text"], "role")
 
 
 # --- lexicons ------------------------------------------------------------------------------
@@ -539,9 +546,9 @@ def stream_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.stream_char_tokens(spark, f"{sf_dir.rstrip('/')}/conversations.parquet", ["conv_id", "turn"], "text")
 
 
-@register("bpe_tokenizer_hash")
-def bpe_tokenizer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.tokenizer_hash(bpe_model(spark, sf_dir), spark)
+@register_sizes("bpe_tokenizer_hash")
+def bpe_tokenizer_hash(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    return bpe.tokenizer_hash(bpe_model(spark, sf_dir, size), spark)
 
 
 @register("manifest_violations")
@@ -554,7 +561,8 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = (docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_l", F.lit(1)),
                           "doc_id", "left")
                 .groupBy("source").agg(F.min(F.coalesce("_l", F.lit(0))).alias("all_labelled")))
-    tok = bpe.tokenizer_hash(bpe_model(spark, sf_dir), spark).first()["tokenizer_hash"]  # one scalar
+    small = bpe_model(spark, sf_dir, BPE_SMALL_VOCAB_SIZE)  # the rules ask for a hash, not for a large vocabulary
+    tok = bpe.tokenizer_hash(small, spark).first()["tokenizer_hash"]  # one scalar
     manifests = (per_split.groupBy("source").agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "split_hash"))))).alias("split_hashes"),
         ordered_hash("lang", "split_hash").alias("dataset_hash"))
@@ -564,10 +572,10 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.manifest_violations(manifests)
 
 
-@register("stream_bpe_encode")
-def stream_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register_sizes("stream_bpe_encode")
+def stream_bpe_encode(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """The trained tokenizer applied to ``conversations`` read as a stream."""
-    model = bpe_model(spark, sf_dir)
+    model = bpe_model(spark, sf_dir, size)
     src = stream.source(spark, f"{sf_dir.rstrip('/')}/conversations.parquet")
     enc = bpe.apply_tokenizer(src, ["text"], model, add_ids=False)
     out = enc.select("conv_id", "turn", F.size("text_tokens").alias("n_tokens"),
@@ -587,9 +595,9 @@ def dataset_write_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.validate_dataset(spark, out)
 
 
-@register("bpe_train_lines")
-def bpe_train_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register_sizes("bpe_train_lines")
+def bpe_train_lines(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """Merges learned with whole lowercased texts as units (spaces and newlines are
     symbols, merges may cross words), on ``conversations``."""
     units = bpe.training_units(table(spark, sf_dir, "conversations"), "text", lowercase=True, unit="line")
-    return bpe.train(units, BPE_VOCAB_SIZE, BPE_MIN_FREQ, unit="line").merges_frame(spark)
+    return bpe.train(units, size, BPE_MIN_FREQ, unit="line").merges_frame(spark)
