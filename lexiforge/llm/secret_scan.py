@@ -33,6 +33,7 @@ SIZE = len(ALPHABET) + 1  # 0: any other character
 MIN_LENGTH = 20
 TOKEN = r"[A-Za-z0-9+/=_-]{%d,}" % MIN_LENGTH
 THRESHOLD = 0.25  # mean log-likelihood ratio per character pair, in nats
+MIXED = 0.05  # share of the uniform distribution in the models
 REDACTED = "[SECRET]"
 _CHUNK = 256
 
@@ -87,52 +88,56 @@ def _code(ch: Column) -> Column:
 
 
 def _pairs(token: Column) -> Column:
-    """Index of every character pair of a token in a SIZE x SIZE table."""
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: _code(F.substr(token, i, F.lit(1))) * SIZE
-                       + _code(F.substr(token, i + 1, F.lit(1))))
+    """Index of every character pair of a token in a SIZE x SIZE table; the token is taken apart once."""
+    def joined(codes: Column) -> Column:
+        n = F.size(codes) - 1
+        return F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * SIZE + b)
+
+    return _let(F.transform(F.split(token, ""), _code), joined)
 
 
 def samples_of(docs: DataFrame) -> DataFrame:
-    """Labelled samples (token, label) from all documents.
+    """Labelled samples (token, label, n) from all documents; n: how often.
 
     Label 1: what the base patterns find, and the text's digest in four usual spellings.  Label 0:
-    the text's tokens of the scanned class, of any length, outside the base patterns, and identifiers
-    spelled from its first words: constant, snake, kebab and camel case, path, numbers, rules.
+    the text's tokens of the scanned class, of any length, outside the base patterns; what identifiers make of
+    their words, in constant, snake, kebab and camel case and in paths; numbers and rules.
     """
     some = docs.where("text is not null").select("text")
     digest = F.sha2(F.col("text"), 256)
     spelled = F.array(digest, F.base64(F.unhex(digest)), F.base64(F.unhex(F.concat(F.md5("text"), digest))),
                       F.translate(F.upper(F.base64(F.unhex(F.sha2(F.md5("text"), 512)))), "+/=", ""))
-    found = F.transform(base_spans(F.col("text")), lambda s: F.when(
-        s["kind"] == 0, F.regexp_extract(s["text"], ASSIGN, 2)).otherwise(s["text"]))
-    rest = F.col("text")
-    for pattern in (ASSIGN, ACCESS, HEX):
-        rest = F.regexp_replace(rest, F.lit(pattern), F.lit(" "))
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), F.lit(0)), 1, 16)
+    values = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_VALUE)
+    found = F.concat(values, *[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (ACCESS, HEX)])
+    rest = F.regexp_replace("text", F.lit("|".join((ASSIGN, ACCESS, HEX))), F.lit(" "))
     number = F.conv(F.substring(digest, 1, 15), 16, 10)
-    identifiers = F.array(F.upper(F.array_join(words, "_")), F.lower(F.array_join(words, "_")), F.lower(F.array_join(words, "-")),
-                          F.concat(F.lit("/"), F.array_join(words, "/"), F.lit("/")), F.concat(number, number),
-                          F.array_join(F.transform(words, F.initcap), ""), *[F.regexp_replace(number, r"(\d\d)", "$1" + c) for c in "-/_"], *[F.lit(c * MIN_LENGTH) for c in "/=_-+"])
-    ordinary = F.concat(F.regexp_extract_all(rest, F.lit(TOKEN.replace(str(MIN_LENGTH), "2")), F.lit(0)), identifiers)
+    numbers = F.array(F.concat(number, number), *[F.regexp_replace(number, r"(\d\d)", "$1" + c) for c in "-/_"], *[F.lit(c * MIN_LENGTH) for c in "/=_-+"])
+    ordinary = F.concat(F.regexp_extract_all(rest, F.lit(TOKEN.replace(str(MIN_LENGTH), "2")), F.lit(0)), numbers)
     label = lambda arr, k: F.transform(arr, lambda t: F.struct(t.alias("token"), F.lit(k).alias("label")))
-    return (some.select(F.explode(F.concat(label(F.concat(spelled, found), 1), label(ordinary, 0))).alias("x"))
-            .select("x.token", "x.label"))
+    counted = (some.select(F.explode(F.concat(label(F.concat(spelled, found), 1), label(ordinary, 0))).alias("x"))
+               .groupBy("x.token", "x.label").agg(F.count("*").alias("n")))
+    words = F.regexp_extract_all("token", F.lit(r"[A-Za-z]{2,}"), F.lit(0))  # a separator before and after each, as within an identifier
+    spelt = F.flatten(F.transform(words, lambda w: F.array(*[F.concat(F.lit(c), case(w), F.lit(c)) for case, c in (
+        (F.upper, "_"), (F.lower, "_"), (F.lower, "-"), (lambda x: x, "/"),
+        (lambda x: F.concat(F.initcap(x), F.initcap(x)), ""))])))  # camel case: one capital follows a word's end
+    return counted.select(F.explode(F.when(F.col("label") == 1, F.array("token")).otherwise(F.concat(F.array("token"), spelt))).alias("token"), "label", "n")
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio (random against ordinary) of every character pair, add-half smoothed.
+    """Log-likelihood ratio (random against ordinary) of every character pair.
 
-    ``samples``: (token, label).  The counts that come back number 2 * SIZE**2 at most.
+    A pair's probability after its first character is MIXED with the uniform one, so that what a pair
+    that never occurs can weigh does not grow with the corpus.
+    ``samples``: (token, label, n).  The counts that come back number 2 * SIZE**2 at most.
     """
-    tokens = samples.where("length(token) > 1").groupBy("label", "token").agg(F.count("*").alias("n"))
-    got = (tokens.select("label", "n", F.explode(_pairs(F.col("token"))).alias("pair"))
+    got = (samples.where("length(token) > 1").select("label", "n", F.explode(_pairs(F.col("token"))).alias("pair"))
            .groupBy("label", "pair").agg(F.sum("n").alias("count")).collect())
     counts = {(r["label"], r["pair"]): r["count"] for r in got}
     table = []
     for first in range(SIZE):
-        sums = [sum(counts.get((k, first * SIZE + c), 0) + 0.5 for c in range(SIZE)) for k in (0, 1)]
+        sums = [sum(counts.get((k, first * SIZE + c), 0) for c in range(SIZE)) for k in (0, 1)]
         for c in range(SIZE):
-            p0, p1 = ((counts.get((k, first * SIZE + c), 0) + 0.5) / sums[k] for k in (0, 1))
+            p0, p1 = (MIXED / SIZE + (1 - MIXED) * (counts.get((k, first * SIZE + c), 0) / sums[k] if sums[k] else 1 / SIZE) for k in (0, 1))
             table.append(math.log(p1 / p0))
     return table
 
@@ -142,14 +147,19 @@ def markov_spans(text: Column, base: Column, model: list[float], threshold: floa
     the mean of the best MIN_LENGTH characters, reaches the threshold."""
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
 
-    def ratio(token: Column) -> Column:
-        def mean(ratios: Column) -> Column:
-            return F.aggregate(ratios, F.lit(0.0), lambda s, r: s + r) / F.size(ratios)
+    def both(a: Column, b: Column, apart: int) -> Column:
+        """Sums of every element of ``a`` and that of ``b`` so many places further on."""
+        n = F.size(b) - apart
+        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(apart + 1), n), lambda x, y: x + y)
 
-        def best(ratios: Column) -> Column:
-            parts = F.transform(F.sequence(F.lit(1), F.size(ratios) - (MIN_LENGTH - 2)), lambda i: mean(F.slice(ratios, i, F.lit(MIN_LENGTH - 1))))
-            return F.greatest(mean(ratios), F.array_max(parts) / 2)  # the best of many parts: twice the threshold
+    def best(r: Column) -> Column:
+        # sums over MIN_LENGTH - 1 = 19 pairs, from those over 1, 2, 4, 8 and 16
+        windows = _let(both(r, r, 1), lambda two: _let(both(two, two, 2), lambda four: _let(both(four, four, 4), lambda eight: both(
+            both(eight, eight, 8), both(two, r, 2), 16))))
+        return F.greatest(F.aggregate(r, F.lit(0.0), lambda s, x: s + x) / F.size(r),
+                          F.array_max(windows) / (2 * (MIN_LENGTH - 1)))  # the best of many parts: twice the threshold
 
+    def ratio(token: Column) -> Column:
         return _let(F.transform(_pairs(token), lambda i: F.get(table, i)), best)
 
     tokens = match_spans(text, TOKEN, 3)

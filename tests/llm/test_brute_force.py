@@ -331,7 +331,7 @@ def test_markov_samples_follow_the_input(spark):
     docs = spark.range(12_000).select(F.concat(F.lit("key AKIA"), F.lpad(F.col("id").cast("string"), 16, "0"), F.lit(" here")).alias("text"))
     samples = secret_scan.samples_of(docs)
     assert samples.where("label = 1 and token like 'AKIA%'").distinct().count() == 12_000
-    assert samples.where("label = 0 and token = 'here'").count() == 12_000
+    assert samples.where("label = 0 and token = 'here'").groupBy().sum("n").first()[0] == 12_000
 
 
 def test_many_matches_in_one_text(spark):
