@@ -646,3 +646,58 @@ def _bpe_lines_sql() -> str:
 
 
 ORACLES["bpe_train_lines_160"] = _bpe_lines_sql()
+
+
+def _wordpiece_sqls():
+    from lexiforge.plans.queries import WORDPIECE_MIN_FREQ, WORDPIECE_VOCAB_SIZE
+
+    first = f"'{O}' || substr(unit, 1, 1) || '{C}'"
+    rest = f"regexp_replace(substr(unit, 2), '(.)', '{O}##\\1{C}', 'gs')"
+    merged = "b.l || substr(b.r, 3)"
+    train = f"""{_UNITS},
+        alpha AS (SELECT substr(unit, 1, 1) AS symbol FROM units
+                  UNION SELECT '##' || c FROM (SELECT unnest(string_split(substr(unit, 2), '')) AS c FROM units) WHERE c <> ''),
+        trained AS (
+            SELECT 0 AS step, {first} || {rest} AS seq, freq, NULL::VARCHAR AS l, NULL::VARCHAR AS r, a.n AS n
+            FROM units, (SELECT count(*) + 1 AS n FROM alpha) a
+            UNION ALL
+            SELECT t.step + 1, replace(t.seq, '{O}' || b.l || '{C}{O}' || b.r || '{C}', '{O}' || {merged} || '{C}'), t.freq, b.l, b.r, t.n + 1
+            FROM trained t, (
+                SELECT p.l, p.r FROM (SELECT l, r, sum(freq) AS n FROM {_pair_rows_sql('trained')} GROUP BY 1, 2 HAVING sum(freq) >= {WORDPIECE_MIN_FREQ}) p
+                JOIN (SELECT s, sum(freq) AS f FROM (SELECT unnest({_syms_sql('seq')}) AS s, freq FROM trained) GROUP BY 1) fl ON fl.s = p.l
+                JOIN (SELECT s, sum(freq) AS f FROM (SELECT unnest({_syms_sql('seq')}) AS s, freq FROM trained) GROUP BY 1) fr ON fr.s = p.r
+                ORDER BY p.n::DOUBLE / (fl.f::DOUBLE * fr.f::DOUBLE) DESC, p.l, p.r LIMIT 1) b
+            WHERE t.n < {WORDPIECE_VOCAB_SIZE}),
+        merges AS MATERIALIZED (SELECT DISTINCT step - 1 AS rank, l, r, l || substr(r, 3) AS merged FROM trained WHERE step > 0),
+        base AS (SELECT symbol AS token, (row_number() OVER (ORDER BY symbol))::INTEGER AS id FROM alpha),
+        vocab AS (SELECT '[UNK]' AS token, 0 AS id UNION ALL SELECT * FROM base
+                  UNION ALL SELECT merged, ((SELECT count(*) FROM base) + 1 + rank)::INTEGER FROM merges)"""
+    ORACLES["wordpiece_train"] = f"""WITH RECURSIVE {train}
+        SELECT rank::INTEGER AS rank, l AS "left", r AS "right", merged FROM merges"""
+    ORACLES["wordpiece_vocab"] = f"WITH RECURSIVE {train} SELECT token, id FROM vocab"
+    # encode the distinct words place by place; a word that cannot go on is one unknown token
+    ORACLES["wordpiece_encode"] = f"""WITH RECURSIVE {train},
+        occ AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS nth
+                FROM (SELECT conv_id, turn, {words_sql('lower(text)')} AS ws FROM conversations)),
+        pieces AS (SELECT token, id, starts_with(token, '##') AND length(token) > 2 AS inner_, CASE WHEN starts_with(token, '##') AND length(token) > 2
+                          THEN substr(token, 3) ELSE token END AS s FROM vocab WHERE id > 0),
+        most AS (SELECT max(length(s)) AS m FROM pieces),
+        walk AS (
+            SELECT w, 1 AS pos, []::VARCHAR[] AS toks, 0::BIGINT AS ids, false AS lost FROM (SELECT DISTINCT w FROM occ)
+            UNION ALL
+            SELECT w, pos + coalesce(length(g.s), length(w)), list_append(toks, coalesce(g.token, '[UNK]')), ids + coalesce(g.id, 0), g.token IS NULL
+            FROM walk LEFT JOIN LATERAL (
+                SELECT p.token, p.id, p.s FROM (SELECT unnest(range(1, m + 1)) AS k FROM most) x
+                JOIN pieces p ON p.s = substr(walk.w, walk.pos, x.k::INTEGER) AND length(p.s) = x.k AND p.inner_ = (walk.pos > 1)
+                ORDER BY x.k DESC LIMIT 1) g ON true
+            WHERE pos <= length(w)),
+        types AS (SELECT w, CASE WHEN bool_or(lost) THEN ['[UNK]'] ELSE arg_max(toks, pos) END AS toks,
+                         CASE WHEN bool_or(lost) THEN 0 ELSE max(ids) END AS ids FROM walk GROUP BY w),
+        got AS (SELECT conv_id, turn, flatten(list(toks ORDER BY nth)) AS toks, sum(ids) AS ids FROM occ JOIN types USING (w) GROUP BY 1, 2)
+        SELECT c.conv_id, c.turn, CASE WHEN c.text IS NOT NULL THEN coalesce(len(got.toks), 0) END::INTEGER AS n_tokens,
+               CASE WHEN c.text IS NOT NULL THEN coalesce(got.ids, 0) END::BIGINT AS ids_sum,
+               CASE WHEN c.text IS NOT NULL THEN md5(coalesce(array_to_string(got.toks, ' '), '')) END AS tokens_md5
+        FROM conversations c LEFT JOIN got ON c.conv_id = got.conv_id AND c.turn = got.turn"""
+
+
+_wordpiece_sqls()

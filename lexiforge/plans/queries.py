@@ -14,7 +14,7 @@ from lexiforge.functions.canon import canonical_line
 from lexiforge.functions.hashing import ordered_hash, tree_hash
 from lexiforge.functions.text import UNK
 from lexiforge.functions.text import chars as _chars
-from lexiforge.operators import bpe, embed, stats, tokenize
+from lexiforge.operators import bpe, embed, stats, tokenize, wordpiece
 from lexiforge.operators import dataset as ds
 from lexiforge.operators import generate as gen
 from lexiforge.operators import lexicon as lex
@@ -432,6 +432,37 @@ def bpe_apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized_counts(_encoded_conversations(spark, sf_dir, BPE_SMALL_VOCAB_SIZE), ["text"], "role")
 
 
+# --- learned tokenizer (WordPiece) ---------------------------------------------------------
+
+
+WORDPIECE_VOCAB_SIZE = 240
+WORDPIECE_MIN_FREQ = 20
+
+
+def wordpiece_model(spark: SparkSession, sf_dir: str) -> wordpiece.WordPieceModel:
+    return wordpiece.train(bpe_units(spark, sf_dir), WORDPIECE_VOCAB_SIZE, WORDPIECE_MIN_FREQ)
+
+
+@register("wordpiece_train")
+def wordpiece_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece_model(spark, sf_dir).merges_frame(spark)
+
+
+@register("wordpiece_vocab")
+def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece_model(spark, sf_dir).vocab_frame(spark)
+
+
+@register("wordpiece_encode")
+def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest-match tokens of ``conversations``."""
+    model = wordpiece_model(spark, sf_dir)
+    enc = table(spark, sf_dir, "conversations").withColumn("e", wordpiece.encoded("text", model))
+    return enc.select("conv_id", "turn", F.size("e.tokens").alias("n_tokens"),
+                      F.aggregate("e.ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"),
+                      F.md5(F.array_join("e.tokens", " ")).alias("tokens_md5"))
+
+
 # --- lexicons ------------------------------------------------------------------------------
 
 
