@@ -11,7 +11,7 @@ A document is the set of its distinct ``k``-word shingles.  Two sets link when
   the set's size, so heads are made by size band; linked sets lie in one band or in neighbours.
 * Rare-first order and two hash orders: linked sets share one of the first
   ``n - ceil(num * n / den) + 1`` shingles under any order.  Groups of more than LARGE sets, as short texts with
-  one common line form, are split by it: with shingles ranked by their exact frequency in the
+  one common line form, are split by it: with shingles ranked by their frequency (from a sketch) in the
   group, only sets that share a prefix shingle stay together.  Within a group a pair must share one under
   all three orders before it is verified.
 * Verification counts shared shingles of two blocks of a group at a time as a product of their
@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import components, free_name, written
+from lexiforge.llm.common import components, free_name, release, written
 from lexiforge.llm.words import binary_column, by_key, mix64, shingle_hashes, text_words
 
 BLOCK = 1024
@@ -47,6 +47,7 @@ WEIGHT = 1 << 20
 LEAST = 3
 MISS = 1e-9
 LARGE = 128
+SKETCH = 22  # bits: 4 million counters, 16 MB
 _SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
@@ -169,34 +170,76 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int) -> tupl
     return ia[x], ib[y]
 
 
+def _counter(grp: int, s: np.ndarray) -> np.ndarray:
+    """The counter of every shingle of a set in its group's share of the sketch."""
+    return (mix64(s ^ mix64(np.array([grp], dtype=np.int64).view(np.uint64))) >> np.uint64(64 - SKETCH)).astype(np.int64)
+
+
 def _split(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(hi, grp): large candidate groups split by prefixes under the rare-first order of each group."""
+    """(hi, grp): large candidate groups split by prefixes under one order of rising counts.
+
+    Any order that all sets share makes the filter exact; rare shingles first makes it sharp.  So counts
+    from a sketch of fixed size will do: one array of 2^SKETCH counters is summed over the tasks and sent to all.
+    A counter of one belongs to a shingle of one set, which ties nothing.
+    """
     starts = bands(num, den)
 
-    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingle_set(z.decompress(p), k) for p in part.column(2).to_pylist()]
-                band = [int(np.searchsorted(starts, len(s), side="right")) for s in sets]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(band, pa.int32()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))],
-                                                 names=["grp", "hi", "band", "shingles"])
-
-    rows = written(texts.select("grp", "hi", "packed").mapInArrow(shingles_of, "grp long, hi long, band int, shingles array<long>")
-                   .select("grp", "hi", "band", F.explode("shingles").alias("shingle")), "jaccard-large")
-    often = written(rows.groupBy("grp", "shingle").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-often")
-    order = F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle")
-    ranked = rows.join(often, ["grp", "shingle"], "left").groupBy("grp", "hi", "band").agg(F.array_sort(F.collect_list(order)).alias("s"))
-    n = F.size("s")
-    own, lower = n - F.ceil(num * n / den).cast("int") + 1, n - F.ceil(2 * num * n / (num + den)).cast("int") + 1
-    prefix = F.concat(F.transform(F.slice("s", F.lit(1), own), lambda x: F.struct(F.col("band"), x["n"].alias("n"), x["shingle"].alias("shingle"))),
-                      F.transform(F.slice("s", F.lit(1), lower), lambda x: F.struct((F.col("band") + 1).alias("band"), x["n"].alias("n"), x["shingle"].alias("shingle"))))
+            for grp, hi, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield grp, hi, shingle_set(z.decompress(p), k)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH, dtype=np.int32)
+        for grp, _, s in sets_of(batches):
+            at, n = np.unique(_counter(grp, s), return_counts=True)
+            total[at] += n.astype(np.int32)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["counter", "n"])
+
+    source = texts.select("grp", "hi", "packed")
+    sketch = source.mapInArrow(counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    often = np.ones(1 << SKETCH, dtype=np.int32)
+    often[sketch.column("counter").to_numpy()] = np.minimum(sketch.column("n").to_numpy(), 2**31 - 1)
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
+                                               names=["grp", "hi", "band", "shingle"])
+            for c in out:
+                c.clear()
+            return batch
+
+        for grp, hi, s in sets_of(batches):
+            n = len(s)
+            count = sent.value[_counter(grp, s)]
+            order = np.lexsort((s, count))
+            s, count = s[order], count[order]
+            band = int(np.searchsorted(starts, n, side="right"))
+            for b, size in ((band, prefix_size(n, num, den)), (band + 1, n - -(-2 * num * n // (num + den)) + 1)):
+                shown = s[:size][count[:size] > 1].astype(np.int64)
+                for c, x in zip(out, (grp, hi, b, None), strict=True):
+                    c.append(shown if x is None else np.full(len(shown), x, dtype=np.int64))
+                held += len(shown)
+            if held > 100_000:
+                yield flush()
+                held = 0
+        if out[0]:
+            yield flush()
+
     keys = ["grp", "band", "shingle"]
-    shown = written(ranked.select("grp", "hi", F.explode(prefix).alias("x")).where("x.n > 1").select("grp", "hi", "x.band", "x.shingle"), "jaccard-prefixes")
-    tied = shown.groupBy(*keys).agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least <> most").drop("most")
-    ties = (shown.join(written(tied, "jaccard-tied"), keys).where("hi <> least").select(F.col("hi").alias("a"), F.col("least").alias("b")).distinct())
-    return written(components(ties).select(F.col("node").alias("hi"), F.col("root").alias("grp")), "jaccard-split")
+    shown = written(source.mapInArrow(prefixes, "grp long, hi long, band int, shingle long"), "jaccard-prefixes")
+    tied = written(shown.groupBy(*keys).agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least <> most").drop("most"), "jaccard-tied")
+    ties = written(shown.join(tied, keys).where("hi <> least").select(F.col("hi").alias("a"), F.col("least").alias("b")).distinct(), "jaccard-ties")
+    release(shown, tied)
+    out = written(components(ties).select(F.col("node").alias("hi"), F.col("root").alias("grp")), "jaccard-split")
+    release(ties)
+    return out
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -227,16 +270,18 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[Da
                     names=["doc_id", "at", "n_shingles", "hi", "lo", "heads"])
 
     profiles = written(src.mapInArrow(profile, f"doc_id {kind}, at long, n_shingles long, hi long, lo long, heads array<long>"), "jaccard-profiles")
-    rows = profiles.drop("heads")
+    rows = written(profiles.drop("heads"), "jaccard-rows")
     shown = profiles.where("hi is not null").select(F.explode("heads").alias("head"), F.col("hi").alias("node"))
     tied = written(shown.groupBy("head").agg(F.min("node").alias("least"), F.max("node").alias("most"))
                    .where("least <> most").drop("most"), "jaccard-tied")  # written: both sides of the join are shuffled, so a hot key can be split
     ties = written(shown.join(tied, "head").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "jaccard-ties")
+    release(profiles, tied)
     groups = components(ties).select(F.col("node").alias("hi"), F.col("root").alias("grp"))
     sets = rows.where("hi is not null").groupBy("hi", "lo").agg(F.max("n_shingles").alias("n"), F.min("at").alias("at")).join(groups, "hi")
     sets = written(sets, "jaccard-sets")
     sizes = written(sets.groupBy("grp").agg(F.count("*").alias("m")), "jaccard-sizes")
     members = written(sets.join(sizes, "grp").where("m > 1").select("hi", "lo", "at", "n", "grp", (F.col("m") > LARGE).alias("large")), "jaccard-groups")
+    release(ties, sets, sizes)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
