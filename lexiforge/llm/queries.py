@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiforge.llm import chain_dedup, conversation_repair, decontaminate, fm_quality, hash_forest, jaccard_join, langid, mixing, pii, secret_scan, spelling_groups, suffix_dedup, token_counts
 from lexiforge.llm.common import documents
@@ -13,7 +14,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(documents(spark, sf_dir))
+    return suffix_dedup.dedup(documents(spark, sf_dir)).withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op2_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
