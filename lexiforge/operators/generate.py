@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions.draws import uniform
 from lexiforge.functions.hashing import ordered_hash, tree_hash
-from lexiforge.operators.indexing import dense_index, prefix_sum
+from lexiforge.operators.alias import alias_choice, alias_table
+from lexiforge.operators.indexing import dense_index
 from lexiforge.operators.noise import NoiseConfig, add_noise
 
 TASKS = ("lm", "seq2seq", "cls")
@@ -80,52 +81,22 @@ def sample_space(spark: SparkSession, splits: Sequence[tuple[str, int]], rows_pe
     return out
 
 
-def weighted_choice(samples: DataFrame, u_col: str, choices: DataFrame, order_col: str, weight_col: str,
-                    group_cols: Sequence[str] = (), buckets: int | None = None,
-                    bounded: bool = False) -> DataFrame:
+def weighted_choice(samples: DataFrame, u_col: str, choices: DataFrame, order_col: str, weight_col: str) -> DataFrame:
     """Join each sample to the choice k whose cumulative-weight interval [lo, hi) holds
-    u * total (the bisect rule of ``random.choices``), within its group.
-
-    A range join expressed as an equi-join on a bucket of [0, 1): each choice is
-    replicated over the buckets its interval touches, each sample falls in one bucket.
-    The bucketed choice table is broadcast only when its row count is within
-    BROADCAST_ROWS; otherwise it is a shuffle join on (group, bucket).  ``bounded`` says
-    the choice table is known to be small (checked by the caller), so the cumulative
-    weights come from one plain window instead of the distributed prefix sum.
+    u * total (the bisect rule of ``random.choices``).
+
+    For choice tables of a size known to be small, such as templates: one window adds the weights up, and an
+    interval ends where the next one begins.  Pools of any size take `alias.alias_choice`.
     """
-    g = list(group_cols)
-    positive = choices.where(F.col(weight_col) > 0)
-    if bounded:
-        w = Window.partitionBy(*g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-        cum = positive.withColumn("_lo", F.coalesce(F.sum(weight_col).over(w), F.lit(0.0)))
-    else:
-        cum = prefix_sum(positive, [order_col], g, weight_col, "_lo")
-    cum = cum.withColumn("_hi", F.col("_lo") + F.col(weight_col))
-    totals = cum.groupBy(*g).agg(F.sum(weight_col).alias("_total"), F.count(F.lit(1)).alias("_k"))
-    n_choices = totals.agg(F.max("_k")).first()[0] or 0
-    b = buckets or max(1024, 4 * int(n_choices))
-    if g:
-        tot = F.broadcast(totals.drop("_k"))  # one row per group
-    else:
-        total = totals.first()["_total"]  # a single scalar: the total weight
-
-    def bucket(v):
-        return F.least(F.floor(v / F.col("_total") * b), F.lit(b - 1)).cast("long")
-
-    cum = cum.join(tot, g) if g else cum.withColumn("_total", F.lit(total))
-    table = cum.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))))
-    table = table.drop("_total")
-    payload = [c for c in choices.columns if c not in g]
-    table = table.select(*[F.col(c).alias("_g_" + c) for c in g], "_bucket", "_lo", "_hi",
-                         *[F.col(c).alias("_c_" + c) for c in payload])
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    s = samples.join(tot, g, "left") if g else samples.withColumn("_total", F.lit(total))
-    s = s.withColumn("_x", F.col(u_col) * F.col("_total")).withColumn("_sb", bucket(F.col("_x")))
-    cond = ([F.col("_sb") == F.col("_bucket")] + [F.col(c) == F.col("_g_" + c) for c in g]
-            + [F.col("_lo") <= F.col("_x"), F.col("_x") < F.col("_hi")])
-    picked = s.join(table, cond, "left")
-    return picked.select(*samples.columns, *[F.col("_c_" + c).alias(c) for c in payload])
+    order = Window.orderBy(order_col)
+    cum = choices.where(F.col(weight_col) > 0).withColumn(
+        "_lo", F.coalesce(F.sum(weight_col).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    cum = cum.withColumn("_hi", F.coalesce(F.lead("_lo").over(order), F.lit(float("inf"))))
+    total = choices.where(F.col(weight_col) > 0).agg(F.sum(weight_col)).first()[0]  # a single scalar
+    table = F.broadcast(cum.select("_lo", "_hi", *[F.col(c).alias("_c_" + c) for c in choices.columns]))
+    s = samples.withColumn("_x", F.col(u_col) * F.lit(total))
+    picked = s.join(table, (F.col("_lo") <= F.col("_x")) & (F.col("_x") < F.col("_hi")), "left")
+    return picked.select(*samples.columns, *[F.col("_c_" + c).alias(c) for c in choices.columns])
 
 
 def choose_templates(samples: DataFrame, grammar: Grammar, seed: int) -> DataFrame:
@@ -136,7 +107,7 @@ def choose_templates(samples: DataFrame, grammar: Grammar, seed: int) -> DataFra
     t = grammar.templates.select("template_index", "template", "weight")
     if n_weighted:
         out = weighted_choice(s, "_u_t", t.select("template_index", "template", F.col("weight").cast("double")),
-                              "template_index", "weight", bounded=True)
+                              "template_index", "weight")
         return out.drop("_u_t", "weight")
     idx = t.select("template_index", "template",
                    (F.row_number().over(Window.orderBy("template_index")) - 1).cast("long").alias("_tpos"))
@@ -156,10 +127,8 @@ def choose_entities(samples: DataFrame, grammar: Grammar, pools: DataFrame, seed
         u = uniform(seed, F.col("split"), F.col("sample_index"), "entity", e)
         pool = pools.where(F.col("entity") == e)
         if weighted:
-            out = out.withColumn("_u_e", u)
-            picked = weighted_choice(out, "_u_e", pool.select("pos", "value", F.col("weight").cast("double")),
-                                     "pos", "weight")
-            out = picked.withColumn(f"v_{e}", F.when(present, F.col("value"))).drop("_u_e", "pos", "value", "weight")
+            slots = alias_table(pool, "value", "weight", bounded=sizes[e] <= BROADCAST_ROWS)
+            out = alias_choice(out.withColumn("_u_e", F.when(present, u)), "_u_e", slots, name=f"v_{e}").drop("_u_e")
             continue
         pool = pool.select(F.col("pos").alias(f"_p_{e}"), F.col("value").alias(f"v_{e}"))
         if sizes[e] <= BROADCAST_ROWS:

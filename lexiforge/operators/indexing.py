@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexiforge.session import cut_lineage
 
@@ -24,9 +25,9 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[st
     offsets and for the local sums are the same even if tasks are re-run.
     """
     keys = [*group_cols, *order_cols]
-    v = F.col(value) if value else F.lit(1)
-    sliced = cut_lineage(df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id())
-                         .withColumn("_v", v.cast("double") if value else v.cast("long")))
+    whole = not value or isinstance(df.schema[value].dataType, IntegralType)  # integers are summed exactly
+    v = (F.col(value) if value else F.lit(1)).cast("long" if whole else "double")
+    sliced = cut_lineage(df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()).withColumn("_v", v))
     w_local = (Window.partitionBy("_slice", *group_cols).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = sliced.withColumn("_local", F.coalesce(F.sum("_v").over(w_local), F.lit(0)))

@@ -701,3 +701,34 @@ def _wordpiece_sqls():
 
 
 _wordpiece_sqls()
+
+
+def _weighted_entities_sql() -> str:
+    """The alias table by one window a prefix sum; lookups by comparing places."""
+    from lexiforge.plans.queries import GEN_SEED
+
+    return f"""WITH p AS (
+            SELECT 'person' AS entity, c_name AS value, (1 + c_custkey % 97)::DOUBLE AS weight FROM customer
+            UNION ALL SELECT 'item', p_partkey::VARCHAR || '#' || p_name, p_size::DOUBLE FROM part
+            UNION ALL SELECT 'location', n_name, CASE WHEN n_nationkey = 0 THEN 2376.0 ELSE 1.0 END::DOUBLE FROM nation),
+        i AS (SELECT entity, value, greatest(floor(weight / sum(weight) OVER (PARTITION BY entity) * 4294967296.0 + 0.5), 1)::HUGEINT AS w FROM p WHERE weight > 0),
+        t AS (SELECT *, sum(w) OVER g AS total, count(*) OVER g AS n, row_number() OVER (PARTITION BY entity ORDER BY value) - 1 AS slot FROM i WINDOW g AS (PARTITION BY entity)),
+        r AS (SELECT *, total - w * n < 0 AS heavy, abs(total - w * n) AS size FROM t),
+        l AS (SELECT *, sum(size) OVER o AS until, row_number() OVER o AS nth FROM r WINDOW o AS (PARTITION BY entity, heavy ORDER BY value)),
+        light AS (SELECT a.entity, a.slot, a.n, (a.w * a.n)::DOUBLE / a.total::DOUBLE AS own, a.value, coalesce(h.value, a.value) AS alias
+                  FROM (SELECT * FROM l WHERE NOT heavy) a ASOF LEFT JOIN (SELECT *, until - size AS since FROM l WHERE heavy) h
+                    ON a.entity = h.entity AND a.until - a.size >= h.since),
+        over AS (SELECT h.entity, h.nth, min(a.until) - any_value(h.until) AS much FROM (SELECT * FROM l WHERE heavy) h
+                 JOIN (SELECT * FROM l WHERE NOT heavy) a ON a.entity = h.entity AND a.until >= h.until GROUP BY 1, 2),
+        heavies AS (SELECT h.entity, h.slot, h.n, CASE WHEN x.value IS NULL THEN 1.0 ELSE (h.total - coalesce(o.much, 0))::DOUBLE / h.total::DOUBLE END AS own,
+                           h.value, coalesce(x.value, h.value) AS alias
+                    FROM (SELECT * FROM l WHERE heavy) h LEFT JOIN over o ON o.entity = h.entity AND o.nth = h.nth
+                    LEFT JOIN (SELECT * FROM l WHERE heavy) x ON x.entity = h.entity AND x.nth = h.nth + 1),
+        slots AS (SELECT * FROM light UNION ALL SELECT * FROM heavies),
+        d AS (SELECT entity, {u_sql(str(GEN_SEED), 'o_orderkey', 'entity')} AS u FROM orders, (SELECT unnest(['person', 'item', 'location']) AS entity)),
+        x AS (SELECT d.entity, u * n AS x FROM d JOIN (SELECT DISTINCT entity, n FROM slots) s USING (entity))
+        SELECT x.entity, CASE WHEN x - floor(x) < s.own THEN s.value ELSE s.alias END AS value, count(*) AS n
+        FROM x JOIN slots s ON s.entity = x.entity AND s.slot = floor(x)::BIGINT GROUP BY 1, 2"""
+
+
+ORACLES["weighted_entities"] = _weighted_entities_sql()

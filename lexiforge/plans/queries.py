@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions.canon import canonical_line
+from lexiforge.functions.draws import uniform
 from lexiforge.functions.hashing import ordered_hash, tree_hash
 from lexiforge.functions.text import UNK
 from lexiforge.functions.text import chars as _chars
-from lexiforge.operators import bpe, embed, stats, tokenize, wordpiece
+from lexiforge.operators import alias, bpe, embed, stats, tokenize, wordpiece
 from lexiforge.operators import dataset as ds
 from lexiforge.operators import generate as gen
 from lexiforge.operators import lexicon as lex
@@ -165,6 +166,24 @@ def template_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("split", "template_index").agg(F.count(F.lit(1)).alias("n"))
 
 
+def weighted_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity pools with weights from the tables; one nation holds 0.99 of its pool's weight."""
+    first = F.col("n_nationkey") == 0
+    return (table(spark, sf_dir, "customer").select(F.lit("person").alias("entity"), F.col("c_name").alias("value"), (1 + F.col("c_custkey") % 97).cast("double").alias("weight"))
+            .unionByName(table(spark, sf_dir, "part").select(F.lit("item"), F.concat_ws("#", "p_partkey", "p_name"), F.col("p_size").cast("double")).toDF("entity", "value", "weight"))
+            .unionByName(table(spark, sf_dir, "nation").select(F.lit("location"), F.col("n_name"), F.when(first, 2376.0).otherwise(1.0)).toDF("entity", "value", "weight")))
+
+
+@register("weighted_entities")
+def weighted_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each value is drawn, one draw of every entity per order, by an alias table per entity."""
+    slots = alias.alias_table(weighted_pools(spark, sf_dir), "value", "weight", ["entity"])
+    draws = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*[F.lit(e) for e in ENTITY_ORDER])).alias("entity"))
+    draws = draws.withColumn("u", uniform(GEN_SEED, F.col("o_orderkey"), F.col("entity")))
+    picked = alias.alias_choice(draws, "u", slots, ["entity"], "value")
+    return picked.groupBy("entity", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("grammar_hash")
 def grammar_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gen.grammar_hash(table_grammar(spark, sf_dir))
