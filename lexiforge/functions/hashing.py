@@ -57,3 +57,28 @@ def tree_hash_sql(table: str, group_cols: list[str], ordinal: str, line: str, na
         SELECT {gsel}b1 // {fanout} AS b2, sha256(string_agg(h, chr(10) ORDER BY b1)) AS h
         FROM _l1 GROUP BY b2{gby})
      SELECT {gsel}sha256(string_agg(h, chr(10) ORDER BY b2)) AS {name} FROM _l2 {('GROUP BY ' + g) if g else ''})"""
+
+
+def rank_tree_hash(df: DataFrame, group_cols: list[str], order_cols: list[str], line_col: str,
+                   name: str = "hash", fanout: int = FANOUT) -> DataFrame:
+    """Hash of each group's lines in the order of ``order_cols`` (unique in a group), of any type and any gaps.
+
+    Leaves are runs of ``fanout`` ranks, and levels of ``fanout`` children are added until the group has
+    one node, so no task holds more than that, whatever the order values are.  A group of at most
+    ``fanout`` lines has one level, and no group's hash depends on another group.
+    """
+    from lexiforge.operators.indexing import dense_index
+
+    lines = df.select(*group_cols, *order_cols, F.sha2(F.col(line_col), 256).alias("_h"))
+    level = dense_index(lines, order_cols, group_cols, "_o").select(*group_cols, "_o", "_h")
+    sizes = level.groupBy(*group_cols).agg((F.max("_o") + 1).alias("_m"))
+    most = sizes.agg(F.max("_m")).first()[0] or 1
+    level = level.join(sizes, group_cols) if group_cols else level.withColumn("_m", F.lit(most))
+    leaves = True
+    while leaves or most > 1:
+        hashed = ordered_hash("_o", "_h")
+        up = level.withColumn("_n", F.expr(f"_o div {fanout}")).groupBy(*group_cols, "_n").agg(
+            (hashed if leaves else F.when(F.max("_m") == 1, F.min("_h")).otherwise(hashed)).alias("_h"),
+            F.ceil(F.max("_m") / fanout).cast("long").alias("_m"))
+        level, most, leaves = up.withColumnRenamed("_n", "_o"), -(-most // fanout), False
+    return level.select(*group_cols, F.col("_h").alias(name))

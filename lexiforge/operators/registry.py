@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiforge.operators.indexing import dense_index
+
 SCHEMA = "pos long, path string, name string, manifest_hash string, created_utc string"
 
 
@@ -21,8 +23,7 @@ def entry_name(manifest_name, path) -> F.Column:
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert by ``path``: every existing row with that path takes the incoming name,
     manifest_hash and created_utc (other columns kept); new paths are appended after the
-    existing rows in incoming order (``seq``); for repeated incoming paths the last wins.
-    Registries hold one row per dataset, so the ordered numbering of new rows is small."""
+    existing rows in incoming order (``seq``); for repeated incoming paths the last wins."""
     last = Window.partitionBy("path").orderBy(F.desc("seq"))
     first = Window.partitionBy("path").orderBy("seq")
     inc = (incoming.withColumn("_first_seq", F.min("seq").over(first.rowsBetween(Window.unboundedPreceding,
@@ -35,8 +36,8 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
                     F.coalesce("_h", "manifest_hash").alias("manifest_hash"),
                     F.when(F.col("_h").isNotNull(), F.col("_c")).otherwise(F.col("created_utc")).alias("created_utc")))
     base = existing.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0]  # one scalar
-    new = (inc.join(existing.select("path").distinct(), "path", "left_anti")
-           .withColumn("pos", F.lit(base) + F.row_number().over(Window.orderBy("_first_seq")))
+    fresh = inc.join(existing.select("path").distinct(), "path", "left_anti")
+    new = (dense_index(fresh, ["_first_seq", "path"], name="_nth").withColumn("pos", F.lit(base + 1) + F.col("_nth"))
            .select("pos", "path", "name", "manifest_hash", "created_utc"))
     return kept.unionByName(new)
 

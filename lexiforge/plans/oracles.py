@@ -732,3 +732,35 @@ def _weighted_entities_sql() -> str:
 
 
 ORACLES["weighted_entities"] = _weighted_entities_sql()
+
+
+def rank_tree_sql(lines: str, group: str, order: str, fanout: int, name: str, levels: int = 4) -> str:
+    """A WITH body ending in ``tree``: rank-based leaves, then as many levels as each group needs (up to ``levels``)."""
+    out = [f"""r0 AS (SELECT {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS o, sha256(line) AS h,
+                   count(*) OVER (PARTITION BY {group}) AS m FROM {lines})"""]
+    for k in range(levels):
+        joined = "sha256(string_agg(h, chr(10) ORDER BY o))"
+        h = joined if k == 0 else f"CASE WHEN max(m) = 1 THEN min(h) ELSE {joined} END"
+        out.append(f"r{k + 1} AS (SELECT g, o // {fanout} AS o, {h} AS h, ceil(max(m) / {fanout}) AS m FROM r{k} GROUP BY g, o // {fanout})")
+    return ", ".join(out) + f", tree AS (SELECT g, h AS {name} FROM r{levels})"
+
+
+def _store_sqls():
+    from lexiforge.plans.queries import CORPUS_LIMIT_SHARE, TREE_FANOUT
+
+    doc_lines = f"l AS (SELECT source, doc_id, {DOC_JSON} AS line FROM documents)"
+    ORACLES["sparse_tree_hash"] = f"""WITH {doc_lines}, {rank_tree_sql('l', 'source', 'doc_id', TREE_FANOUT, 'split_hash')}
+        SELECT g AS source, split_hash FROM tree"""
+    ORACLES["embeddings_tree_hash"] = f"""WITH l AS (SELECT vec_id, vec_id::VARCHAR || ':' || array_to_string(
+            list_transform(embedding, lambda v: floor(v::DOUBLE * 1e9)::BIGINT::VARCHAR), ',') AS line FROM embeddings),
+        {rank_tree_sql('l', '0', 'vec_id', TREE_FANOUT, 'embeddings_hash')} SELECT embeddings_hash FROM tree"""
+    ORACLES["corpus_file_units"] = f"""WITH a AS (SELECT text, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS n
+            FROM documents WHERE doc_id % 7 <> 3 AND text IS NOT NULL)
+        SELECT w AS word, count(*)::BIGINT AS freq FROM (SELECT unnest({words_sql('lower(text)')}) AS w FROM a WHERE k <= n // {CORPUS_LIMIT_SHARE}) GROUP BY 1"""
+    ORACLES["mixed_format_stats"] = f"""WITH m AS ({_generated_manifest_sql()})
+        SELECT split, num_records, avg_len, p50_len, p95_len, vocab_size_char FROM m"""
+    ORACLES["registry_commits"] = f"""WITH {doc_lines}, h AS {tree_hash_sql('l', ['source'], 'doc_id', 'line', 'manifest_hash')}
+        SELECT 'datasets/' || source AS path, source AS name, manifest_hash FROM h"""
+
+
+_store_sqls()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions.canon import canonical_line
 from lexiforge.functions.draws import uniform
-from lexiforge.functions.hashing import ordered_hash, tree_hash
+from lexiforge.functions.hashing import ordered_hash, rank_tree_hash, tree_hash
 from lexiforge.functions.text import UNK
 from lexiforge.functions.text import chars as _chars
 from lexiforge.operators import alias, bpe, embed, stats, tokenize, wordpiece
@@ -651,3 +651,76 @@ def bpe_train_lines(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     symbols, merges may cross words), on ``conversations``."""
     units = bpe.training_units(table(spark, sf_dir, "conversations"), "text", lowercase=True, unit="line")
     return bpe.train(units, size, BPE_MIN_FREQ, unit="line").merges_frame(spark)
+
+
+# --- sparse ordinals, corpus files, mixed formats, registry store --------------------------
+
+
+TREE_FANOUT = 64
+SPARSE_STEP = 1_000_003  # ordinals this far apart: no bucket of ordinals would hold two of them
+CORPUS_LIMIT_SHARE = 3  # the corpus scan takes the first third of the accepted texts
+
+
+@register("sparse_tree_hash")
+def sparse_tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of every source's documents by rank, their ordinals spread over the 64-bit range."""
+    lines = _doc_lines(table(spark, sf_dir, "documents")).withColumn("ordinal", F.col("doc_id") * SPARSE_STEP * SPARSE_STEP)
+    return rank_tree_hash(lines, ["split"], ["ordinal"], "line", "split_hash", TREE_FANOUT).withColumnRenamed("split", "source")
+
+
+@register("embeddings_tree_hash")
+def embeddings_tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of the whole table of embeddings: one line a vector, in the order of vec_id, in bounded nodes."""
+    e = table(spark, sf_dir, "embeddings")
+    line = F.concat_ws(":", "vec_id", embed.value_line(F.col("embedding")))
+    return rank_tree_hash(e.select("vec_id", line.alias("line")), [], ["vec_id"], "line", "embeddings_hash", TREE_FANOUT)
+
+
+@register("corpus_file_units")
+def corpus_file_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training units of JSON Lines files written from ``documents`` (some rows without a text), scanned up to a limit."""
+    from lexiforge.session import scratch_path
+    from lexiforge.sources import corpus
+
+    docs = table(spark, sf_dir, "documents")
+    out = scratch_path(spark, "corpus-files")
+    text = F.when(F.col("doc_id") % 7 == 3, F.lit(None)).otherwise(F.col("text"))
+    docs.select("doc_id", text.alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.json(out)
+    limit = docs.where("doc_id % 7 <> 3 and text is not null").count() // CORPUS_LIMIT_SHARE
+    texts = corpus.scan_texts(spark, out, "text", limit)
+    units = bpe.training_units(texts, "text", lowercase=True)
+    return units.select(F.col("unit").alias("word"), "freq")
+
+
+@register("mixed_format_stats")
+def mixed_format_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the generated dataset with its training split as JSON Lines and the others as Parquet."""
+    from lexiforge.session import scratch_path
+    from lexiforge.sources import corpus, io
+
+    out = scratch_path(spark, "mixed-dataset")
+    recs = _generated_records(spark, sf_dir)
+    io.write_records(recs.where("split = 'train'"), out, "jsonl", "append")
+    io.write_records(recs.where("split <> 'train'"), out, "parquet", "append")
+    return _round_doubles(corpus_stats(corpus.read_splits(spark, out, stats.SPLITS), splits=stats.SPLITS), stats.STAT_COLUMNS)
+
+
+@register("registry_commits")
+def registry_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One commit per document source, made by several writers at once; the committed registry's rows."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lexiforge.operators.registry_store import RegistryStore
+    from lexiforge.session import scratch_path
+
+    base = scratch_path(spark, "registry")
+    hashes = ds.split_hashes(_doc_lines(table(spark, sf_dir, "documents")), "doc_id").select("split", "split_hash").collect()  # one row a source
+
+    def commit(row) -> int:
+        inc = spark.createDataFrame([(0, f"datasets/{row['split']}", row["split"], row["split_hash"], REG_CREATED_NEW)],
+                                    "seq long, path string, name string, manifest_hash string, created_utc string")
+        return RegistryStore(spark, base).upsert(inc)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(commit, hashes))
+    return RegistryStore(spark, base).load().select("path", "name", "manifest_hash")
