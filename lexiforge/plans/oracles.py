@@ -64,11 +64,11 @@ FROM b
 """
 
 ORACLES["detokenize_roundtrip"] = """
-SELECT item_id, length(text)::INTEGER AS n_chars, octet_length(encode(text))::INTEGER AS n_bytes,
+SELECT doc_id, length(text)::INTEGER AS n_chars, octet_length(encode(text))::INTEGER AS n_bytes,
        (array_to_string(string_split(text, ''), '') = text)::INTEGER AS char_ok,
        (decode(unhex(hex(encode(text)))) = text)::INTEGER AS byte_ok,
        md5(text) AS text_md5
-FROM benchmark
+FROM documents
 """
 
 
@@ -313,9 +313,13 @@ ORACLES["manifest_completeness"] = """
 SELECT DISTINCT source AS dataset_name, round(6.0 / 14.0, 6) AS completeness FROM documents
 """
 
-ORACLES["run_reproducibility"] = """
-SELECT sha256('documents|source|doc_id|tree') AS config_hash, 3::BIGINT AS runs, 1::BIGINT AS distinct_hashes,
-       1.0::DOUBLE AS reproducibility
+ORACLES["run_reproducibility"] = f"""
+WITH l AS (SELECT source AS split, doc_id, sha256({DOC_JSON}) AS line FROM documents),
+h AS {tree_hash_sql('l', ['split'], 'doc_id', 'line', 'split_hash')},
+runs AS (SELECT run_id, (SELECT sha256(string_agg(split_hash, chr(10) ORDER BY split)) FROM h) AS dataset_hash FROM range(3) t(run_id)),
+per AS (SELECT dataset_hash, count(*) AS n FROM runs GROUP BY 1)
+SELECT sha256('documents|source|doc_id|tree') AS config_hash, sum(n)::BIGINT AS runs, count(*)::BIGINT AS distinct_hashes,
+       round(max(n) / sum(n), 6)::DOUBLE AS reproducibility, min(dataset_hash) AS dataset_hash FROM per
 """
 
 
@@ -537,7 +541,7 @@ def _emb_ctes() -> str:
     from lexiforge.plans.queries import EMB_DIM, EMB_SEED
 
     return f"""
-toks AS (SELECT DISTINCT c AS token FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM benchmark) WHERE c <> ''),
+toks AS (SELECT DISTINCT c AS token FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM documents) WHERE c <> ''),
 vals AS (SELECT token, d, ((2.0 * {u_sql(str(EMB_SEED), 'token', 'd')}) - 1.0)::FLOAT AS v
          FROM toks, range({EMB_DIM}) t(d)),
 emb AS (SELECT token, list(v ORDER BY d) AS vs,
@@ -550,11 +554,13 @@ ORACLES["embedding_summary"] = f"""WITH {_emb_ctes()}
 SELECT count(*)::BIGINT AS tokens, min(len(vs))::INTEGER AS min_dim, max(len(vs))::INTEGER AS max_dim,
        sha256(string_agg(token || chr(9) || vline, chr(10) ORDER BY token)) AS embeddings_hash FROM emb"""
 ORACLES["mean_embeddings"] = f"""WITH {_emb_ctes()},
-ex AS (SELECT item_id, unnest(list_filter(string_split(lower(text), ''), lambda c: c <> '')) AS token FROM benchmark),
-j AS (SELECT ex.item_id, vals.d, vals.v FROM ex JOIN vals USING (token)),
-per AS (SELECT item_id, d, avg(v::DOUBLE) AS m, count(*) AS n FROM j GROUP BY 1, 2)
-SELECT item_id, max(n)::BIGINT AS n_tokens, round(max(CASE WHEN d = 0 THEN m END), 6) AS mean0,
-       round(sum(m), 6) AS mean_sum FROM per GROUP BY item_id"""
+ex AS (SELECT doc_id, token, count(*) AS k FROM (
+         SELECT doc_id, unnest(list_filter(string_split(lower(text), ''), lambda c: c <> '')) AS token FROM documents) GROUP BY 1, 2),
+j AS (SELECT ex.doc_id, vals.d, vals.v, k FROM ex JOIN vals USING (token)),
+per AS (SELECT doc_id, d, sum(v::DOUBLE * k) / sum(k) AS m, sum(k) AS n FROM j GROUP BY 1, 2),
+got AS (SELECT doc_id, max(n)::BIGINT AS n_tokens, round(max(CASE WHEN d = 0 THEN m END), 6) AS mean0,
+               md5(string_agg(floor(m * 1e6 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY d)) AS mean_md5 FROM per GROUP BY doc_id)
+SELECT * FROM got"""
 
 
 def _registry_sql() -> str:
@@ -764,3 +770,12 @@ def _store_sqls():
 
 
 _store_sqls()
+
+
+ORACLES["oov_heldout"] = f"""WITH w AS (SELECT lang, doc_id % 10 = 0 AS held, unnest({words_sql('lower(text)')}) AS w FROM documents),
+    seen AS (SELECT DISTINCT w FROM w WHERE NOT held)
+    SELECT w.lang, count(*)::BIGINT AS n_words, count(CASE WHEN seen.w IS NULL THEN 1 END)::BIGINT AS n_oov,
+           round(count(CASE WHEN seen.w IS NULL THEN 1 END) / count(*), 6) AS oov_rate
+    FROM w LEFT JOIN seen ON seen.w = w.w WHERE held GROUP BY 1"""
+ORACLES["stream_restart_160"] = f"""SELECT *, (SELECT count(*) FROM conversations)::BIGINT AS rows_observed, (sum(greatest(n_tokens, 0)) OVER ())::BIGINT AS tokens_observed
+    FROM ({ORACLES['bpe_encode_160']})"""

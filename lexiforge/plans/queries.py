@@ -94,7 +94,7 @@ def byte_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("detokenize_roundtrip")
 def detokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize.roundtrip_audit(table(spark, sf_dir, "benchmark"), "text", ["item_id"])
+    return tokenize.roundtrip_audit(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
 # --- generation ----------------------------------------------------------------------------
@@ -324,17 +324,28 @@ def manifest_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(ds.completeness(manifests), ["completeness"])
 
 
+REPEATED_BUILDS = 3
+
+
 @register("run_reproducibility")
 def run_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' dataset hash recomputed under three different input partitionings."""
+    """Repeated builds of the documents' dataset hash, each under another partitioning, appended to a run table.
+
+    Lines are hashed where they are read; only the digests are dealt anew, over numbers of partitions that follow the input.
+    """
+    from lexiforge.session import scratch_path
+
     docs = table(spark, sf_dir, "documents")
     config_hash = F.sha2(F.lit("documents|source|doc_id|tree"), 256)
-    runs = None
-    for run_id, parts in enumerate((3, 7, 16)):
-        h = ds.dataset_hash(ds.split_hashes(_doc_lines(docs.repartition(parts)), "doc_id"), order=None)
-        r = h.select(config_hash.alias("config_hash"), F.lit(run_id).alias("run_id"), "dataset_hash")
-        runs = r if runs is None else runs.unionByName(r)
-    return _round_doubles(ds.reproducibility(runs), ["reproducibility"])
+    runs, parts = scratch_path(spark, "runs"), docs.rdd.getNumPartitions()
+    for run_id in range(REPEATED_BUILDS):
+        digests = _doc_lines(docs).select("split", "doc_id", F.sha2("line", 256).alias("line"))
+        dealt = digests.repartition((run_id + 1) * parts + run_id)
+        built = ds.dataset_hash(ds.split_hashes(dealt, "doc_id"), order=None)
+        built.select(config_hash.alias("config_hash"), F.lit(run_id).alias("run_id"), "dataset_hash").write.mode("append").parquet(runs)
+    history = spark.read.parquet(runs)
+    rates = _round_doubles(ds.reproducibility(history), ["reproducibility"])
+    return rates.join(history.groupBy("config_hash").agg(F.min("dataset_hash").alias("dataset_hash")), "config_hash")
 
 
 # --- learned tokenizer (BPE) ---------------------------------------------------------------
@@ -522,7 +533,7 @@ EMB_SEED = 5
 
 
 def _char_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = tokenize.vocab(table(spark, sf_dir, "benchmark"), "text", "char", lowercase=True).select("token")
+    toks = tokenize.vocab(table(spark, sf_dir, "documents"), "text", "char", lowercase=True).select("token")
     return embed.fixed_embeddings(toks, EMB_DIM, EMB_SEED)
 
 
@@ -541,10 +552,10 @@ def embedding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("mean_embeddings")
 def mean_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bench = table(spark, sf_dir, "benchmark").select("item_id", _chars(F.col("text"), lowercase=True).alias("toks"))
-    m = embed.mean_embeddings(bench, ["item_id"], "toks", _char_embeddings(spark, sf_dir), EMB_DIM)
-    return m.select("item_id", "n_tokens", F.round(F.element_at("mean", 1), 6).alias("mean0"),
-                    F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _chars(F.col("text"), lowercase=True).alias("toks"))
+    m = embed.mean_embeddings(docs, ["doc_id"], "toks", _char_embeddings(spark, sf_dir), EMB_DIM)
+    digest = F.md5(F.concat_ws(",", F.transform("mean", lambda v: F.floor(v * 1e6 + 0.5).cast("string"))))
+    return m.select("doc_id", "n_tokens", F.round(F.element_at("mean", 1), 6).alias("mean0"), digest.alias("mean_md5"))
 
 
 # --- registry ------------------------------------------------------------------------------
@@ -724,3 +735,43 @@ def registry_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     with ThreadPoolExecutor(3) as pool:
         list(pool.map(commit, hashes))
     return RegistryStore(spark, base).load().select("path", "name", "manifest_hash")
+
+
+HELD_OUT = 10  # one document of so many is scored and not learned from
+
+
+@register("oov_heldout")
+def oov_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language of the held-out split, the share of words never seen in the training split; both are read
+    from one written dataset, and the words seen are a table that is joined."""
+    from lexiforge.functions.text import words
+    from lexiforge.session import scratch_path
+
+    out = scratch_path(spark, "held-out")
+    docs = table(spark, sf_dir, "documents")
+    split = F.when(F.col("doc_id") % HELD_OUT == 0, "valid").otherwise("train")
+    docs.select("lang", "text", split.alias("split")).write.partitionBy("split").parquet(out)
+    rows = spark.read.parquet(out)
+    seen = bpe.training_units(rows.where("split = 'train'"), "text", lowercase=True).select(F.col("unit").alias("word"), F.lit(1).alias("seen"))
+    held = rows.where("split = 'valid'").select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").count()
+    out = held.join(seen, "word", "left").groupBy("lang").agg(
+        F.sum("count").alias("n_words"), F.sum(F.when(F.col("seen").isNull(), F.col("count")).otherwise(0)).alias("n_oov"))
+    return out.withColumn("oov_rate", F.round(F.col("n_oov") / F.col("n_words"), 6))
+
+
+STREAM_FILES = 8
+
+
+@register(f"stream_restart_{BPE_CHECKED_VOCAB_SIZE}")
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` in several files, tokenized as a stream that is stopped midway and started again."""
+    from lexiforge.session import scratch_path
+
+    files = scratch_path(spark, "stream-files")
+    spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").repartition(STREAM_FILES, "conv_id", "turn").write.parquet(files)
+    model = bpe_model(spark, sf_dir, BPE_CHECKED_VOCAB_SIZE)
+    enc = bpe.apply_tokenizer(stream.source(spark, files + "/", max_files=1), ["text"], model, add_ids=False)
+    rows = enc.select("conv_id", "turn", F.size("text_tokens").alias("n_tokens"), F.md5(F.array_join("text_tokens", " ")).alias("tokens_md5"))
+    out, counted = stream.run_with_restart(rows, "stream-restart", STREAM_FILES // 2, {
+        "rows": F.count(F.lit(1)), "tokens": F.sum(F.greatest("n_tokens", F.lit(0)))})
+    return out.select("*", F.lit(counted["rows"]).cast("long").alias("rows_observed"), F.lit(counted["tokens"]).cast("long").alias("tokens_observed"))

@@ -7,7 +7,7 @@ complete-mode aggregate is rewritten per micro-batch through ``foreachBatch``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions.text import chars
@@ -76,3 +76,37 @@ def stream_char_tokens(spark: SparkSession, path: str, key_cols: list[str], text
     toks = chars(F.col(text_col), lowercase)
     out = s.select(*key_cols, F.size(toks).alias("n_tokens"), F.md5(F.array_join(toks, " ")).alias("tokens_md5"))
     return run_append(out, "stream-tokens")
+
+
+def run_with_restart(df: DataFrame, name: str, stop_after: int, counters: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """Append ``df`` to a table, stopped after ``stop_after`` micro-batches and started again from its checkpoint.
+
+    The sink commits whole batches, and a batch that was stopped is planned again from the checkpoint's
+    offsets, so no row is lost or written twice.  ``counters`` (name -> aggregate) are observed by every
+    batch; a batch that ran twice counts once.  Returns the table and the counters' sums.
+    """
+    spark = df.sparkSession
+    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    observed = df.observe(name, *[c.alias(k) for k, c in counters.items()])
+
+    def start(**trigger):
+        return (observed.writeStream.outputMode("append").format("parquet").option("path", out)
+                .option("checkpointLocation", ckpt).trigger(**trigger).start())
+
+    by_batch: dict[int, dict] = {}
+
+    def note(q) -> None:
+        for p in q.recentProgress:
+            got = (p.get("observedMetrics") or {}).get(name)
+            if got and p["numInputRows"]:
+                by_batch[p["batchId"]] = got if isinstance(got, dict) else got.asDict()
+
+    first = start(processingTime="0 seconds")
+    while first.isActive and len({p["batchId"] for p in first.recentProgress if p["numInputRows"]}) < stop_after:
+        first.awaitTermination(0.05)
+    first.stop()
+    note(first)
+    again = start(availableNow=True)
+    again.awaitTermination()
+    note(again)
+    return spark.read.parquet(out), {k: sum(int(m[k] or 0) for m in by_batch.values()) for k in counters}
