@@ -29,6 +29,7 @@ than ``k`` words is one shingle; copies always link; ids may repeat (each row is
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -47,6 +48,7 @@ WEIGHT = 1 << 20
 LEAST = 3
 MISS = 1e-9
 LARGE = 128
+ROUNDS = 4
 SKETCH = 22  # bits: 4 million counters, 16 MB
 _SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -271,17 +273,22 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[Da
 
     profiles = written(src.mapInArrow(profile, f"doc_id {kind}, at long, n_shingles long, hi long, lo long, heads array<long>"), "jaccard-profiles")
     rows = written(profiles.drop("heads"), "jaccard-rows")
-    shown = profiles.where("hi is not null").select(F.explode("heads").alias("head"), F.col("hi").alias("node"))
-    tied = written(shown.groupBy("head").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-                   .where("least <> most").drop("most"), "jaccard-tied")  # written: both sides of the join are shuffled, so a hot key can be split
-    ties = written(shown.join(tied, "head").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "jaccard-ties")
-    release(profiles, tied)
+    rounds = []
+    for r in range(ROUNDS):  # one part of the heads at a time: the shuffle never holds them all
+        shown = (profiles.where("hi is not null").select(F.explode("heads").alias("head"), F.col("hi").alias("node"))
+                 .where(F.pmod("head", F.lit(ROUNDS)) == r))
+        tied = written(shown.groupBy("head").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+                       .where("least <> most").drop("most"), "jaccard-tied")  # written: both sides of the join are shuffled, so a hot key can be split
+        rounds.append(written(shown.join(tied, "head").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "jaccard-ties"))
+        release(tied)
+    ties = functools.reduce(DataFrame.union, rounds)
+    release(profiles)
     groups = components(ties).select(F.col("node").alias("hi"), F.col("root").alias("grp"))
     sets = rows.where("hi is not null").groupBy("hi", "lo").agg(F.max("n_shingles").alias("n"), F.min("at").alias("at")).join(groups, "hi")
     sets = written(sets, "jaccard-sets")
     sizes = written(sets.groupBy("grp").agg(F.count("*").alias("m")), "jaccard-sizes")
     members = written(sets.join(sizes, "grp").where("m > 1").select("hi", "lo", "at", "n", "grp", (F.col("m") > LARGE).alias("large")), "jaccard-groups")
-    release(ties, sets, sizes)
+    release(*rounds, sets, sizes)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
