@@ -20,6 +20,7 @@ from lexiforge.functions.hashing import ordered_hash, tree_hash
 from lexiforge.operators.alias import alias_choice, alias_table
 from lexiforge.operators.indexing import dense_index
 from lexiforge.operators.noise import NoiseConfig, add_noise
+from lexiforge.operators.sizes import broadcast_if_small
 
 TASKS = ("lm", "seq2seq", "cls")
 # Label rules of the classification task, first substring match wins.
@@ -131,8 +132,7 @@ def choose_entities(samples: DataFrame, grammar: Grammar, pools: DataFrame, seed
             out = alias_choice(out.withColumn("_u_e", F.when(present, u)), "_u_e", slots, name=f"v_{e}").drop("_u_e")
             continue
         pool = pool.select(F.col("pos").alias(f"_p_{e}"), F.col("value").alias(f"v_{e}"))
-        if sizes[e] <= BROADCAST_ROWS:
-            pool = F.broadcast(pool)
+        pool = broadcast_if_small(pool)
         out = out.withColumn(f"_p_{e}", F.when(present, F.floor(u * F.lit(sizes[e])).cast("long")))
         out = out.join(pool, f"_p_{e}", "left").drop(f"_p_{e}")
     return out

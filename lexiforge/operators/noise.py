@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions.draws import uniform
 from lexiforge.functions.text import col_, words
+from lexiforge.operators.sizes import BROADCAST_BYTES, broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,7 @@ def synonym_frame(synonyms: DataFrame) -> DataFrame:
 
 
 def add_noise(df: DataFrame, text_col: str, key: list, config: NoiseConfig, out_col: str | None = None,
-              synonyms: DataFrame | None = None, broadcast_limit: int = 1_000_000) -> DataFrame:
+              synonyms: DataFrame | None = None, broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
     """Apply the noise steps (drop, typo, swap, synonym) to ``text_col``; ``key`` lists the columns/literals that make
     each row's draws unique (e.g. seed, split, index)."""
     out_col = out_col or text_col
@@ -97,17 +98,14 @@ def add_noise(df: DataFrame, text_col: str, key: list, config: NoiseConfig, out_
 
 
 def apply_synonyms(df: DataFrame, text_col: str, key: list, prob: float, synonyms: DataFrame,
-                   broadcast_limit: int = 1_000_000) -> DataFrame:
+                   broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
     """Replace one uniformly chosen word by one of its synonyms (uniform), if it has any.
 
     Texts that change are re-joined with single spaces, like the word swap.  The synonym
-    table is broadcast only when its row count is within ``broadcast_limit``; otherwise it
+    table is broadcast only when it takes at most ``broadcast_limit`` bytes; otherwise it
     is a shuffle join on the chosen word.
     """
-    table = synonym_frame(synonyms)
-    n_words_tbl = table.count()
-    if n_words_tbl <= broadcast_limit:
-        table = F.broadcast(table)
+    table = broadcast_if_small(synonym_frame(synonyms), broadcast_limit)
     ws = words(F.col(text_col))
     gate = uniform(*key, "synonym") < prob
     pos = F.floor(uniform(*key, "synonym_at") * F.size(ws)).cast("int")

@@ -779,3 +779,28 @@ ORACLES["oov_heldout"] = f"""WITH w AS (SELECT lang, doc_id % 10 = 0 AS held, un
     FROM w LEFT JOIN seen ON seen.w = w.w WHERE held GROUP BY 1"""
 ORACLES["stream_restart_160"] = f"""SELECT *, (SELECT count(*) FROM conversations)::BIGINT AS rows_observed, (sum(greatest(n_tokens, 0)) OVER ())::BIGINT AS tokens_observed
     FROM ({ORACLES['bpe_encode_160']})"""
+
+
+def _artifact_sqls():
+    from lexiforge.functions.hashing import FANOUT
+    from lexiforge.plans.queries import BPE_CHECKED_VOCAB_SIZE, BPE_MIN_FREQ
+
+    def one(ctes: str, lines: str, order: str, kind: str, recursive: str = "") -> str:
+        return f"""WITH {recursive}{ctes}, al AS ({lines}), {rank_tree_sql('al', '0', order, FANOUT, 'content_hash')}
+            SELECT '{kind}' AS kind, (SELECT count(*) FROM al)::BIGINT AS rows, content_hash, true AS verified FROM tree"""
+
+    ORACLES["tokenizer_artifact"] = one(f"{_bpe_train_ctes(BPE_CHECKED_VOCAB_SIZE, BPE_MIN_FREQ)}, {_vocab_ctes(BPE_CHECKED_VOCAB_SIZE)}",
+                                        "SELECT id, to_json({'id': id, 'token': token})::VARCHAR AS line FROM vocab", "id", "tokenizer", "RECURSIVE ")
+    ORACLES["embedding_artifact"] = one(_emb_ctes(), "SELECT token, token || chr(9) || vline AS line FROM emb", "token", "embedding")
+    ORACLES["lexicon_artifact"] = one(_lexicon_ctes(), "SELECT source, pos, to_json({'count': n, 'pos': pos, 'source': source, 'token': word})::VARCHAR AS line FROM sh",
+                                      "source, pos", "lexicon")
+    ORACLES["provenance_check"] = f"""WITH RECURSIVE {_UNITS}, {_alphabet_sql()},
+        e(artifact, made_from) AS (VALUES ('tokenizer', 'documents'), ('encoded', 'tokenizer'), ('encoded', 'conversations'),
+                                          ('manifest', 'encoded'), ('statistics', 'documents')),
+        new AS (SELECT 'tokenizer' AS artifact FROM alpha HAVING count(*) > 39),
+        off AS (SELECT e.artifact FROM e JOIN new ON e.made_from = new.artifact UNION SELECT e.artifact FROM e JOIN off ON e.made_from = off.artifact)
+        SELECT artifact, CASE WHEN artifact IN (SELECT artifact FROM new) THEN 'changed' WHEN artifact IN (SELECT artifact FROM off) THEN 'stale' ELSE 'ok' END AS status
+        FROM (SELECT artifact FROM e UNION SELECT made_from FROM e)"""
+
+
+_artifact_sqls()

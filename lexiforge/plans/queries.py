@@ -289,11 +289,12 @@ def _generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split of the generated dataset: row count, split hash, statistics, and the
     dataset hash over train, valid, test (the manifest body, one row per split)."""
-    from pyspark import StorageLevel
+    from lexiforge.session import scratch_path
 
-    recs = _generated_records(spark, sf_dir)
-    # records feed three aggregations (hashes, statistics, counts): generate them once
-    recs = ds.with_canonical_line(recs, ds.RECORD_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+    # records feed three aggregations (hashes, statistics, counts): generate them once, into the shared folder
+    path = scratch_path(spark, "generated-records")
+    ds.with_canonical_line(_generated_records(spark, sf_dir), ds.RECORD_COLUMNS).write.parquet(path)
+    recs = spark.read.parquet(path)
     hashes = ds.split_hashes(recs, "ord")
     st = corpus_stats(recs, splits=stats.SPLITS)
     out = ds.with_dataset_hash(hashes.withColumnRenamed("num_records", "row_count").join(st, "split"))
@@ -775,3 +776,61 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, counted = stream.run_with_restart(rows, "stream-restart", STREAM_FILES // 2, {
         "rows": F.count(F.lit(1)), "tokens": F.sum(F.greatest("n_tokens", F.lit(0)))})
     return out.select("*", F.lit(counted["rows"]).cast("long").alias("rows_observed"), F.lit(counted["tokens"]).cast("long").alias("tokens_observed"))
+
+
+# --- artifact sinks and provenance ----------------------------------------------------------
+
+
+def _stored_artifact(spark: SparkSession, df: DataFrame, kind: str, order_cols: list[str], line=None) -> DataFrame:
+    """Written, loaded again by its manifest, and verified: one row."""
+    from lexiforge.session import scratch_path
+    from lexiforge.sources import artifacts
+
+    out = scratch_path(spark, f"artifact-{kind}")
+    artifacts.save(df, out, kind, order_cols, line)
+    rows = artifacts.load(spark, out, line).count()
+    return artifacts.verify(spark, out, line).select("kind", "rows", "content_hash", (F.col("verified") & (F.col("rows") == rows)).alias("verified"))
+
+
+@register("tokenizer_artifact")
+def tokenizer_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = bpe_model(spark, sf_dir, BPE_CHECKED_VOCAB_SIZE).vocab_frame(spark)
+    return _stored_artifact(spark, vocab, "tokenizer", ["id"])
+
+
+@register("embedding_artifact")
+def embedding_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.col("token"), F.lit("\t"), embed.value_line(F.col("values")))
+    return _stored_artifact(spark, _char_embeddings(spark, sf_dir), "embedding", ["token"], line)
+
+
+@register("lexicon_artifact")
+def lexicon_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _lexicon_entries(spark, sf_dir).select(F.col("domain").alias("source"), "pos", "token", "count")
+    return _stored_artifact(spark, entries, "lexicon", ["source", "pos"])
+
+
+@register("provenance_check")
+def provenance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, the tokenizer made from them, conversations encoded with it and a manifest of those, after
+    the tokenizer was made again with one token more: it has changed, what was made with it is stale."""
+    from lexiforge.operators import provenance
+
+    def whole(df: DataFrame, key: list[str], line) -> str:
+        return rank_tree_hash(df.select(*key, line.alias("line")), [], key, "line").first()["hash"]
+
+    docs, conv = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    made = {"documents": whole(docs, ["doc_id"], canonical_line(docs, list(DOC_COLUMNS))),
+            "conversations": whole(conv, ["conv_id", "turn"], F.to_json(F.struct("conv_id", "role", "text", "turn")))}
+    models = {size: bpe_model(spark, sf_dir, size) for size in (BPE_SMALL_VOCAB_SIZE, BPE_SMALL_VOCAB_SIZE + 1)}
+    hashes = {size: bpe.tokenizer_hash(m, spark).first()["tokenizer_hash"] for size, m in models.items()}
+    enc = bpe.apply_tokenizer(conv, ["text"], models[BPE_SMALL_VOCAB_SIZE])
+    made["tokenizer"] = hashes[BPE_SMALL_VOCAB_SIZE]
+    made["encoded"] = whole(enc, ["conv_id", "turn"], F.to_json(F.struct("conv_id", "text_ids", "turn")))
+    made["statistics"] = whole(length_stats_by_lang(spark, sf_dir), ["split"], F.to_json(F.struct("split", "num_records")))
+    made["manifest"] = made["encoded"]
+    edges = [(a, b, made[b]) for a, b in (("tokenizer", "documents"), ("encoded", "tokenizer"), ("encoded", "conversations"),
+                                          ("manifest", "encoded"), ("statistics", "documents"))]
+    now = {**made, "tokenizer": hashes[BPE_SMALL_VOCAB_SIZE + 1]}
+    frame = lambda d: spark.createDataFrame(list(d.items()), provenance.HASHES)
+    return provenance.check(spark.createDataFrame(edges, provenance.EDGES), frame(made), frame(now))

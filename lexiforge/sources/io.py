@@ -102,23 +102,18 @@ def write_dataset(records: DataFrame, out: str, fmt: str = "jsonl", dataset_name
     dataset-level fields (name, format, hash mode, caller-supplied extras such as a
     tokenizer hash or config hash).  The timestamp is recorded but never hashed.
     """
-    from pyspark import StorageLevel
-
     from lexiforge.operators import dataset as ds
     from lexiforge.operators.stats import SPLITS, corpus_stats
 
-    recs = ds.with_canonical_line(records, ds.RECORD_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_records(recs.drop("line"), out, fmt)
-        hashes = ds.split_hashes(recs, "ord").withColumnRenamed("num_records", "row_count")
-        manifest = ds.with_dataset_hash(hashes.join(corpus_stats(recs, splits=_all_splits(recs, SPLITS)), "split", "full"))
-        fields = {"dataset_name": dataset_name, "format": fmt, "hash_mode": "tree", **(extra or {})}
-        for k, v in sorted(fields.items()):
-            manifest = manifest.withColumn(k, F.lit(v).cast("string"))
-        manifest = manifest.withColumn("timestamp_utc", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
-        manifest.coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest")
-    finally:
-        recs.unpersist()
+    write_records(records, out, fmt)
+    recs = ds.with_canonical_line(read_records(records.sparkSession, out, fmt), ds.RECORD_COLUMNS)  # what is on disk is described
+    hashes = ds.split_hashes(recs, "ord").withColumnRenamed("num_records", "row_count")
+    manifest = ds.with_dataset_hash(hashes.join(corpus_stats(recs, splits=_all_splits(recs, SPLITS)), "split", "full"))
+    fields = {"dataset_name": dataset_name, "format": fmt, "hash_mode": "tree", **(extra or {})}
+    for k, v in sorted(fields.items()):
+        manifest = manifest.withColumn(k, F.lit(v).cast("string"))
+    manifest = manifest.withColumn("timestamp_utc", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest")
     return spark_read_manifest(records.sparkSession, out)
 
 

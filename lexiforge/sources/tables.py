@@ -10,7 +10,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 
 
-def spread_thin(df: DataFrame) -> DataFrame:
+# Columns that tell a table's rows apart: rows are dealt by all of them.
+KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn"), "benchmark": ("item_id",)}
+
+
+def spread_thin(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Spread an input with fewer scan partitions than the cluster has cores.
 
     A large input already arrives in many splits and is returned untouched; only a thin
@@ -19,8 +23,8 @@ def spread_thin(df: DataFrame) -> DataFrame:
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        # hash of the table's key column: deterministic on retry, no pre-sort of the text
-        return df.repartition(target, df.columns[0])
+        # hash of the key columns: deterministic on retry, no pre-sort of the text, no long group in one task
+        return df.repartition(target, *keys)
     return df
 
 
@@ -28,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_thin(df) if name in TEXT_TABLES else df
+    return spread_thin(df, KEYS[name]) if name in TEXT_TABLES else df
