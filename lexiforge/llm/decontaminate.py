@@ -6,8 +6,9 @@ every hit the item is laid over the document on the hit's diagonal, and every wi
 words (of the whole item, if shorter) with IDENTITY equal words is an overlap.  Overlapping windows
 are united to passages.
 
-The benchmark is broadcast in blocks of about BLOCK_WORDS words (a stated bound on what a task
-holds, 60 bytes a word); a larger benchmark means more passes over the documents, not more memory.
+The benchmark is broadcast in blocks of about BLOCK_WORDS words (a stated bound on what a task and the
+driver hold, 60 bytes a word); a larger benchmark means more passes over the documents, not more memory: with
+several blocks each pass is written before the next block is collected, and its broadcast is destroyed.
 Documents are never shuffled.
 
 Words are compared without case and ASCII punctuation.  Items of fewer than MIN_ITEM words take no
@@ -27,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from lexiforge.llm.common import written
 from lexiforge.llm.words import binary_column, code_points, mix64, tokens
 
 MASKS = ("11101011", "101100111", "111111")  # one of them avoids any two of MIN_WORDS positions
@@ -147,10 +150,9 @@ def overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS)
     schema = (f"doc_id {src.schema['doc_id'].dataType.simpleString()}, item_id {bench.schema['item_id'].dataType.simpleString()}, "
               "start long, end long, n_words int, n_equal int")
 
-    def one(items: list[tuple[int, bytes]]) -> DataFrame:
-        sent = src.sparkSession.sparkContext.broadcast(([i for i, _ in items], Index([tokens(t)[0] for _, t in items])))
-        item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[bench.schema["item_id"].dataType.simpleString()]
+    item_type = to_arrow_type(bench.schema["item_id"].dataType)
 
+    def one(sent) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, index = sent.value
             for batch in batches:
@@ -170,12 +172,28 @@ def overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS)
 
         return src.mapInArrow(task, schema)
 
-    return reduce(DataFrame.union, [one(b) for b in benchmark_blocks(bench, block_words)])
+    parts = []
+    for items, last in _in_turn(benchmark_blocks(bench, block_words)):
+        sent = src.sparkSession.sparkContext.broadcast(([i for i, _ in items], Index([tokens(t)[0] for _, t in items])))
+        if last and not parts:
+            return one(sent)
+        parts.append(written(one(sent), "benchmark-overlaps"))
+        sent.destroy()
+    return reduce(DataFrame.union, parts)
+
+
+def _in_turn(blocks: Iterator) -> Iterator[tuple[list, bool]]:
+    """Every block, and whether it is the last one."""
+    held = next(blocks)
+    for block in blocks:
+        yield held, False
+        held = block
+    yield held, True
 
 
 def clean(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the rows whose text overlaps a benchmark item, other columns untouched."""
-    for items in benchmark_blocks(bench, block_words):
+    for items, last in _in_turn(benchmark_blocks(bench, block_words)):
         sent = docs.sparkSession.sparkContext.broadcast(Index([tokens(t)[0] for _, t in items]))
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -183,4 +201,7 @@ def clean(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) ->
                 yield batch.filter(pa.array([not sent.value.passages(tokens(t)[0]) for t in binary_column(batch, "text")], pa.bool_()))
 
         docs = docs.mapInArrow(task, docs.schema)
+        if not last:
+            docs = written(docs, "benchmark-clean")
+            sent.destroy()
     return docs

@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
                  pa.array([x[2] for x in f], pa.list_(pa.float64()))], names=["doc_id", "label", "idx", "val", "stats"])
 
     rows = (docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
-            .mapInArrow(task, "doc_id long, label int, idx array<int>, val array<float>, stats array<double>")
+            .mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, idx array<int>, val array<float>, stats array<double>")
             .toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]))
     lists = [rows.column(c).to_pylist() for c in ("idx", "val", "stats")]
     data = [(np.array(a, dtype=np.int64), np.array(b, dtype=np.float64), np.array(c)) for a, b, c in zip(*lists, strict=True)]

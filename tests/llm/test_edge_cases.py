@@ -147,3 +147,16 @@ def test_stages(spark, docs, none, bench, tmp_path):
                 out.write.parquet(f"{tmp_path}/{name}-{table is none}")
                 at = spark.read.parquet(f"{tmp_path}/{name}-{table is none}")
         assert (out.count() == 0) == (table is none)
+
+
+def test_ids_of_other_types(spark, docs):
+    """Document and item ids need not be numbers."""
+    named = docs.where("doc_id is not null").selectExpr("concat('d', doc_id) doc_id", "text")
+    bench = spark.createDataFrame([("2024-01-02", " ".join(COPY.split()[20:60])), (None, " ".join(LONG.split()[:30]))], "d string, text string").selectExpr("to_date(d) item_id", "text")
+    for block in (decontaminate.BLOCK_WORDS, 35):  # one block, and one an item
+        found = {(r["doc_id"], str(r["item_id"])) for r in decontaminate.overlaps(named, bench, block).collect()}
+        assert found == {("d6", "2024-01-02"), ("d7", "2024-01-02"), ("d5", "None")}
+        assert not {"d5", "d6", "d7"} & {r["doc_id"] for r in decontaminate.clean(named, bench, block).collect()}
+    labels = named.selectExpr("doc_id", "cast(length(doc_id) > 2 as int) quality").distinct()
+    got = fm_quality.classify(named, labels).collect()
+    assert len(got) == named.count() and all(0 <= r["score"] <= 1 for r in got)
