@@ -6,13 +6,16 @@ buckets by a prefix that is as long as it takes to hold at most BUCKET vectors.
 
 * Descent: in its bucket of every tree a query takes the longest prefix that at least NEAR vectors share and
   scores them exactly.
-* Ascent: a query whose 20th score leaves more than MISS probability that a nearer vector shares none of
-  the prefixes reached moves up in all trees at once; above the buckets there is the root, that is all
-  vectors, in blocks of queries against blocks of vectors.
+* Synchronous ascent: a query whose 20th score leaves more than MISS probability that a nearer vector shares
+  none of the prefixes reached gives up RISE bits in all trees at once, scores the vectors that share
+  the shorter prefixes, and is judged again.  Prefixes that many vectors share are cut into blocks of BLOCK.
+* Root: once the trees' prefixes together would hold more than all vectors (2^depth <= trees), what is
+  still unsettled is scored against all vectors, in blocks of queries against blocks of vectors.
 
 All vectors are indexed.  Equal vectors are one entry with its ``k + 1`` least ids, which is all that any
-query can return of them.  Null, empty or zero vectors, those with null or non-finite components, of
-another length than the longest, or without an id take no part.  Repeated rows of one id and vector count once.
+query can return of them.  Null, empty or zero vectors, those with null or non-finite components or
+without an id take no part, nor do those that have not the commonest length (ties: the greater), as
+there is no inner product between lengths.  Repeated rows of one id and vector count once.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from lexiforge.llm.words import by_key
 
 TREES = 12
 BITS = 60
-NEAR = 512
+NEAR = 64
+RISE = 2  # bits given up by a step of the ascent
 BUCKET = 4096
 MISS = 0.02
 STEP = 6  # bits by which the prefix of an overfull bucket grows
@@ -42,8 +46,8 @@ def _valid(vectors: DataFrame) -> DataFrame:
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     ok = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").where(~bad).where(some)
-    size = ok.agg(F.max(F.size("embedding"))).first()[0] or 0
-    return ok.where(F.size("embedding") == size)
+    sizes = ok.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return ok.where(F.size("embedding") == (sizes["size"] if sizes else 0))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -122,9 +126,10 @@ def _descend(k: int, near: int):
     return task
 
 
-def _root(k: int):
+def _score(k: int, keys: list[str]):
+    """Every query against every vector of its group."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, ["qb", "pb"]):
+        for t in by_key(batches, keys):
             isq = np.array(t.column("query"))
             if not isq.any() or isq.all():
                 continue
@@ -155,6 +160,29 @@ def _buckets(rows: DataFrame, depth: int, bucket: int) -> DataFrame:
         depth = min(BITS, depth + STEP)
 
 
+def _ascend(strings: DataFrame, left: DataFrame, depth: int, k: int) -> DataFrame:
+    """Hits of the queries ``left`` (rid) among the vectors that share ``depth`` bits in any tree."""
+    at = strings.withColumn("prefix", F.shiftright("h", BITS - depth))
+    asking = at.where("query").join(left.select("rid"), "rid", "left_semi")
+    points = at.where("not query").join(asking.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
+    blocks = written(points.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "forest-blocks")
+    columns = ["tree", "prefix", "block", "rid", "embedding", "ids", "query"]
+    grid = (points.join(blocks, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).select(*columns)
+            .union(asking.join(blocks, ["tree", "prefix"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns)))
+    keys = columns[:3]
+    return grid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_score(k, keys), _HITS)
+
+
+def _unsettled(found: DataFrame, hits: DataFrame, mine: DataFrame, top: float, k: int, miss: float) -> DataFrame:
+    """The queries (rid) of ``mine`` for which a nearer vector may share none of the prefixes (rid, tree, depth) of ``found``."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))) * math.sqrt(top)
+    last = hits.groupBy("rid").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") > k)
+    stay = 1 - F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("score") / norm))) / math.pi
+    risk = (found.select("rid", "tree", "depth").join(last, "rid").join(mine.select("rid", "embedding"), "rid")
+            .groupBy("rid").agg(F.sum(F.log(F.greatest(1 - F.pow(stay, F.col("depth")), F.lit(1e-300)))).alias("risk")))
+    return mine.select("rid").join(risk.where(F.col("risk") <= math.log(miss)), "rid", "left_anti")
+
+
 def _top(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("rid").orderBy(F.col("score").desc(), "id")
     return hits.groupBy("rid", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -176,25 +204,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     mine = reps.join(asked.select("rid").distinct(), "rid", "left_semi").select("rid", "embedding", "ids")
-    rows = _hashed(reps, top, False, trees).union(_hashed(mine, top, True, trees))
+    rows = written(_hashed(reps, top, False, trees).union(_hashed(mine, top, True, trees)), "forest-strings")
     depth = max(0, math.ceil(math.log2(n / bucket)) + 1) if n > bucket else 0
     found = written(_buckets(rows, depth, bucket).repartition("tree", "depth", "prefix").sortWithinPartitions("tree", "depth", "prefix")
                     .mapInArrow(_descend(k + 1, near), "rid long, tree int, depth int, id array<long>, score array<double>"), "forest-found")
     hits = _top(found.select("rid", F.explode(F.arrays_zip("id", "score")).alias("x")).select("rid", "x.id", "x.score").where("id is not null"), k + 1)
-    hits = written(hits, "forest-hits")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))) * math.sqrt(top)
-    last = hits.groupBy("rid").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") > k)
-    stay = 1 - F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("score") / norm))) / math.pi
-    risk = (found.select("rid", "tree", "depth").join(last, "rid").join(mine.select("rid", "embedding"), "rid")
-            .groupBy("rid").agg(F.sum(F.log(F.greatest(1 - F.pow(stay, F.col("depth")), F.lit(1e-300)))).alias("risk")))
-    settled = risk.where(F.col("risk") <= math.log(miss)).select("rid")
-    left = written(mine.join(settled, "rid", "left_anti"), "forest-ascending")
+    hits = written(hits.select("rid", "id", "score"), "forest-hits")
+    reached = found.select("rid", "tree", "depth")
+    open_ = written(_unsettled(reached, hits, mine, top, k, miss), "forest-open")
+    level = math.ceil(math.log2(max(1, n / near))) - RISE
+    while 2**level > trees and not open_.isEmpty():
+        more = _ascend(rows, open_, level, k + 1)
+        hits = written(_top(hits.union(more), k + 1).select("rid", "id", "score"), "forest-hits")
+        reached = reached.withColumn("depth", F.least("depth", F.lit(level)))
+        open_ = written(_unsettled(reached.join(open_, "rid", "left_semi"), hits, mine.join(open_, "rid", "left_semi"), top, k, miss), "forest-open")
+        level -= RISE
+    left = written(mine.join(open_, "rid", "left_semi"), "forest-ascending")
     pb, qb = math.ceil(n / BLOCK), max(1, math.ceil(left.count() / BLOCK))
     block = lambda m: F.pmod(F.xxhash64("rid"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     grid = (reps.select(block(pb).alias("pb"), every(qb).alias("qb"), "rid", "embedding", "ids", F.lit(False).alias("query"))
             .union(left.select(every(pb).alias("pb"), block(qb).alias("qb"), "rid", "embedding", "ids", F.lit(True).alias("query"))))
-    above = grid.repartition("qb", "pb").sortWithinPartitions("qb", "pb").mapInArrow(_root(k + 1), _HITS)
+    above = grid.repartition("qb", "pb").sortWithinPartitions("qb", "pb").mapInArrow(_score(k + 1, ["qb", "pb"]), _HITS)
     best = _top(hits.select("rid", "id", "score").union(above), k + 1)
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return (asked.select(F.col("vec_id").alias("query_id"), "rid").join(written(best, "forest-best"), "rid").where("id <> query_id")
