@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.session import cut_lineage, scratch_path
+from lexiforge.session import scratch_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,20 +67,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     splittable join, never gathered.  Loops and repeated edges are allowed; an empty edge list
     gives an empty result.
     """
-    e = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-                    .where("u <> v").distinct())
+    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+                .where("u <> v").distinct(), "component-edges")
     before = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the aggregates are cut off so that the joins have plain shuffles, whose hot keys can be split
-        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "component-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut_lineage(large)
-        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = written(large, "component-large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "component-low")
         small = (large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v").where("u <> v").distinct())
-        e = cut_lineage(small)
+        small = written(small, "component-edges")
+        release(e, least, large, low)  # only the last round's edges are kept on disk
+        e = small
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -50,6 +51,7 @@ MISS = 1e-9
 LARGE = 128
 ROUNDS = 4
 SKETCH = 22  # bits: 4 million counters, 16 MB
+SKETCH_BLOCK = 1 << 16
 _SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
@@ -197,13 +199,34 @@ def _split(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
         for grp, _, s in sets_of(batches):
             at, n = np.unique(_counter(grp, s), return_counts=True)
             total[at] += n.astype(np.int32)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["counter", "n"])
+        yield from blobs(enumerate(total.reshape(-1, SKETCH_BLOCK)))
+
+    def blobs(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for block, counts in parts:
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum of the tasks' counters, block by block; one block is held."""
+        now, total = None, None
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield from blobs([(now, total)])
+                    now, total = block, np.zeros(SKETCH_BLOCK, dtype=np.int32)
+                part = np.frombuffer(zlib.decompress(counts), dtype=np.int32)
+                total = np.minimum(total.astype(np.int64) + part, 2**31 - 1).astype(np.int32)
+        if now is not None:
+            yield from blobs([(now, total)])
 
     source = texts.select("grp", "hi", "packed")
-    sketch = source.mapInArrow(counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    often = np.ones(1 << SKETCH, dtype=np.int32)
-    often[sketch.column("counter").to_numpy()] = np.minimum(sketch.column("n").to_numpy(), 2**31 - 1)
+    schema = "block int, counts binary"  # as many rows a task as the sketch has blocks, whatever it counts
+    sketch = source.mapInArrow(counted, schema).repartition("block").sortWithinPartitions("block").mapInArrow(added, schema).toArrow()
+    often = np.zeros((1 << SKETCH) // SKETCH_BLOCK * SKETCH_BLOCK, dtype=np.int32).reshape(-1, SKETCH_BLOCK)
+    for block, counts in zip(*(c.to_pylist() for c in sketch.columns), strict=True):
+        often[block] = np.frombuffer(zlib.decompress(counts), dtype=np.int32)
+    often = often.reshape(-1)
     sent = texts.sparkSession.sparkContext.broadcast(often)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
