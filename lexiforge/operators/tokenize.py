@@ -54,15 +54,18 @@ def vocab(df: DataFrame, field: str, kind: str = "char", lowercase: bool = False
 
 
 def roundtrip_audit(df: DataFrame, field: str, key_cols: list[str]) -> DataFrame:
-    """Per row: do char and byte tokenization both invert exactly?"""
+    """Per row: do char and byte tokenization both invert exactly?
+
+    Each token array is made once a row: it is a column of its own, which later columns read.
+    """
     t = F.col(field)
-    char_back = detokenize(tokens(t, "char"), "char")
-    byte_back = detokenize(tokens(t, "byte"), "byte", strict=False)
-    return df.select(
-        *key_cols,
-        F.size(tokens(t, "char")).alias("n_chars"),
-        F.size(tokens(t, "byte")).alias("n_bytes"),
-        (char_back == t).cast("int").alias("char_ok"),
-        F.coalesce((byte_back == t).cast("int"), F.lit(0)).alias("byte_ok"),
-        F.md5(byte_back).alias("text_md5"),
+    made = df.select(*key_cols, t, tokens(t, "char").alias("_chars"), tokens(t, "byte").alias("_bytes"))
+    back = made.select(
+        *key_cols, t, F.size("_chars").alias("n_chars"), F.size("_bytes").alias("n_bytes"),
+        detokenize("_chars", "char").alias("_from_chars"), detokenize("_bytes", "byte", strict=False).alias("_from_bytes"))
+    return back.select(
+        *key_cols, "n_chars", "n_bytes",
+        (F.col("_from_chars") == t).cast("int").alias("char_ok"),
+        F.coalesce((F.col("_from_bytes") == t).cast("int"), F.lit(0)).alias("byte_ok"),
+        F.md5("_from_bytes").alias("text_md5"),
     )

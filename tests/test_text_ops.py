@@ -149,3 +149,14 @@ def test_canonical_line_matches_python(spark):
     line = df.select(canonical_line(df, ["b", "a", "z", "m"]).alias("l")).first()["l"]
     rec = {"b": "x", "a": "é\n\"q\"", "m": {"y": 2, "x": "s"}}
     assert line == json.dumps(rec, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_roundtrip_makes_each_token_array_once(spark):
+    from lexiforge.operators.tokenize import roundtrip_audit
+
+    df = spark.createDataFrame([(1, "é\x00x😀"), (2, ""), (3, None), (4, "ab\ncd")], "k int, t string")
+    out = roundtrip_audit(df, "t", ["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ISO-8859-1") == 2 and "regexp" not in plan  # once to bytes, once back
+    got = {r["k"]: tuple(r)[1:5] for r in out.collect()}
+    assert got == {1: (4, 8, 1, 1), 2: (0, 0, 1, 1), 3: (got[3][0], got[3][1], None, 0), 4: (5, 5, 1, 1)}
