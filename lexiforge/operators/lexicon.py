@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiforge.functions.canon import canonical_line
-from lexiforge.functions.text import words
+
+WORDS_HELD = 200_000  # different words that a task holds while it counts
 
 
 def domain_counts(df: DataFrame, domain_col: str, text_col: str, lowercase: bool = True) -> DataFrame:
-    """(domain, word, n): all words of each domain, counted map-side first."""
+    """(domain, word, n): all words of each domain, counted in the tasks first."""
     t = F.lower(F.col(text_col)) if lowercase else F.col(text_col)
-    return (df.select(F.col(domain_col).alias("domain"), F.explode(words(t)).alias("word"))
-            .groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")))
+    texts = df.select(F.col(domain_col).alias("domain"), t.alias("text"))
+    schema = T.StructType([T.StructField("domain", texts.schema["domain"].dataType), T.StructField("word", T.StringType()),
+                           T.StructField("n", T.LongType())])
+    return texts.mapInArrow(_word_counts, schema).groupBy("domain", "word").agg(F.sum("n").alias("n"))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(domain, word, n) of a task's texts; a word may come again once WORDS_HELD others have been met."""
+    def rows() -> pa.RecordBatch:
+        domains = pa.array([d for d, c in counts.items() for _ in c], kind)
+        return pa.RecordBatch.from_arrays([domains, pa.array([w for c in counts.values() for w in c], pa.string()),
+                                           pa.array([n for c in counts.values() for n in c.values()], pa.int64())], names=["domain", "word", "n"])
+
+    counts: dict = {}
+    held, kind = 0, None
+    for batch in batches:
+        kind = batch.column(0).type
+        for domain, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one text at a time becomes a Python string
+            found = counts.setdefault(domain, Counter())
+            held -= len(found)
+            found.update((text.as_py() or "").split())
+            held += len(found)
+            if held >= WORDS_HELD:
+                yield rows()
+                counts, held = {}, 0
+    if held:
+        yield rows()
 
 
 def domain_vocabulary(df: DataFrame, domain_col: str, text_col: str, top_n: int, lowercase: bool = True) -> DataFrame:

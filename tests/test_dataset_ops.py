@@ -170,3 +170,18 @@ def test_weighted_entity_values(spark):
     counts = {r["text"]: r["count"] for r in recs.groupBy("text").count().collect()}
     assert "c" not in counts
     assert abs(counts["b"] / 8000 - 0.75) < 0.03
+
+
+def test_dense_index_neither_windows_nor_shuffles_its_rows(spark):
+    """Rows are numbered before the cut: what follows is a join with a small table."""
+    df = spark.range(1000).selectExpr("id % 3 as g", "id * 7 % 1000 as v")
+    out = dense_index(df, ["v"], ["g"], "pos")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" in plan
+    got = {}
+    for r in out.orderBy("g", "v").collect():
+        assert r["pos"] == got.setdefault(r["g"], 0)
+        got[r["g"]] += 1
+    assert sum(got.values()) == 1000
+    nulls = spark.createDataFrame([(None, 1), ("a", 2), ("a", None)], "g string, v int")
+    assert {(r["g"], r["v"], r["pos"]) for r in dense_index(nulls, ["v"], ["g"], "pos").collect()} == {("a", None, 0), ("a", 2, 1)}
